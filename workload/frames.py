@@ -148,11 +148,11 @@ entries AS (
 
 SQL_BOOKINGS = """
 brands AS (
-  SELECT l_orderkey, list(DISTINCT p_brand) AS destinations FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+  SELECT l_orderkey, list_sort(list(DISTINCT p_brand)) AS destinations FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 ),
 bookings AS (
   SELECT o_orderkey AS ord,
-    CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 2 + (CAST(o_totalprice AS BIGINT) % 13) END AS duration,
+    CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 2 + (CAST(floor(o_totalprice) AS BIGINT) % 13) END AS duration,
     CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey % 3 END AS rooms,
     o_custkey % 4 AS adults, o_custkey % 3 AS children, o_orderkey % 2 AS infants,
     strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS start_date,
@@ -169,9 +169,9 @@ def bookings(t: Tables) -> DataFrame:
     # distinct brands per order: bounded by the number of brands
     brands = t.lineitem.select("l_orderkey", "l_partkey").join(
         t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
-    ).groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("d"))
+    ).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("d"))
     month = F.trunc("o_orderdate", "month")
-    price = F.round("o_totalprice").cast("long")
+    price = F.floor("o_totalprice")
     return t.orders.join(brands, k == F.col("l_orderkey"), "left").select(
         k.alias("ord"),
         F.when(k % 10 != 0, 2 + price % 13).alias("duration"),

@@ -88,7 +88,7 @@ def lookup_table(base: DataFrame, aliases: DataFrame, languages: list[str]) -> D
     both = everywhere.unionByName(extra.where(F.col("lang") != "en"))
     return both.groupBy("lang", "name").agg(
         F.max_by("id", F.struct("layer", "ord")).alias("id"),
-        F.min(F.struct("layer", "ord")).alias("ord"),
+        F.min(F.struct("layer", "ord"))["ord"].alias("ord"),
     )
 
 

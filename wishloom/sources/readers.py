@@ -2,3 +2,5 @@
 from pyspark.sql import functions as F
 def usable_embeddings(df):
     return df.where(F.size("embedding") > 0)
+def parse_calendar(df):
+    return df.withColumn("d", F.try_to_date("date", "dd-MM-yyyy"))

@@ -9,6 +9,7 @@ row count has been checked, and salts the join otherwise. `running` and
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +26,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="wishloom-ckpt-"))
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

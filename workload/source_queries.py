@@ -1 +1,73 @@
+"""S5, S9, S10, S14, S15 over orders, conversations and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wishloom.operators import evaluation as ev
+from wishloom.sources import readers as rd
+from wishloom.sources import sinks as sk
+
+from .frames import SQL_OPS, operations
+from .registry import query
+
+
+@query("s5_booking_types", """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 13 END AS duration, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 4 END AS adults,
+ CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_date, trim(o_orderpriority) AS airport, 'A,B c,' || o_custkey % 5 AS destinations FROM orders""")
+def _(t):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    date = (F.when(k % 4 == 0, F.date_format(d, " M/d/yyyy ")).when(k % 4 == 1, F.date_format(d, "yyyy-M-d"))
+            .when(k % 4 == 2, F.date_format(d, "MM/dd/yyyy")).otherwise("soon"))
+    raw = t.orders.select(
+        k.alias("ord"), F.when(k % 5 == 0, "many").otherwise(F.concat(F.lit(" "), F.col("o_custkey") % 13)).alias("duration"), F.lit("").alias("rooms"),
+        F.when(k % 3 == 0, "x").otherwise((F.col("o_custkey") % 4).cast("string")).alias("adults"), F.lit("1").alias("children"), F.lit("").alias("infants"),
+        date.alias("startDepartureDate"), F.lit("").alias("endDepartureDate"), F.concat("o_orderpriority", F.lit(" ")).alias("from"),
+        F.concat(F.lit("A, B\nc,, "), F.col("o_custkey") % 5).alias("to"))
+    return rd.type_bookings(raw).select("ord", "duration", "adults", "start_date", "airport", F.array_join("destinations", ",").alias("destinations"))
+
+
+@query("s9_request_batch", """SELECT conv_id, turn, 0 AS pos, md5(trim(text)) AS text, 'holiday' AS mode, CASE WHEN trim(text) = '' THEN 'Batch entries provided as strings must be non-empty' END AS request_error FROM conversations
+UNION ALL SELECT conv_id, turn, 1, md5(role), role, NULL FROM conversations UNION ALL SELECT conv_id, turn, 2, NULL, 'holiday', 'Batch entries must include a ''text'' field' FROM conversations""")
+def _(t):
+    text = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("c"))), r'(?s)^\{"c":(.*)\}$', 1)
+    js = F.concat(F.lit("["), text, F.lit(',{"text":" '), "role", F.lit('","mode":"'), "role", F.lit('"},{"mode":""}]'))
+    r = rd.parse_request_batch(t.conversations.select("conv_id", "turn", js.alias("js")), "js", default_mode="holiday")
+    return r.select("conv_id", "turn", "pos", F.md5("text").alias("text"), "mode", "request_error")
+
+
+@query("s10_batch_mode", "SELECT conv_id, CASE WHEN count(DISTINCT role) = 1 THEN max(role) END AS mode FROM conversations GROUP BY 1")
+def _(t):
+    return t.conversations.groupBy("conv_id").agg(rd.batch_mode(None, F.col("role")).alias("mode"))
+
+
+DEC = "CAST(CAST(round(CAST({0} AS DECIMAL(28, 9)), 2) AS DECIMAL(28, 2)) AS VARCHAR)"
+
+
+@query("s14_audit_log", f"""WITH {SQL_OPS} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp, 'op ' || op_id AS user_input, method, upper(left(status, 1)) || substr(status, 2) AS status, {DEC.format('k')} AS language_ms,
+ 'en (' || {DEC.format('k / 100')} || ')' AS language, {DEC.format('total_ms')} AS total, '' AS extraction, '{{"k":' || k || '}}' AS output FROM ops""")
+def _(t):
+    o = operations(t).select(
+        "ts", F.concat(F.lit("op "), "op_id").alias("text"), F.lit("Text").alias("request_type"), "method", F.lit("holiday").alias("mode"), "status",
+        F.create_map(F.lit("languageMs"), F.col("k").cast("double"), F.lit("total"), F.col("total_ms")).alias("timings"),
+        F.lit("en").alias("language"), (F.col("k") / 100).alias("confidence"), F.struct("k").alias("output"))
+    a = sk.audit_rows(o)
+    return a.select(F.col("`Timestamp (UTC)`").alias("stamp"), F.col("User input").alias("user_input"), F.col("Method").alias("method"), F.col("Pipeline Status").alias("status"),
+                    F.col("`Language Detection (ms)`").alias("language_ms"), F.col("`Language Detection (summary)`").alias("language"),
+                    F.col("Processing Time").alias("total"), F.col("Extraction").alias("extraction"), F.col("Output").alias("output"))
+
+
+@query("s15_summary_log", f"""WITH {SQL_OPS}, g AS (SELECT run_id, count(*) AS n, count(*) FILTER (status = 'success') AS s, count(*) FILTER (status = 'error') AS e, count(*) FILTER (status = 'failed') AS f, max(total_ms) AS pk, quantile_cont(total_ms, 0.5) AS p50, count(*) FILTER (total_ms >= 9000) AS b FROM ops GROUP BY 1)
+SELECT 'run ' || run_id AS mode, CASE WHEN e > 0 THEN 'error' WHEN f > 0 THEN 'partial' ELSE 'success' END AS status, CAST(n AS VARCHAR) AS requests, CAST(s AS VARCHAR) AS succeeded, {DEC.format('p50')} AS p50, {DEC.format('pk')} AS peak,
+ CASE WHEN b > 0 THEN '["cpu"]' ELSE '' END AS breaches FROM g""")
+def _(t):
+    ops = operations(t)
+    jobs = ev.job_totals(ops, ["run_id"]).join(ev.latency_percentiles(ops, by=["run_id"]), "run_id").join(
+        ev.resource_rollup(ops, 9000, 1e12, ["run_id"], "total_ms", "k"), "run_id")
+    rows = jobs.withColumns({"mode": F.concat(F.lit("run "), "run_id"),
+                             "breaches": F.array_compact(F.array(F.when(F.col("cpu_breaches") > 0, "cpu")))})
+    s = sk.summary_rows(rows)
+    names = dict(zip(["mode", "status", "requests", "succeeded", "p50", "peak", "breaches"],
+                     ["Mode", "Status", "Requests", "Succeeded", "Latency p50 (ms)", "Peak CPU (%)", "Guardrail Breaches"]))
+    return s.select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])
+
 

@@ -18,13 +18,14 @@ def _present(value) -> list:
     return [] if value is None else list(value)
 
 
-def fold_stream(turns: DataFrame, ttl: str = "1 hour") -> DataFrame:
+def fold_stream(turns: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
     """Merge turns per session as they arrive, one output row per turn.
 
     A turn must follow the last accepted one by exactly 1: a gap or a repeat
     is reported and leaves the state alone. Idle sessions are dropped after
     `ttl`, which bounds the state; a session's lists are bounded by the
-    gazetteer, and its turns arrive in Arrow chunks.
+    gazetteer, and its turns arrive in Arrow chunks. A finite feed (trigger
+    availableNow) takes ttl=None, because timeouts keep such a run going.
     """
     def merge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,11 +47,13 @@ def fold_stream(turns: DataFrame, ttl: str = "1 hour") -> DataFrame:
                 rooms = int(row.rooms) if row.rooms is not None and not pd.isna(row.rooms) else rooms
                 out.append((key[0], turn, True, ",".join(origins), ",".join(places), ",".join(dates), duration, rooms, None))
         state.update((int(turn), origins, places, dates, duration, rooms))
-        state.setTimeoutDuration(_milliseconds(ttl))
+        if ttl is not None:
+            state.setTimeoutDuration(_milliseconds(ttl))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"rooms": "Int32"})
 
     return turns.groupBy("session").applyInPandasWithState(
-        merge, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        merge, OUTPUT, STATE, "append",
+        GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _milliseconds(text: str) -> int:

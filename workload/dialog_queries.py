@@ -86,7 +86,7 @@ SELECT CAST(conv_id AS VARCHAR) AS session, turn, ok AS accepted, CASE WHEN ok T
 def _(t: Tables):
     feed = feeds.request_feed(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
     out, state = scratch_folder(t.spark, "sessions"), scratch_folder(t.spark, "sessions-state")
-    feeds.append_log(sessions.fold_stream(turns(t, feed)), out, state).awaitTermination()
+    feeds.append_log(sessions.fold_stream(turns(t, feed), ttl=None), out, state).awaitTermination()
     return t.spark.read.parquet(out).select("session", "turn", "accepted", "departure_dates", "duration_id")
 
 

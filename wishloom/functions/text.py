@@ -47,17 +47,16 @@ def tokens(text: Column) -> Column:
 def ngrams(token_array: Column, max_n: int = 3) -> Column:
     """All 1..max_n-grams, by size then position, duplicates kept."""
     def build(words: Column) -> Column:
-        size = F.size(words)
-
-        def of_size(n):
-            return F.transform(
-                F.sequence(F.lit(1), size - n + 1),
-                lambda i: F.array_join(F.slice(words, i, n), " "),
-            )
-
-        return F.when(size == 0, F.array().cast("array<string>")).otherwise(
-            F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(max_n))), of_size))
-        )
+        def longer(grams: Column, n: int) -> Column:
+            """The n-grams followed by everything longer; each size extends the one before."""
+            if n == max_n:
+                return grams
+            count = F.greatest(F.size(words) - n, F.lit(0))
+            grown = F.zip_with(F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n + 1), count),
+                               lambda head, word: F.concat(head, F.lit(" "), word))
+            return F.concat(grams, bind(grown, lambda g: longer(g, n + 1)))
+
+        return longer(words, 1)
 
     return bind(token_array, build)
 

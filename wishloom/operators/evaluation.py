@@ -17,7 +17,7 @@ from ..functions import fixed_values as fv
 from ..functions.mathx import log_choose
 from ..plans.scale import exact_percentiles, running, settle, value_bucket
 
-BOOTSTRAP_DRAW_LIMIT = 20_000
+BOOTSTRAP_DRAW_LIMIT = 10_000
 
 
 def is_success(status: Column) -> Column:

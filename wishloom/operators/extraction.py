@@ -21,35 +21,49 @@ def word_key(name: Column) -> Column:
     return tx.normalize_label(name)
 
 
-def match_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_id", text: str = "text",
-                   lang: str = "lang", languages: list[str] | None = None) -> DataFrame:
-    """Entities named in each request as whole words, in dictionary order.
-
-    lookup: (lang, name, id, ord). A language without its own dictionary uses
-    English. Candidates come from an equi-join of the opening word, then the
-    exact name is looked for between word boundaries; the first alias of an
-    id decides its place.
+def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_id", text: str = "text",
+                    lang: str = "lang", languages: list[str] | None = None) -> DataFrame:
+    """Adds `found`: entities named in each request as whole words, in dictionary order.
+
+    lookup: (lang, name, id, ord) plus any columns to carry, such as kind. A
+    language without its own dictionary uses English. Candidates come from an
+    equi-join of the opening word; the exact name is then looked for between
+    word boundaries, and the first alias of an entity decides its place. Only
+    (request, word) rows are exploded, so the text itself moves once, and the
+    candidates of a request are bounded by the gazetteer.
     """
     known = languages or sorted(r[0] for r in lookup.select("lang").distinct().limit(200).collect())
     language = F.lower(F.coalesce(F.col(lang), F.lit("en")))
     used = F.when(language.isin(known), language).otherwise("en")
+    carried = [c for c in lookup.columns if c not in ("lang", "ord", "id", "name")]
+    entry = F.struct("ord", "id", *carried, F.col("name").alias("_name"))
     names = lookup.select(
         F.col("lang").alias("_lang"), F.get(F.split(word_key(F.col("name")), " "), F.lit(0)).alias("_w"),
-        "name", "id", "ord").where("_w <> ''")
-    # only (request, word) rows are exploded; the text itself travels once
-    base = requests.select(F.col(key), used.alias("_lang"), F.lower(text).alias("_text"))
-    words = base.select(key, "_lang", F.explode(F.array_distinct(tx.tokens(F.col("_text")))).alias("_w"))
-    # candidates per request are bounded by the gazetteer
-    candidates = lookup_join(words, names, ["_lang", "_w"]).groupBy(key).agg(
-        F.collect_set(F.struct("name", "id", "ord")).alias("_c"))
+        entry.alias("_e")).where("_w <> ''")
+    words = requests.select(F.col(key), used.alias("_lang"), F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("_w"))
+    candidates = lookup_join(words, names, ["_lang", "_w"]).groupBy(key).agg(F.collect_set("_e").alias("_c"))
 
-    def whole_word(c):
-        escaped = F.regexp_replace(c["name"], r"([^\p{L}\p{N}_\s])", r"\\$1")
-        return F.contains(F.col("_text"), c["name"]) & F.regexp_like(
-            F.col("_text"), F.concat(F.lit(r"(?U)\b"), escaped, F.lit(r"\b")))
+    def whole_word(lowered, c):
+        escaped = F.regexp_replace(c["_name"], r"([^\p{L}\p{N}_\s])", r"\\$1")
+        return F.contains(lowered, c["_name"]) & F.regexp_like(
+            lowered, F.concat(F.lit(r"(?U)\b"), escaped, F.lit(r"\b")))
 
-    found = base.join(candidates, key).select(key, F.explode(F.filter("_c", whole_word)).alias("_c"))
-    return found.groupBy(key, F.col("_c.id").alias("id")).agg(F.min("_c.ord").alias("ord"))
+    def same(c):
+        return F.struct("id", *carried) if c is None else F.struct(c["id"].alias("id"), *[c[x].alias(x) for x in carried])
+
+    def first_only(sorted_entries):
+        owners = F.transform(sorted_entries, lambda c: same(c))
+        return F.filter(sorted_entries, lambda c, i: F.array_position(owners, same(c)) == i + 1)
+
+    joined = requests.join(candidates, key, "left")
+    hits = tx.bind(F.lower(F.col(text)), lambda low: F.filter("_c", lambda c: whole_word(low, c)))
+    return joined.withColumn("found", F.when(F.col("_c").isNotNull(), tx.bind(F.array_sort(hits), first_only))).drop("_c")
+
+
+def match_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_id", **options) -> DataFrame:
+    """locate_entities as one row per (request, entity): key, id, ord and carried columns."""
+    found = locate_entities(requests, lookup, key, **options).select(key, F.explode("found").alias("_f"))
+    return found.select(key, "_f.*").drop("_name")
 
 
 def first_contained(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -103,29 +117,30 @@ def dates(text: Column) -> Column:
     return F.filter(found, lambda d: d["at"].isNotNull())
 
 
-def collect_entities(requests: DataFrame, matches: DataFrame, entities: DataFrame, name: str,
-                     key: str = "request_id") -> DataFrame:
-    """Adds array<struct<id,name,type,available>>; at most one entry per known id."""
-    detail = lookup_join(matches, entities.select("id", "name", "type", "available"), "id")
-    grouped = detail.groupBy(key).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("ord", "id", "name", "type", "available"))),
-        lambda e: F.struct(e["id"].alias("id"), e["name"].alias("name"), e["type"].alias("type"),
-                           e["available"].alias("available"))).alias(name))
-    empty = F.array().cast("array<struct<id:string,name:string,type:string,available:boolean>>")
-    return requests.join(grouped, key, "left").withColumn(name, F.coalesce(name, empty))
+def detailed_lookup(lookup: DataFrame, entities: DataFrame, kind: str) -> DataFrame:
+    """Dictionary rows with the entity they stand for."""
+    detail = entities.select("id", F.col("name").alias("label"), "type", "available")
+    return lookup_join(lookup, detail, "id").withColumn("kind", F.lit(kind))
 
 
-def extract(requests: DataFrame, airports: DataFrame, destinations: DataFrame, airport_lookup: DataFrame,
-            destination_lookup: DataFrame, languages: list[str], duration_aliases=None, flex_aliases=None,
+def extract(requests: DataFrame, lookup: DataFrame, languages: list[str], duration_aliases=None, flex_aliases=None,
             key: str = "request_id") -> DataFrame:
-    """Rule extraction: airports, destinations, duration_id, flex_id, dates."""
-    found_a = match_entities(requests, airport_lookup, key, languages=languages)
-    found_d = match_entities(requests, destination_lookup, key, languages=languages)
-    staged = collect_entities(requests, found_a, airports, "airports", key)
-    staged = collect_entities(staged, found_d, destinations, "destinations", key)
-    return staged.withColumns({
+    """Rule extraction: airports, destinations, duration_id, flex_id, dates.
+
+    lookup: detailed_lookup of every kind (airport, destination) in one frame,
+    so that both gazetteers are matched in one pass over the text.
+    """
+    located = locate_entities(requests, lookup, key, languages=languages)
+
+    def of_kind(kind):
+        mine = F.filter(F.coalesce("found", F.array()), lambda e: e["kind"] == kind)
+        return F.transform(mine, lambda e: F.struct(
+            e["id"].alias("id"), e["label"].alias("name"), e["type"].alias("type"), e["available"].alias("available")))
+
+    return located.withColumns({
+        "airports": of_kind("airport"), "destinations": of_kind("destination"),
         "duration_id": duration_id(F.col("text"), F.col("lang"), duration_aliases),
-        "flex_id": flexibility_id(F.col("text"), F.col("lang"), flex_aliases), "dates": dates(F.col("text"))})
+        "flex_id": flexibility_id(F.col("text"), F.col("lang"), flex_aliases), "dates": dates(F.col("text"))}).drop("found")
 
 
 def recognised(df: DataFrame) -> DataFrame:

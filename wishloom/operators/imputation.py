@@ -47,24 +47,31 @@ def is_unpopulated() -> Column:
             & F.col("adults").isNull() & F.col("non_adults").isNull() & F.col("rooms").isNull())
 
 
-def canonical_destinations(requests: DataFrame, names: DataFrame) -> DataFrame:
-    """`id:TYPE` to its known spelling, de-duplicated, and those without statistics.
+def requested_destinations(requests: DataFrame, per_destination: DataFrame) -> DataFrame:
+    """One pass over the requested names: spelling, gaps and first modes.
 
-    Returns request_id, destinations (ordered), missing (ordered).
+    `id:TYPE` becomes the known spelling, repeats are dropped without case.
+    Returns request_id, destinations and missing (in request order), a struct
+    d_<metric>(value, at) from the first destination that has a mode, and
+    known_keys, the sorted folded names that have statistics.
     """
     listed = requests.select("request_id", F.posexplode("to").alias("pos", "raw"))
     base = F.trim(F.split_part(F.trim("raw"), F.lit(":"), F.lit(1)))
-    known = names.select(F.lower("destination").alias("key"), F.col("destination").alias("label"))
-    each = lookup_join(listed.select("request_id", "pos", base.alias("name"), F.lower(base).alias("key")).where("name <> ''"),
-                       known, "key", "left")
+    named = listed.select("request_id", "pos", base.alias("name"), F.lower(base).alias("key")).where("name <> ''")
+    table = per_destination.select(F.lower("destination").alias("key"), F.col("destination").alias("label"), *METRICS)
+    each = lookup_join(named, table, "key", "left")
     first = each.groupBy("request_id", "key").agg(
         F.min("pos").alias("pos"), F.min_by(F.coalesce("label", "name"), "pos").alias("name"),
-        F.max("label").isNull().alias("unknown"))
+        F.max("label").isNull().alias("unknown"), *[F.max(m).alias(m) for m in METRICS])
+    known = F.coalesce(*METRICS).isNotNull()
     # one entry per destination named in the request
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["name"])
     return first.groupBy("request_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("destinations"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("unknown"), F.struct("pos", "name")))),
-                    lambda s: s["name"]).alias("missing"))
+        ordered(F.struct("pos", "name")).alias("destinations"),
+        ordered(F.when(F.col("unknown"), F.struct("pos", "name"))).alias("missing"),
+        *[F.min_by(F.struct(F.col(m).alias("value"), F.col("name").alias("at")),
+                   F.when(F.col(m).isNotNull(), F.col("pos"))).alias(f"d_{m}") for m in METRICS],
+        F.array_sort(F.collect_set(F.when(known, F.lower("name")))).alias("known_keys"))
 
 
 def destination_modes(statistics: DataFrame) -> DataFrame:
@@ -73,18 +80,6 @@ def destination_modes(statistics: DataFrame) -> DataFrame:
         F.first("mode")).withColumnRenamed("scope_key", "destination")
 
 
-def first_modes(requests: DataFrame, per_destination: DataFrame) -> DataFrame:
-    """Per request and metric: the first requested destination that has a mode."""
-    listed = requests.select("request_id", F.posexplode("destinations").alias("pos", "destination"))
-    table = per_destination.select(F.lower("destination").alias("_k"), *METRICS)
-    each = lookup_join(listed.withColumn("_k", F.lower("destination")), table, "_k", "left")
-    return each.groupBy("request_id").agg(*[
-        F.min_by(F.struct(F.col(m).alias("value"), F.col("destination").alias("at")),
-                 F.when(F.col(m).isNotNull(), F.col("pos"))).alias(f"d_{m}")
-        for m in METRICS],
-        F.array_sort(F.collect_set(F.when(F.coalesce(*METRICS).isNotNull(), F.lower("destination")))).alias("known_keys"))
-
-
 def impute(requests: DataFrame, statistics: DataFrame, auto_rooms: bool = fv.ROOMS["auto"],
            allow_intersection: bool = True) -> DataFrame:
     """Adds every parameter with its value and source; given values are kept."""
@@ -100,18 +95,21 @@ def impute(requests: DataFrame, statistics: DataFrame, auto_rooms: bool = fv.ROO
     def glob(metric):
         return F.lit(constants.get(metric)).cast("string")
 
-    named = requests.join(canonical_destinations(requests, per_destination), "request_id", "left").withColumns({
-        "destinations": F.coalesce("destinations", F.array().cast("array<string>")),
-        "missing": F.coalesce("missing", F.array().cast("array<string>")), "unpopulated": is_unpopulated()})
-    fill = F.col("unpopulated") | (F.size("destinations") == 0)
+    none = F.array().cast("array<string>")
+    full = requests.join(requested_destinations(requests, per_destination), "request_id", "left").withColumns({
+        "destinations": F.coalesce("destinations", none), "missing": F.coalesce("missing", none),
+        "unpopulated": is_unpopulated(), "to_source": F.lit(None).cast("string")})
     if popular is not None:
-        named = named.withColumns({
-            "destinations": F.when(fill, F.array(F.lit(popular))).otherwise(F.col("destinations")),
-            "to_source": F.when(fill, F.lit("popularity"))})
-    else:
-        named = named.withColumn("to_source", F.lit(None).cast("string"))
-    full = named.join(first_modes(named, per_destination), "request_id", "left").withColumn(
-        "combination", F.array_join(F.coalesce("known_keys", F.array().cast("array<string>")), "||"))
+        fill = F.col("unpopulated") | (F.size("destinations") == 0)
+        own = per_destination.where(F.lower("destination") == popular.lower()).first()
+        constant = {m: F.lit(own[m] if own else None).cast("string") for m in METRICS}
+        full = full.withColumn("_fill", fill).withColumns({
+            **{f"d_{m}": F.when(F.col("_fill"), F.when(constant[m].isNotNull(), F.struct(
+                constant[m].alias("value"), F.lit(popular).alias("at")))).otherwise(F.col(f"d_{m}")) for m in METRICS},
+            "destinations": F.when(F.col("_fill"), F.array(F.lit(popular))).otherwise(F.col("destinations")),
+            "known_keys": F.when(F.col("_fill"), F.array(F.lit(popular.lower()))).otherwise(F.col("known_keys")),
+            "to_source": F.when(F.col("_fill"), F.lit("popularity"))})
+    full = full.withColumn("combination", F.array_join(F.coalesce("known_keys", none), "||"))
     full = lookup_join(full, combos, "combination", "left")
 
     def at(metric):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..plans.scale import lookup_join
+from ..plans.scale import lookup_join, settle
 
 MSG = fv.VALIDATION_MESSAGES
 
@@ -15,31 +15,46 @@ def departure_window(df: DataFrame, calendar: DataFrame | None, base: str = "bas
                      key: str = "request_id", flexible: bool = fv.FLEXIBILITY_ALLOWED) -> DataFrame:
     """Adds departure_dates: 0-2 ISO dates around the base date.
 
-    calendar: (d date), or None for no calendar. The range lookup is an
-    equi-join on (year, month): a window of at most a month's reach touches a
-    bounded list of months, so no range join is needed.
+    calendar: (d date), or None for no calendar. The first open day from
+    base - n and the last one up to base + n are looked up in a table of
+    days, so any reach works, nothing is joined by range, and the requests
+    are read once.
     """
     days = F.coalesce(F.coalesce(F.col(flex), F.lit(fv.DEFAULT_FLEX_ID)).try_cast("int"), F.lit(0))
     reach = F.greatest(days, F.lit(0)) if flexible else F.lit(0)
-    b = F.col(base)
-    rows = df.withColumn("_reach", reach)
+    first, last = F.date_sub(F.col(base), reach), F.date_add(F.col(base), reach)
+    none = F.array().cast("array<string>")
     if calendar is None:
-        ends = F.when(F.col("_reach") > 0, F.array(F.date_sub(b, F.col("_reach")), F.date_add(b, F.col("_reach")))).otherwise(F.array(b))
-        shown = F.when(b.isNotNull(), F.transform(ends, lambda d: F.date_format(d, "yyyy-MM-dd")))
-        return rows.withColumn("departure_dates", F.coalesce(shown, F.array().cast("array<string>"))).drop("_reach")
-    # distinct (base, reach) pairs: the window depends on nothing else
-    pairs = rows.where(b.isNotNull()).select(b.alias("_b"), "_reach").distinct()
-    months = F.sequence(F.trunc(F.date_sub("_b", F.col("_reach")), "month"), F.date_add("_b", F.col("_reach")), F.expr("INTERVAL 1 MONTH"))
-    days_of = calendar.select("d").distinct().withColumn("_m", F.trunc("d", "month"))
-    spread = pairs.withColumn("_m", F.explode(months))
-    near = lookup_join(spread, days_of, "_m").where(
-        (F.col("d") >= F.date_sub("_b", F.col("_reach"))) & (F.col("d") <= F.date_add("_b", F.col("_reach"))))
-    windows = near.groupBy("_b", "_reach").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
-    joined = lookup_join(rows.withColumn("_b", b), windows, ["_b", "_reach"], "left")
-    found = F.when(F.col("_lo").isNull(), F.array().cast("array<date>")).otherwise(
-        F.array_distinct(F.array("_lo", "_hi")))
-    return joined.withColumn("departure_dates", F.transform(found, lambda d: F.date_format(d, "yyyy-MM-dd"))).drop(
-        "_b", "_reach", "_lo", "_hi")
+        ends = F.array_distinct(F.array(first, last))
+        shown = F.when(F.col(base).isNotNull(), F.transform(ends, lambda d: F.date_format(d, "yyyy-MM-dd")))
+        return df.withColumn("departure_dates", F.coalesce(shown, none))
+    span = calendar.agg(F.min("d"), F.max("d")).first()
+    if span[0] is None:
+        return df.withColumn("departure_dates", none)
+    table = settle(open_days(calendar))
+    opens, closes = F.lit(span[0]), F.lit(span[1])
+    rows = df.withColumns({"_first": F.greatest(first, opens), "_last": F.least(last, closes)})
+    joined = lookup_join(rows, table.select(F.col("day").alias("_first"), F.col("next_open").alias("_lo")), "_first", "left")
+    joined = lookup_join(joined, table.select(F.col("day").alias("_last"), F.col("last_open").alias("_hi")), "_last", "left")
+    found = F.when(F.col(base).isNotNull() & (F.col("_lo") <= F.col("_hi")) & (F.col("_lo") <= last) & (F.col("_hi") >= first),
+                   F.array_distinct(F.array("_lo", "_hi")))
+    shown = F.transform(found, lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return joined.withColumn("departure_dates", F.coalesce(shown, none)).drop("_first", "_last", "_lo", "_hi")
+
+
+def open_days(calendar: DataFrame) -> DataFrame:
+    """(day, next_open, last_open) for every day of the calendar's span.
+
+    One row per day, so its size is bounded by the years covered.
+    """
+    opened = calendar.select("d").distinct()
+    span = opened.agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    every = span.select(F.explode(F.sequence("a", "b")).alias("day"))
+    marked = every.join(opened, F.col("day") == F.col("d"), "left")
+    up = Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.select("day", F.first("d", ignorenulls=True).over(up).alias("next_open"),
+                         F.last("d", ignorenulls=True).over(down).alias("last_open"))
 
 
 def airport_codes(airports: Column) -> Column:
@@ -112,11 +127,22 @@ def date_error(departure_dates: Column, off_calendar: Column) -> Column:
         off_calendar.isNotNull(), F.concat(F.lit("Departure date '"), off_calendar, F.lit("' is not available")))
 
 
+LISTED_DAYS = 10_000
+
+
 def first_off_calendar(df: DataFrame, calendar: DataFrame, key: str = "request_id") -> DataFrame:
-    """Adds off_calendar: the first departure date missing from the calendar."""
-    listed = df.select(key, F.posexplode("departure_dates").alias("pos", "iso"))
+    """Adds off_calendar: the first departure date missing from the calendar.
+
+    A calendar of at most LISTED_DAYS days becomes a membership test inside
+    the scan; a longer one is an anti join.
+    """
     allowed = calendar.select(F.date_format("d", "yyyy-MM-dd").alias("iso")).distinct()
-    unknown = lookup_join(listed, allowed, "iso", "left_anti").groupBy(key).agg(F.min_by("iso", "pos").alias("off_calendar"))
+    known = [r[0] for r in allowed.limit(LISTED_DAYS + 1).collect()]
+    if len(known) <= LISTED_DAYS:
+        listed = ", ".join(f"'{d}'" for d in sorted(known)) or "''"
+        return df.withColumn("off_calendar", F.expr(f"get(filter(departure_dates, d -> d NOT IN ({listed})), 0)"))
+    each = df.select(key, F.posexplode("departure_dates").alias("pos", "iso"))
+    unknown = lookup_join(each, allowed, "iso", "left_anti").groupBy(key).agg(F.min_by("iso", "pos").alias("off_calendar"))
     return df.join(unknown, key, "left")
 
 

@@ -37,6 +37,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input with fewer splits than cores.
+
+    A table of one small file arrives as one task. A large table has more
+    splits than the cluster has cores and is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when df has at most max_rows rows; stops reading right after."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -210,7 +210,7 @@ def _(t):
     books = settle(bookings(t))
     names = settle(im.destination_modes(pop.statistics_table(books)))
     req = requests_frame(t, books)
-    c = req.select("request_id").join(im.canonical_destinations(req, names), "request_id", "left")
+    c = req.select("request_id").join(im.requested_destinations(req, names), "request_id", "left")
     none = F.array().cast("array<string>")
     return c.select("request_id", F.array_join(F.coalesce("destinations", none), ",").alias("destinations"),
                     F.array_join(F.coalesce("missing", none), ",").alias("missing"))
@@ -221,17 +221,13 @@ def _(t):
     return pop.modes(pop.statistics_table(bookings(t)))
 
 
-@query("j11_first_destination_mode", f"{IMPUTE} SELECT request_id, metric, mode, dest FROM fm")
+@query("j11_first_destination_mode", f"""{POP}, {REQ}, dm AS (SELECT destination, metric, value AS mode FROM ds WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY destination, metric ORDER BY n DESC, f, value) = 1),
+e AS (SELECT request_id, lower(trim(split_part(trim(x), ':', 1))) AS key, pos FROM (SELECT request_id, unnest("to") AS x, unnest(range(len("to"))) AS pos FROM req))
+SELECT request_id, metric, arg_min(mode, pos) AS mode, arg_min(destination, pos) AS dest FROM e JOIN dm ON lower(destination) = key GROUP BY 1, 2""")
 def _(t):
     books = settle(bookings(t))
-    st = settle(pop.statistics_table(books))
-    table = settle(im.destination_modes(st))
-    req = requests_frame(t, books)
-    can = im.canonical_destinations(req, table)
-    popular = pop.most_popular_destination(st).first()["destination"]
-    full = req.join(can, "request_id", "left").withColumn("destinations", F.when(
-        im.is_unpopulated() | (F.coalesce(F.size("destinations"), F.lit(0)) <= 0), F.array(F.lit(popular))).otherwise(F.col("destinations")))
-    fm = im.first_modes(full, table)
+    table = settle(im.destination_modes(pop.statistics_table(books)))
+    fm = im.requested_destinations(requests_frame(t, books), table)
     rows = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"d_{m}.value").alias("mode"), F.col(f"d_{m}.at").alias("dest")) for m in im.METRICS]))
     return fm.select("request_id", rows).where("mode is not null")
 

@@ -57,7 +57,8 @@ def lookups(t):
 
 def extracted(t):
     a, d = lookups(t)
-    return ex.extract(requests(t), airports(t), destinations(t), a, d, LANGS, DUTCH)
+    both = ex.detailed_lookup(a, airports(t), "airport").unionByName(ex.detailed_lookup(d, destinations(t), "destination"))
+    return ex.extract(requests(t), settle(both), LANGS, DUTCH)
 
 
 def ids(c):
@@ -67,9 +68,8 @@ def ids(c):
 @query("t9_entity_match", f"WITH {SQL_EXTRACT} SELECT request_id, 'airport' AS kind, id, CAST(ord AS BIGINT) AS ord FROM apm UNION ALL SELECT request_id, 'destination', id, CAST(ord AS BIGINT) FROM dsm")
 def _(t):
     a, d = lookups(t)
-    found = [ex.match_entities(requests(t), table, languages=LANGS).withColumn("kind", F.lit(kind))
-             for kind, table in (("airport", a), ("destination", d))]
-    return found[0].unionByName(found[1]).select("request_id", "kind", "id", "ord")
+    both = a.withColumn("kind", F.lit("airport")).unionByName(d.withColumn("kind", F.lit("destination")))
+    return ex.match_entities(requests(t), settle(both), languages=LANGS).select("request_id", "kind", "id", "ord")
 
 
 @query("t10_locale_lookup", f"WITH {SQL_EXTRACT} SELECT lang, name, id, CAST(ord AS BIGINT) AS ord FROM dl")

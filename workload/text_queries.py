@@ -37,7 +37,7 @@ def _(t):
         return lambda x: x == i
 
     def words(x):
-        return F.size(F.split(x, " "))
+        return F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
 
     n = F.transform("g", words)
     return g.where(F.size("g") > 0).withColumn("n", n).select(

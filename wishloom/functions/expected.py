@@ -6,17 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-
-
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+from .text import strip
 
 
 def unquote(c: Column) -> Column:
     """Trim, then drop one pair of wrapping quotes."""
-    t = _trim(c)
+    t = strip(c)
     wrapped = t.rlike(r"""(?s)^"(.*)"$|^'(.*)'$""")
-    return F.when(wrapped & (F.length(t) > 1), _trim(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    return F.when(wrapped & (F.length(t) > 1), strip(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
 
 
 def parse_values(raw: Column) -> Column:
@@ -24,10 +21,10 @@ def parse_values(raw: Column) -> Column:
     def one(piece):
         at = F.locate(":", piece)
         return F.struct(
-            _trim(F.when(at > 0, F.substr(piece, F.lit(1), at - 1)).otherwise(piece)).alias("label"),
-            _trim(F.when(at > 0, F.substr(piece, at + 1)).otherwise(F.lit(""))).alias("value"))
+            strip(F.when(at > 0, F.substr(piece, F.lit(1), at - 1)).otherwise(piece)).alias("label"),
+            strip(F.when(at > 0, F.substr(piece, at + 1)).otherwise(F.lit(""))).alias("value"))
 
-    pieces = F.filter(F.transform(F.split(raw, r"\|"), _trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(raw, r"\|"), strip), lambda p: p != "")
     return F.filter(F.transform(pieces, one), lambda e: e["label"] != "")
 
 
@@ -43,9 +40,9 @@ def parse_preferences(raw: Column) -> Column:
     def one(piece):
         return F.struct(
             unquote(F.regexp_extract(piece, r"(?i)filter\s*:\s*([^;]+)(?:;|$)", 1)).alias("filter_label"),
-            parse_options(_trim(F.regexp_extract(piece, r"(?i)options\s*:\s*(.*)$", 1))).alias("options"))
+            parse_options(strip(F.regexp_extract(piece, r"(?i)options\s*:\s*(.*)$", 1))).alias("options"))
 
-    pieces = F.filter(F.transform(F.split(raw, r"\|"), _trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(raw, r"\|"), strip), lambda p: p != "")
     return F.filter(F.transform(pieces, one), lambda e: e["filter_label"] != "")
 
 

@@ -27,6 +27,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """Trim every kind of whitespace; the built-in trim removes only spaces."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_label(text: Column) -> Column:
     """Lower case, every run of non-word characters becomes one space."""
     return F.trim(F.regexp_replace(F.lower(text), f"[^{WORD}]+", " "))
@@ -76,7 +81,7 @@ def token_windows(token_array: Column, width: int) -> Column:
 def negation_phrases(text: Column) -> Column:
     """The phrase after each negation cue, in text order."""
     found = F.regexp_extract_all(text, F.lit(NEGATION), F.lit(2))
-    return F.transform(found, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    return F.transform(found, strip)
 
 
 def negation_matches(text: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_label, split_tokens
+from ..functions.text import normalize_label, split_tokens, strip
 from ..plans.scale import lookup_join
 
 
 def clean_list(values: Column) -> Column:
     """Trimmed, non-empty entries."""
-    return F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+    return F.filter(F.transform(values, strip), lambda v: v != "")
 
 
 def synonym_index(catalogue: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_label
+from ..functions.text import normalize_label, strip
 from ..operators.catalogue import clean_list, duplicate_options
 
 CATALOGUE_COLUMNS = ["filterId", "filterLabel", "optionId", "optionLabel"]
@@ -35,7 +35,7 @@ def require_columns(df: DataFrame, required: Iterable[str], what: str) -> DataFr
 
 
 def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.trim(F.col(name).cast("string")), F.lit(""))
+    return F.coalesce(strip(F.col(name).cast("string")), F.lit(""))
 
 
 def must_hold(name: str, what: str) -> Column:
@@ -216,4 +216,4 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     """Replay rows with a user input; column headers are trimmed."""
     raw = require_columns(csv_table(spark, path), REPLAY_COLUMNS, "Replay file")
     return raw.where(text_or_empty("User input") != "").select(
-        F.trim("User input").alias("user_input"), text_or_empty("Expected values").alias("expected_values"))
+        text_or_empty("User input").alias("user_input"), text_or_empty("Expected values").alias("expected_values"))

@@ -71,3 +71,75 @@ def _(t):
     return s.select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])
 
 
+
+
+# -- sources and sinks as round trips: written from a table, read back ---------
+
+
+def _written(t, name, df):
+    from wishloom.plans.scale import scratch_folder
+
+    path = scratch_folder(t.spark, name)
+    sk.write_csv(df, path, "overwrite")
+    return path
+
+
+@query("s1_catalogue_source", "SELECT p_brand AS filter_id, 'Brand \"' || p_brand || '\", all' AS filter_label, CAST(p_partkey AS VARCHAR) AS option_id, p_name AS option_label, p_name || ';' || lower(p_type) AS synonyms FROM part")
+def _(t):
+    raw = t.part.select(F.concat(F.lit(" "), "p_brand").alias("filterId"), F.concat(F.lit('Brand "'), "p_brand", F.lit('", all')).alias("filterName"),
+                        F.col("p_partkey").alias("optionId"), F.concat("p_name", F.lit(" ")).alias("optionName"),
+                        F.concat("p_name", F.lit("|\n |"), F.lower("p_type")).alias("synonyms"))
+    c = rd.read_catalogue(t.spark, _written(t, "catalogue", raw))
+    return c.select("filter_id", "filter_label", "option_id", "option_label", F.array_join("synonyms", ";").alias("synonyms"))
+
+
+@query("s3_utterance_source", "SELECT md5(trim(text, E' \\n\\t\\r')) AS utterance, 'f' || conv_id AS filter_id, CAST(turn AS VARCHAR) AS option_id FROM conversations")
+def _(t):
+    clean = F.regexp_replace("text", r"^\s+|\s+$", "")
+    raw = t.conversations.select(clean.alias("Utterance"), F.concat(F.lit(" f"), "conv_id").alias("filterId"), F.lit("").alias("filterName"),
+                                 F.concat("turn", F.lit(" ")).alias("optionId"), F.lit("x").alias("optionName"))
+    u = rd.read_utterances(t.spark, _written(t, "utterances", raw))
+    return u.select(F.md5("Utterance").alias("utterance"), F.col("filterId").alias("filter_id"), F.col("optionId").alias("option_id"))
+
+
+@query("s4_synonym_input", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS filter_id, p_name AS option_name FROM part")
+def _(t):
+    raw = t.part.select(F.col("p_partkey").alias("ID"), F.lit("Brand").alias("filterName"), F.concat("p_brand", F.lit(" ")).alias("filterId"),
+                        F.col("p_partkey").alias("optionId"), "p_name").withColumnRenamed("p_name", "optionName")
+    r = rd.read_synonym_input(t.spark, _written(t, "synonym-input", raw))
+    return r.select(F.col("ID").alias("id"), F.col("filterId").alias("filter_id"), F.col("optionName").alias("option_name"))
+
+
+@query("s13_replay_source", "SELECT o_orderpriority || '#' || o_orderkey AS user_input, 'To: \"' || o_custkey || '\"' AS expected_values FROM orders WHERE o_orderkey % 5 <> 0")
+def _(t):
+    k = F.col("o_orderkey")
+    raw = t.orders.select(F.when(k % 5 == 0, "  ").otherwise(F.concat("o_orderpriority", F.lit("#"), k)).alias("User input"),
+                          F.concat(F.lit('To: "'), "o_custkey", F.lit('"')).alias("Expected values"))
+    return rd.read_replay(t.spark, _written(t, "replay", raw))
+
+
+@query("s17_scored_dataset", "SELECT CAST(vec_id AS VARCHAR) AS utterance, 'o' || label AS option_id FROM embeddings")
+def _(t):
+    from .embedding_queries import scored
+
+    s = scored(t)
+    rows = s.select(F.col("vec_id").alias("Utterance"), F.lit("f").alias("filterId"), F.lit("F").alias("filterName"), F.col("target").alias("optionId"),
+                    F.col("target").alias("optionName"), F.col("target_score").alias("target_similarity"), F.col("top_option").alias("top_option_id"),
+                    F.col("top_option").alias("top_option_name"), F.col("top_score").alias("top_similarity"),
+                    F.col("best_non_target").alias("best_non_target_similarity"), (F.col("target_score") - F.col("best_non_target")).alias("similarity_gap"),
+                    "target_rank", (F.col("top_option") == F.col("target")).alias("is_target_top_match"))
+    from wishloom.plans.scale import scratch_folder
+
+    path = scratch_folder(t.spark, "scored")
+    sk.write_dataset(rows, path, sk.SCORED_COLUMNS)
+    u = rd.read_utterances(t.spark, path)
+    return u.select(F.col("Utterance").alias("utterance"), F.col("optionId").alias("option_id"))
+
+
+@query("s19_raw_operations", f"WITH {SQL_OPS} SELECT op_id, run_id, status FROM ops")
+def _(t):
+    from wishloom.plans.scale import scratch_folder
+
+    path = scratch_folder(t.spark, "operations")
+    sk.persist_operations(operations(t), path)
+    return t.spark.read.parquet(path).select("op_id", F.col("run_id").cast("long").alias("run_id"), "status")

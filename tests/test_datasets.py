@@ -9,7 +9,16 @@ from wishloom.operators import replay as rp
 def test_value_mismatches_literal(spark):
     df = spark.createDataFrame([(1, "From: Amsterdam | To: Spain | Duration: 7 nights")], "i long, raw string").withColumns({
         "expected": xp.parse_values(F.col("raw")), "actual": xp.parse_values(F.lit("From: Amsterdam | To: Italy | Duration: 10 nights"))})
-    assert sorted(r["label"] for r in rp.value_mismatches(df, "i", "actual", "expected").collect()) == ["Duration", "To"]
+    assert sorted(r["label"] for r in rp.value_mismatches(df, "actual", "expected").select(F.inline("mismatches")).collect()) == ["Duration", "To"]
+
+
+def test_preference_replay(spark):
+    rows = [(1, 'Filter: "Board"; Options: "Half Board"', "success"), (2, 'Filter: board; Options: half board, x', "success"),
+            (3, "", "success"), (4, 'Filter: "Board"; Options: "Half Board"', None)]
+    df = spark.createDataFrame(rows, "i int, raw string, status string").withColumn(
+        "actual", F.array(F.struct(F.lit("BOARD").alias("filter_label"), F.array(F.lit("half BOARD")).alias("options"))))
+    got = {r["i"]: (r["replay_status"], r["mismatch_count"]) for r in rp.replay(df, "actual", "raw", preferences=True).collect()}
+    assert got == {1: ("success", 0), 2: ("failed", 1), 3: ("success", 0), 4: ("error", 0)}
 
 
 def test_sanitise(spark):

@@ -69,7 +69,7 @@ def test_duration_substring_and_dates(spark):
 def test_messages(spark):
     df = spark.createDataFrame([("Departure date is required",), ("Destination 'X' is unavailable",), ("odd",), ("",)], "m string")
     got = [(r[0], r[1]) for r in df.select(ms.choose_prompt(F.array("m"))["parameter"], F.array_join(ms.invalid_fields(F.array("m")), ",")).collect()]
-    assert got == [("departureDate", ""), ("to", "to"), ("general", ""), (None, "")]
+    assert got == [("departureDate", ""), ("from", "to"), ("general", ""), (None, "")]
 
 
 def test_cascade_runs_each_row_once_per_method(spark):

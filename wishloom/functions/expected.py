@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import strip
+from .text import bind, strip
 
 
 def unquote(c: Column) -> Column:
     """Trim, then drop one pair of wrapping quotes."""
-    t = strip(c)
-    wrapped = t.rlike(r"""(?s)^"(.*)"$|^'(.*)'$""")
-    return F.when(wrapped & (F.length(t) > 1), strip(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    def inner(t):
+        wrapped = t.rlike(r"""(?s)^"(.*)"$|^'(.*)'$""")
+        return F.when(wrapped & (F.length(t) > 1), strip(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    return bind(strip(c), inner)
 
 
 def parse_values(raw: Column) -> Column:
@@ -30,9 +32,11 @@ def parse_values(raw: Column) -> Column:
 
 def parse_options(raw: Column) -> Column:
     """A quoted list wins over a comma list."""
-    quoted = F.regexp_extract_all(raw, F.lit('"([^"]*)"'), F.lit(1))
-    listed = F.when(F.size(quoted) > 0, quoted).otherwise(F.split(raw, ","))
-    return F.filter(F.transform(listed, unquote), lambda v: v != "")
+    def listed(text):
+        quoted = F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1))
+        return F.when(text.rlike('"[^"]*"'), quoted).otherwise(F.split(text, ","))
+
+    return F.filter(F.transform(bind(raw, listed), unquote), lambda v: v != "")
 
 
 def parse_preferences(raw: Column) -> Column:

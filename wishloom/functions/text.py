@@ -37,8 +37,13 @@ def normalize_label(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), f"[^{WORD}]+", " "))
 
 
+def has_words(text: Column) -> Column:
+    """Whether anything would be left after normalising; stops at the first word character."""
+    return text.rlike(f"[{WORD}]")
+
+
 def label_error(text: Column) -> Column:
-    return F.when(normalize_label(text) == "", F.lit("Normalized label must not be empty"))
+    return F.when(~has_words(text), F.lit("Normalized label must not be empty"))
 
 
 def split_tokens(normalized: Column) -> Column:

@@ -99,15 +99,15 @@ def peak_concurrency(spans: DataFrame, start: str, end: str, by: Sequence[str] =
     """Most spans open at once; a span is open on [start, end).
 
     Changes are summed per instant before anything is ordered, then a blocked
-    running sum walks the instants month by month.
+    running sum walks the instants hour by hour.
     """
     by = list(by)
     change = F.explode(F.array(
         F.struct(F.col(start).cast("timestamp").alias("at"), F.lit(1).alias("d")),
         F.struct(F.col(end).cast("timestamp").alias("at"), F.lit(-1).alias("d"))))
     steps = spans.select(*by, change.alias("e")).groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    month = F.year("at") * 12 + F.month("at")
-    walked = running(steps, by, ["at"], month, sums={"open": F.col("d")})
+    hour = F.floor(F.unix_seconds("at") / 3600)
+    walked = running(steps, by, ["at"], hour, sums={"open": F.col("d")})
     return walked.groupBy(*by).agg(F.max("open").alias("peak_concurrency"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
-from ..plans.scale import lookup_join
+from ..plans.scale import lookup_join, unnest
 
 MONTH = ("(?:January|February|March|April|May|June|July|August|September|October|November|December"
          "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)")
@@ -62,8 +62,7 @@ def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_
 
 def match_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_id", **options) -> DataFrame:
     """locate_entities as one row per (request, entity): key, id, ord and carried columns."""
-    found = locate_entities(requests, lookup, key, **options).select(key, F.explode("found").alias("_f"))
-    return found.select(key, "_f.*").drop("_name")
+    return unnest(locate_entities(requests, lookup, key, **options), "found", key).drop("_name")
 
 
 def first_contained(text: Column, pairs: list[tuple[str, str]]) -> Column:

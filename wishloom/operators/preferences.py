@@ -95,7 +95,7 @@ def map_by_meaning(
     threshold: float = SEMANTIC_THRESHOLD, top_k: int = SEMANTIC_TOP_K, penalty: float = NEGATION_PENALTY,
 ) -> DataFrame:
     """Embedding mapper; `catalogue` carries option_ord and a `centroid` column."""
-    usable = texts.where(tx.normalize_label(tx.rewrite_negations(F.col(text))) != "")
+    usable = texts.where(tx.has_words(tx.rewrite_negations(F.col(text))))
     wide = catalogue.withColumn("option_key", F.concat_ws("\u0001", "filter_id", "option_id"))
     kept = keep_or_top_k(usable, wide, key, threshold, top_k, vector=vector, option="option_key")
     names = wide.select(F.col("option_key").alias("option_id_"), "filter_id", "option_id")
@@ -147,7 +147,7 @@ def run_preferences(
         F.count(F.lit(1)).alias("n_options"), F.count_if("selected").alias("n_selected"))
     status = (
         F.when(F.col("language_error").isNotNull(), "error")
-        .when(tx.normalize_label(tx.rewrite_negations(F.col(text))) == "", "invalid-catalogue")
+        .when(~tx.has_words(tx.rewrite_negations(F.col(text))), "invalid-catalogue")
         .when(F.coalesce("n_options", F.lit(0)) > 0, "success")
         .otherwise("no-preferences-detected")
     )

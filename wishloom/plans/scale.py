@@ -47,6 +47,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def unnest(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Fields of a computed array of structs, one row per element.
+
+    A plain explode of a column makes the optimizer infer a size filter and
+    push it below every projection, which computes the array a second time
+    with nothing shared. The outer form infers none.
+    """
+    return df.select(*keep, F.explode_outer(column).alias("_u")).where("_u is not null").select(*keep, "_u.*")
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when df has at most max_rows rows; stops reading right after."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -118,8 +128,8 @@ def running(
 
 
 def value_bucket(value: Column) -> Column:
-    """Monotone coarse bucket of a number: 32 per power of two."""
-    return F.signum(value) * F.floor(F.log2(F.abs(value) + 1.0) * 32)
+    """Monotone coarse bucket of a number: 256 per power of two."""
+    return F.signum(value) * F.floor(F.log2(F.abs(value) + 1.0) * 256)
 
 
 def exact_percentiles(

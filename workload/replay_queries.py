@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wishloom.functions import expected as xp
 from wishloom.operators import replay as rp
+from wishloom.plans.scale import unnest
 
 from .frames import SQL_DURATIONS
 from .registry import query
@@ -105,13 +106,13 @@ mm AS (SELECT request_id, 'From' AS label, 'AMS' AS expected, f AS actual FROM v
 @query("j7_value_mismatches", f"WITH {MISMATCH} SELECT * FROM mm")
 def _(t):
     rows = value_runs(t).withColumn("expected", xp.parse_values(F.col("raw")))
-    return rp.value_mismatches(rows, "request_id", "actual", "expected")
+    return unnest(rp.value_mismatches(rows, "actual", "expected"), "mismatches", "request_id")
 
 
 @query("x1_replay", f"""WITH {MISMATCH}, c AS (SELECT request_id, count(*) AS n FROM mm GROUP BY 1)
 SELECT o_orderkey AS request_id, coalesce(n, 0) AS mismatch_count, CASE WHEN o_orderkey % 11 = 0 THEN 'error' WHEN n > 0 THEN 'failed' WHEN o_orderkey % 13 = 0 THEN 'failed' ELSE 'success' END AS replay_status FROM orders LEFT JOIN c ON request_id = o_orderkey""")
 def _(t):
-    return rp.replay(value_runs(t), "request_id", "actual", "raw").select("request_id", "mismatch_count", "replay_status")
+    return rp.replay(value_runs(t), "actual", "raw").select("request_id", "mismatch_count", "replay_status")
 
 
 @query("j8_preference_mismatches", """WITH b AS (SELECT o_orderkey AS request_id, o_orderkey AS k, o_custkey AS c FROM orders),
@@ -127,4 +128,4 @@ def _(t):
     mine = F.array(f("board", "Half, Board", "B0"), f("Board ", "b0", ""))
     actual = F.when(F.col("o_custkey") % 2 == 0, F.concat(mine, F.array(f("Spa", "x")))).otherwise(mine)
     rows = preference_text(t).withColumns({"actual": actual, "expected": xp.parse_preferences(F.col("raw"))})
-    return rp.preference_mismatches(rows, "request_id", "actual", "expected")
+    return unnest(rp.preference_mismatches(rows, "actual", "expected"), "mismatches", "request_id")

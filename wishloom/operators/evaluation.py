@@ -139,7 +139,7 @@ def considered(ms: Column, limit: float = fv.OUTLIER_MS) -> Column:
 def bootstrap_interval(
     df: DataFrame, value: str, threshold: float, by: Sequence[str] = (), alpha: float = fv.ALPHA,
     iterations: int = fv.BOOTSTRAP_ITERATIONS, seed: int = fv.BOOTSTRAP_SEED,
-    draw_limit: int = BOOTSTRAP_DRAW_LIMIT,
+    draw_limit: int = BOOTSTRAP_DRAW_LIMIT, weight: str | None = None,
 ) -> DataFrame:
     """Bootstrap interval of P95 - threshold per group.
 
@@ -147,11 +147,12 @@ def bootstrap_interval(
     ranks. A larger group uses the order statistics of the resample instead:
     the k-th smallest of n uniform draws is Beta(k, n+1-k) and the next one
     follows it by 1-(1-u)^(1/(n-k)), so two draws replace n and the
-    distribution is the same. `method` says which one ran.
+    distribution is the same. `method` says which one ran. `weight` names a
+    column of counts for values that are already counted.
     """
     by = list(by)
     values = settle(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
-                    .agg(F.count(F.lit(1)).alias("_c")))
+                    .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")))
     sizes = values.groupBy(*by).agg(F.sum("_c").alias("_n"))
     small, large = sizes.where(F.col("_n") <= draw_limit), sizes.where(F.col("_n") > draw_limit)
     parts = [_by_draws(values, small, by, iterations, seed)]
@@ -337,10 +338,12 @@ def replay_report(ops: DataFrame, by: Sequence[str] = (), failed: Column | None
         F.count(F.lit(1)).alias("request_count"), F.count_if("_failed").alias("mismatch_count"),
         F.count("_ms").alias("considered_count"), F.avg("_ms").alias("mean_response_ms"))
         .withColumn("success_count", F.col("request_count") - F.col("mismatch_count")))
-    p95 = exact_percentiles(kept, "_ms", {"p95_ms": 0.95}, keys).drop("n")
+    # percentiles and resamples share one count of the values
+    counted = settle(kept.where("_ms is not null").groupBy(*keys, "_ms").agg(F.count(F.lit(1)).alias("_w")))
+    p95 = exact_percentiles(counted, "_ms", {"p95_ms": 0.95}, keys, "_w").drop("n")
     test = binomial_test(base, "success_count", "request_count", target, keys, alpha, minimum).select(
         *keys, "p_value", F.col("inference").alias("accuracy_inference"))
-    interval = bootstrap_interval(kept, "_ms", threshold, keys, alpha, iterations).select(
+    interval = bootstrap_interval(counted, "_ms", threshold, keys, alpha, iterations, weight="_w").select(
         *keys, "delta_low", "delta_high", F.col("inference").alias("_p95_inference"))
     out = base.join(p95, keys, "left").join(test, keys).join(interval, keys, "left")
     enough = F.col("request_count") >= minimum

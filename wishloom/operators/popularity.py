@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scale import settle
+
 TOP_N = 5
 
 
@@ -29,6 +31,8 @@ def summarize(counts: DataFrame, keys: Sequence[str], top_n: int = TOP_N) -> Dat
     with very many distinct values sends at most top_n rows per task.
     """
     keys = list(keys)
+    # both uses below would otherwise scan the bookings again
+    counts = settle(counts)
     ranked = counts.withColumn("rank", F.row_number().over(
         Window.partitionBy(*keys).orderBy(F.desc("count"), "first_seen", "value"))).where(F.col("rank") <= top_n)
     totals = counts.groupBy(*keys).agg(

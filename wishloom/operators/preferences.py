@@ -16,15 +16,14 @@ from .catalogue import synonym_index
 from .similarity import keep_or_top_k
 
 
-def synonym_hits(
+def synonym_matches(
     texts: DataFrame, synonyms: DataFrame, key: str, text: str = "text", max_ngram: int = 3
 ) -> DataFrame:
-    """(key, synonym, hits): how often each indexed n-gram occurs in each text.
+    """(key, synonym): one row per occurrence of an indexed n-gram.
 
     One short row per token is joined on the token that opens a synonym; the
-    remaining words are compared in the join. Counts are combined map-side, so
-    neither a stop word nor a long text moves more than its distinct hits.
-    Synonyms longer than max_ngram can never match and are left out.
+    remaining words are compared in the join. Synonyms longer than max_ngram
+    can never match and are left out.
     """
     words = F.split("synonym", " ")
     opening = (
@@ -39,7 +38,14 @@ def synonym_hits(
     rest = F.lit(True)
     for i in range(1, max_ngram):
         rest = rest & (F.col(f"s{i}").isNull() | F.coalesce(F.col(f"s{i}") == F.col(f"w{i}"), F.lit(False)))
-    return candidates.where(rest).groupBy(key, "synonym").agg(F.count(F.lit(1)).alias("hits"))
+    return candidates.where(rest).select(key, "synonym")
+
+
+def synonym_hits(texts: DataFrame, synonyms: DataFrame, key: str, text: str = "text", max_ngram: int = 3) -> DataFrame:
+    """(key, synonym, hits). Counts combine map-side, so neither a stop word nor
+    a long text moves more than its distinct hits."""
+    return synonym_matches(texts, synonyms, key, text, max_ngram).groupBy(key, "synonym").agg(
+        F.count(F.lit(1)).alias("hits"))
 
 
 def negation_marks(texts: DataFrame, synonyms: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -69,8 +75,8 @@ def map_by_rules(
     """One row per (text, option) with hits, confidence, blocked and selected."""
     index = synonym_index(catalogue)
     rewritten = texts.select(key, tx.rewrite_negations(F.col(text)).alias("_text"))
-    hits = synonym_hits(rewritten, index, key, "_text").withColumns(
-        {"blocked": F.lit(0), "negated": F.lit(0)})
+    hits = synonym_matches(rewritten, index, key, "_text").withColumns(
+        {"hits": F.lit(1).cast("long"), "blocked": F.lit(0), "negated": F.lit(0)})
     marks = negation_marks(texts, index, key, text).withColumn("hits", F.lit(0).cast("long"))
     per_synonym = (
         hits.unionByName(marks).groupBy(key, "synonym")

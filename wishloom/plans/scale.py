@@ -137,19 +137,21 @@ def exact_percentiles(
     value: str,
     points: dict[str, float | Callable[[Column], Column]],
     by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, distributed.
 
     The built-in `percentile` keeps every distinct value of a group in one
     task. Here values are counted first, counts are summed per coarse bucket,
     and only the buckets that hold a wanted rank are ordered. A point is a
-    fraction or a function of the group size. Returns by + n + points.
+    fraction or a function of the group size. `weight` names a column of
+    counts for values that are already counted. Returns by + n + points.
     """
     by = list(by)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
     group = Window.partitionBy(*by)

@@ -162,12 +162,12 @@ def _(t):
     return nm.departure_window(flexed(t), None).select("request_id", F.array_join("departure_dates", ",").alias("dates"))
 
 
-@query("j3_calendar_range", f"{WINDOW} SELECT b AS base_date, n AS days, lo AS first_day, hi AS last_day FROM win")
+@query("j3_calendar_range", f"{WINDOW} SELECT CAST(b AS VARCHAR) AS base_date, n AS days, CAST(lo AS VARCHAR) AS first_day, CAST(hi AS VARCHAR) AS last_day FROM win")
 def _(t):
     w = nm.departure_window(flexed(t), settle(calendar(t))).where(F.size("departure_dates") > 0)
     days = F.when(F.col("flex_id") == "14", 14).when(F.col("flex_id").isin("0", "any"), 0).otherwise(3)
-    return w.select("base_date", days.alias("days"), F.to_date(F.element_at("departure_dates", 1)).alias("first_day"),
-                    F.to_date(F.element_at("departure_dates", -1)).alias("last_day")).distinct()
+    return w.select(F.date_format("base_date", "yyyy-MM-dd").alias("base_date"), days.alias("days"),
+                    F.element_at("departure_dates", 1).alias("first_day"), F.element_at("departure_dates", -1).alias("last_day")).distinct()
 
 
 @query("j4_calendar_semi_anti", f"""WITH {SQL_CALENDAR} SELECT o_orderkey AS request_id, CASE WHEN CAST(o_orderdate AS DATE) NOT IN (SELECT d FROM cal) THEN strftime(o_orderdate, '%Y-%m-%d') END AS off_calendar FROM orders""")
@@ -343,11 +343,11 @@ def _(t):
     return ct.duplicate_entities(t.nation.select(F.col("n_regionkey").cast("string").alias("id"), F.substring("n_name", 1, 8).alias("name")))
 
 
-@query("s7_calendar", "SELECT DISTINCT strftime(o_orderdate, '%d-%m-%Y') AS shown, CAST(o_orderdate AS DATE) AS d FROM orders")
+@query("s7_calendar", "SELECT DISTINCT strftime(o_orderdate, '%d-%m-%Y') AS shown, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
 def _(t):
     from wishloom.sources.readers import parse_calendar
 
-    return parse_calendar(t.orders.select(F.date_format("o_orderdate", "dd-MM-yyyy").alias("date")).distinct()).where("d is not null").select(F.col("date").alias("shown"), "d")
+    return parse_calendar(t.orders.select(F.date_format("o_orderdate", "dd-MM-yyyy").alias("date")).distinct()).where("d is not null").select(F.col("date").alias("shown"), F.date_format("d", "yyyy-MM-dd").alias("d"))
 
 
 @query("s8_alias_check", f"""WITH {SQL_ALIAS}, ok AS (SELECT * FROM entries WHERE target_id LIKE 'R%'), cf AS (SELECT lang, alias FROM ok GROUP BY 1, 2 HAVING count(DISTINCT target_id) > 1)

@@ -12,7 +12,7 @@ from .frames import SQL_OPS, operations
 from .registry import query
 
 
-@query("s5_booking_types", """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 13 END AS duration, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 4 END AS adults,
+@query("s5_booking_types", """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 13 ELSE -1 END AS duration, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 4 END AS adults,
  CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_date, trim(o_orderpriority) AS airport, 'A,B c,' || o_custkey % 5 AS destinations FROM orders""")
 def _(t):
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
@@ -23,7 +23,7 @@ def _(t):
         F.when(k % 3 == 0, "x").otherwise((F.col("o_custkey") % 4).cast("string")).alias("adults"), F.lit("1").alias("children"), F.lit("").alias("infants"),
         date.alias("startDepartureDate"), F.lit("").alias("endDepartureDate"), F.concat("o_orderpriority", F.lit(" ")).alias("from"),
         F.concat(F.lit("A, B\nc,, "), F.col("o_custkey") % 5).alias("to"))
-    return rd.type_bookings(raw).select("ord", "duration", "adults", "start_date", "airport", F.array_join("destinations", ",").alias("destinations"))
+    return rd.type_bookings(raw).select("ord", F.coalesce("duration", F.lit(-1)).alias("duration"), "adults", "start_date", "airport", F.array_join("destinations", ",").alias("destinations"))
 
 
 @query("s9_request_batch", """SELECT conv_id, turn, 0 AS pos, md5(trim(text)) AS text, 'holiday' AS mode, CASE WHEN trim(text) = '' THEN 'Batch entries provided as strings must be non-empty' END AS request_error FROM conversations

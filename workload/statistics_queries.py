@@ -47,11 +47,11 @@ def _(t):
 
 
 @query("a10_job_totals", f"""WITH {SQL_OPS}, g AS (SELECT run_id, {COUNTS}, round(sum(total_ms), 4) AS processing_ms, min(ts) AS started_at, max(ts) AS finished_at FROM ops GROUP BY 1)
-SELECT *, (epoch_us(finished_at) - epoch_us(started_at)) / 1000 AS duration_ms, CASE WHEN error_count > 0 THEN 'error' WHEN failed_count > 0 THEN 'partial' ELSE 'success' END AS status FROM g""")
+SELECT * EXCLUDE (started_at, finished_at), epoch_us(started_at) AS started_us, epoch_us(finished_at) AS finished_us, (epoch_us(finished_at) - epoch_us(started_at)) / 1000 AS duration_ms, CASE WHEN error_count > 0 THEN 'error' WHEN failed_count > 0 THEN 'partial' ELSE 'success' END AS status FROM g""")
 def _(t):
     j = ev.job_totals(operations(t), ["run_id"])
-    return j.withColumn("processing_ms", F.round("processing_ms", 4)).withColumns(
-        {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "finished_at")})
+    micros = {f"{c}_us": F.unix_micros(F.col(f"{c}_at").cast("timestamp")) for c in ("started", "finished")}
+    return j.withColumn("processing_ms", F.round("processing_ms", 4)).withColumns(micros).drop("started_at", "finished_at")
 
 
 @query("a11_retry_accounting", """

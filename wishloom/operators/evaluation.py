@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.mathx import log_choose
-from ..plans.scale import exact_percentiles, running, settle, value_bucket
+from ..plans.scale import exact_percentiles, lookup_join, running, settle, value_bucket
 
 BOOTSTRAP_DRAW_LIMIT = 10_000
 
@@ -181,17 +181,21 @@ def _ranked(values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _by_draws(values, sizes, by, iterations, seed):
-    ranks = _ranked(values, by).select(*by, "_v", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_r"))
-    own = ranks.join(F.broadcast(sizes), by) if by else ranks.withColumn("_k", F.lit(1)).join(
-        F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    # at most draw_limit ranks per group
+    if by:
+        kept = values.join(sizes, by, "left_semi")
+    else:
+        kept = values if not sizes.isEmpty() else values.where(F.lit(False))
+    ranks = settle(_ranked(kept, by).select(*by, "_v", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_r")))
     grid = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_b"))
-    grid = grid.repartition("_b").select(*by, "_n", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
-    picks = grid.withColumn("_r", draw_rank(seed, F.col("_b"), F.col("_i"), F.col("_n"))).groupBy(
-        *by, "_n", "_b", "_r").agg(F.count(F.lit(1)).alias("_m"))
-    # each group holds at most draw_limit values, so the percentile state is bounded
-    joined = picks.join(own.drop("_n"), by + ["_r"])
-    return joined.groupBy(*by, "_n", "_b").agg(
-        F.percentile("_v", F.lit(0.95), F.col("_m")).alias("p95")).withColumn("method", F.lit("draws"))
+    # a fixed number of partitions, because the grid is tiny until it is exploded
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    draws = grid.repartition(cores, *by, "_b").select(
+        *by, "_n", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+    picks = draws.withColumn("_r", draw_rank(seed, F.col("_b"), F.col("_i"), F.col("_n")))
+    # each resample holds at most draw_limit values, so the percentile state is bounded
+    return lookup_join(picks, ranks, by + ["_r"]).groupBy(*by, "_n", "_b").agg(
+        F.percentile("_v", F.lit(0.95)).alias("p95")).withColumn("method", F.lit("draws"))
 
 
 def _by_order_statistics(values, sizes, by, iterations, seed):

@@ -200,7 +200,6 @@ def _by_draws(values, sizes, by, iterations, seed):
 
 def _by_order_statistics(values, sizes, by, iterations, seed):
     import numpy as np
-    import pandas as pd
 
     grid = sizes.select(F.xxhash64(*by).alias("_g") if by else F.lit(0).cast("long").alias("_g"), *by, "_n",
                         F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_b"))

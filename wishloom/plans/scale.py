@@ -1,7 +1,7 @@
 """Plan building blocks that stay safe when one key holds most of the rows.
 
-`settle` cuts lineage with a reliable checkpoint so a derived reference table
-is computed once. `lookup_join` broadcasts the reference side only after its
+`settle` cuts lineage with a reliable checkpoint so a derived lookup table
+is computed once. `lookup_join` broadcasts the lookup side only after its
 row count has been checked, and salts the join otherwise. `running` and
 `exact_percentiles` replace one-task windows and one-task value maps.
 """

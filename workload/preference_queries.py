@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wishloom.functions import text as tx
 from wishloom.operators import catalogue as ct
 from wishloom.operators import preferences as pf
 from wishloom.plans.scale import settle

@@ -19,7 +19,6 @@ from .registry import query
 
 LANGS = ["en", "nl", "fr"]
 DUTCH = {"nl": [("7 nachten", "7 nights")]}
-NONE = F.array  # typed empty arrays are cast where used
 
 SQL_EXTRACT = f"""
 {SQL_REQUESTS}, {SQL_DURATIONS}, {SQL_FLEX},

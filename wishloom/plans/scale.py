@@ -20,10 +20,14 @@ SALT = 32
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="wishloom-ckpt-"))
+    """Use the folder the session names; make a local one only for a local master."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wishloom-ckpt-"))
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

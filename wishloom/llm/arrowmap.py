@@ -10,6 +10,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+PIECE_BYTES = 8_000_000
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in consecutive pieces of about PIECE_BYTES, at least a row each."""
+    if batch.num_rows:
+        step = max(1, int(batch.num_rows * PIECE_BYTES / max(batch.nbytes, 1)))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+
+
 def append(df: DataFrame, reads: list[str], keep: list[str] | None, fields: str,
            work: Callable[..., list]) -> DataFrame:
     """Kept columns of df plus the fields that `work` makes of the columns read.
@@ -27,9 +38,7 @@ def append(df: DataFrame, reads: list[str], keep: list[str] | None, fields: str,
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             made = work(*batch.columns[len(kept):])
             arrays = [a if isinstance(a, pa.Array) and a.type == t else
                       a.cast(t) if isinstance(a, pa.Array) else pa.array(a, type=t, from_pandas=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import decontaminate, url_filter
+from wishloom.llm import byte_bpe, decontaminate, url_filter
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -59,3 +59,26 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def tokenizer() -> tuple[list[bytes], str]:
+    """Pieces and pattern of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def bpe_digests(documents: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
+    pieces, pattern = tokenizer()
+    book = byte_bpe.dictionary(documents, pieces, pattern)
+    coded = byte_bpe.encode(documents, book, keep=["doc_id"])
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode(F.col("ids"), pieces), 256).alias("decoded_sha256"))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_digests(table(spark, folder, "documents"))

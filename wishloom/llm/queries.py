@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import byte_bpe, decontaminate, url_filter
+from wishloom.llm import byte_bpe, decontaminate, language_id, quality, url_filter
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -82,3 +82,21 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_digests(table(spark, folder, "documents"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select(
+        "doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"))
+    models = language_id.train(documents.where("not held_out"))
+    return language_id.predict(documents, models, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"))
+    measured = quality.settle_features(documents, ["doc_id", "held_out"])
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    model = quality.fit(measured.where("not held_out").join(labels, "doc_id"))
+    return quality.score(measured, model, ["doc_id", "held_out"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import byte_bpe, decontaminate, language_id, quality, url_filter
+from wishloom.llm import byte_bpe, decontaminate, language_id, line_templates, quality, url_filter
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -100,3 +100,34 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     model = quality.fit(measured.where("not held_out").join(labels, "doc_id"))
     return quality.score(measured, model, ["doc_id", "held_out"])
+
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line, CASE WHEN i > 1 THEN ls[i - 1] END AS prev, ls[i + 1] AS next
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+w AS (SELECT doc_id, pos, coalesce(prev, chr(10)) AS prev, coalesce(next, chr(10)) AS next, list_transform(
+  regexp_extract_all(line, '[^\x09-\x0D ]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ws FROM l),
+k AS (SELECT doc_id, pos, prev, next, ws, len(ws) AS n, ws[1] AS w1, ws[2] AS w2, array_to_string(ws, ' ') AS line FROM w WHERE len(ws) >= 3),
+leaf AS (SELECT n, w1, w2 FROM (SELECT DISTINCT n, w1, w2, prev, next FROM k) GROUP BY ALL HAVING count(*) >= 5),
+c AS (SELECT k.* FROM k JOIN leaf USING (n, w1, w2)),
+t AS (SELECT n, w1, w2, line, prev, next, i, ws[i] AS word FROM (SELECT n, w1, w2, line, prev, next, ws, unnest(range(1, n + 1)) AS i FROM c)),
+con AS (SELECT n, w1, w2, i, word, true AS constant FROM (SELECT DISTINCT n, w1, w2, i, word, prev, next FROM t WHERE word <> '<*>')
+  GROUP BY n, w1, w2, i, word HAVING count(*) >= 5),
+tem AS (SELECT n, w1, w2, line, string_agg(CASE WHEN constant THEN word ELSE '<*>' END, ' ' ORDER BY i) AS template
+  FROM (SELECT DISTINCT n, w1, w2, line, i, word FROM t) LEFT JOIN con USING (n, w1, w2, i, word)
+  GROUP BY n, w1, w2, line HAVING count(constant) >= ceil(n * 0.8)),
+good AS (SELECT n, w1, w2, template FROM (SELECT DISTINCT n, w1, w2, template, prev, next FROM c JOIN tem USING (n, w1, w2, line))
+  GROUP BY ALL HAVING count(*) >= 5),
+gone AS (SELECT DISTINCT doc_id, pos FROM c JOIN tem USING (n, w1, w2, line) JOIN good USING (n, w1, w2, template)),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_line_templates", OP9_SQL)
+def op9_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_templates.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import byte_bpe, decontaminate, language_id, line_templates, quality, url_filter
+from wishloom.llm import byte_bpe, decontaminate, kd_shards, language_id, line_templates, quality, url_filter
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -131,3 +131,11 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 def op9_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_templates.dedup(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_kd_shards")
+def op3_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    placed = kd_shards.assign(documents, kd_shards.metadata(F.col("text")), shards=24, keep=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import byte_bpe, decontaminate, kd_shards, language_id, line_templates, quality, url_filter
+from wishloom.llm import byte_bpe, decontaminate, kd_shards, language_id, line_templates, quality, repeats, url_filter
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -139,3 +139,11 @@ def op3_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = kd_shards.assign(documents, kd_shards.metadata(F.col("text")), shards=24, keep=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_repeats")
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = repeats.find(documents, length=400, keep="none")
+    return repeats.remove(documents, found, keep=["doc_id"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -70,26 +70,27 @@ def recurring(documents: DataFrame, key: str = "doc_id", text: str = "text", lea
     lines = _lines(documents, key, text, lead, min_words)
     leaves = settle(_contexts(lines, "leaf").where(F.col("contexts") >= min_contexts).select("leaf"))
     inside = settle(lines.join(measured(leaves, 40), "leaf", "left_semi").select(
-        "doc", "h", "pos", "leaf", "context", F.array_join(F.transform("words", _masked), " ").alias("line")))
-    seen = inside.select("leaf", "line", "context").distinct()
-    word_rows = unnest(seen.withColumn("ws", F.transform(F.split("line", " "), lambda w, i: F.struct(i.alias("i"), w.alias("word")))),
-                       "ws", "leaf", "line", "context")
-    constants = _contexts(word_rows.where(F.col("word") != VARIABLE), "leaf", "i", "word").where(
-        F.col("contexts") >= min_contexts).select("leaf", "i", "word", F.lit(True).alias("constant"))
-    templates = (
-        word_rows.select("leaf", "line", "i", "word").distinct()
+        "doc", "h", "pos", "leaf", "context", F.array_join(F.transform("words", _masked), " ").alias("line"))
+        .withColumn("id", F.xxhash64("line")))
+    numbered = F.transform(F.split("line", " "), lambda w, i: F.struct(i.alias("i"), w.alias("word")))
+    standing = unnest(inside.select("leaf", "context", numbered.alias("ws")), "ws", "leaf", "context").where(F.col("word") != VARIABLE)
+    constants = _contexts(standing, "leaf", "i", "word").where(F.col("contexts") >= min_contexts).select(
+        "leaf", "i", "word", F.lit(True).alias("constant"))
+    distinct = inside.groupBy("leaf", "id").agg(F.min("line").alias("line"))
+    templates = settle(
+        unnest(distinct.select("leaf", "id", numbered.alias("ws")), "ws", "leaf", "id")
         .join(constants, ["leaf", "i", "word"], "left")
-        .groupBy("leaf", "line").agg(
+        .groupBy("leaf", "id").agg(
             F.count("constant").alias("constants"), F.count(F.lit(1)).alias("n"),
             F.array_sort(F.collect_list(F.struct("i", F.when(F.col("constant"), F.col("word")).otherwise(F.lit(VARIABLE)).alias("part")))).alias("parts"))
         .where(F.col("constants") >= F.ceil(F.col("n") * similarity))
-        .select("leaf", "line", F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("template"))
+        .select("leaf", "id", F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("template"))
+        .withColumn("of", F.xxhash64("template"))
     )
-    templates = settle(templates)
-    known = seen.join(templates, ["leaf", "line"])
-    dropped = settle(_contexts(known, "leaf", "template").where(F.col("contexts") >= min_contexts)
-                     .join(templates, ["leaf", "template"]).select("leaf", "line", "template"))
-    return inside.join(measured(dropped, 60 + 2 * F.octet_length("line")), ["leaf", "line"]).select("doc", "h", "pos", "template")
+    known = inside.select("leaf", "id", "context").join(templates.select("leaf", "id", "of"), ["leaf", "id"])
+    dropped = settle(templates.join(_contexts(known, "leaf", "of").where(F.col("contexts") >= min_contexts), ["leaf", "of"]).select(
+        "leaf", "id", "template"))
+    return inside.join(measured(dropped, 60 + F.octet_length("template")), ["leaf", "id"]).select("doc", "h", "pos", "template")
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from wishloom.llm.arrowmap import append
 from wishloom.llm.blobs import mapped, put
-from wishloom.plans.scale import scratch_folder
+from wishloom.llm.sizes import measured
+from wishloom.plans.scale import scratch_folder, settle
 
 LANE = 128
 CODES = 0x110000
@@ -98,9 +99,9 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     folder = scratch_folder(labelled.sparkSession, "languages")
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key")).where(
         "lang is not null and key is not null")
-    counts = rows.groupBy("lang").count()
+    counts = settle(rows.groupBy("lang").count())
     share = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.join(counts, "lang").where(share * F.col("count") < sample_documents).select("lang", "key", "text")
+    sample = rows.join(measured(counts, 40 + F.octet_length("lang")), "lang").where(share * F.col("count") < sample_documents).select("lang", "key", "text")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         name = group["lang"].iloc[0]

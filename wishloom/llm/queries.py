@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import byte_bpe, decontaminate, kd_shards, language_id, line_templates, quality, repeats, url_filter
+from wishloom.llm import byte_bpe, decontaminate, graph_ann, kd_shards, language_id, line_templates, quality, repeats, url_filter
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -147,3 +147,9 @@ def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.find(documents, length=400, keep="none")
     return repeats.remove(documents, found, keep=["doc_id"]).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_graph_ann")
+def op2_graph_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return graph_ann.search(vectors.where("vec_id % 20 = 0"), graph_ann.index(vectors, k=20))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import byte_bpe, decontaminate, graph_ann, kd_shards, language_id, line_templates, quality, repeats, url_filter
+from wishloom.llm import byte_bpe, decontaminate, graph_ann, jaccard_join, kd_shards, language_id, line_templates, quality, repeats, url_filter
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -153,3 +153,8 @@ def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def op2_graph_ann(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return graph_ann.search(vectors.where("vec_id % 20 = 0"), graph_ann.index(vectors, k=20))
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents").select("doc_id", "text"))

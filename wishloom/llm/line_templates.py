@@ -72,22 +72,22 @@ def recurring(documents: DataFrame, key: str = "doc_id", text: str = "text", lea
     inside = settle(lines.join(measured(leaves, 40), "leaf", "left_semi").select(
         "doc", "h", "pos", "leaf", "context", F.array_join(F.transform("words", _masked), " ").alias("line"))
         .withColumn("id", F.xxhash64("line")))
-    numbered = F.transform(F.split("line", " "), lambda w, i: F.struct(i.alias("i"), w.alias("word")))
-    standing = unnest(inside.select("leaf", "context", numbered.alias("ws")), "ws", "leaf", "context").where(F.col("word") != VARIABLE)
-    constants = _contexts(standing, "leaf", "i", "word").where(F.col("contexts") >= min_contexts).select(
-        "leaf", "i", "word", F.lit(True).alias("constant"))
+    standing = F.transform(F.split("line", " "), lambda w, i: F.struct(
+        i.alias("i"), w.alias("word"), F.xxhash64(F.col("leaf"), i, w).alias("place")))
+    places = unnest(inside.select("context", standing.alias("ws")), "ws", "context").where(F.col("word") != VARIABLE)
+    constants = settle(_contexts(places, "place").where(F.col("contexts") >= min_contexts).select("place", F.lit(True).alias("constant")))
     distinct = inside.groupBy("leaf", "id").agg(F.min("line").alias("line"))
     templates = settle(
-        unnest(distinct.select("leaf", "id", numbered.alias("ws")), "ws", "leaf", "id")
-        .join(constants, ["leaf", "i", "word"], "left")
+        unnest(distinct.select("leaf", "id", standing.alias("ws")), "ws", "leaf", "id")
+        .join(measured(constants, 40), "place", "left")
         .groupBy("leaf", "id").agg(
             F.count("constant").alias("constants"), F.count(F.lit(1)).alias("n"),
-            F.array_sort(F.collect_list(F.struct("i", F.when(F.col("constant"), F.col("word")).otherwise(F.lit(VARIABLE)).alias("part")))).alias("parts"))
+            F.array_sort(F.collect_list(F.struct("i", F.when(F.col("constant") & (F.col("word") != VARIABLE), F.col("word")).otherwise(F.lit(VARIABLE)).alias("part")))).alias("parts"))
         .where(F.col("constants") >= F.ceil(F.col("n") * similarity))
         .select("leaf", "id", F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("template"))
         .withColumn("of", F.xxhash64("template"))
     )
-    known = inside.select("leaf", "id", "context").join(templates.select("leaf", "id", "of"), ["leaf", "id"])
+    known = inside.select("leaf", "id", "context").join(measured(templates.select("leaf", "id", "of"), 48), ["leaf", "id"])
     dropped = settle(templates.join(_contexts(known, "leaf", "of").where(F.col("contexts") >= min_contexts), ["leaf", "of"]).select(
         "leaf", "id", "template"))
     return inside.join(measured(dropped, 60 + F.octet_length("template")), ["leaf", "id"]).select("doc", "h", "pos", "template")

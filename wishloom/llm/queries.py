@@ -61,17 +61,17 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def tokenizer() -> tuple[list[bytes], str]:
-    """Pieces and pattern of the public byte-level vocabulary."""
+def tokenizer() -> list[bytes]:
+    """Pieces of the public byte-level vocabulary."""
     import public_tokenizers
 
-    return byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+    return byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
-    pieces, pattern = tokenizer()
-    book = byte_bpe.dictionary(documents, pieces, pattern)
+    pieces = tokenizer()
+    book = byte_bpe.dictionary(documents, pieces)
     coded = byte_bpe.encode(documents, book, keep=["doc_id"])
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wishloom.plans.scale import scratch_folder
+from wishloom.plans.scale import scratch_folder, settle
 
 BINS = 4096
 STEPS = (1 << 20) - 1  # values of a dimension after scaling; with 43 bits of text hash they make a 63-bit key
@@ -50,16 +50,13 @@ def _small(rows: DataFrame, data: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(n for n, _ in names)})"))
 
 
-def _descend(rows: DataFrame, levels: list[dict]) -> DataFrame:
-    """Rows with the tree node they are in; one look-up of small cut tables per level."""
-    rows = rows.withColumn("node", F.lit(0))
-    for cuts in levels:
-        table = _small(rows, [(n, *c) for n, c in cuts.items()], "node int, _dim int, _key long, _tie long")
-        key = F.get("k", F.col("_dim"))
-        right = (key > F.col("_key")) | ((key == F.col("_key")) & (F.col("tie") > F.col("_tie")))
-        rows = rows.join(table, "node", "left").withColumn("node", F.when(F.col("_dim").isNull(), F.col("node")).otherwise(
-            2 * F.col("node") + F.when(right, 2).otherwise(1)).cast("int")).drop("_dim", "_key", "_tie")
-    return rows
+def _descend(rows: DataFrame, cuts: dict[int, tuple]) -> DataFrame:
+    """Rows one level further down: `node` becomes the child they are in."""
+    table = _small(rows, [(n, *c) for n, c in cuts.items()], "node int, _dim int, _key long, _tie long")
+    key = F.get("k", F.col("_dim"))
+    right = (key > F.col("_key")) | ((key == F.col("_key")) & (F.col("tie") > F.col("_tie")))
+    return rows.join(table, "node", "left").withColumn("node", F.when(F.col("_dim").isNull(), F.col("node")).otherwise(
+        2 * F.col("node") + F.when(right, 2).otherwise(1)).cast("int")).drop("_dim", "_key", "_tie")
 
 
 def _histogram(rows: DataFrame, column: str, ranges: dict[int, tuple[int, int]]) -> dict[int, list[tuple[int, int, int]]]:
@@ -107,8 +104,8 @@ def _grow(compact: DataFrame, dims: int, shards: int, tolerance: float) -> tuple
     """Cuts (dimension, key, tie) of every level, and the first shard of every leaf."""
     levels: list[dict] = []
     leaves = {0: (0, shards)}  # node -> first shard, number of shards
+    placed = compact
     while wide := {n: v for n, v in leaves.items() if v[1] > 1}:
-        placed = _descend(compact, levels)
         stats = {r["node"]: r for r in placed.groupBy("node").agg(
             F.sum("size").alias("bytes"),
             *[F.min(F.get("k", F.lit(d))).alias(f"lo{d}") for d in range(dims)],
@@ -135,6 +132,7 @@ def _grow(compact: DataFrame, dims: int, shards: int, tolerance: float) -> tuple
             del leaves[n]
             leaves[2 * n + 1], leaves[2 * n + 2] = (first, m // 2), (first + m // 2, m - m // 2)
         levels.append({n: (widest.get(n, 0), *ends[n]) for n in wide})
+        placed = settle(_descend(placed, levels[-1]))
     return levels, {n: first for n, (first, _) in leaves.items()}
 
 
@@ -149,7 +147,7 @@ def assign(documents: DataFrame, dims: dict[str, Column], shards: int = 24, key:
     documents.select(
         F.struct(*[f"`{c}`" for c in kept]).alias("row"), text_size(content).alias("size"),
         F.crc32(F.coalesce(content, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(content, content.isNull()).alias("h"),
+        F.xxhash64(content, content.isNull()).alias("h"), F.lit(0).alias("node"),
         F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`"), F.monotonically_increasing_id()), 2).alias("tie"),
         *[v.cast("double").alias(f"d{i}") for i, v in enumerate(dims.values())]).write.parquet(folder)
     table = spark.read.parquet(folder)
@@ -161,9 +159,11 @@ def assign(documents: DataFrame, dims: dict[str, Column], shards: int = 24, key:
         part = F.coalesce((F.col(f"d{i}") - a) * (STEPS / (b - a) if b > a else 0.0), F.lit(0.0)).cast("long")
         keys.append(F.shiftleft(part, 43).bitwiseOR(F.shiftrightunsigned("h", 21)))
     compact = table.withColumn("k", F.array(*keys))
-    levels, first = _grow(compact.select("size", "tie", "k"), len(dims), shards, tolerance)
+    levels, first = _grow(compact.select("node", "size", "tie", "k"), len(dims), shards, tolerance)
     blocks = max(1, -(-bounds["n"] // (shards * BLOCK_ROWS)))
-    placed = _descend(compact, levels).join(_small(table, list(first.items()), "node int, shard int"), "node").withColumn(
+    for cuts in levels:
+        compact = _descend(compact, cuts)
+    placed = compact.join(_small(table, list(first.items()), "node int, shard int"), "node").withColumn(
         "block", F.pmod("tie", F.lit(blocks)))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")).select(

@@ -22,7 +22,8 @@ a shard and add the sizes of the blocks before.
 Defined cases: a null text has size 8 and counts as its own text, apart from the
 empty one; null dimension values count as the least; null ids are ids; repeated
 rows are rows of their own, each with its own slot; an empty table stays empty;
-fewer rows than shards leave shards empty; other columns pass through, a column
+fewer rows than shards, or a document
+heavier than a shard, leave shards empty; other columns pass through, a column
 named like the result is replaced.
 """
 

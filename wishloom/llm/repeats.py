@@ -281,11 +281,12 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
         close = close.unionByName(_single_strings(_cut(texts.join(listed, on(listed)).where("big")), length))
     close.groupBy("anchor", "digest").agg(F.first("later").alias("later"), F.first("every").alias("every")).write.parquet(f"{folder}/close")
     close = spark.read.parquet(f"{folder}/close")
-    judged = distinct.join(close, ["anchor", "digest"], "left").where("times > 1 or every is not null")
+    distinct.join(close, ["anchor", "digest"], "left").where("times > 1 or every is not null").write.parquet(f"{folder}/judged")
+    judged = measured(spark.read.parquet(f"{folder}/judged"), 96 + 16 * F.coalesce(F.size("every"), F.lit(0)) * 2)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n")))
     own = F.col("doc").eqNullSafe(F.col("least.doc")) & (F.col("h") == F.col("least.h")) & (F.col("start") == F.col("least.start"))
     runs = F.when(F.col("times") > 1, whole).otherwise(F.col("every")) if keep == "none" else F.when(own, F.col("later")).otherwise(whole)
-    hit = every.join(judged.select("anchor", "digest", "times", "least", "later", "every"), ["anchor", "digest"])
+    hit = every.join(judged, ["anchor", "digest"])
     spans = F.transform(runs, lambda r: F.struct((F.col("start") + r["at"]).alias("start"), (F.col("start") + r["at"] + r["n"] - 1 + length).alias("end")))
     found = hit.select("doc", "h", spans.alias("spans")).where("size(spans) > 0").groupBy("doc", "h").agg(
         F.flatten(F.collect_list("spans")).alias("_spans"))

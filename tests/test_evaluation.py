@@ -1,12 +1,14 @@
 import json
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wishloom.functions.mathx import log_gamma
+from wishloom.functions.mathx import log_gamma, order_statistic_rank
 from wishloom.operators import evaluation as ev
 from wishloom.operators.usage import flatten_usage
 
@@ -31,15 +33,12 @@ def test_log_gamma(spark):
         assert r[0] == pytest.approx(math.lgamma(x), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("k,n", [(0, 10), (10, 10), (830, 1000), (150, 1000), (84000, 100000)])
-def test_binomial_equals_direct_sum(spark, k, n):
-    p = 0.85
-    df = spark.createDataFrame([(k, n)], "k long, n long")
-    got = ev.binomial_test(df, "k", "n", p, minimum=1).first()["p_value"]
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)
-            for i in range(k + 1)]
-    top = max(logs)
-    assert got == pytest.approx(math.exp(top) * sum(math.exp(x - top) for x in logs), rel=1e-8)
+@pytest.mark.parametrize("k,n", [(0, 10), (10, 10), (-1, 10), (830, 1000), (150, 1000), (2550, 3000)])
+def test_binomial_is_exact(spark, k, n):
+    p = Fraction(17, 20)
+    want = float(sum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1)))
+    got = ev.binomial_test(spark.createDataFrame([(k, n)], "k long, n long"), "k", "n", 0.85, minimum=1).first()["p_value"]
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
 def test_small_sample_report(spark):
@@ -56,14 +55,26 @@ def test_analytic_p95(spark):
     assert ev.assess_p95(df, "v", 250.0, minimum=2000).count() == 0
 
 
-def test_order_statistics_agree_with_draws(spark):
+@pytest.mark.parametrize("n", [1, 2, 40, 9_999, 10_000, 10_001])
+def test_interval_agrees_with_draws(spark, n):
     rng = np.random.default_rng(2)
-    df = spark.createDataFrame([(float(v),) for v in rng.exponential(200, 1500)], "v double")
-    a = ev.bootstrap_interval(df, "v", 0.0, iterations=600).first()
-    b = ev.bootstrap_interval(df, "v", 0.0, iterations=600, draw_limit=10).first()
-    assert (a["method"], b["method"]) == ("draws", "order-statistics")
-    width = a["delta_high"] - a["delta_low"]
-    assert abs(a["delta_low"] - b["delta_low"]) < 0.25 * width and abs(a["delta_high"] - b["delta_high"]) < 0.25 * width
+    values = rng.exponential(200, n)
+    got = ev.bootstrap_interval(spark.createDataFrame(pd.DataFrame({"v": values})), "v", 0.0).first()
+    drawn = np.sort([np.percentile(values[rng.integers(0, n, n)], 95) for _ in range(2000)])
+    low, high = drawn[int(0.025 * 1999)], drawn[int(0.975 * 1999)]
+    width = max(high - low, 1e-9)
+    assert got["n"] == n and abs(got["delta_low"] - low) < 0.15 * width and abs(got["delta_high"] - high) < 0.15 * width
+
+
+def test_order_statistic_rank_is_exact():
+    for n in (1, 2, 7, 40, 200):
+        for q in (0.025, 0.5, 0.975):
+            for k in {1, n, max(1, int(0.95 * n))}:
+                def reached(c, n=n, k=k):
+                    p = Fraction(c, n)
+                    return sum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k, n + 1))
+                want = next(c for c in range(1, n + 1) if reached(c) >= Fraction(q))
+                assert order_statistic_rank(np.array([n]), np.array([k]), q)[0] == want
 
 
 def test_usage_totals(spark):

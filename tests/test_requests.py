@@ -38,13 +38,13 @@ def test_departure_window_brute_force(spark):
         assert got[i] == list(dict.fromkeys(want))
 
 
-def test_off_calendar_both_ways(spark, monkeypatch):
+def test_off_calendar(spark):
     cal = days(spark, "2026-01-01", "2026-01-03")
     df = spark.createDataFrame([(1, ["2026-01-01", "2026-01-02"]), (2, ["2026-01-03"]), (3, [])], "request_id long, departure_dates array<string>")
     want = {1: "2026-01-02", 2: None, 3: None}
     assert {r[0]: r["off_calendar"] for r in nm.first_off_calendar(df, cal).collect()} == want
-    monkeypatch.setattr(nm, "LISTED_DAYS", 1)
-    assert {r[0]: r["off_calendar"] for r in nm.first_off_calendar(df, cal).collect()} == want
+    long = spark.sql("SELECT explode(sequence(date'1990-01-01', date'2030-01-01')) AS d")
+    assert {r[0]: r["off_calendar"] for r in nm.first_off_calendar(df, long).collect()} == {1: None, 2: None, 3: None}
 
 
 def test_entities_respect_word_boundaries_aliases_and_languages(spark):
@@ -86,3 +86,10 @@ def test_cascade_runs_each_row_once_per_method(spark):
     assert calls == ["a", "b"]
     got = {r["request_id"]: (r["status"], len(r["attempts"])) for r in out.collect()}
     assert len(got) == 10 and got[0] == ("success", 1) and got[4] == ("success", 2) and got[9] == ("failed", 2)
+
+
+def test_no_bound_on_languages(spark):
+    names = [f"l{i}" for i in range(260)]
+    lookup = spark.createDataFrame([(n, f"place{n}", n, i) for i, n in enumerate(names)], "lang string, name string, id string, ord long")
+    asked = spark.createDataFrame([(i, n, f"to place{n} please") for i, n in enumerate(names)], "request_id long, lang string, text string")
+    assert ex.match_entities(asked, lookup).count() == 260

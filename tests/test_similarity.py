@@ -16,11 +16,11 @@ def data(spark):
             spark.createDataFrame(options, "option_id string, option_ord long, centroid array<double>"))
 
 
-def test_blocks_equal_matrix(data):
+def test_tiles_equal_one_tile(data):
     u, o = data
     targets = F.array("target")
     whole = sm.score_targets(u, o, "vec_id", targets).orderBy("vec_id").collect()
-    parts = sm.score_targets(u, o, "vec_id", targets, max_options=4).orderBy("vec_id").collect()
+    parts = sm.score_targets(u, o, "vec_id", targets, tile_bytes=160).orderBy("vec_id").collect()
     for a, b in zip(whole, parts):
         for name in a.asDict():
             assert a[name] == (pytest.approx(b[name]) if isinstance(a[name], float) else b[name]), name
@@ -40,11 +40,11 @@ def test_rank_equals_brute_force(data):
         assert r["best_non_target"] == pytest.approx(max(rest))
 
 
-def test_keep_or_top_k_blocks_equal_matrix(data):
+def test_keep_or_top_k_tiles_equal_one_tile(data):
     u, o = data
     for threshold in (0.4, 0.99):
         a = sm.keep_or_top_k(u, o, "vec_id", threshold, 3).select("vec_id", "option_id", "similarity_rank")
-        b = sm.keep_or_top_k(u, o, "vec_id", threshold, 3, max_options=4).select("vec_id", "option_id", "similarity_rank")
+        b = sm.keep_or_top_k(u, o, "vec_id", threshold, 3, tile_bytes=160).select("vec_id", "option_id", "similarity_rank")
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 

@@ -56,8 +56,6 @@ P95_TARGET_MS = 750.0
 ACCURACY_TARGET = 0.85
 ALPHA = 0.05
 MIN_SAMPLE = 1000
-BOOTSTRAP_SEED = 1337
-BOOTSTRAP_ITERATIONS = 2000
 PROCESSING_BUDGET_MS = 1000.0
 SUCCESS_STATUSES = ["success", "ok", "passed"]
 METHOD_KEYS = ["method", "methodId", "method_id", "methodUsed"]

@@ -6,18 +6,17 @@ on each run, or on each method.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.mathx import log_choose
-from ..plans.scale import exact_percentiles, lookup_join, running, settle, value_bucket
-
-BOOTSTRAP_DRAW_LIMIT = 10_000
+from ..functions.mathx import binomial_at_most, order_statistic_rank
+from ..plans.scale import exact_percentiles, running, settle
 
 
 def is_success(status: Column) -> Column:
@@ -137,127 +136,41 @@ def considered(ms: Column, limit: float = fv.OUTLIER_MS) -> Column:
 
 
 def bootstrap_interval(
-    df: DataFrame, value: str, threshold: float, by: Sequence[str] = (), alpha: float = fv.ALPHA,
-    iterations: int = fv.BOOTSTRAP_ITERATIONS, seed: int = fv.BOOTSTRAP_SEED,
-    draw_limit: int = BOOTSTRAP_DRAW_LIMIT, weight: str | None = None,
+    df: DataFrame, value: str, threshold: float, by: Sequence[str] = (), alpha: float = fv.ALPHA, weight: str | None = None,
 ) -> DataFrame:
-    """Bootstrap interval of P95 - threshold per group.
-
-    Up to draw_limit values a group is resampled draw by draw with hash-based
-    ranks. A larger group uses the order statistics of the resample instead:
-    the k-th smallest of n uniform draws is Beta(k, n+1-k) and the next one
-    follows it by 1-(1-u)^(1/(n-k)), so two draws replace n and the
-    distribution is the same. `method` says which one ran. `weight` names a
-    column of counts for values that are already counted.
+    """Bootstrap interval of P95 - threshold per group, without drawing.
+
+    The k-th smallest of n draws has rank c or less with the chance
+    P(Binomial(n, c / n) >= k), so the quantiles that ever more resamples tend to
+    are order statistics of the values, whose ranks depend on n alone. The 95th
+    percentile lies between two order statistics; its interval ends are
+    interpolated between theirs. The cost is that of an exact percentile
+    for every n. `weight` names a column of counts for values already counted.
     """
     by = list(by)
-    values = settle(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
-                    .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")))
-    sizes = values.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    small, large = sizes.where(F.col("_n") <= draw_limit), sizes.where(F.col("_n") > draw_limit)
-    parts = [_by_draws(values, small, by, iterations, seed)]
-    if not large.isEmpty():
-        parts.append(_by_order_statistics(values, large, by, iterations, seed))
-    p95 = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    low, high = int(alpha / 2 * (iterations - 1)), int((1 - alpha / 2) * (iterations - 1))
-    ordered = F.array_sort(F.collect_list("p95"))  # `iterations` values per group
-    interval = p95.groupBy(*by, "method").agg(ordered.alias("_o"), F.max("_n").alias("n")).select(
-        *by, "n", "method", (F.get("_o", F.lit(low)) - threshold).alias("delta_low"),
-        (F.get("_o", F.lit(high)) - threshold).alias("delta_high"))
-    return interval.withColumn("inference", F.when(F.col("delta_high") <= 0, "meet-target")
-                               .when(F.col("delta_low") > 0, "above-target").otherwise("insufficient-data"))
-
-
-def draw_rank(seed: int, b: Column, i: Column, n: Column) -> Column:
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), i.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
-
-
-def _ranked(values: DataFrame, by: list[str]) -> DataFrame:
-    """Value counts with the half-open rank range each value covers."""
-
-    spread = running(values, by, ["_v"], value_bucket(F.col("_v")), sums={"_to": F.col("_c")})
-    return spread.withColumn("_from", F.col("_to") - F.col("_c"))
-
-
-def _by_draws(values, sizes, by, iterations, seed):
-    # at most draw_limit ranks per group
-    if by:
-        kept = values.join(sizes, by, "left_semi")
-    else:
-        kept = values if not sizes.isEmpty() else values.where(F.lit(False))
-    ranks = settle(_ranked(kept, by).select(*by, "_v", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_r")))
-    grid = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_b"))
-    # a fixed number of partitions, because the grid is tiny until it is exploded
-    cores = values.sparkSession.sparkContext.defaultParallelism
-    draws = grid.repartition(cores, *by, "_b").select(
-        *by, "_n", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
-    picks = draws.withColumn("_r", draw_rank(seed, F.col("_b"), F.col("_i"), F.col("_n")))
-    # each resample holds at most draw_limit values, so the percentile state is bounded
-    return lookup_join(picks, ranks, by + ["_r"]).groupBy(*by, "_n", "_b").agg(
-        F.percentile("_v", F.lit(0.95)).alias("p95")).withColumn("method", F.lit("draws"))
-
-
-def _by_order_statistics(values, sizes, by, iterations, seed):
-    import numpy as np
-
-    grid = sizes.select(F.xxhash64(*by).alias("_g") if by else F.lit(0).cast("long").alias("_g"), *by, "_n",
-                        F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_b"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.schema) + \
-        ", _weight double, _ranks array<long>"
-
-    def draw(batches):
-        for pdf in batches:
-            ranks, weights = [], []
-            for g, n, b in zip(pdf["_g"], pdf["_n"], pdf["_b"]):
-                rng = np.random.default_rng([seed, int(g) & 0x7FFFFFFF, int(b)])
-                position = 0.95 * (n - 1)
-                k = math.floor(position)
-                first = rng.beta(k + 1, n - k)
-                second = first + (1 - first) * (1 - (1 - rng.random()) ** (1.0 / max(n - k - 1, 1)))
-                ranks.append([min(int(first * n), n - 1), min(int(second * n), n - 1)])
-                weights.append(position - k)
-            yield pdf.assign(_weight=weights, _ranks=ranks)
-
-    asked = grid.mapInPandas(draw, schema).select(
-        *by, "_n", "_b", F.posexplode("_ranks").alias("_p", "_r"),
-        F.col("_weight"))
-
-    # as-of lookup: each asked rank takes the last value range that starts at or before it
-    starts = _ranked(values, by).select(*by, F.col("_from").alias("_pos"), F.lit(0).alias("_kind"), "_v")
-    asks = asked.withColumnRenamed("_r", "_pos").withColumn("_kind", F.lit(1))
-    line = starts.unionByName(asks, allowMissingColumns=True)
-    hit = running(line, by, ["_pos", "_kind"], F.floor(F.col("_pos") / 65536),
-                  lasts={"_hit": F.col("_v")}).where("_kind = 1")
-    weight = F.when(F.col("_p") == 0, 1 - F.col("_weight")).otherwise(F.col("_weight"))
-    return hit.groupBy(*by, "_n", "_b").agg(F.sum(F.col("_hit") * weight).alias("p95")).withColumn(
-        "method", F.lit("order-statistics"))
+
+    def at(side: float, step: int):
+        @F.pandas_udf("long")
+        def rank(n: pd.Series) -> pd.Series:
+            k = np.minimum(np.floor(0.95 * (n.to_numpy() - 1)).astype(np.int64) + 1 + step, n.to_numpy())
+            return pd.Series(order_statistic_rank(n.to_numpy(), k, side) - 1)
+        return rank
+
+    ends = {"_l0": at(alpha / 2, 0), "_l1": at(alpha / 2, 1), "_h0": at(1 - alpha / 2, 0), "_h1": at(1 - alpha / 2, 1)}
+    found = exact_percentiles(df, value, {}, by, weight, positions=ends)
+    share = 0.95 * (F.col("n") - 1) - F.floor(0.95 * (F.col("n") - 1))
+    end = lambda s: F.col(f"_{s}0") + (F.col(f"_{s}1") - F.col(f"_{s}0")) * share - threshold
+    return found.select(*by, "n", end("l").alias("delta_low"), end("h").alias("delta_high")).withColumn(
+        "inference", F.when(F.col("delta_high") <= 0, "meet-target")
+        .when(F.col("delta_low") > 0, "above-target").otherwise("insufficient-data"))
 
 
 def binomial_test(counts: DataFrame, k: str, n: str, p: float, by: Sequence[str] = (), alpha: float = fv.ALPHA,
                   minimum: int = fv.MIN_SAMPLE) -> DataFrame:
-    """P(X <= k) for X ~ Binomial(n, p), summed in log space around its largest term.
-
-    The largest term up to k sits at min(k, (n+1)p). Terms more than
-    40*sqrt(n)+1000 below it are smaller than the least positive double
-    relative to it, so leaving them out changes no bit of the sum.
-    """
+    """P(X <= k) for X ~ Binomial(n, p), by the incomplete beta function."""
     by = list(by)
     base = counts.select(*by, F.col(k).cast("long").alias("_k"), F.col(n).cast("long").alias("_n"))
-    if p <= 0 or p >= 1:
-        tested = base.withColumn("p_value", F.lit(0.0 if p <= 0 else 1.0))
-    else:
-        top = F.least(F.col("_k"), F.floor((F.col("_n") + 1) * p))
-        low = F.greatest(F.lit(0), top - F.ceil(40 * F.sqrt("_n")) - 1000)
-        ln_p, ln_q = math.log(p), math.log(1 - p)
-
-        def log_term(i):
-            return log_choose(F.col("_n"), i) + i * ln_p + (F.col("_n") - i) * ln_q
-
-        spread = base.withColumns({"_top": top, "_anchor": log_term(top)}).withColumn(
-            "_i", F.explode(F.sequence(low, F.col("_k"))))
-        tested = spread.groupBy(*by, "_k", "_n").agg(
-            (F.exp(F.max("_anchor")) * F.sum(F.exp(log_term(F.col("_i")) - F.col("_anchor")))).alias("p_value"))
+    tested = base.withColumn("p_value", F.lit(0.0 if p <= 0 else 1.0) if p <= 0 or p >= 1 else binomial_at_most("_n", "_k", F.lit(float(p))))
     enough = F.col("_n") >= minimum
     return tested.select(
         *by, F.col("_k").alias("success_count"), F.col("_n").alias("request_count"),
@@ -330,7 +243,7 @@ def progress(df: DataFrame, order: str, status: str = "status", by: Sequence[str
 
 def replay_report(ops: DataFrame, by: Sequence[str] = (), failed: Column | None = None, ms: str = "total_ms",
                   threshold: float = fv.P95_TARGET_MS, target: float = fv.ACCURACY_TARGET, alpha: float = fv.ALPHA,
-                  minimum: int = fv.MIN_SAMPLE, iterations: int = fv.BOOTSTRAP_ITERATIONS,
+                  minimum: int = fv.MIN_SAMPLE,
                   outlier_ms: float = fv.OUTLIER_MS) -> DataFrame:
     """Accuracy, mean, P95 with its interval and both inferences per group."""
     keys = list(by) or ["_all"]
@@ -346,7 +259,7 @@ def replay_report(ops: DataFrame, by: Sequence[str] = (), failed: Column | None
     p95 = exact_percentiles(counted, "_ms", {"p95_ms": 0.95}, keys, "_w").drop("n")
     test = binomial_test(base, "success_count", "request_count", target, keys, alpha, minimum).select(
         *keys, "p_value", F.col("inference").alias("accuracy_inference"))
-    interval = bootstrap_interval(counted, "_ms", threshold, keys, alpha, iterations, weight="_w").select(
+    interval = bootstrap_interval(counted, "_ms", threshold, keys, alpha, weight="_w").select(
         *keys, "delta_low", "delta_high", F.col("inference").alias("_p95_inference"))
     out = base.join(p95, keys, "left").join(test, keys).join(interval, keys, "left")
     enough = F.col("request_count") >= minimum

@@ -32,15 +32,18 @@ def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_
     (request, word) rows are exploded, so the text itself moves once, and the
     candidates of a request are bounded by the gazetteer.
     """
-    known = languages or sorted(r[0] for r in lookup.select("lang").distinct().limit(200).collect())
-    language = F.lower(F.coalesce(F.col(lang), F.lit("en")))
-    used = F.when(language.isin(known), language).otherwise("en")
+    known = lookup.select(F.col("lang").alias("_lang")).distinct()
+    if languages:
+        known = known.where(F.col("_lang").isin(languages))
+    asked = requests.withColumn("_lang", F.lower(F.coalesce(F.col(lang), F.lit("en"))))
+    spoken = lookup_join(asked, known.withColumn("_known", F.lit(True)), "_lang", "left")
     carried = [c for c in lookup.columns if c not in ("lang", "ord", "id", "name")]
     entry = F.struct("ord", "id", *carried, F.col("name").alias("_name"))
     names = lookup.select(
         F.col("lang").alias("_lang"), F.get(F.split(word_key(F.col("name")), " "), F.lit(0)).alias("_w"),
         entry.alias("_e")).where("_w <> ''")
-    words = requests.select(F.col(key), used.alias("_lang"), F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("_w"))
+    words = spoken.select(F.col(key), F.when(F.col("_known"), F.col("_lang")).otherwise("en").alias("_lang"),
+                          F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("_w"))
     candidates = lookup_join(words, names, ["_lang", "_w"]).groupBy(key).agg(F.collect_set("_e").alias("_c"))
 
     def whole_word(lowered, c):

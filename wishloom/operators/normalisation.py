@@ -127,20 +127,12 @@ def date_error(departure_dates: Column, off_calendar: Column) -> Column:
         off_calendar.isNotNull(), F.concat(F.lit("Departure date '"), off_calendar, F.lit("' is not available")))
 
 
-LISTED_DAYS = 10_000
-
-
 def first_off_calendar(df: DataFrame, calendar: DataFrame, key: str = "request_id") -> DataFrame:
     """Adds off_calendar: the first departure date missing from the calendar.
 
-    A calendar of at most LISTED_DAYS days becomes a membership test inside
-    the scan; a longer one is an anti join.
+    One row per requested day meets the day table; requests stay where they are.
     """
     allowed = calendar.select(F.date_format("d", "yyyy-MM-dd").alias("iso")).distinct()
-    known = [r[0] for r in allowed.limit(LISTED_DAYS + 1).collect()]
-    if len(known) <= LISTED_DAYS:
-        listed = ", ".join(f"'{d}'" for d in sorted(known)) or "''"
-        return df.withColumn("off_calendar", F.expr(f"get(filter(departure_dates, d -> d NOT IN ({listed})), 0)"))
     each = df.select(key, F.posexplode("departure_dates").alias("pos", "iso"))
     unknown = lookup_join(each, allowed, "iso", "left_anti").groupBy(key).agg(F.min_by("iso", "pos").alias("off_calendar"))
     return df.join(unknown, key, "left")

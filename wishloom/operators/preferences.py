@@ -34,7 +34,7 @@ def synonym_matches(
     positions = texts.select(
         key, F.inline(tx.token_windows(tx.tokens(F.col(text)), max_ngram))
     ).toDF(key, *[f"w{i}" for i in range(max_ngram)])
-    candidates = lookup_join(positions, opening, "w0", spread=F.xxhash64(key, *[f"w{i}" for i in range(max_ngram)]))
+    candidates = lookup_join(positions, opening, "w0")
     rest = F.lit(True)
     for i in range(1, max_ngram):
         rest = rest & (F.col(f"s{i}").isNull() | F.coalesce(F.col(f"s{i}") == F.col(f"w{i}"), F.lit(False)))

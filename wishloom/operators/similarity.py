@@ -1,29 +1,34 @@
 """Scoring utterance vectors against option vectors.
 
-Scores are a matrix product per Arrow batch. What leaves a task is the answer
-per utterance (rank, top, runner-up, kept options), never all pairs. A
-catalogue up to MAX_MATRIX_OPTIONS rows is counted, then shared with every
-task. A larger one is cut into blocks and met by utterance shards in a
-shuffle; block answers merge exactly.
+Options are written once to the shared folder, in order, as files of about
+`tile_bytes`. Utterances stay where they are: a task streams the tiles past each
+batch and keeps running answers (target score, top two, kept options), so
+memory is one batch times one tile and nothing is shuffled, for ten options or
+ten million. What leaves a task is the answer per utterance, never all pairs.
+Ties go to the earlier option by (order, id).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (PURITY_MARGIN, PURITY_MIN_SCORE, SEMANTIC_THRESHOLD,
                                       SEMANTIC_TOP_K)
-from ..plans.scale import fits, settle
+from ..plans.scale import scratch_folder
 
-MAX_MATRIX_OPTIONS = 20_000
-SHARD_ROWS = 20_000
+TILE_BYTES = 8_000_000
+BATCH_ROWS = 500
+HELD_TILES = 8
 
-_ANSWER = ("target_score double, target_ord long, target_sum double, target_hits int, better long, "
-           "top array<struct<score:double,ord:long,id:string>>, best_other double")
-_ANSWER_NAMES = ["target_score", "target_ord", "target_sum", "target_hits", "better", "top", "best_other"]
+_ANSWER = ("target_score double, target_sum double, target_hits int, target_rank long, top_option string, top_score double, "
+           "runner_up double, best_non_target double")
 
 
 def _unit_rows(column) -> np.ndarray:
@@ -32,183 +37,160 @@ def _unit_rows(column) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _answers(batch: pd.DataFrame, options: pd.DataFrame, unit_options: np.ndarray) -> pd.DataFrame:
-    """Per utterance: target scores, options ahead of the target, top two, best non-target.
-
-    A batch that already carries `_score` and `_at` (the target's score and
-    ordinal, found in another block) counts the options ahead of those.
-    """
-    scores = _unit_rows(batch["_vec"]) @ unit_options.T
-    ids = options["_oid"].to_numpy()
-    ords = options["_ord"].to_numpy()
-    position = {oid: i for i, oid in enumerate(ids)}
-    known = zip(batch["_score"], batch["_at"]) if "_score" in batch else None
-    rows = []
-    for row, targets in zip(scores, batch["_targets"]):
-        hits = [position[t] for t in dict.fromkeys(targets) if t in position]
-        best = max(hits, key=lambda i: row[i]) if hits else None
-        mark = (row[best], ords[best]) if best is not None else None
-        if known is not None:
-            given = next(known)
-            mark = given if given[0] is not None and not np.isnan(given[0]) else None
-        ahead = None
-        if mark is not None:
-            others = np.ones(len(ids), dtype=bool)
-            others[hits[:1]] = False
-            ahead = int((others & ((row > mark[0]) | ((row == mark[0]) & (ords < mark[1])))).sum())
-        order = np.argsort(-row, kind="stable")
-        rest = np.delete(row, hits) if hits else row
-        rows.append((
-            float(row[best]) if hits else None, int(ords[best]) if hits else None,
-            float(sum(row[hits])), len(hits), ahead,
-            [{"score": float(row[i]), "ord": int(ords[i]), "id": ids[i]} for i in order[:2]],
-            float(rest.max()) if rest.size else None,
-        ))
-    out = batch.drop(columns=["_vec", "_targets", "_score", "_at"], errors="ignore").reset_index(drop=True)
-    answers = pd.DataFrame(rows, columns=_ANSWER_NAMES).astype({"target_ord": "Int64", "better": "Int64"})
-    return pd.concat([out, answers], axis=1)
-
-
-def _prepare(utterances: DataFrame, key: str, vector: str, targets: Column) -> DataFrame:
-    return utterances.select(
-        F.col(key), F.col(vector).alias("_vec"), targets.cast("array<string>").alias("_targets"))
-
-
-def _options(options: DataFrame, option: str, vector: str, order: str) -> DataFrame:
-    return options.select(
-        F.col(option).cast("string").alias("_oid"), F.col(order).cast("long").alias("_ord"),
-        F.col(vector).alias("_ovec"))
+def _write_tiles(options: DataFrame, option: str, vector: str, order: str, tile_bytes: int) -> list[str]:
+    """Options in order (order, id), cut into files of bounded size; the addresses in that order."""
+    spark = options.sparkSession
+    folder = scratch_folder(spark, "tiles")
+    rows = options.select(F.col(option).cast("string").alias("id"), F.col(order).cast("long").alias("ord"),
+                          F.col(vector).cast("array<double>").alias("vector"))
+    width = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+    tile_rows = max(1, tile_bytes // (8 * max(width, 1)))
+    rows.repartitionByRange("ord", "id").sortWithinPartitions("ord", "id").write.option(
+        "maxRecordsPerFile", tile_rows).parquet(folder)
+    return sorted(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+
+
+class _Tiles:
+    """Tiles in order; a worker holds the few it read last."""
+
+    def __init__(self, files: list[str]):
+        self.files, self.held = files, {}
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        first = 0
+        for file in self.files:
+            if file not in self.held:
+                if len(self.held) >= HELD_TILES:
+                    self.held.pop(next(iter(self.held)))
+                self.held[file] = self._read(file)
+            ids, units = self.held[file]
+            if len(ids):
+                yield ids, units, first
+            first += len(ids)
+
+    @staticmethod
+    def _read(file: str) -> tuple[np.ndarray, np.ndarray]:
+        if re.match(r"file:/|/", file):
+            table = pq.read_table(re.sub(r"^file:/+", "/", file))
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(file)
+            table = pq.read_table(path, filesystem=store)
+        ids = np.array(table["id"].to_pylist(), dtype=object)
+        return ids, _unit_rows(table["vector"].to_pylist()) if len(ids) else np.zeros((0, 1))
+
+
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for lo in range(0, len(batch), BATCH_ROWS):
+            yield batch.iloc[lo:lo + BATCH_ROWS].reset_index(drop=True)
 
 
 def score_targets(
     utterances: DataFrame, options: DataFrame, key: str, targets: Column,
     vector: str = "embedding", option: str = "option_id", option_vector: str = "centroid",
-    order: str = "option_ord", max_options: int = MAX_MATRIX_OPTIONS,
+    order: str = "option_ord", tile_bytes: int = TILE_BYTES, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Per utterance: target score, sum and hits, top, runner-up, best non-target."""
-    left = _prepare(utterances, key, vector, targets)
-    right = settle(_options(options, option, option_vector, order))
-    schema = f"{key} {left.schema[key].dataType.simpleString()}, {_ANSWER}"
-    if fits(right, max_options):
-        shared = left.sparkSession.sparkContext.broadcast(right.orderBy("_ord").toPandas())
-
-        def run(batches):
-            known = shared.value
-            units = _unit_rows(known["_ovec"]) if len(known) else None
-            for batch in batches:
-                if len(batch) and units is not None:
-                    yield _answers(batch, known, units)
-
-        merged = left.mapInPandas(run, schema)
-    else:
-        def run_block(batch, known):
-            return _answers(batch, known, _unit_rows(known["_ovec"]))
-
-        first = _merge(_in_blocks(left, right, key, max_options, schema, run_block), key)
-        marks = first.select(key, F.col("target_score").alias("_score"), F.col("target_ord").alias("_at"))
-        second = _in_blocks(left.join(marks, key), right, key, max_options, schema, run_block)
-        merged = first.drop("better").join(second.groupBy(key).agg(F.sum("better").alias("better")), key)
-    top = F.col("top")
-    return merged.select(
-        key, "target_score", "target_sum", "target_hits",
-        F.when(F.col("target_hits") > 0, F.col("better") + 1).alias("target_rank"),
-        F.try_element_at(top, F.lit(1))["id"].alias("top_option"),
-        F.try_element_at(top, F.lit(1))["score"].alias("top_score"),
-        F.coalesce(F.try_element_at(top, F.lit(2))["score"], F.lit(-1.0)).alias("runner_up"),
-        F.coalesce("best_other", F.lit(-1.0)).alias("best_non_target"),
-    )
-
-
-def _in_blocks(left, right, key, block_rows, schema, kernel) -> DataFrame:
-    """Utterance shards meet option blocks; each group is bounded on both sides."""
-    shards = max(1, -(-left.count() // SHARD_ROWS))
-    cut = right.withColumn("_block", F.floor(F.col("_ord") / block_rows).cast("int"))
-    blocks = [r[0] for r in cut.select("_block").distinct().collect()]
-    sharded = left.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn(
-        "_block", F.explode(F.array(*[F.lit(b) for b in blocks])))
-    copied = cut.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    names = [part.strip().split(" ")[0] for part in schema.split(", ")]
-
-    def meet(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(batch) or not len(known):
-            return pd.DataFrame({c: [] for c in names})
-        known = known.sort_values("_ord", kind="stable")
-        return kernel(batch.drop(columns=["_shard", "_block"]), known)
-
-    return sharded.groupBy("_shard", "_block").cogroup(copied.groupBy("_shard", "_block")).applyInPandas(
-        meet, schema)
-
-
-def _merge(parts: DataFrame, key: str) -> DataFrame:
-    """Combine block answers; at most two entries per block are collected."""
-    ordered = F.array_sort(
-        F.flatten(F.collect_list("top")),
-        lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
-        .otherwise(F.signum(a["ord"] - b["ord"]).cast("int")),
-    )
-    best = F.max(F.when(F.col("target_score").isNotNull(),
-                        F.struct("target_score", (-F.col("target_ord")).alias("o"))))
-    return parts.groupBy(key).agg(
-        best["target_score"].alias("target_score"), (-best["o"]).alias("target_ord"),
-        F.sum("target_sum").alias("target_sum"), F.sum("target_hits").alias("target_hits"),
-        F.lit(None).cast("long").alias("better"), F.slice(ordered, 1, 2).alias("top"),
-        F.max("best_other").alias("best_other"),
-    )
+    """Per utterance: target score, sum and hits, rank, top, runner-up, best non-target; `keep` names columns to carry."""
+    carried = [key, *keep]
+    left = utterances.select(*carried, F.col(vector).alias("_vec"), targets.cast("array<string>").alias("_targets"))
+    files = _write_tiles(options, option, option_vector, order, tile_bytes)
+    types = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in carried)
+
+    def run(batches):
+        tiles = _Tiles(files)
+        for batch in _small(batches):
+            n = len(batch)
+            units = _unit_rows(batch["_vec"])
+            wanted = [set(t) for t in batch["_targets"]]
+            best, at = np.full(n, -np.inf), np.full(n, -1)
+            total, hits = np.zeros(n), np.zeros(n, int)
+            top_score, top_id, second = np.full(n, -np.inf), np.full(n, None, object), np.full(n, -np.inf)
+            other = np.full(n, -np.inf)
+            seen = False
+            for ids, tile, first in tiles:
+                seen = True
+                scores = units @ tile.T
+                where = {x: i for i, x in enumerate(ids)}
+                rest = scores.copy()
+                for i, names in enumerate(wanted):
+                    for j in sorted(where[x] for x in names if x in where):
+                        total[i] += scores[i, j]
+                        hits[i] += 1
+                        rest[i, j] = -np.inf
+                        if scores[i, j] > best[i]:
+                            best[i], at[i] = scores[i, j], first + j
+                other = np.maximum(other, rest.max(axis=1))
+                row = np.arange(n)
+                lead = scores.argmax(axis=1)
+                one = scores[row, lead]
+                scores[row, lead] = -np.inf
+                two = scores.max(axis=1)
+                ahead = one > top_score
+                second = np.where(ahead, np.maximum(top_score, two), np.maximum(second, one))
+                top_id = np.where(ahead, ids[lead], top_id)
+                top_score = np.where(ahead, one, top_score)
+            if not seen:
+                continue
+            better = np.zeros(n, np.int64)
+            if hits.any():
+                for _, tile, first in tiles:
+                    scores = units @ tile.T
+                    place = first + np.arange(len(tile))
+                    better += ((scores > best[:, None]) | ((scores == best[:, None]) & (place < at[:, None]))).sum(axis=1)
+            found = hits > 0
+            none = lambda x, ok: pd.Series(np.where(ok, x, np.nan))
+            yield pd.concat([batch[carried], pd.DataFrame({
+                "target_score": none(best, found), "target_sum": total, "target_hits": hits,
+                "target_rank": pd.Series(better + 1).where(found).astype("Int64"), "top_option": top_id, "top_score": top_score,
+                "runner_up": np.where(np.isfinite(second), second, -1.0), "best_non_target": np.where(np.isfinite(other), other, -1.0)})], axis=1)
+
+    return left.mapInPandas(run, f"{types}, {_ANSWER}")
 
 
 def keep_or_top_k(
     utterances: DataFrame, options: DataFrame, key: str,
     threshold: float = SEMANTIC_THRESHOLD, top_k: int = SEMANTIC_TOP_K,
     vector: str = "embedding", option: str = "option_id", option_vector: str = "centroid",
-    order: str = "option_ord", max_options: int = MAX_MATRIX_OPTIONS,
+    order: str = "option_ord", tile_bytes: int = TILE_BYTES, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Options with similarity >= threshold, or the best top_k where none reaches it.
 
-    Returns key, option_id, similarity, similarity_rank (1-based, ties in
-    option order). A block keeps its own passes or its own top_k, which is
-    enough to decide over all blocks.
+    Returns key, kept columns, option_id, similarity, similarity_rank (1-based, ties in
+    option order). A tile adds its own passes and, for utterances without any
+    so far, its own top_k.
     """
-    left = utterances.select(F.col(key), F.col(vector).alias("_vec"))
-    right = settle(_options(options, option, option_vector, order))
-    schema = f"{key} {left.schema[key].dataType.simpleString()}, option_id string, similarity double, ord long"
-
-    def kept(batch: pd.DataFrame, known: pd.DataFrame, units: np.ndarray) -> pd.DataFrame:
-        scores = _unit_rows(batch["_vec"]) @ units.T
-        order_ = np.argsort(-scores, axis=1, kind="stable")
-        passes = (scores >= threshold).sum(axis=1)
-        take = np.where(passes > 0, passes, top_k)
-        picked = [o[:t] for o, t in zip(order_, take)]
-        flat = np.concatenate(picked)
-        lengths = [len(o) for o in picked]
-        return pd.DataFrame({
-            key: np.repeat(batch[key].to_numpy(), lengths),
-            "option_id": known["_oid"].to_numpy()[flat],
-            "similarity": scores[np.repeat(np.arange(len(batch)), lengths), flat],
-            "ord": known["_ord"].to_numpy()[flat]})
-
-    if fits(right, max_options):
-        shared = left.sparkSession.sparkContext.broadcast(right.orderBy("_ord").toPandas())
-
-        def run(batches):
-            known = shared.value
-            units = _unit_rows(known["_ovec"]) if len(known) else None
-            for batch in batches:
-                if len(batch) and units is not None:
-                    yield kept(batch, known, units)
-
-        rows = left.mapInPandas(run, schema)
-    else:
-        rows = _in_blocks(left, right, key, max_options, schema,
-                          lambda batch, known: kept(batch, known, _unit_rows(known["_ovec"])))
-    whole = Window.partitionBy(key)
-    ranked = rows.withColumns({
-        "similarity_rank": F.row_number().over(whole.orderBy(F.desc("similarity"), "ord")),
-        "_best": F.max("similarity").over(whole),
-    })
-    return ranked.where(
-        F.when(F.col("_best") >= threshold, F.col("similarity") >= threshold)
-        .otherwise(F.col("similarity_rank") <= top_k)
-    ).drop("_best", "ord")
+    carried = [key, *keep]
+    left = utterances.select(*carried, F.col(vector).alias("_vec"))
+    files = _write_tiles(options, option, option_vector, order, tile_bytes)
+    types = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in carried)
+
+    def run(batches):
+        tiles = _Tiles(files)
+        for batch in _small(batches):
+            units = _unit_rows(batch["_vec"])
+            passed: list[list] = [[] for _ in range(len(batch))]
+            nearest: list[list] = [[] for _ in range(len(batch))]
+            for ids, tile, first in tiles:
+                scores = units @ tile.T
+                k = min(top_k, len(ids))
+                for i, j in zip(*np.nonzero(scores >= threshold), strict=True):
+                    passed[i].append((-scores[i, j], first + j, ids[j]))
+                for i in (i for i in range(len(batch)) if not passed[i] and k):
+                    cut = np.partition(scores[i], len(ids) - k)[len(ids) - k]
+                    some = np.flatnonzero(scores[i] >= cut)
+                    nearest[i] = sorted(nearest[i] + [(-scores[i, j], first + j, ids[j]) for j in some])[:top_k]
+            picked = [sorted(p) if p else q for p, q in zip(passed, nearest, strict=True)]
+            lengths = [len(p) for p in picked]
+            flat = [x for p in picked for x in p]
+            if flat:
+                rows = batch[carried].iloc[np.repeat(np.arange(len(batch)), lengths)].reset_index(drop=True)
+                yield pd.concat([rows, pd.DataFrame({
+                    "option_id": [x[2] for x in flat], "similarity": [-x[0] for x in flat],
+                    "similarity_rank": [r + 1 for n in lengths for r in range(n)]})], axis=1)
+
+    return left.mapInPandas(run, f"{types}, option_id string, similarity double, similarity_rank int")
 
 
 def purity_gate(scored: DataFrame, target: Column, min_score: float = PURITY_MIN_SCORE,

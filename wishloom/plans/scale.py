@@ -1,8 +1,7 @@
 """Plan building blocks that stay safe when one key holds most of the rows.
 
 `settle` cuts lineage with a reliable checkpoint so a derived lookup table
-is computed once. `lookup_join` broadcasts the lookup side only after its
-row count has been checked, and salts the join otherwise. `running` and
+is computed once. `lookup_join` leaves the join to adaptive execution. `running` and
 `exact_percentiles` replace one-task windows and one-task value maps.
 """
 
@@ -15,9 +14,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALT = 32
-
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the session names; make a local one only for a local master."""
@@ -41,16 +37,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input with fewer splits than cores.
-
-    A table of one small file arrives as one task. A large table has more
-    splits than the cluster has cores and is returned as it is, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def unnest(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """Fields of a computed array of structs, one row per element.
 
@@ -61,32 +47,16 @@ def unnest(df: DataFrame, column: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(column).alias("_u")).where("_u is not null").select(*keep, "_u.*")
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most max_rows rows; stops reading right after."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: str | list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    spread: Column | None = None,
-) -> DataFrame:
-    """Join to a reference table whose size is checked, not assumed.
+def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join rows to a reference table and leave the strategy to the optimizer.
 
-    Up to max_rows the small side is broadcast and the big side never moves.
-    Beyond that both sides are shuffled with a salt taken from the big row, so
-    a key that owns a third of the rows lands in SALT tasks instead of one.
+    Adaptive execution broadcasts the table if its measured bytes allow, and
+    splits a key that owns a large share of the rows. Joins that would keep
+    unmatched rows of the table are refused, because those cannot be split.
     """
-    keys = [on] if isinstance(on, str) else list(on)
-    if fits(small, max_rows):
-        return big.join(F.broadcast(small), keys, how)
-    salt_of = spread if spread is not None else F.xxhash64(*[F.col(c) for c in big.columns])
-    salted = big.withColumn("_salt", F.pmod(salt_of, F.lit(SALT)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return salted.join(copies, keys + ["_salt"], how).drop("_salt")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"lookup_join keeps rows of the big side only, not {how}")
+    return big.join(small, [on] if isinstance(on, str) else list(on), how)
 
 
 def running(
@@ -142,6 +112,7 @@ def exact_percentiles(
     points: dict[str, float | Callable[[Column], Column]],
     by: Sequence[str] = (),
     weight: str | None = None,
+    positions: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, distributed.
 
@@ -167,7 +138,7 @@ def exact_percentiles(
         ).alias("_before"),
     )
     n = F.col("_n")
-    asked = []
+    asked = [F.struct(F.lit(name).alias("p"), at(n).alias("r"), F.lit(1.0).alias("w")) for name, at in (positions or {}).items()]
     for name, q in points.items():
         fraction = q(n) if callable(q) else F.lit(float(q))
         position = fraction * (n - 1)
@@ -189,5 +160,5 @@ def exact_percentiles(
     )
     return found.groupBy(*by).agg(
         F.max("_n").alias("n"),
-        *[F.sum(F.when(F.col("_u.p") == name, F.col("_v") * F.col("_u.w"))).alias(name) for name in points],
+        *[F.sum(F.when(F.col("_u.p") == name, F.col("_v") * F.col("_u.w"))).alias(name) for name in [*points, *(positions or {})]],
     )

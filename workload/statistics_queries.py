@@ -11,8 +11,6 @@ from wishloom.operators.usage import flatten_usage
 from .frames import SQL_OPS, operations
 from .registry import query, r6
 
-B = 200  # resamples in the registered queries; the library default is 2000
-
 BUCKETS = ", ".join(
     f"({i}, '{n}', {lo if i else '-1e308'}, {hi if hi is not None else '1e308'})"
     for i, (n, (lo, hi)) in enumerate(zip(ev.bucket_labels(), fv.LATENCY_BUCKETS)))
@@ -125,19 +123,26 @@ def boot_sql(keys: str, on: str) -> str:
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys} " if keys else ""
     return f"""
-rkd AS (SELECT {k}v, row_number() OVER ({part}ORDER BY v) - 1 AS r, count(*) OVER ({part.strip()}) AS n FROM vals WHERE v IS NOT NULL),
+rkd AS (SELECT {k}v, row_number() OVER ({part}ORDER BY v) AS r, count(*) OVER ({part.strip()}) AS n FROM vals WHERE v IS NOT NULL),
 ns AS (SELECT DISTINCT {k}n FROM rkd),
-dr AS (SELECT {k}n, b, CAST('0x' || substr(md5('1337|' || b || '|' || i), 1, 8) AS BIGINT) % n AS r FROM ns, (SELECT unnest(range({B})) AS b) bb, LATERAL (SELECT unnest(range(n)) AS i) ii),
-p95 AS (SELECT {k}b, quantile_cont(v, 0.95) - 750 AS d FROM dr JOIN rkd USING ({on}r) GROUP BY ALL),
-ordr AS (SELECT {k}list(d ORDER BY d) AS o FROM p95 {'GROUP BY ' + keys if keys else ''}),
-ci AS (SELECT {k}o[{int(0.025 * (B - 1)) + 1}] AS lo, o[{int(0.975 * (B - 1)) + 1}] AS hi FROM ordr)"""
+ks AS (SELECT {k}n, step, least(CAST(floor(0.95 * (n - 1)) AS BIGINT) + 1 + step, n) AS kth FROM ns, (VALUES (0), (1)) s(step)),
+cand AS (SELECT n, kth, unnest(range(greatest(1, CAST(0.95 * n - 8 * sqrt(0.0475 * n) AS BIGINT) - 5),
+  least(n, CAST(0.95 * n + 8 * sqrt(0.0475 * n) AS BIGINT) + 5) + 1)) AS c FROM (SELECT DISTINCT n, kth FROM ks)),
+tails AS (SELECT n, kth, c, CASE WHEN c = n THEN 1.0 ELSE sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(c / n)
+  + (n - i) * ln(greatest(1 - c / n, 1e-300)))) END AS tail FROM cand, LATERAL (SELECT unnest(range(kth, n + 1)) AS i) x GROUP BY n, kth, c),
+rk AS (SELECT n, kth, min(c) FILTER (tail >= 0.025) AS lo, min(c) FILTER (tail >= 0.975) AS hi FROM tails GROUP BY n, kth),
+pick AS (SELECT {k}n, step, l.v AS lo, h.v AS hi FROM ks JOIN rk USING (n, kth)
+  JOIN (SELECT {k}r AS lo, v FROM rkd) l USING ({on}lo) JOIN (SELECT {k}r AS hi, v FROM rkd) h USING ({on}hi)),
+ci AS (SELECT {k}min(lo) FILTER (step = 0) + (min(lo) FILTER (step = 1) - min(lo) FILTER (step = 0)) * any_value(0.95 * (n - 1) - floor(0.95 * (n - 1))) - 750 AS lo,
+  min(hi) FILTER (step = 0) + (min(hi) FILTER (step = 1) - min(hi) FILTER (step = 0)) * any_value(0.95 * (n - 1) - floor(0.95 * (n - 1))) - 750 AS hi
+  FROM pick {'GROUP BY ' + keys if keys else ''})"""
 
 
 @query("a16_bootstrap_interval", f"""WITH {SQL_OPS}, vals AS (SELECT run_id, total_ms AS v FROM ops), {boot_sql('run_id', 'run_id, ')}
 SELECT run_id, n, round(lo, 6) AS delta_low, round(hi, 6) AS delta_high, CASE WHEN hi <= 0 THEN 'meet-target' WHEN lo > 0 THEN 'above-target' ELSE 'insufficient-data' END AS inference
 FROM ci JOIN ns USING (run_id)""")
 def _(t):
-    i = ev.bootstrap_interval(operations(t), "total_ms", 750.0, ["run_id"], iterations=B)
+    i = ev.bootstrap_interval(operations(t), "total_ms", 750.0, ["run_id"])
     return i.select("run_id", "n", r6("delta_low").alias("delta_low"), r6("delta_high").alias("delta_high"), "inference")
 
 
@@ -254,19 +259,19 @@ REPORT = ["request_count", "considered_count", "accuracy_inference", "p95_infere
 REPORT_FLOATS = ["mean_response_ms", "p95_ms", "accuracy", "p_value", "ci_low_ms", "ci_high_ms"]
 
 
-def _report(t, key, label):
-    r = ev.replay_report(operations(t).withColumn("grp", key), ["grp"], iterations=B)
+def _report(t, key):
+    r = ev.replay_report(operations(t).withColumn("grp", key), ["grp"])
     return r.select("grp", *REPORT, *[r6(c).alias(c) for c in REPORT_FLOATS])
 
 
 @query("x2_import_summary", f"WITH {SQL_OPS}, {report_sql('0')}")
 def _(t):
-    return _report(t, F.lit(0), "all")
+    return _report(t, F.lit(0))
 
 
 @query("x4_method_comparison", f"WITH {SQL_OPS}, {report_sql('method')}")
 def _(t):
-    return _report(t, F.col("method"), "method")
+    return _report(t, F.col("method"))
 
 
 @query("x3_job_summary", f"""WITH {SQL_OPS}, g AS (SELECT run_id % 10 AS job, {COUNTS}, round(sum(total_ms), 4) AS processing_ms, {PCT.format('total_ms')},

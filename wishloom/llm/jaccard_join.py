@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wishloom.llm.arrowmap import pieces
+from wishloom.llm.blobs import mapped, put
 from wishloom.llm.bytetext import SPACED, Rolling, blocks, mix, word_hashes, words
 from wishloom.llm.components import components
 from wishloom.llm.sizes import measured
@@ -331,8 +332,12 @@ def verify(documents: DataFrame, pairs: DataFrame, key: str, text: str, width: i
     return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _parities(documents: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """size and parity bitmap of the listed documents."""
+def _parities(documents: DataFrame, ids: DataFrame, key: str, text: str, width: int, shards: int) -> dict:
+    """Sizes and parity bitmaps of the listed documents, in order of id, in the shared folder: addresses by shard.
+
+    A document of several texts has size -1: nothing is ruled out for it.
+    """
+    folder = scratch_folder(documents.sparkSession, "parities")
     texts = documents.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).join(measured(ids, 40), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,38 +347,73 @@ def _parities(documents: DataFrame, ids: DataFrame, key: str, text: str, width:
                 of = np.repeat(np.arange(n), np.diff(off))
                 odd = np.bincount(of * PARITY * 64 + (mix(value) % np.uint64(PARITY * 64)).astype(np.int64), minlength=n * PARITY * 64) & 1
                 bits = np.packbits(odd.astype(bool).reshape(n, -1), axis=1)
+                doc = batch.column(0).slice(lo, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(np.diff(off)), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc", "size", "bits"])
-
-    return texts.select("doc", "text").mapInArrow(run, "doc bigint, size bigint, bits binary")
-
-
-def _across(up: int, down: int):
+                    [pa.array(np.mod(doc.to_numpy(), shards), pa.int32()), doc, pa.array(np.diff(off)), pa.array([b.tobytes() for b in bits], pa.binary())],
+                    names=["shard", "doc", "size", "bits"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        held = pa.Table.from_batches(batches)
+        shard, doc, size = (held[n].to_numpy().copy() for n in ("shard", "doc", "size"))
+        bits = np.frombuffer(b"".join(held["bits"].to_pylist()), np.uint64).reshape(len(doc), PARITY)
+        again = np.zeros(len(doc), bool)
+        again[1:] = doc[1:] == doc[:-1]
+        size[again | np.append(again[1:], False)] = -1
+        for s in np.unique(shard).tolist():
+            mine = (shard == s) & ~again
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32())} | {
+                n: [put(folder, f"{n}{s}", x[mine])] for n, x in (("doc", doc), ("size", size), ("bits", bits))})
+
+    rows = texts.select("doc", "text").mapInArrow(run, "shard int, doc bigint, size bigint, bits binary")
+    made = rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc").mapInArrow(
+        write, "shard int, doc string, size string, bits string").collect()
+    return {"shards": shards, "parts": {r["shard"]: r.asDict() for r in made}}
+
+
+def _described(book: dict, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size and bitmap of every document asked for."""
+    size, bits = np.zeros(len(doc), np.int64), np.zeros((len(doc), PARITY), np.uint64)
+    shard = np.mod(doc, book["shards"])
+    for s in np.unique(shard).tolist():
+        part, mine = book["parts"][s], np.flatnonzero(shard == s)
+        at = np.searchsorted(mapped(part["doc"]), doc[mine])
+        size[mine], bits[mine] = mapped(part["size"])[at], mapped(part["bits"])[at]
+    return size, bits
+
+
+def _across(book: dict, up: int, down: int):
     """Pairs of one cell in different components that the bitmaps cannot rule out."""
-    def tried(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, component, ask, size = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
-        bits = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
-        for lo in range(0, len(rows), 256):
+    def tried(doc: np.ndarray, component: np.ndarray, ask: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (component == component[0]).all():
+            return
+        size, bits = _described(book, doc)
+        for lo in range(0, len(doc), 256):
             part = slice(lo, lo + 256)
             apart = np.bitwise_count(bits[part][:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
             total = size[part][:, None] + size[None, :]
-            good = (apart <= total * (down - up) // (down + up)) & (component[part][:, None] != component[None, :]) & (
-                ask[part][:, None] | ask[None, :]) & (doc[part][:, None] < doc[None, :])
-            good &= np.minimum(size[part][:, None], size[None, :]) * down >= np.maximum(size[part][:, None], size[None, :]) * up
-            i, j = np.nonzero(good)
+            near = np.minimum(size[part][:, None], size[None, :]) * down >= np.maximum(size[part][:, None], size[None, :]) * up
+            near &= apart <= total * (down - up) // (down + up)
+            near |= (size[part][:, None] < 0) | (size[None, :] < 0)
+            near &= (component[part][:, None] != component[None, :]) & (ask[part][:, None] | ask[None, :]) & (doc[part][:, None] < doc[None, :])
+            i, j = np.nonzero(near)
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[part][i]), pa.array(doc[j])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held = None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if rows and rows[0][0] != row[0]:
-                    yield from tried(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from tried(rows)
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(),
+                   batch.column(3).to_numpy(zero_copy_only=False)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cuts = np.flatnonzero(np.diff(held[0])) + 1
+            for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if len(cuts) else ():
+                yield from tried(*[x[lo:hi] for x in held[1:]])
+            held = [x[cuts[-1]:] for x in held] if len(cuts) else held
+        if held is not None and len(held[0]):
+            yield from tried(*held[1:])
     return run
 
 
@@ -406,13 +446,13 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: i
     members.join(mixed, "g").write.parquet(f"{folder}/open")
     opened = spark.read.parquet(f"{folder}/open")
     ids = settle(opened.select("doc").distinct())
-    described = opened.join(_parities(documents, ids, key, text, width), "doc")
+    book = _parities(documents, ids, key, text, width, parts)
     cells = F.ceil(F.col("n") / CELL).cast("int")
     block = F.pmod(F.xxhash64("doc"), cells).cast("int")
-    other = described.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), cells - 1)))
+    other = opened.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), cells - 1)))
     across = other.select(
-        F.xxhash64("g", F.least("block", "k"), F.greatest("block", "k")).alias("cell"), "doc", "doc_in", "ask", "size", "bits"
-    ).repartition(parts, "cell").sortWithinPartitions("cell", "doc").mapInArrow(_across(up, down), "a bigint, b bigint")
+        F.xxhash64("g", F.least("block", "k"), F.greatest("block", "k")).alias("cell"), "doc", "doc_in", "ask"
+    ).repartition(parts, "cell").sortWithinPartitions("cell", "doc").mapInArrow(_across(book, up, down), "a bigint, b bigint")
     rest = settle(open_stars.union(across).distinct())
     second = settle(verify(documents, rest, key, text, width, up, down))
     final = components(settled.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second))

@@ -46,14 +46,32 @@ def test_combinations(spark, same):
         assert same or len(set(used)) == len(used)
 
 
-def test_capped_batches_cover_everything(spark):
-    rows = spark.createDataFrame([(i, [f"o{i % 5}", f"o{(i * 7) % 11}"]) for i in range(200)] + [(200, [])], "ord long, ids array<string>")
-    out = ds.batches_by_distinct_options(rows, "ord", "ids", 4, shard_rows=64).collect()
-    assert sorted(r["ord"] for r in out) == list(range(200))
-    held = {}
-    for r in out:
-        held.setdefault((r["shard"], r["batch"]), set()).update(r["ids"])
-    assert all(len(v) <= 4 for v in held.values())
+@pytest.mark.parametrize("n,total,filters", [(30, 2000, 30), (6, 40, 6)])
+def test_combinations_are_complete(spark, n, total, filters):
+    options = spark.createDataFrame([(f"o{i}", f"f{i % filters}") for i in range(n)], "option_id string, filter_id string")
+    got = ds.option_combinations(options, total).collect()
+    assert len(got) == len({r["combo_key"] for r in got}) == total
+
+
+def test_combinations_that_cannot_exist(spark):
+    options = spark.createDataFrame([(f"o{i}", f"f{i % 2}") for i in range(20)], "option_id string, filter_id string")
+    assert ds.option_combinations(options, 100).count() == 100  # only pairs exist, and there are 100
+
+
+def test_capped_batches_are_greedy(spark):
+    items = [(i, "ab"[i % 2] if i % 7 else None, [f"o{i % 5}", f"o{(i * 7) % 11}"]) for i in range(200)] + [(200, "a", [])]
+    rows = spark.createDataFrame(items, "ord long, grp string, ids array<string>")
+    want, state = {}, {}
+    for o, g, ids in items:
+        if ids:
+            held, number = state.get(g, (set(), 0))
+            if held and len(held | set(ids)) > 4:
+                held, number = set(), number + 1
+            state[g] = (held | set(ids), number)
+            want[o] = number
+    for parts in (1, 9):
+        out = ds.batches_by_distinct_options(rows.repartition(parts), "ord", "ids", 4, ["grp"]).collect()
+        assert {r["ord"]: r["batch"] for r in out} == want
 
 
 def test_samples(spark):

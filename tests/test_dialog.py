@@ -45,3 +45,21 @@ def test_turn_metadata_any_block(turns):
     wide = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns).collect()}
     narrow = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns, 1).collect()}
     assert wide == narrow and wide["s", 2] == (3, 3, []) and wide["s", 0][2] == ["departureDate", "to"]
+
+
+@pytest.mark.parametrize("chunk", ["2", "10000"])
+def test_stream_does_not_depend_on_arrival(spark, turns, chunk):
+    def turn(n):
+        return ("z", n, "user", "t", "en", [f"A{n}"], [], [], None, None, None, None)
+    folder, out, state = (scratch_folder(spark, n) for n in ("arrival", "arrival-out", "arrival-state"))
+    spark.createDataFrame([turn(n) for n in (2, 3, 0, 1, 4, 5, 5)], SCHEMA).coalesce(1).write.parquet(folder)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
+    try:
+        feed = spark.readStream.schema(turns.schema).parquet(folder)
+        feeds.append_log(sessions.fold_stream(feed, ttl=None), out, state).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = sorted((r.turn, r.accepted, r.from_codes) for r in spark.read.parquet(out).collect() if r.accepted)
+    assert got == [(n, True, ",".join(f"A{i}" for i in range(n + 1))) for n in range(6)]
+    assert spark.read.parquet(out).where("not accepted").count() == 1

@@ -82,10 +82,11 @@ def test_usage_totals(spark):
         {"usage": {"components": [{"usage": {"tokensIn": 10, "tokensOut": 5, "apiCalls": 1}}]}},
         {"usage": {"components": [{"usage": {"tokensIn": 20, "tokensOut": 10, "apiCalls": 2, "cpuMs": 7.5}}, {"metrics": {"ramMbSeconds": 3.6}}]}},
         {"usage": {"ok": True}, "other": {"tokensIn": 99}},
+        {"components": [{"usage": {"name": "x"}, "requests": 2}, {"usage": {}, "requests": 3}, {"usage": {"apiCalls": 1}, "requests": 50}]},
     ]
     df = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(shapes)], "op long, meta string")
     totals = {r["metric"]: r["total"] for r in ev.usage_totals(flatten_usage(df, "op", "meta")).collect()}
-    assert totals == {"tokensIn": 30, "tokensOut": 15, "apiCalls": 3, "cpuMs": 7.5, "ramMbSeconds": 3.6}
+    assert totals == {"tokensIn": 30, "tokensOut": 15, "apiCalls": 9, "cpuMs": 7.5, "ramMbSeconds": 3.6}
 
 
 def test_peak_concurrency_equals_sweep(spark):

@@ -56,7 +56,7 @@ def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
 
 def hashed_bag_of_words(text: Column, dimension: int = 64) -> Column:
     """Deterministic stand-in for an embedding provider, natively computed."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension)))
+    slots = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimension)
     return F.transform(
         F.sequence(F.lit(0), F.lit(dimension - 1)),
         lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"),

@@ -61,37 +61,55 @@ def option_combinations(options: DataFrame, total: int, seed: int = 13, weights:
     single_option_filters.
 
     options: option_id, filter_id. Each size gets round(total * weight) sets.
-    Every option is an anchor and meets `neighbours` hash-chosen partners by
-    an equi-join on slots, so work grows with options * neighbours and not
-    with their product. Sets are then taken in hash order. Returns size,
-    combo_key, option_ids.
+    Every option is an anchor and meets hash-chosen partners by an equi-join on
+    slots, `neighbours` in the first round and twice as many in each further
+    one, so work grows with options * draws and not with their product. Rounds
+    go on until every size has its sets, or two rounds in a row find no new
+    one. Sets are taken by round, then hash order. What a size cannot fill
+    goes to the others as far as they have sets. Returns size, combo_key,
+    option_ids.
     """
     weights = weights or fv.COMBINATION_WEIGHTS
     slots = settle(slot_table(options, seed))
     n = slots.count()
+    none = slots.select(F.lit(2).alias("size"), F.lit("").alias("combo_key"), F.array("option_id").alias("option_ids")).where(F.lit(False))
     if n < 2:
-        return slots.select(F.lit(2).alias("size"), F.lit("").alias("combo_key"),
-                            F.array("option_id").alias("option_ids")).where(F.lit(False))
-    sets = slots.select(F.col("slot").alias("anchor"), F.array("option_id").alias("option_ids"), F.array("filter_id").alias("filter_ids"))
-    parts = []
-    for size in range(2, max(weights) + 1):
-        draws = F.explode(F.sequence(F.lit(0), F.lit(neighbours - 1))) if size == 2 else F.lit(0)
-        grown = sets.withColumn("draw" if size == 2 else "_d", draws)
-        pick = F.conv(F.substring(hash_order(seed, F.lit(size), F.col("anchor"), F.col("draw")), 1, 8), 16, 10).cast("long") % n
-        fresh = ~F.array_contains("filter_ids", F.col("filter_id"))
-        if allow_same_filter:
-            fresh = ~F.array_contains("option_ids", F.col("option_id")) & (
-                fresh | ~F.col("filter_id").isin(list(single_option_filters)))
-        met = lookup_join(grown.withColumn("slot", pick), slots, "slot").where(fresh)
-        sets = met.select("anchor", "draw", F.array_sort(F.concat("option_ids", F.array("option_id"))).alias("option_ids"),
-                          F.concat("filter_ids", F.array("filter_id")).alias("filter_ids"))
-        if size in weights:
-            keyed = sets.select(F.lit(size).alias("size"), F.array_join("option_ids", "+").alias("combo_key"), "option_ids").dropDuplicates(["combo_key"])
-            quota = int(total * weights[size] + 0.5)
-            parts.append(keyed.orderBy(hash_order(seed, F.col("combo_key")), "combo_key").limit(quota))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        return none
+    wanted = {size: int(total * w + 0.5) for size, w in sorted(weights.items())}
+
+    def draw(start: int, count: int, number: int) -> DataFrame:
+        sets = slots.select(F.col("slot").alias("anchor"), F.array("option_id").alias("option_ids"), F.array("filter_id").alias("filter_ids"),
+                            F.explode(F.sequence(F.lit(start), F.lit(start + count - 1))).alias("draw"))
+        found = none.withColumn("round", F.lit(number))
+        for size in range(2, max(weights) + 1):
+            pick = F.conv(F.substring(hash_order(seed, F.lit(size), F.col("anchor"), F.col("draw")), 1, 8), 16, 10).cast("long") % n
+            fresh = ~F.array_contains("filter_ids", F.col("filter_id"))
+            if allow_same_filter:
+                fresh = ~F.array_contains("option_ids", F.col("option_id")) & (
+                    fresh | ~F.col("filter_id").isin(list(single_option_filters)))
+            met = lookup_join(sets.withColumn("slot", pick), slots, "slot").where(fresh)
+            sets = met.select("anchor", "draw", F.array_sort(F.concat("option_ids", F.array("option_id"))).alias("option_ids"),
+                              F.concat("filter_ids", F.array("filter_id")).alias("filter_ids"))
+            if size in weights:
+                found = found.union(sets.select(F.lit(size).alias("size"), F.array_join("option_ids", "+").alias("combo_key"), "option_ids",
+                                                F.lit(number).alias("round")).dropDuplicates(["combo_key"]))
+        return found
+
+    found, have, start, idle, number = None, {}, 0, 0, 0
+    while idle < 2 and (found is None or any(have.get(size, 0) < quota for size, quota in wanted.items())):
+        count = neighbours * 2**number
+        new = draw(start, count, number)
+        found = settle(new if found is None else found.union(new.join(found.select("combo_key"), "combo_key", "left_anti").select(new.columns)))
+        before, have = sum(have.values()), {r["size"]: r["count"] for r in found.groupBy("size").count().collect()}
+        idle = idle + 1 if sum(have.values()) == before else 0
+        start, number = start + count, number + 1
+    quota = {size: min(q, have.get(size, 0)) for size, q in wanted.items()}
+    for size in quota:
+        quota[size] += min(max(0, sum(wanted.values()) - sum(quota.values())), have.get(size, 0) - quota[size])
+    out = none
+    for size, q in quota.items():
+        out = out.union(found.where(F.col("size") == size).orderBy("round", hash_order(seed, F.col("combo_key")), "combo_key").limit(q).select(
+            "size", "combo_key", "option_ids"))
     return out
 
 
@@ -138,32 +156,35 @@ def batches(df: DataFrame, order: str, size: int, by: Sequence[str] = (), block_
     return numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
 
 
-def batches_by_distinct_options(df: DataFrame, order: str, option_ids: str, cap: int,
-                                shard_rows: int = 100_000) -> DataFrame:
-    """Greedy batches holding at most `cap` distinct option ids.
+def batches_by_distinct_options(df: DataFrame, order: str, option_ids: str, cap: int, by: Sequence[str]) -> DataFrame:
+    """Greedy batches holding at most `cap` distinct option ids, per group.
 
-    The scan depends on order, so it runs in pandas over stretches of
-    shard_rows consecutive positions of `order` (a unique integer), which
-    bounds what one task holds; a batch ends where its stretch ends. Rows
-    without ids drop. Adds shard and batch.
+    A batch depends on all rows before it, so a group is scanned in order;
+    `by` names the groups and thereby how far the work spreads. The scan
+    streams sorted rows and holds one batch's ids. Rows without ids drop.
+    Adds batch, from 0 in every group.
     """
     import pandas as pd
 
-    rows = df.where(F.size(option_ids) > 0).withColumn("shard", F.floor(F.col(order) / shard_rows).cast("long"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", batch long"
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        held, number, numbers = set(), 0, []
-        for values in pdf[option_ids]:
-            wider = held.union(values)
-            if held and len(wider) > cap:
-                number, wider = number + 1, set(values)
-            held = wider
-            numbers.append(number)
-        return pdf.assign(batch=numbers)
-
-    return rows.groupBy("shard").applyInPandas(scan, schema)
+    by = list(by)
+    rows = df.where(F.size(option_ids) > 0).repartition(*by).sortWithinPartitions(*by, order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long"
+
+    def scan(chunks):
+        group, held, number = None, set(), 0
+        for chunk in chunks:
+            numbers = []
+            for values, *key in zip(chunk[option_ids], *[chunk[c].astype(object).where(chunk[c].notna(), None) for c in by], strict=True):
+                if group != key:
+                    group, held, number = key, set(), 0
+                wider = held.union(values)
+                if held and len(wider) > cap:
+                    number, wider = number + 1, set(values)
+                held = wider
+                numbers.append(number)
+            yield chunk.assign(batch=pd.Series(numbers, index=chunk.index, dtype="int64"))
+
+    return rows.mapInPandas(scan, schema)
 
 
 def merge_lists(*lists: Column) -> Column:

@@ -33,6 +33,16 @@ def _leaves(node: dict, path: str, done: set):
             yield here, key, str(value)
 
 
+def is_metric(key: str) -> bool:
+    """Whether usage_metric names a metric for the key."""
+    k = "".join(c for c in key.lower() if c.isalnum())
+    has = lambda *words: any(w in k for w in words)
+    return (has("token") and has("out", "completion", "response", "candidate", "in", "prompt")
+            or has("api") and has("call", "request") or k == "requests"
+            or has("cpu") and has("ms", "millisecond", "time", "duration")
+            or has("ram", "mem") and has("mb", "byte", "footprint") and has("sec", "time", "duration", "footprint"))
+
+
 def walk(metadata: dict):
     """(path, key, value) of every usage scalar, each place counted once."""
     done: set = set()
@@ -51,7 +61,8 @@ def walk(metadata: dict):
             done.add(base)
             found = [leaf for part in ("usage", "metrics") if isinstance(entry.get(part), dict)
                      for leaf in _leaves(entry[part], f"{base}.{part}", done)]
-            yield from found or [(f"{base}.{k}", k, str(v)) for k, v in entry.items()
+            # the entry's own figures count unless its usage names a metric already
+            yield from found if any(is_metric(k) for _, k, _v in found) else [(f"{base}.{k}", k, str(v)) for k, v in entry.items()
                                  if not isinstance(v, (bool, list, dict)) and v is not None]
     for name in _CONTAINERS:
         if isinstance(metadata.get(name), dict):

@@ -11,45 +11,69 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUTPUT = ("session string, turn long, accepted boolean, from_codes string, to_ids string, departure_dates string, "
           "duration_id string, rooms int, reason string")
 STATE = ("turn long, from_codes array<string>, to_ids array<string>, departure_dates array<string>, "
-         "duration_id string, rooms int")
+         "duration_id string, rooms int, early array<struct<turn:bigint,from_codes:array<string>,to_ids:array<string>,"
+         "departure_dates:array<string>,duration_id:string,rooms:int>>")
 
 
 def _present(value) -> list:
     return [] if value is None else list(value)
 
 
+def _plain(value):
+    return list(value) if isinstance(value, (list, tuple)) or hasattr(value, "tolist") else value
+
+
 def fold_stream(turns: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
     """Merge turns per session as they arrive, one output row per turn.
 
-    A turn must follow the last accepted one by exactly 1: a gap or a repeat
-    is reported and leaves the state alone. Idle sessions are dropped after
-    `ttl`, which bounds the state; a session's lists are bounded by the
-    gazetteer, and its turns arrive in Arrow chunks. A finite feed (trigger
-    availableNow) takes ttl=None, because timeouts keep such a run going.
+    Turns apply in order of their number. A turn that comes early is held in the
+    state until the gap before it closes, however turns are chunked; one that
+    comes again is reported. Idle sessions are dropped after `ttl`, which bounds
+    the state, and turns still held then are reported as missing their
+    predecessor. A finite feed (trigger availableNow) takes ttl=None, because
+    timeouts keep such a run going: what is early at the end is reported.
     """
+    columns = [c.split()[0] for c in OUTPUT.split(", ")]
+
+    def report(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"rooms": "Int32"})
+
+    def refused(session, number: int, expected: int) -> tuple:
+        return (session, number, False, None, None, None, None, None, f"expected turn {expected}")
+
     def merge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turn, origins, places, dates, duration, rooms, early = state.get if state.exists else (-1, [], [], [], None, None, [])
+        origins, places, dates = list(origins), list(places), list(dates)
+        waiting = {e[0]: tuple(e[1:]) for e in early or []}
         if state.hasTimedOut:
             state.remove()
+            if waiting:
+                yield report([refused(key[0], n, turn + 1) for n in sorted(waiting)])
             return
-        turn, origins, places, dates, duration, rooms = state.get if state.exists else (-1, [], [], [], None, None)
-        origins, places, dates = list(origins), list(places), list(dates)
-        out = []
         for chunk in chunks:
-            for row in chunk.sort_values("turn", kind="stable").itertuples():
-                if row.turn != turn + 1:
-                    out.append((key[0], row.turn, False, None, None, None, None, None, f"expected turn {turn + 1}"))
+            out = []
+            for row in chunk.itertuples():
+                if row.turn <= turn or row.turn in waiting:
+                    out.append(refused(key[0], row.turn, turn + 1))
                     continue
-                turn = row.turn
-                origins = list(dict.fromkeys(origins + _present(row.from_codes)))
-                places = list(dict.fromkeys(places + _present(row.to_ids)))
-                dates = _present(row.departure_dates) or dates
-                duration = row.duration_id or duration
-                rooms = int(row.rooms) if row.rooms is not None and not pd.isna(row.rooms) else rooms
-                out.append((key[0], turn, True, ",".join(origins), ",".join(places), ",".join(dates), duration, rooms, None))
-        state.update((int(turn), origins, places, dates, duration, rooms))
+                count = int(row.rooms) if row.rooms is not None and not pd.isna(row.rooms) else None
+                waiting[row.turn] = (_present(row.from_codes), _present(row.to_ids), _present(row.departure_dates), row.duration_id, count)
+                while turn + 1 in waiting:
+                    turn += 1
+                    more_origins, more_places, own_dates, own_duration, own_rooms = waiting.pop(turn)
+                    origins = list(dict.fromkeys(origins + list(more_origins)))
+                    places = list(dict.fromkeys(places + list(more_places)))
+                    dates, duration = list(own_dates) or dates, own_duration or duration
+                    rooms = rooms if own_rooms is None else own_rooms
+                    out.append((key[0], turn, True, ",".join(origins), ",".join(places), ",".join(dates), duration, rooms, None))
+            if out:
+                yield report(out)
+        if ttl is None and waiting:
+            yield report([refused(key[0], n, turn + 1) for n in sorted(waiting)])
+            waiting = {}
+        state.update((int(turn), origins, places, dates, duration, rooms, [(int(n), *map(_plain, w)) for n, w in sorted(waiting.items())]))
         if ttl is not None:
             state.setTimeoutDuration(_milliseconds(ttl))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"rooms": "Int32"})
 
     return turns.groupBy("session").applyInPandasWithState(
         merge, OUTPUT, STATE, "append",

@@ -84,13 +84,15 @@ def _(t):
     return multi.unionByName(single).groupBy("kind", "option_id").agg(F.count("*").alias("n"))
 
 
-@query("g5_capped_batches")
-def _(t):
-    rows = t.part.select(F.col("p_partkey").alias("ord"), F.array_distinct(F.array("p_brand", "p_type")).alias("ids"))
-    b = ds.batches_by_distinct_options(rows, "ord", "ids", 6, shard_rows=5000)
-    held = b.select("shard", "batch", "ord", F.explode("ids").alias("id")).groupBy("shard", "batch").agg(
-        F.countDistinct("id").alias("distinct_ids"), F.countDistinct("ord").alias("rows"))
-    return held.withColumn("within_cap", F.col("distinct_ids") <= 6)
+@query("g5_capped_batches", """WITH RECURSIVE r AS (SELECT p_partkey AS ord, p_brand AS grp, list_distinct([p_type, 's' || p_size]) AS ids, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
+g AS (SELECT grp, rn, ord, ids AS held, 0 AS batch FROM r WHERE rn = 1
+ UNION ALL SELECT r.grp, r.rn, r.ord, CASE WHEN len(list_distinct(held || ids)) > 6 THEN ids ELSE list_distinct(held || ids) END,
+  batch + CASE WHEN len(list_distinct(held || ids)) > 6 THEN 1 ELSE 0 END FROM g JOIN r ON r.grp = g.grp AND r.rn = g.rn + 1)
+SELECT grp, ord, CAST(batch AS BIGINT) AS batch FROM g""")
+def _(t):
+    rows = t.part.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("grp"),
+                         F.array_distinct(F.array("p_type", F.concat(F.lit("s"), "p_size"))).alias("ids"))
+    return ds.batches_by_distinct_options(rows, "ord", "ids", 6, ["grp"]).select("grp", "ord", "batch")
 
 
 @query("g6_merge_lists", """WITH x AS (SELECT o_orderkey, ['A' || o_custkey % 3, 'A' || o_custkey % 5, 'A' || o_orderkey % 4, 'A' || o_custkey % 3] AS l FROM orders),

@@ -10,6 +10,7 @@ from wishloom.operators import preferences as pf
 from wishloom.operators import similarity as sm
 from wishloom.plans.scale import lookup_join, settle
 
+from .frames import TOKS, norm
 from .registry import query, r6
 from .text_queries import clauses
 
@@ -193,7 +194,9 @@ def _(t):
     return usable_embeddings(raw).groupBy("label").agg(F.count("*").alias("records"), F.sum(F.size("embedding")).alias("numbers"))
 
 
-@query("u2_hashed_vectors")
+@query("u2_hashed_vectors", f"""WITH t AS (SELECT doc_id, {TOKS.format(norm('text'))} AS ts FROM documents),
+h AS (SELECT doc_id, list_transform(ts, lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16) AS hs, len(ts) AS n FROM t)
+SELECT doc_id, CAST(n AS INT) AS n, array_to_string(list_transform(range(16), lambda i: len(list_filter(hs, lambda x: x = i))), ',') AS v FROM h""")
 def _(t):
     d = t.documents.select("doc_id", vx.hashed_bag_of_words(F.col("text"), 16).alias("v"), F.size(tokens(F.col("text"))).alias("n"))
-    return d.select("doc_id", (F.aggregate("v", F.lit(0.0), lambda s, x: s + x) == F.col("n")).alias("whole"))
+    return d.select("doc_id", "n", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",").alias("v"))

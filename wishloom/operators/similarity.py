@@ -41,7 +41,7 @@ def _write_tiles(options: DataFrame, option: str, vector: str, order: str, tile_
     """Options in order (order, id), cut into files of bounded size; the addresses in that order."""
     spark = options.sparkSession
     folder = scratch_folder(spark, "tiles")
-    rows = options.select(F.col(option).cast("string").alias("id"), F.col(order).cast("long").alias("ord"),
+    rows = options.select(F.col(option).cast("string").alias("id"), F.col(order).alias("ord"),
                           F.col(vector).cast("array<double>").alias("vector"))
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 1
     tile_rows = max(1, tile_bytes // (8 * max(width, 1)))

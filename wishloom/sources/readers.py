@@ -18,13 +18,21 @@ SYNONYM_INPUT_COLUMNS = ["ID", "filterName", "filterId", "optionId", "optionName
 REPLAY_COLUMNS = ["User input", "Expected values"]
 
 
-def csv_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Header CSV with quoted newlines; a byte-order mark is dropped by the reader."""
+def csv_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True, order: str | None = None) -> DataFrame:
+    """Header CSV with quoted newlines; a byte-order mark is dropped by the reader.
+
+    Quoted newlines need a whole file per task (multi_line), so large inputs
+    come as many files, or without such fields. `order` names a column for the
+    place of a row: file, block and row in it, whatever files are packed together.
+    """
     if len(delimiter) != 1:
         raise ValueError("CSV delimiter must be a single character")
-    df = spark.read.csv(path, header=True, multiLine=True, sep=delimiter, quote='"', escape='"',
+    df = spark.read.csv(path, header=True, multiLine=multi_line, sep=delimiter, quote='"', escape='"',
                         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    named = [F.col(f"`{c}`").alias(c.replace("﻿", "").strip()) for c in df.columns]
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return df.select(*named, *[place.alias(order)] if order else [])
 
 
 def require_columns(df: DataFrame, required: Iterable[str], what: str) -> DataFrame:
@@ -50,7 +58,7 @@ def read_catalogue(spark: SparkSession, path: str, delimiter: str = ",") -> Data
     The file's own line order decides the ordinals. Empty files, blank fields
     and duplicate options in a filter are rejected.
     """
-    raw = csv_table(spark, path, delimiter)
+    raw = csv_table(spark, path, delimiter, order="_ord")
     for alias, name in CATALOGUE_ALIASES.items():
         if name not in raw.columns and alias in raw.columns:
             raw = raw.withColumnRenamed(alias, name)
@@ -58,8 +66,8 @@ def read_catalogue(spark: SparkSession, path: str, delimiter: str = ",") -> Data
     if raw.isEmpty():
         raise ValueError("Filters catalogue is empty")
     synonyms = F.col("synonyms") if "synonyms" in raw.columns else F.lit("")
-    # ordinals come from the scan itself: no shuffle precedes this id
-    rows = raw.withColumn("_ord", F.monotonically_increasing_id()).select(
+    # ordinals are places in the files, so they do not change with the packing of files
+    rows = raw.select(
         *[must_hold(c, "filters catalogue").alias(n) for c, n in zip(
             CATALOGUE_COLUMNS, ("filter_id", "filter_label", "option_id", "option_label"))],
         clean_list(F.split(F.coalesce(synonyms, F.lit("")), r"\|")).alias("synonyms"),
@@ -133,7 +141,7 @@ def type_bookings(raw: DataFrame) -> DataFrame:
 
 
 def read_bookings(spark: SparkSession, path: str) -> DataFrame:
-    return type_bookings(csv_table(spark, path).withColumn("ord", F.monotonically_increasing_id()))
+    return type_bookings(csv_table(spark, path, order="ord"))
 
 
 def read_entities(spark: SparkSession, path: str, collection: str) -> DataFrame:

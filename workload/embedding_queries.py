@@ -52,11 +52,11 @@ def _(t):
 
 @query("e2_unit_vectors", f"""
 WITH n AS (SELECT vec_id, {V} AS v, sqrt(list_dot_product({V}, {V})) AS l FROM embeddings)
-SELECT vec_id, round(v[1] / l, 6) AS first, round(v[64] / l, 6) AS last, 1.0::DOUBLE AS length FROM n""")
+SELECT vec_id, array_to_string(list_transform(v, lambda x: CAST(CAST(round(x / l * 1e6) AS BIGINT) AS VARCHAR)), ' ') AS components, 1.0::DOUBLE AS length FROM n""")
 def _(t):
     u = t.embeddings.select("vec_id", vx.unit(F.col("embedding")).alias("u"))
-    return u.select("vec_id", r6(F.col("u")[0]).alias("first"), r6(F.col("u")[63]).alias("last"),
-                    r6(vx.norm(F.col("u"))).alias("length"))
+    whole = F.array_join(F.transform("u", lambda x: F.round(x * 1e6).cast("long").cast("string")), " ")
+    return u.select("vec_id", whole.alias("components"), r6(vx.norm(F.col("u"))).alias("length"))
 
 
 @query("a23_centroids", f"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wishloom.functions import fixed_values as fv
 from wishloom.operators import imputation as im
 from wishloom.operators import popularity as pop
 from wishloom.plans.scale import settle
@@ -257,6 +256,3 @@ def _(t):
     merged = im.merge_imputed(own, i, airports(t))
     return merged.select("request_id", F.array_join(F.coalesce("to_ids", none), ",").alias("to_ids"),
                          F.array_join("from_codes", ",").alias("from_codes"), "duration_id")
-
-
-_ = fv

@@ -117,13 +117,13 @@ LATIN = "[A-Za-zÀ-ÿ'']+"
 
 
 @query("t5_alphabetic_tokens", f"""
-SELECT doc_id, len(tk) AS n_tokens, len(list_distinct(tk)) AS distinct_tokens, coalesce(array_to_string(tk[1:8], ' '), '') AS head
+SELECT doc_id, len(tk) AS n_tokens, len(list_distinct(tk)) AS distinct_tokens, md5(array_to_string(tk, ' ')) AS tokens_md5
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '{LATIN}') AS tk FROM documents)""")
 def _(t):
     d = t.documents.select("doc_id", tx.alphabetic_tokens(F.col("text")).alias("tk"))
     return d.select("doc_id", F.size("tk").cast("long").alias("n_tokens"),
                     F.size(F.array_distinct("tk")).cast("long").alias("distinct_tokens"),
-                    F.array_join(F.slice("tk", 1, 8), " ").alias("head"))
+                    F.md5(F.array_join("tk", " ")).alias("tokens_md5"))
 
 
 def _words(lang: str) -> str:

@@ -29,6 +29,13 @@ def test_running_equals_plain_window(spark, block):
     assert {(r["k"], r["i"]): (r["s"], r["l"]) for r in got.collect()} == want
 
 
+def test_percentiles_of_values_within_a_percent(spark):
+    values = 1000 + np.arange(40_000) / 5000.0
+    df = spark.range(40_000).select((1000 + F.col("id") / 5000.0).alias("v"))
+    got = scale.exact_percentiles(df, "v", {"a": 0.5, "b": 0.95}).first()
+    assert (got["a"], got["b"]) == (pytest.approx(np.quantile(values, 0.5)), pytest.approx(np.quantile(values, 0.95)))
+
+
 def test_exact_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     groups = {"normal": rng.normal(0, 50, 999), "ties": rng.integers(0, 4, 500) * 1.0, "one": np.array([7.5]),

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+PARTS = 4096
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the session names; make a local one only for a local master."""
     context = spark.sparkContext
@@ -117,8 +120,9 @@ def exact_percentiles(
     """Exact linearly interpolated percentiles per group, distributed.
 
     The built-in `percentile` keeps every distinct value of a group in one
-    task. Here values are counted first, counts are summed per coarse bucket,
-    and only the buckets that hold a wanted rank are ordered. A point is a
+    task. Here values are counted first and counts are summed per coarse bucket;
+    a bucket that holds a wanted rank is cut into PARTS, and only the part with
+    the rank is ordered, so values within a percent of each other spread too. A point is a
     fraction or a function of the group size. `weight` names a column of
     counts for values that are already counted. Returns by + n + points.
     """
@@ -130,8 +134,8 @@ def exact_percentiles(
         .withColumn("_b", value_bucket(F.col("_v")))
     )
     group = Window.partitionBy(*by)
-    buckets = counted.groupBy(*by, "_b").agg(F.sum("_c").alias("_t")).select(
-        *by, "_b", "_t",
+    buckets = counted.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(
+        *by, "_b", "_t", "_lo", "_hi",
         F.sum("_t").over(group).alias("_n"),
         F.coalesce(
             F.sum("_t").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -148,13 +152,21 @@ def exact_percentiles(
     wanted = (
         buckets.withColumn("_a", F.explode(F.array(*asked)))
         .where((F.col("_a.r") >= F.col("_before")) & (F.col("_a.r") < F.col("_before") + F.col("_t")))
-        .groupBy(*by, "_b", "_n", "_before", F.col("_a.r").alias("_r"))
+        .groupBy(*by, "_b", "_n", "_before", "_lo", "_hi", F.col("_a.r").alias("_r"))
         .agg(F.collect_list(F.struct("_a.p", "_a.w")).alias("_uses"))
     )
+    # the bucket of a rank is cut into equal parts between its least and largest value
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    parts = counted.join(wanted, by + ["_b"]).withColumn("_part", F.least(F.floor(share * PARTS), F.lit(PARTS - 1)))
+    ahead = Window.partitionBy(*by, "_r").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = parts.groupBy(*by, "_r", "_before", "_part").agg(F.sum("_c").alias("_t")).withColumn(
+        "_end", F.col("_before") + F.sum("_t").over(ahead)).where(
+        (F.col("_r") < F.col("_end")) & (F.col("_r") >= F.col("_end") - F.col("_t"))).select(
+        *by, "_r", "_part", (F.col("_end") - F.col("_t")).alias("_start"))
     inside = Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        counted.join(wanted, by + ["_b"])
-        .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+        parts.join(chosen, by + ["_r", "_part"])
+        .withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
         .where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
         .select(*by, "_n", "_v", F.explode("_uses").alias("_u"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 2_000_000
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -161,7 +161,9 @@ def read_model_responses(df: DataFrame, body: str = "body", key: str = "request_
     """Stored model responses to typed fields; malformed ones carry `response_error`.
 
     Both envelopes are read: choices[0].message.content and
-    candidates[0].content.parts[0].
+    candidates[0].content.parts[0]. An airport or destination is an id, which the
+    gazetteer must know (airport_listed, destination_listed), or an object that
+    stands for itself and gives its id.
     """
     outer = F.try_parse_json(F.col(body))
     message = F.coalesce(
@@ -181,17 +183,27 @@ def read_model_responses(df: DataFrame, body: str = "body", key: str = "request_
         F.try_variant_get(inner, f"$.llm.{k}", "string"), F.try_variant_get(inner, f"$.meta.{k}", "string"),
         F.try_variant_get(inner, f"$.metadata.{k}", "string"), F.try_variant_get(inner, f"$._metadata.{k}", "string"),
         F.nullif(F.try_variant_get(inner, f"$.{k}", "string"), F.lit(""))).alias(k) for k in MODEL_META]))
-    is_object = F.coalesce(F.schema_of_variant(inner), F.lit("")).startswith("OBJECT")
-    out = staged.withColumns({
-        "airport_ids": F.coalesce(F.try_variant_get(inner, "$.airports", "array<string>"), F.array().cast("array<string>")),
-        "destination_ids": F.coalesce(F.try_variant_get(inner, "$.destinations", "array<string>"), F.array().cast("array<string>")),
+    holds_object = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")
+    is_object = holds_object(inner)
+
+    def places(path):
+        found = F.coalesce(F.try_variant_get(inner, path, "array<variant>"), F.array().cast("array<variant>"))
+        return F.filter(F.transform(found, lambda v: F.struct(
+            F.when(holds_object(v), F.try_variant_get(v, "$.id", "string")).otherwise(F.try_variant_get(v, "$", "string")).alias("id"),
+            holds_object(v).alias("given"))), lambda e: e["id"].isNotNull())
+
+    ids = lambda entries: F.transform(entries, lambda e: e["id"])
+    listed = lambda entries: ids(F.filter(entries, lambda e: ~e["given"]))
+    out = staged.withColumns({"_airports": places("$.airports"), "_destinations": places("$.destinations")}).withColumns({
+        "airport_ids": ids(F.col("_airports")), "destination_ids": ids(F.col("_destinations")),
+        "airport_listed": listed(F.col("_airports")), "destination_listed": listed(F.col("_destinations")),
         "duration_id": first_id("$.duration"), "flex_id": first_id("$.flexibility"),
         "iso_dates": F.coalesce(iso, F.array().cast("array<string>")), "response_meta": meta,
     })
     bad_date = F.get(F.filter("iso_dates", lambda d: d.try_cast("timestamp").isNull()), F.lit(0))
     error = (F.when(inner.isNull() | ~is_object, F.lit("Model response must be an object"))
              .when(bad_date.isNotNull(), F.concat(F.lit("Model returned invalid ISO date '"), bad_date, F.lit("'"))))
-    return out.withColumn("response_error", error).drop("_inner")
+    return out.withColumn("response_error", error).drop("_inner", "_airports", "_destinations")
 
 
 def check_known_ids(df: DataFrame, ids: str, entities: DataFrame, label: str, key: str = "request_id",

@@ -415,15 +415,18 @@ def _(t):
 
 
 @query("h3_model_responses", """WITH s AS (SELECT o_orderkey AS request_id, o_orderkey % 6 AS v, strftime(o_orderdate, '%Y-%m-%d') AS d, o_custkey % 30 AS n, o_custkey FROM orders)
-SELECT request_id, CASE v WHEN 4 THEN '' ELSE 'n' || n END AS airports, CASE WHEN v IN (0, 1) THEN d WHEN v = 2 THEN d || ',' || d WHEN v IN (3) THEN 'soon' ELSE '' END AS dates,
+SELECT request_id, CASE v WHEN 4 THEN '' WHEN 5 THEN 'n' || n || ',ZZ' ELSE 'n' || n END AS airports, CASE WHEN v = 4 THEN '' ELSE 'R' || (n % 7) || CASE WHEN v = 0 THEN ',own' ELSE '' END END AS destinations, CASE WHEN v IN (0, 1) THEN d WHEN v = 2 THEN d || ',' || d WHEN v IN (3) THEN 'soon' ELSE '' END AS dates,
  CASE v WHEN 0 THEN '2010' WHEN 1 THEN '2003' END AS duration_id, CASE v WHEN 0 THEN 'm1' WHEN 1 THEN 'm2' END AS model,
- CASE WHEN v = 4 THEN 'Model response must be an object' WHEN v = 3 THEN 'Model returned invalid ISO date ''soon''' WHEN n >= 25 THEN 'Unknown departure airport ''n' || n || ''' returned by model' END AS error FROM s""")
+ CASE WHEN v = 4 THEN 'Model response must be an object' WHEN v = 3 THEN 'Model returned invalid ISO date ''soon''' WHEN n >= 25 THEN 'Unknown departure airport ''n' || n || ''' returned by model' WHEN n % 7 >= 5 THEN 'Unknown destination ''R' || (n % 7) || ''' returned by model' END AS error FROM s""")
 def _(t):
     k, d = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     code = F.concat(F.lit("n"), F.col("o_custkey") % 30)
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    base = F.concat(F.lit('{"airports":['), q(code), F.lit("]"))
     v = k % 6
+    own = F.when(v == 5, ',{"id":"ZZ","name":"Own"}').otherwise("")
+    place = q(F.concat(F.lit("R"), F.col("o_custkey") % 30 % 7))
+    base = F.concat(F.lit('{"airports":['), q(code), own, F.lit('],"destinations":['), place,
+                    F.when(v == 0, ',{"id":"own","name":"Given by the model"}').otherwise(""), F.lit("]"))
     inner = (F.when(v == 0, F.concat(base, F.lit(',"dates":['), q(d), F.lit('],"duration":"2010","model":"m0","llm":{"model":"m1"}}')))
              .when(v == 1, F.concat(base, F.lit(',"dates":[{"phrase":"then","iso":'), q(d), F.lit('}],"duration":{"id":"2003"},"model":"m2"}')))
              .when(v == 2, F.concat(base, F.lit(',"dates":[{"value":'), q(d), F.lit('},{"date":'), q(d), F.lit("}]}")))
@@ -433,6 +436,7 @@ def _(t):
     body = F.when(k % 2 == 0, F.concat(F.lit('{"choices":[{"message":{"content":'), content, F.lit("}}]}"))).otherwise(
         F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":'), content, F.lit("}]}}]}")))
     rows = t.orders.select(k.alias("request_id"), body.alias("body"))
-    read = ex.check_known_ids(ex.read_model_responses(rows), "airport_ids", airports(t), "departure airport", upper=True)
-    return read.select("request_id", F.array_join("airport_ids", ",").alias("airports"), F.array_join("iso_dates", ",").alias("dates"),
+    read = ex.check_known_ids(ex.read_model_responses(rows), "airport_listed", airports(t), "departure airport", upper=True)
+    read = ex.check_known_ids(read, "destination_listed", destinations(t), "destination")
+    return read.select("request_id", F.array_join("airport_ids", ",").alias("airports"), F.array_join("destination_ids", ",").alias("destinations"), F.array_join("iso_dates", ",").alias("dates"),
                        "duration_id", F.get_json_object("response_meta", "$.model").alias("model"), F.col("response_error").alias("error"))

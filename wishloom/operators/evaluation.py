@@ -271,3 +271,23 @@ def replay_report(ops: DataFrame, by: Sequence[str] = (), failed: Column | None
     return out if by else out.drop("_all")
 
 
+def import_summary(ops: DataFrame, key: str, metadata: str, order: str, by: Sequence[str] = (), **targets) -> DataFrame:
+    """The whole report of a run: replay_report with stored mismatches, the resolved method and usage totals.
+
+    `metadata` is a JSON text column; `order` breaks ties of methods.
+    """
+    from .usage import flatten_usage
+
+    keys = list(by) or ["_all"]
+    rows = (ops if by else ops.withColumn("_all", F.lit(0))).withColumn("_parsed", F.try_parse_json(F.col(metadata)))
+    stored = F.try_variant_get("_parsed", "$.expectedValueMismatches", "array<variant>")
+    rows = rows.withColumn("_stored", F.coalesce(F.size(stored), F.lit(0)))
+    report = replay_report(rows, keys, (F.col("_stored") > 0) | ~is_success(F.col("status")), **targets)
+    found = rows.groupBy(*keys).agg(F.count_if(F.col("_stored") > 0).alias("stored_mismatch_rows"), F.sum("_stored").alias("stored_mismatches"))
+    label = F.coalesce(*[F.nullif(F.trim(F.try_variant_get("_parsed", f"$.{k}", "string")), F.lit("")) for k in fv.METHOD_KEYS])
+    method = resolve_run_method(rows, label, order, keys)
+    usage = usage_totals(flatten_usage(rows, key, metadata, keys), keys).groupBy(*keys).pivot("metric", fv.USAGE_METRICS).agg(F.first("total"))
+    out = report.join(found, keys).join(method, keys, "left").join(usage, keys, "left")
+    return out if by else out.drop("_all")
+
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,26 +74,28 @@ def walk(metadata: dict):
         yield from _leaves(model["usageMetadata"], "$.llm.usageMetadata", done)
 
 
-def flatten_usage(df: DataFrame, key: str, metadata: str) -> DataFrame:
-    """(key, path, metric, value) rows from a JSON metadata column, Arrow-batched."""
+def flatten_usage(df: DataFrame, key: str, metadata: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, kept columns, path, metric, value) rows from a JSON metadata column, Arrow-batched."""
     import pandas as pd
 
-    rows = df.select(F.col(key), F.col(metadata).alias("_m")).where(F.col("_m").isNotNull())
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, path string, usage_key string, raw string"
+    carried = [key, *[c for c in keep if c != key]]
+    rows = df.select(*carried, F.col(metadata).alias("_m")).where(F.col("_m").isNotNull())
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+    schema = f"{types}, path string, usage_key string, raw string"
 
     def run(batches):
         for batch in batches:
             found = []
-            for owner, text in zip(batch[key], batch["_m"]):
+            for *owner, text in zip(*[batch[c] for c in carried], batch["_m"], strict=True):
                 try:
                     parsed = json.loads(text)
                 except ValueError:
                     continue
                 if isinstance(parsed, dict):
-                    found += [(owner, *leaf) for leaf in walk(parsed)]
-            yield pd.DataFrame(found, columns=[key, "path", "usage_key", "raw"])
+                    found += [(*owner, *leaf) for leaf in walk(parsed)]
+            yield pd.DataFrame(found, columns=[*carried, "path", "usage_key", "raw"])
 
     from ..functions.coercion import to_number
 
     return rows.mapInPandas(run, schema).select(
-        key, "path", usage_metric(F.col("usage_key")).alias("metric"), to_number(F.col("raw")).alias("value"))
+        *carried, "path", usage_metric(F.col("usage_key")).alias("metric"), to_number(F.col("raw")).alias("value"))

@@ -212,7 +212,7 @@ USAGE = """u AS (
 @query("a20_usage_totals", f"WITH {SQL_OPS}, {USAGE} SELECT method, metric, round(sum(value), 4) AS total FROM u GROUP BY 1, 2")
 def _(t):
     src = usage_json(t)
-    flat = flatten_usage(src, "op_id", "meta").join(src.select("op_id", "method"), "op_id")
+    flat = flatten_usage(src, "op_id", "meta", ["method"])
     return ev.usage_totals(flat, ["method"]).withColumn("total", F.round("total", 4))
 
 
@@ -240,38 +240,43 @@ def _(t):
                                ("processed", "success_so_far", "failed_so_far", "error_so_far")])
 
 
-def report_sql(key: str) -> str:
+def report_sql(key: str, bad: str = "status <> 'success'") -> str:
     return f"""
-o AS (SELECT {key} AS grp, status, CASE WHEN total_ms <= 10000 THEN total_ms END AS v FROM ops),
-base AS (SELECT grp, count(*) AS request_count, count(*) FILTER (status <> 'success') AS mismatch_count, count(v) AS considered_count,
+o AS (SELECT {key} AS grp, {bad} AS bad, CASE WHEN total_ms <= 10000 THEN total_ms END AS v FROM ops),
+base AS (SELECT grp, count(*) AS request_count, count(*) FILTER (bad) AS mismatch_count, count(v) AS considered_count,
   round(avg(v), 6) AS mean_response_ms, round(quantile_cont(v, 0.95), 6) AS p95_ms FROM o GROUP BY 1),
 kn AS (SELECT grp, request_count AS n, request_count - mismatch_count AS k FROM base), {binom('grp', 1000)},
-vals AS (SELECT grp, v FROM o), {boot_sql('grp', 'grp, ')}
-SELECT grp, request_count, considered_count, mean_response_ms, p95_ms, round((request_count - mismatch_count) / request_count, 6) AS accuracy,
+vals AS (SELECT grp, v FROM o), {boot_sql('grp', 'grp, ')},
+rep AS (SELECT grp, request_count, considered_count, mean_response_ms, p95_ms, round((request_count - mismatch_count) / request_count, 6) AS accuracy,
   CASE WHEN request_count >= 1000 THEN round(p, 6) END AS p_value,
   CASE WHEN request_count < 1000 THEN 'insufficient-data' WHEN p < 0.05 THEN 'below-target' ELSE 'meet-target' END AS accuracy_inference,
   CASE WHEN request_count >= 1000 THEN round(lo, 6) END AS ci_low_ms, CASE WHEN request_count >= 1000 THEN round(hi, 6) END AS ci_high_ms,
   CASE WHEN request_count < 1000 THEN 'insufficient-data' WHEN hi <= 0 THEN 'meet-target' WHEN lo > 0 THEN 'above-target' ELSE 'insufficient-data' END AS p95_inference
-FROM base JOIN bp USING (grp) JOIN ci USING (grp)"""
+FROM base JOIN bp USING (grp) JOIN ci USING (grp))"""
 
 
 REPORT = ["request_count", "considered_count", "accuracy_inference", "p95_inference"]
 REPORT_FLOATS = ["mean_response_ms", "p95_ms", "accuracy", "p_value", "ci_low_ms", "ci_high_ms"]
 
 
-def _report(t, key):
-    r = ev.replay_report(operations(t).withColumn("grp", key), ["grp"])
-    return r.select("grp", *REPORT, *[r6(c).alias(c) for c in REPORT_FLOATS])
-
-
-@query("x2_import_summary", f"WITH {SQL_OPS}, {report_sql('0')}")
+@query("x2_import_summary", f"""WITH {SQL_OPS}, {report_sql('0', "(op_id % 7 = 0 OR status <> 'success')")},
+ex AS (SELECT count(*) FILTER (op_id % 7 = 0) AS stored_mismatch_rows, count(*) FILTER (op_id % 7 = 0) AS stored_mismatches,
+  CAST(sum(k) AS DOUBLE) AS tokens_in, CAST(count(*) AS DOUBLE) AS api_calls FROM ops),
+me AS (SELECT method FROM (SELECT method, count(*) AS n, min(op_id) AS f FROM ops GROUP BY 1) ORDER BY n DESC, f LIMIT 1)
+SELECT rep.* EXCLUDE (grp), ex.*, me.method FROM rep, ex, me""")
 def _(t):
-    return _report(t, F.lit(0))
+    found = F.when(F.col("op_id") % 7 == 0, '[{"label":"To","expected":"Spain","actual":"Italy"}]').when(F.col("op_id") % 7 == 1, "[]").otherwise("null")
+    meta = F.concat(F.lit('{"method":"'), "method", F.lit('","expectedValueMismatches":'), found,
+                    F.lit(',"usage":{"tokensIn":'), F.col("k").cast("string"), F.lit(',"apiCalls":1}}'))
+    r = ev.import_summary(operations(t).withColumn("metadata", meta), "op_id", "metadata", "op_id")
+    return r.select(*REPORT, *[r6(c).alias(c) for c in REPORT_FLOATS], "stored_mismatch_rows", "stored_mismatches", "method",
+                    F.col("tokensIn").alias("tokens_in"), F.col("apiCalls").alias("api_calls"))
 
 
-@query("x4_method_comparison", f"WITH {SQL_OPS}, {report_sql('method')}")
+@query("x4_method_comparison", f"WITH {SQL_OPS}, {report_sql('method')} SELECT * FROM rep")
 def _(t):
-    return _report(t, F.col("method"))
+    r = ev.replay_report(operations(t).withColumn("grp", F.col("method")), ["grp"])
+    return r.select("grp", *REPORT, *[r6(c).alias(c) for c in REPORT_FLOATS])
 
 
 @query("x3_job_summary", f"""WITH {SQL_OPS}, g AS (SELECT run_id % 10 AS job, {COUNTS}, round(sum(total_ms), 4) AS processing_ms, {PCT.format('total_ms')},

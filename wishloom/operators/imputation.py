@@ -167,27 +167,41 @@ def impute(requests: DataFrame, statistics: DataFrame, auto_rooms: bool = fv.ROO
         F.when(need_date, F.col("_interval.value")).alias("interval"))
 
 
-def merge_imputed(extracted: DataFrame, imputed: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def merge_imputed(extracted: DataFrame, imputed: DataFrame, airports: DataFrame, destinations: DataFrame) -> DataFrame:
     """Imputed values go only into empty fields; names become ids, unknown names stay.
 
-    extracted: request_id, to_ids, from_codes (arrays), duration_id.
+    extracted: request_id, to_ids, from_codes, departure_dates (arrays),
+    duration_id, adults, non_adults, rooms. Destinations are told apart by
+    id and type, airports by code. A party is taken whole or not at all, a
+    date only if it is an ISO date, a duration only if it is configured.
     """
-    def ids(column, upper):
-        listed = imputed.select("request_id", F.posexplode(column).alias("pos", "label"))
-        table = gazetteer.select(F.lower(F.trim("name")).alias("_k"), F.col("id").alias("_id"))
-        each = lookup_join(listed.withColumn("_k", F.lower(F.trim("label"))), table, "_k", "left")
-        code = F.coalesce("_id", F.upper("label") if upper else F.col("label"))
-        return each.groupBy("request_id").agg(F.array_distinct(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", code.alias("code")))), lambda s: s["code"])).alias(f"_{column}"))
-
-    joined = extracted.join(ids("to", False), "request_id", "left").join(ids("from", True), "request_id", "left").join(
-        imputed.select("request_id", F.col("duration_id").alias("_duration")), "request_id", "left")
+    def ids(column, gazetteer, upper):
+        listed = imputed.select("request_id", F.posexplode(column).alias("pos", "label")).withColumn("_label", F.trim("label")).where("_label <> ''")
+        table = gazetteer.select(F.lower(F.trim("name")).alias("_k"), F.col("id").alias("_id"), F.coalesce(F.trim("type"), F.lit("")).alias("_type"))
+        each = lookup_join(listed.withColumn("_k", F.lower("_label")), table, "_k", "left")
+        code = F.upper(F.coalesce("_id", "_label")) if upper else F.trim(F.coalesce("_id", "_label"))
+        kind = F.lit("") if upper else F.coalesce("_type", F.lit(""))
+        first = each.groupBy("request_id", code.alias("code"), kind.alias("kind")).agg(F.min("pos").alias("pos")).where("code <> ''")
+        return first.groupBy("request_id").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda s: s["code"]).alias(f"_{column}"))
+
+    given = imputed.select("request_id", F.col("duration_id").alias("_duration"), F.col("departure").alias("_departure"),
+                           F.col("adults").alias("_adults"), F.col("non_adults").alias("_non_adults"), F.col("rooms").cast("int").alias("_rooms"))
+    joined = extracted.join(ids("to", destinations, False), "request_id", "left").join(
+        ids("from", airports, True), "request_id", "left").join(given, "request_id", "left")
 
     def kept(own, new):
-        return F.when(F.coalesce(F.size(own), F.lit(0)) > 0, F.col(own)).otherwise(F.col(new))
+        return F.when(F.coalesce(F.size(own), F.lit(0)) > 0, F.col(own)).otherwise(new)
 
     known = [d for d, _n in fv.DURATIONS]
+    dates = F.filter(F.transform("_departure", F.trim), lambda d: d.try_cast("timestamp").isNotNull())
+    no_party = F.col("adults").isNull() & F.col("non_adults").isNull()
+    whole = no_party & F.col("_adults").isNotNull() & F.col("_non_adults").isNotNull()
     return joined.select(
-        "request_id", kept("to_ids", "_to").alias("to_ids"), kept("from_codes", "_from").alias("from_codes"),
-        F.coalesce(F.nullif(F.trim("duration_id"), F.lit("")), F.when(F.col("_duration").isin(known), F.col("_duration")))
-        .alias("duration_id"))
+        "request_id", kept("to_ids", F.col("_to")).alias("to_ids"), kept("from_codes", F.col("_from")).alias("from_codes"),
+        kept("departure_dates", dates).alias("departure_dates"),
+        F.coalesce(F.nullif(F.trim("duration_id"), F.lit("")), F.when(F.trim("_duration").isin(known), F.trim("_duration")))
+        .alias("duration_id"),
+        F.when(whole, F.col("_adults")).otherwise(F.col("adults")).alias("adults"),
+        F.when(whole, F.col("_non_adults")).otherwise(F.col("non_adults")).alias("non_adults"),
+        F.coalesce("rooms", "_rooms").alias("rooms"))

@@ -242,17 +242,33 @@ def _(t):
     return lookup_join(keyed, table, "combination").select("ord", "interval")
 
 
-@query("i10_merge_imputed", f"""{IMPUTE}, g AS (SELECT lower(n_name) AS key, 'N' || n_nationkey AS id FROM nation),
-x AS (SELECT *, CASE WHEN request_id % 3 = 0 THEN ['own'] ELSE [] END AS own_to, CASE WHEN filled THEN dests ELSE "to" END AS t2, CASE WHEN len("from") > 0 THEN "from" ELSE [coalesce(fam, airport)] END AS f2,
-  CASE WHEN trim(coalesce(duration_id, '')) <> '' THEN duration_id ELSE coalesce({DUR.format('fdm')}, {DUR.format('duration')}, '2007') END AS dur FROM im)
-SELECT request_id, array_to_string(CASE WHEN len(own_to) > 0 THEN own_to ELSE list_transform(t2, lambda v: v) END, ',') AS to_ids, array_to_string(list_transform(f2, lambda v: upper(v)), ',') AS from_codes, CASE WHEN request_id % 2 = 0 THEN '2003' ELSE dur END AS duration_id FROM x""")
+@query("i10_merge_imputed", f"""{IMPUTE}, dg AS (SELECT lower(r_name) AS key, 'R' || r_regionkey AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'country' ELSE '' END AS kind FROM region),
+ag AS (SELECT lower(n_name) AS key, 'N' || n_nationkey AS id FROM nation),
+x AS (SELECT *, string_split(coalesce(fpm, party), '/') AS p, CASE WHEN filled THEN dests ELSE "to" END AS t2, CASE WHEN len("from") > 0 THEN "from" ELSE [coalesce(fam, airport)] END AS f2,
+  CASE WHEN len(departure) > 0 THEN departure ELSE [split_part(CASE WHEN len(dests) = 1 AND fim IS NOT NULL THEN fim WHEN len(dests) >= 2 AND cim IS NOT NULL THEN cim ELSE iv END, '..', 1)] END AS dep,
+  CASE WHEN rooms0 > 0 THEN rooms0 WHEN CAST(frm AS INT) > 0 THEN CAST(frm AS INT) WHEN CAST(rooms AS INT) > 0 THEN CAST(rooms AS INT) ELSE 1 END AS rm,
+  CASE WHEN trim(coalesce(duration_id, '')) <> '' THEN duration_id ELSE coalesce({DUR.format('fdm')}, {DUR.format('duration')}, '2007') END AS dur FROM im),
+tl AS (SELECT request_id, code, kind, min(pos) AS pos FROM (SELECT request_id, pos, coalesce(id, label) AS code, coalesce(kind, '') AS kind FROM
+  (SELECT request_id, trim(unnest(t2)) AS label, unnest(range(len(t2))) AS pos FROM x) e LEFT JOIN dg ON dg.key = lower(label) WHERE label <> '') GROUP BY 1, 2, 3),
+fl AS (SELECT request_id, code, min(pos) AS pos FROM (SELECT request_id, pos, upper(coalesce(id, label)) AS code FROM
+  (SELECT request_id, trim(unnest(f2)) AS label, unnest(range(len(f2))) AS pos FROM x) e LEFT JOIN ag ON ag.key = lower(label) WHERE label <> '') GROUP BY 1, 2)
+SELECT x.request_id, CASE WHEN x.request_id % 3 = 0 THEN 'own' ELSE coalesce((SELECT string_agg(code, ',' ORDER BY pos, code) FROM tl WHERE tl.request_id = x.request_id), '') END AS to_ids,
+ coalesce((SELECT string_agg(code, ',' ORDER BY pos, code) FROM fl WHERE fl.request_id = x.request_id), '') AS from_codes,
+ CASE WHEN x.request_id % 5 = 0 THEN '2030-01-01' ELSE array_to_string(list_filter(dep, lambda d: TRY_CAST(d AS TIMESTAMP) IS NOT NULL), ',') END AS departure_dates,
+ CASE WHEN x.request_id % 2 = 0 THEN '2003' ELSE dur END AS duration_id,
+ CASE WHEN x.request_id % 7 = 0 THEN 9 ELSE coalesce(a, CAST(p[1] AS INT)) END AS adults,
+ CASE WHEN x.request_id % 7 = 0 THEN NULL ELSE coalesce(na, CAST(p[2] AS INT) + CAST(p[3] AS INT)) END AS non_adults,
+ CASE WHEN x.request_id % 4 = 0 THEN 8 ELSE rm END AS rooms FROM x""")
 def _(t):
     i = settle(imputed(t))
     none = F.array().cast("array<string>")
-    own = i.select("request_id", F.when(F.col("request_id") % 3 == 0, F.array(F.lit("own"))).otherwise(none).alias("to_ids"),
-                   none.alias("from_codes"), F.when(F.col("request_id") % 2 == 0, "2003").otherwise(" ").alias("duration_id"))
-    from .frames import airports
-
-    merged = im.merge_imputed(own, i, airports(t))
-    return merged.select("request_id", F.array_join(F.coalesce("to_ids", none), ",").alias("to_ids"),
-                         F.array_join("from_codes", ",").alias("from_codes"), "duration_id")
+    r = F.col("request_id")
+    own = i.select(
+        "request_id", F.when(r % 3 == 0, F.array(F.lit("own"))).otherwise(none).alias("to_ids"), none.alias("from_codes"),
+        F.when(r % 5 == 0, F.array(F.lit("2030-01-01"))).otherwise(none).alias("departure_dates"),
+        F.when(r % 2 == 0, "2003").otherwise(" ").alias("duration_id"), F.when(r % 7 == 0, 9).alias("adults"),
+        F.lit(None).cast("int").alias("non_adults"), F.when(r % 4 == 0, 8).alias("rooms"))
+    from .frames import airports, destinations
+
+    merged = im.merge_imputed(own, i, airports(t), destinations(t))
+    return merged.withColumns({c: F.array_join(F.coalesce(c, none), ",") for c in ("to_ids", "from_codes", "departure_dates")})

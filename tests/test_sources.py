@@ -41,6 +41,10 @@ def test_bookings(spark, tmp_path):
 def test_json_sources(spark, tmp_path):
     entities = put(tmp_path, "e.json", json.dumps({"data": {"airports": [{"id": " AMS", "name": "Amsterdam ", "available": True}]}}))
     assert rd.read_entities(spark, entities, "airports").first()["id"] == "AMS"
+    for name, entries, said in [("e1", [{"id": "A", "name": " "}], "required fields: name"), ("e3", [{"id": "A", "name": "x"}, {"id": "A ", "name": "y"}], "Duplicate identifier 'A'"),
+                                ("e4", [{"id": "A", "name": "x"}, {"id": "B", "name": "X "}], "Duplicate name 'x'")]:
+        with pytest.raises(ValueError, match=said):
+            rd.read_entities(spark, put(tmp_path, f"{name}.json", json.dumps({"data": {"airports": entries}})), "airports")
     cal = put(tmp_path, "d.json", json.dumps({"data": {"checkIns": [{"date": "10-01-2026"}, {"date": "09-10-2025"}]}}))
     assert [str(r["d"]) for r in rd.read_calendar(spark, cal).collect()] == ["2025-10-09", "2026-01-10"]
     bad = put(tmp_path, "bad.json", json.dumps({"data": {"checkIns": [{"date": "2026-01-10"}]}}))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_label, strip
-from ..operators.catalogue import clean_list, duplicate_options
+from ..operators.catalogue import clean_list, duplicate_entities, duplicate_options, missing_required
 
 CATALOGUE_COLUMNS = ["filterId", "filterLabel", "optionId", "optionLabel"]
 CATALOGUE_ALIASES = {"filterName": "filterLabel", "optionName": "optionLabel"}
@@ -144,11 +144,22 @@ def read_bookings(spark: SparkSession, path: str) -> DataFrame:
     return type_bookings(csv_table(spark, path, order="ord"))
 
 
-def read_entities(spark: SparkSession, path: str, collection: str) -> DataFrame:
-    """`data.<collection>[]` of a JSON document as trimmed entity rows with file order."""
+def read_entities(spark: SparkSession, path: str, collection: str, required: Iterable[str] = ("id", "name")) -> DataFrame:
+    """`data.<collection>[]` of a JSON document as trimmed entity rows with file order.
+
+    A blank required field, and an id or case-folded name that occurs twice, are rejected.
+    """
     raw = spark.read.option("multiLine", True).json(path)
     rows = raw.select(F.posexplode(f"data.{collection}").alias("ord", "e")).select("ord", "e.*")
-    return rows.withColumns({"id": F.trim(F.col("id").cast("string")), "name": F.trim("name")})
+    rows = require_columns(rows, required, f"Collection '{collection}'").withColumns(
+        {"id": F.trim(F.col("id").cast("string")), "name": F.trim("name")})
+    absent = missing_required(rows, list(required)).where(F.size("missing_fields") > 0).select("missing_fields").limit(1).collect()
+    if absent:
+        raise ValueError(f"Entries in '{collection}' are missing required fields: {', '.join(absent[0][0])}")
+    repeated = duplicate_entities(rows).limit(1).collect()
+    if repeated:
+        raise ValueError(f"Duplicate {repeated[0]['kind']} '{repeated[0]['value']}' found in '{collection}'")
+    return rows
 
 
 def parse_calendar(df: DataFrame, column: str = "date") -> DataFrame:

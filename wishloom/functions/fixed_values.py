@@ -134,3 +134,22 @@ PAYLOAD_LABELS = [
     ("departureDate", "Departure date range"), ("durationId", "Duration"),
     ("party", "Participants"), ("rooms", "Rooms"),
 ]
+
+# --- fixed values: columns of datasets, timing names, usage containers ----
+SCORED_COLUMNS = [
+    "Utterance", "filterId", "filterName", "optionId", "optionName", "target_similarity",
+    "top_option_id", "top_option_name", "top_similarity", "best_non_target_similarity",
+    "similarity_gap", "target_rank", "is_target_top_match",
+]
+SAMPLED_COLUMNS = ["Utterance", "filterId", "filterName", "optionId", "optionName"]
+AUDIT_TIMINGS = {
+    "language": ["languageMs", "languageDetectionMs", "language"],
+    "total": ["totalTimingMs", "totalMs", "total", "totalMilliseconds"],
+    "extraction": ["extractionMs", "extraction"],
+    "mapping": ["normalizationMs", "normalisationMs", "mappingMs", "mapping"],
+    "validation": ["validationMs", "validation"],
+    "transcription": ["sttMs", "transcriptionMs", "voiceMs"],
+    "network": ["networkLatencyMs", "llmNetworkMs", "networkMs", "network"],
+}
+USAGE_CONTAINERS = ["usage", "usageMetadata", "usageFootprint", "metrics", "resources"]
+USAGE_COMPONENT_HOLDERS = ["usage", "usageFootprint", "metrics", "pipeline", "resources", "details"]

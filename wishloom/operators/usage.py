@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coercion import usage_metric
-from ..functions.fixed_values import USAGE_CONTAINER_MARKERS
-
-_CONTAINERS = ("usage", "usageMetadata", "usageFootprint", "metrics", "resources")
-_COMPONENT_HOLDERS = ("usage", "usageFootprint", "metrics", "pipeline", "resources", "details")
+from ..functions.fixed_values import USAGE_COMPONENT_HOLDERS, USAGE_CONTAINER_MARKERS, USAGE_CONTAINERS
 
 
 def _leaves(node: dict, path: str, done: set):
@@ -49,7 +46,7 @@ def walk(metadata: dict):
     done: set = set()
     model = metadata.get("llm") if isinstance(metadata.get("llm"), dict) else {}
     places = [("$", metadata.get("components"))]
-    places += [(f"$.{h}", (metadata.get(h) or {}).get("components")) for h in _COMPONENT_HOLDERS
+    places += [(f"$.{h}", (metadata.get(h) or {}).get("components")) for h in USAGE_COMPONENT_HOLDERS
                if isinstance(metadata.get(h), dict)]
     places += [("$.llm", model.get("components"))]
     if isinstance(model.get("usage"), dict):
@@ -65,7 +62,7 @@ def walk(metadata: dict):
             # the entry's own figures count unless its usage names a metric already
             yield from found if any(is_metric(k) for _, k, _v in found) else [(f"{base}.{k}", k, str(v)) for k, v in entry.items()
                                  if not isinstance(v, (bool, list, dict)) and v is not None]
-    for name in _CONTAINERS:
+    for name in USAGE_CONTAINERS:
         if isinstance(metadata.get(name), dict):
             yield from _leaves(metadata[name], f"$.{name}", done)
     if isinstance(model.get("usage"), dict):

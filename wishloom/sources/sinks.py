@@ -18,8 +18,8 @@ def audit_rows(df: DataFrame) -> DataFrame:
     confidence, output (any type). The two language columns have distinct
     names here; write_audit_log gives both the shared header.
     """
-    def pick(*names):
-        return two_decimals(F.coalesce(*[F.try_element_at("timings", F.lit(n)) for n in names]))
+    def pick(stage):
+        return two_decimals(F.coalesce(*[F.try_element_at("timings", F.lit(n)) for n in fv.AUDIT_TIMINGS[stage]]))
 
     plain = dict(df.dtypes)["output"] in ("string", "bigint", "int", "double", "boolean")
     shown = F.col("output").cast("string") if plain else F.to_json("output")
@@ -27,10 +27,10 @@ def audit_rows(df: DataFrame) -> DataFrame:
                      language_summary(F.col("language"), F.col("confidence"))).otherwise(F.coalesce("language", F.lit("")))
     values = [
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.col("text"), F.col("request_type"), F.col("method"), F.col("mode"),
-        F.initcap(F.lower("status")), pick("languageMs", "languageDetectionMs", "language"),
-        pick("totalTimingMs", "totalMs", "total", "totalMilliseconds"), summary, pick("extractionMs", "extraction"),
-        pick("normalizationMs", "normalisationMs", "mappingMs", "mapping"), pick("validationMs", "validation"),
-        pick("sttMs", "transcriptionMs", "voiceMs"), pick("networkLatencyMs", "llmNetworkMs", "networkMs", "network"), shown]
+        F.initcap(F.lower("status")), pick("language"),
+        pick("total"), summary, pick("extraction"),
+        pick("mapping"), pick("validation"),
+        pick("transcription"), pick("network"), shown]
     names = list(fv.AUDIT_LOG_HEADER)
     names[6], names[8] = "Language Detection (ms)", "Language Detection (summary)"
     return df.select(*[F.coalesce(v, F.lit("")).alias(n) for v, n in zip(values, names)])
@@ -82,10 +82,7 @@ def statistics_metadata(bookings: DataFrame, source: str, digest: Column, schema
         F.lit(source).alias("source"), digest.alias("source_sha256"), "row_count")
 
 
-SCORED_COLUMNS = ["Utterance", "filterId", "filterName", "optionId", "optionName", "target_similarity", "top_option_id",
-                  "top_option_name", "top_similarity", "best_non_target_similarity", "similarity_gap", "target_rank",
-                  "is_target_top_match"]
-SAMPLED_COLUMNS = ["Utterance", "filterId", "filterName", "optionId", "optionName"]
+SCORED_COLUMNS, SAMPLED_COLUMNS = fv.SCORED_COLUMNS, fv.SAMPLED_COLUMNS
 
 
 def write_dataset(df: DataFrame, path: str, columns: list[str]) -> None:

@@ -280,3 +280,19 @@ def test_quality(spark, empty):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_parity_bounds_the_difference_and_folds():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 300, 1020, 1030, 5000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate((a[: n - n // 9], rng.integers(0, 2**63, n // 5).astype(np.uint64)))
+        x, y = jaccard_join.parity(a), jaccard_join.parity(b)
+        while len(x) > len(y):
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        while len(y) > len(x):
+            y = y[:len(y) // 2] ^ y[len(y) // 2:]
+        apart = int(np.bitwise_count(x ^ y).sum())
+        assert apart <= len(np.setxor1d(a, b)) and len(jaccard_join.parity(a)) * 64 >= 4 * n

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wishloom.llm.arrowmap import append
+from wishloom.llm.arrowmap import append, tidy
 from wishloom.llm.blobs import mapped, put
 from wishloom.llm.bytetext import ALNUM, blocks, word_hashes, words
 from wishloom.plans.scale import scratch_folder
@@ -76,8 +76,7 @@ def index(benchmark: DataFrame, window: int = 10, slice_bytes: int = 16_000_000,
             ("item", item.astype(np.int64)), ("names", names))})
 
     parts = max(1, -(-total // slice_bytes))
-    written = items.repartition(parts, F.xxhash64("id", "text")).mapInArrow(
-        write, "vocabulary string, rows string, size string, item string, names string")
+    written = items.repartition(parts, F.xxhash64("id", "text")).mapInArrow(tidy(write), "vocabulary string, rows string, size string, item string, names string")
     return {"window": window, "slices": [r.asDict() for r in written.collect()]}
 
 

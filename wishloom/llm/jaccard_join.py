@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wishloom.llm.arrowmap import pieces
+from wishloom.llm.arrowmap import pieces, tidy
 from wishloom.llm.blobs import mapped, put
 from wishloom.llm.bytetext import SPACED, Rolling, blocks, mix, word_hashes, words
 from wishloom.llm.components import components
@@ -56,7 +56,7 @@ from wishloom.plans.scale import scratch_folder, settle
 SMALL = 40  # bands up to this size use one-deletion neighbourhoods
 SAMPLE, COMMON = 4000, 200_000  # documents sampled and common elements kept for the cost model
 CELL = 4096
-PARITY = 16  # 64-bit words of a parity bitmap
+PARITY = 16  # least 64-bit words of a parity bitmap; larger sets have more
 GROUP = 500  # comparisons with one partner per salt
 
 
@@ -275,7 +275,7 @@ def common_elements(documents: DataFrame, key: str, text: str, width: int) -> np
             for _, _, value, _ in sets_of(batch.column(0), width):
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], names=["e"])
 
-    seen = sample.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "e bigint").groupBy("e").count()
+    seen = sample.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), "e bigint").groupBy("e").count()
     rows = seen.where("count >= 4").orderBy(F.desc("count"), "e").limit(COMMON).collect()
     return np.sort(np.array([r["e"] for r in rows], np.int64).view(np.uint64))
 
@@ -328,8 +328,8 @@ def verify(documents: DataFrame, pairs: DataFrame, key: str, text: str, width: i
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["a", "b"])
 
-    sent = texts.mapInArrow(send, "a bigint, salt int, role int, doc bigint, elements binary")
-    return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a bigint, b bigint")
+    sent = texts.mapInArrow(tidy(send), "a bigint, salt int, role int, doc bigint, elements binary")
+    return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidy(compare), "a bigint, b bigint")
 
 
 def _parities(documents: DataFrame, ids: DataFrame, key: str, text: str, width: int, shards: int) -> dict:
@@ -344,10 +344,8 @@ def _parities(documents: DataFrame, ids: DataFrame, key: str, text: str, width:
         for batch in (p for b in batches for p in pieces(b)):
             for lo, hi, value, off in sets_of(batch.column(1), width):
                 n = hi - lo
-                of = np.repeat(np.arange(n), np.diff(off))
-                odd = np.bincount(of * PARITY * 64 + (mix(value) % np.uint64(PARITY * 64)).astype(np.int64), minlength=n * PARITY * 64) & 1
-                bits = np.packbits(odd.astype(bool).reshape(n, -1), axis=1)
                 doc = batch.column(0).slice(lo, n)
+                bits = [parity(value[off[i]:off[i + 1]]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.mod(doc.to_numpy(), shards), pa.int32()), doc, pa.array(np.diff(off)), pa.array([b.tobytes() for b in bits], pa.binary())],
                     names=["shard", "doc", "size", "bits"])
@@ -358,29 +356,43 @@ def _parities(documents: DataFrame, ids: DataFrame, key: str, text: str, width:
             return
         held = pa.Table.from_batches(batches)
         shard, doc, size = (held[n].to_numpy().copy() for n in ("shard", "doc", "size"))
-        bits = np.frombuffer(b"".join(held["bits"].to_pylist()), np.uint64).reshape(len(doc), PARITY)
+        bits = [np.frombuffer(b, np.uint64) for b in held["bits"].to_pylist()]
         again = np.zeros(len(doc), bool)
         again[1:] = doc[1:] == doc[:-1]
         size[again | np.append(again[1:], False)] = -1
         for s in np.unique(shard).tolist():
-            mine = (shard == s) & ~again
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32())} | {
-                n: [put(folder, f"{n}{s}", x[mine])] for n, x in (("doc", doc), ("size", size), ("bits", bits))})
+            mine = np.flatnonzero((shard == s) & ~again)
+            own = [bits[i] for i in mine.tolist()]
+            arrays = {"doc": doc[mine], "size": size[mine], "bits": np.concatenate(own), "cuts": np.cumsum([0, *map(len, own)])}
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32())} | {n: [put(folder, f"{n}{s}", x)] for n, x in arrays.items()})
 
-    rows = texts.select("doc", "text").mapInArrow(run, "shard int, doc bigint, size bigint, bits binary")
-    made = rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc").mapInArrow(
-        write, "shard int, doc string, size string, bits string").collect()
+    rows = texts.select("doc", "text").mapInArrow(tidy(run), "shard int, doc bigint, size bigint, bits binary")
+    made = rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc").mapInArrow(tidy(write), "shard int, doc string, size string, bits string, cuts string").collect()
     return {"shards": shards, "parts": {r["shard"]: r.asDict() for r in made}}
 
 
-def _described(book: dict, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parity(elements: np.ndarray) -> np.ndarray:
+    """Whether the elements that fall on each bit are odd in number; at least four bits an element.
+
+    Bitmaps of two sets differ in at most as many bits as the sets in elements.
+    A bitmap folds to half its length by XOR of its halves.
+    """
+    words_ = max(PARITY, 1 << max(0, int(len(elements) - 1).bit_length() - 4))
+    odd = np.bincount((mix(elements) % np.uint64(words_ * 64)).astype(np.int64), minlength=words_ * 64) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _described(book: dict, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Size and bitmap of every document asked for."""
-    size, bits = np.zeros(len(doc), np.int64), np.zeros((len(doc), PARITY), np.uint64)
+    size, bits = np.zeros(len(doc), np.int64), [np.zeros(0, np.uint64)] * len(doc)
     shard = np.mod(doc, book["shards"])
     for s in np.unique(shard).tolist():
         part, mine = book["parts"][s], np.flatnonzero(shard == s)
         at = np.searchsorted(mapped(part["doc"]), doc[mine])
-        size[mine], bits[mine] = mapped(part["size"])[at], mapped(part["bits"])[at]
+        size[mine] = mapped(part["size"])[at]
+        every, cuts = mapped(part["bits"]), mapped(part["cuts"])
+        for i, p in zip(mine.tolist(), at.tolist(), strict=True):
+            bits[i] = every[cuts[p]:cuts[p + 1]]
     return size, bits
 
 
@@ -390,17 +402,28 @@ def _across(book: dict, up: int, down: int):
         if (component == component[0]).all():
             return
         size, bits = _described(book, doc)
-        for lo in range(0, len(doc), 256):
-            part = slice(lo, lo + 256)
-            apart = np.bitwise_count(bits[part][:, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            total = size[part][:, None] + size[None, :]
-            near = np.minimum(size[part][:, None], size[None, :]) * down >= np.maximum(size[part][:, None], size[None, :]) * up
-            near &= apart <= total * (down - up) // (down + up)
-            near |= (size[part][:, None] < 0) | (size[None, :] < 0)
-            near &= (component[part][:, None] != component[None, :]) & (ask[part][:, None] | ask[None, :]) & (doc[part][:, None] < doc[None, :])
-            i, j = np.nonzero(near)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[part][i]), pa.array(doc[j])], names=["a", "b"])
+        length = np.array([len(b) for b in bits])
+        for width in np.unique(length).tolist():
+            # sets that may link differ by less than a factor of two, so only neighbouring lengths meet
+            here = np.flatnonzero((length == width) | (length == 2 * width))
+            folded = np.stack([bits[i] if length[i] == width else bits[i][:width] ^ bits[i][width:] for i in here.tolist()])
+            n, of, asks, ids, wide = size[here], component[here], ask[here], doc[here], length[here] > width
+            step = max(1, 4_000_000 // (len(here) * width))
+            for lo in range(0, len(here), step):
+                part = slice(lo, lo + step)
+                apart = np.bitwise_count(folded[part][:, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+                near = np.minimum(n[part][:, None], n[None, :]) * down >= np.maximum(n[part][:, None], n[None, :]) * up
+                near &= apart <= (n[part][:, None] + n[None, :]) * (down - up) // (down + up)
+                near &= ~(wide[part][:, None] & wide[None, :])
+                near &= (of[part][:, None] != of[None, :]) & (asks[part][:, None] | asks[None, :]) & (ids[part][:, None] < ids[None, :])
+                i, j = np.nonzero(near)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part][i]), pa.array(ids[j])], names=["a", "b"])
+        several = np.flatnonzero(size < 0)  # texts that share an id: nothing is ruled out
+        for i in several.tolist():
+            j = np.flatnonzero((component != component[i]) & (ask | ask[i]))
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -425,8 +448,7 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, common = Bands(up, down), common_elements(documents, key, text, width)
     keyed = documents.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    keyed.mapInArrow(_send(width, bands, common, parts), SENT).repartition(parts, "part").mapInArrow(
-        _meet, "kind int, a bigint, b bigint, n bigint, members array<bigint>").write.parquet(f"{folder}/met")
+    keyed.mapInArrow(tidy(_send(width, bands, common, parts)), SENT).repartition(parts, "part").mapInArrow(tidy(_meet), "kind int, a bigint, b bigint, n bigint, members array<bigint>").write.parquet(f"{folder}/met")
     met = spark.read.parquet(f"{folder}/met")
     equal = met.where("kind = 1").select("a", "b")
     met.where("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/stars")
@@ -452,7 +474,7 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: i
     other = opened.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), cells - 1)))
     across = other.select(
         F.xxhash64("g", F.least("block", "k"), F.greatest("block", "k")).alias("cell"), "doc", "doc_in", "ask"
-    ).repartition(parts, "cell").sortWithinPartitions("cell", "doc").mapInArrow(_across(book, up, down), "a bigint, b bigint")
+    ).repartition(parts, "cell").sortWithinPartitions("cell", "doc").mapInArrow(tidy(_across(book, up, down)), "a bigint, b bigint")
     rest = settle(open_stars.union(across).distinct())
     second = settle(verify(documents, rest, key, text, width, up, down))
     final = components(settled.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second))

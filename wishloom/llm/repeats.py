@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wishloom.llm.arrowmap import append, pieces
+from wishloom.llm.arrowmap import append, pieces, tidy
 from wishloom.llm.bytetext import Rolling, blocks, mix
 from wishloom.llm.sizes import measured
 from wishloom.plans.scale import scratch_folder
@@ -105,7 +105,7 @@ def _scan(documents: DataFrame, key: Column, content: Column, length: int, gram:
     from pyspark.sql.types import StructType
 
     schema = StructType([keys.schema["doc"], keys.schema["h"], *StructType.fromDDL(fields).fields])
-    return keys.mapInArrow(run, schema)
+    return keys.mapInArrow(tidy(run), schema)
 
 
 def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
@@ -221,7 +221,7 @@ def _cut(listed: DataFrame) -> DataFrame:
                  pa.array(rows["start"], pa.int64()), batch.column(1).take(of), batch.column(0).take(of)],
                 names=["anchor", "digest", "raw", "start", "h", "doc"])
 
-    return listed.select("doc", "h", "content", "wanted").mapInArrow(run, schema)
+    return listed.select("doc", "h", "content", "wanted").mapInArrow(tidy(run), schema)
 
 
 def _single_strings(big: DataFrame, length: int) -> DataFrame:
@@ -241,7 +241,7 @@ def _single_strings(big: DataFrame, length: int) -> DataFrame:
 
     schema = StructType([*StructType.fromDDL("anchor bigint, digest bigint, at bigint, string bigint, start bigint, h bigint").fields,
                          big.schema["doc"]])
-    rows = big.select("anchor", "digest", "raw", "start", "h", "doc").mapInArrow(run, schema)
+    rows = big.select("anchor", "digest", "raw", "start", "h", "doc").mapInArrow(tidy(run), schema)
     place = F.struct("doc", "h", (F.col("start") + F.col("at")).alias("p"))
     counted = rows.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("least")).where("times > 1")
     found = rows.join(counted, ["anchor", "string"]).withColumn("is_first", place.eqNullSafe(F.col("least")))
@@ -276,7 +276,7 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
     cut = _cut(texts.join(listed, on(listed)).where("not big"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     close = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "start", "h", "digest").select(
-        "anchor", "digest", "raw").mapInArrow(_compare(length), f"anchor bigint, digest bigint, later {RUNS}, every {RUNS}")
+        "anchor", "digest", "raw").mapInArrow(tidy(_compare(length)), f"anchor bigint, digest bigint, later {RUNS}, every {RUNS}")
     if wanted.where("big").limit(1).count():
         close = close.unionByName(_single_strings(_cut(texts.join(listed, on(listed)).where("big")), length))
     close.groupBy("anchor", "digest").agg(F.first("later").alias("later"), F.first("every").alias("every")).write.parquet(f"{folder}/close")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wishloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, line_templates, quality, repeats
 from wishloom.llm.components import components
+from wishloom.plans.scale import settle
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, row string, n_words int, doc string"
@@ -232,6 +233,30 @@ def test_line_templates(spark, docs, empty):
     assert line_templates.dedup(docs).count() == len(hostile())
 
 
+def made_up(rng, lines, words=7):
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    return [" ".join(word() for _ in range(words)) for _ in range(lines)]
+
+
+def test_line_templates_keep_edited_copies(spark):
+    rng = random.Random(6)
+    base, rows, footer = made_up(rng, 20), [], "All rights are reserved here"
+    for i in range(300):
+        lines = list(base)
+        for j, at in enumerate(rng.sample(range(20), 2)):
+            words = lines[at].split(" ")
+            words[rng.randrange(7)] = f"edit{'abc'[j]}{''.join(rng.choice('qrstuvwxyz') for _ in range(5))}"
+            lines[at] = " ".join(words)
+        rows.append((i, "\n".join([*lines, footer])))
+    rows += [(1000 + i, "\n".join([*made_up(rng, 4), footer])) for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = settle(line_templates.dedup(frame))
+    want = {i: t.removesuffix("\n" + footer) for i, t in rows}
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    joined = jaccard_join.join(got.select("doc_id", "text")).collect()
+    assert {r.component_id for r in joined if r.doc_id < 1000} == {0}
+
+
 def test_automaton_holds_exactly_the_substrings():
     rng = random.Random(1)
     text = [rng.randrange(1, 4) for _ in range(60)]

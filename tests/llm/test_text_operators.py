@@ -257,6 +257,20 @@ def test_line_templates_keep_edited_copies(spark):
     assert {r.component_id for r in joined if r.doc_id < 1000} == {0}
 
 
+@pytest.mark.parametrize("size", [2, 3, 10])
+def test_line_templates_drop_blocks(spark, size):
+    rng = random.Random(size)
+    rows, want = [], {}
+    for p, place in enumerate((0, 3, 6)):
+        block = made_up(rng, size)
+        for i in range(30):
+            own = made_up(rng, 6)
+            rows.append((100 * p + i, "\n".join(own[:place] + block + own[place:])))
+            want[100 * p + i] = "\n".join(own)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in line_templates.dedup(frame).collect()} == want
+
+
 def test_automaton_holds_exactly_the_substrings():
     rng = random.Random(1)
     text = [rng.randrange(1, 4) for _ in range(60)]

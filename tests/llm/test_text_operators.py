@@ -271,6 +271,19 @@ def test_line_templates_drop_blocks(spark, size):
     assert {r.doc_id: r.text for r in line_templates.dedup(frame).collect()} == want
 
 
+def test_line_templates_of_short_lines_with_fields(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(12):
+        own = made_up(rng, 3)
+        short = [f"Posted on {i}.4.2024 by user{i}", f"Page {i} of {i + 9}", f"Posted on {i}.5.2024 by {own[0][:6]}"]
+        kept = [f"They have seen {own[1][:6]}", f"{i} {i + 1} {i + 2}"]
+        rows.append((i, "\n".join([own[0], *short, own[1], *kept, own[2]])))
+        want[i] = "\n".join([own[0], own[1], *kept, own[2]])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_templates.dedup(frame).collect()} == want
+
+
 def test_automaton_holds_exactly_the_substrings():
     rng = random.Random(1)
     text = [rng.randrange(1, 4) for _ in range(60)]

@@ -6,7 +6,10 @@ leaf a word is a constant of its position if it stands there in at least
 `min_contexts` different contexts; all other positions are variable. Constants
 and variables make the line's template. A template is dropped, with all its
 lines, if at least `similarity` of its positions are constant and it recurs in
-at least `min_contexts` contexts.
+at least `min_contexts` contexts. With fields_agree a masked word counts as agreeing, if at
+least two words and half of the line are constant: `Page 3 of 9` is a template.
+A field without a digit still counts against `similarity`, since a short template
+with such a field is no different from short sentences that begin alike.
 
 A context is a family of documents: a text and all texts that near copies link it
 to. Boilerplate recurs in many families, as single lines or in blocks; a line that
@@ -77,7 +80,7 @@ def _contexts(rows: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, "context").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("contexts"))
 
 
-def _templates(inside: DataFrame, min_contexts: int, similarity: float) -> DataFrame:
+def _templates(inside: DataFrame, min_contexts: int, similarity: float, fields_agree: bool) -> DataFrame:
     """Lines of templates that recur, once each: leaf, id, template."""
     standing = F.transform(F.split("line", " "), lambda w, i: F.struct(
         i.alias("i"), w.alias("word"), F.xxhash64(F.col("leaf"), i, w).alias("place")))
@@ -85,11 +88,14 @@ def _templates(inside: DataFrame, min_contexts: int, similarity: float) -> DataF
     constants = settle(_contexts(places, "place").where(F.col("contexts") >= min_contexts).select("place", F.lit(True).alias("constant")))
     distinct = inside.groupBy("leaf", "id").agg(F.min("line").alias("line"))
     agreeing = F.col("constants") >= F.ceil(F.col("n") * similarity)
+    if fields_agree:
+        agreeing = (F.col("constants") + F.col("fields") >= F.ceil(F.col("n") * similarity)) & (
+            F.col("constants") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2)))
     templates = settle(
         unnest(distinct.select("leaf", "id", standing.alias("ws")), "ws", "leaf", "id")
         .join(measured(constants, 40), "place", "left")
         .groupBy("leaf", "id").agg(
-            F.count("constant").alias("constants"), F.count(F.lit(1)).alias("n"),
+            F.count("constant").alias("constants"), F.count_if(F.col("word") == VARIABLE).alias("fields"), F.count(F.lit(1)).alias("n"),
             F.array_sort(F.collect_list(F.struct("i", F.when(F.col("constant") & (F.col("word") != VARIABLE), F.col("word")).otherwise(F.lit(VARIABLE)).alias("part")))).alias("parts"))
         .where(agreeing)
         .select("leaf", "id", F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("template"))
@@ -139,7 +145,7 @@ def families(documents: DataFrame, text: str = "text", among: DataFrame | None =
 
 
 def recurring(documents: DataFrame, key: str = "doc_id", text: str = "text", lead: int = 2, min_words: int = 3,
-              min_contexts: int = 5, similarity: float = 0.8, by: str = "families") -> DataFrame:
+              min_contexts: int = 5, similarity: float = 0.8, by: str = "families", fields_agree: bool = True) -> DataFrame:
     """Lines whose template is to be dropped: doc, h (hash of the text), pos, template."""
     if by not in ("families", "neighbours"):
         raise ValueError(f"by is families or neighbours, not {by}")
@@ -150,12 +156,12 @@ def recurring(documents: DataFrame, key: str = "doc_id", text: str = "text", lea
     inside = settle(lines.join(measured(leaves, 40), "leaf", "left_semi").select(
         "doc", "h", "pos", "leaf", "context", F.array_join(F.transform("words", _masked), " ").alias("line"))
         .withColumn("id", F.xxhash64("line")))
-    dropped = _templates(inside, min_contexts, similarity)
+    dropped = _templates(inside, min_contexts, similarity, fields_agree)
     if by == "families":
         inside = settle(inside.join(measured(settle(dropped.select("leaf").distinct()), 40), "leaf", "left_semi"))
         family = settle(families(documents, text, settle(inside.select("h").distinct())))
         inside = settle(inside.join(measured(family, 32), "h", "left").withColumn("context", F.coalesce("family", "h")).drop("family"))
-        dropped = _templates(inside, min_contexts, similarity)
+        dropped = _templates(inside, min_contexts, similarity, fields_agree)
     return inside.join(measured(dropped, 60 + F.octet_length("template")), ["leaf", "id"]).select("doc", "h", "pos", "template")
 
 

@@ -130,7 +130,7 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 @query("op9_line_templates", OP9_SQL)
 def op9_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     # contexts as the SQL counts them; the pipeline counts families of documents
-    kept = line_templates.dedup(table(spark, folder, "documents").select("doc_id", "text"), by="neighbours")
+    kept = line_templates.dedup(table(spark, folder, "documents").select("doc_id", "text"), by="neighbours", fields_agree=False)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wishloom.llm import byte_bpe, decontaminate, graph_ann, jaccard_join, kd_shards, language_id, line_templates, quality, repeats, url_filter
+from wishloom.llm import byte_bpe, decontaminate, graph_ann, jaccard_join, kd_shards, language_id, line_templates, packing, periodic_runs, quality, repeats, url_filter, whitening
 from wishloom.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -159,3 +159,76 @@ def op2_graph_ann(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the documents, by hash, are periodic from some word on, as the query asks."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    g, n = F.floor(h / 10), F.size("_w")
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    periodic = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(
+        "_w", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    words = documents.select("doc_id", "text", F.when(chosen, words).alias("_w")).withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, p))
+    return words.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+OP11_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT doc_id, text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) AS h FROM documents, tab),
+w0 AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM h),
+w1 AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a, g FROM w0),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n),
+  lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM w1),
+gram AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 16], ' ') AS s FROM (SELECT doc_id, n, w, unnest(range(0, n - 15)) AS i FROM d WHERE n >= 24)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+island AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length
+  FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair) GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM island WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, start, length, period FROM run QUALIFY row_number() OVER (PARTITION BY doc_id
+  ORDER BY CAST(length AS HUGEINT) * 1000000000000000000 // period DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS s FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.i) AS s FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM run)) k
+  LEFT JOIN gone USING (doc_id, i) WHERE gone.doc_id IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, length * 1000 // period AS exponent_milli,
+  coalesce(listed.s, sha256('')) AS runs_sha256, sha256(coalesce(kept.s, array_to_string(w, ' '))) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find(with_planted_runs(table(spark, folder, "documents")), keep=["doc_id"])
+    best = F.col("strongest")
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=4, scale=256)
+    made = whitening.whiten(vectors, model, keep=["vec_id"])
+    known = model or {"n": 0, "explained": [], "identity_error": 0.0}
+    return made.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("_k", "whitened")).select(
+        "vec_id", (F.col("_k") + 1).alias("component"), F.lit(known["n"]).cast("long").alias("n"), "deviation", "whitened",
+        F.get(F.array(*[F.lit(e) for e in known["explained"]]).cast("array<double>"), F.col("_k")).alias("explained"),
+        F.lit(known["identity_error"]).alias("identity_error"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    cut = packing.pieces(documents, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], capacity=2048, with_ids=False)
+    return packing.pack(cut, capacity=2048)

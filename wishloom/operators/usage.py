@@ -1,98 +1,118 @@
-"""Usage figures inside free-form metadata."""
+"""Usage figures inside free-form metadata.
+
+The metadata is a VARIANT and the descent is an expression on it: a frontier of
+objects is opened level by level inside the row until none is left, so there is
+no Python, no shuffle and no row per nested object.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coercion import usage_metric
+from ..functions.coercion import to_number, usage_metric
 from ..functions.fixed_values import USAGE_COMPONENT_HOLDERS, USAGE_CONTAINER_MARKERS, USAGE_CONTAINERS
+from ..functions.text import bind
+from ..plans.scale import unnest
+
+OPEN = "array<struct<path:string,node:variant>>"
+LEAVES = "array<struct<path:string,usage_key:string,raw:string>>"
+
+
+def as_object(node: Column) -> Column:
+    """Members of an object, null for any other value."""
+    return F.when(F.startswith(F.schema_of_variant(node), F.lit("OBJECT")), F.try_variant_get(node, "$", "map<string,variant>"))
+
+
+def as_list(node: Column) -> Column:
+    """Elements of a list, null for any other value."""
+    return F.when(F.startswith(F.schema_of_variant(node), F.lit("ARRAY")), F.try_variant_get(node, "$", "array<variant>"))
+
+
+def names_container(key: Column) -> Column:
+    """Whether a key names something that holds usage figures."""
+    return F.regexp_replace(F.lower(key), r"[^\p{L}\p{N}]", "").rlike("|".join(USAGE_CONTAINER_MARKERS))
+
+
+def _scalars(members: Column, path: Column) -> Column:
+    """Numbers and texts among the members of an object."""
+    plain = F.filter(F.map_entries(members), lambda e: ~F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).rlike("^(OBJECT|ARRAY|BOOLEAN|VOID)"))
+    return F.transform(plain, lambda e: F.struct(
+        F.concat(path, F.lit("."), e["key"]).alias("path"), e["key"].alias("usage_key"), F.try_variant_get(e["value"], "$", "string").alias("raw")))
+
+
+def _objects(members: Column, path: Column, passed: Column) -> Column:
+    """Objects one level down: inside any list, or under a key that names a container; lists at the paths `passed` stay shut."""
+    def below(e: Column) -> Column:
+        here = F.concat(path, F.lit("."), e["key"])
+        items = F.transform(F.coalesce(as_list(e["value"]), F.array().cast("array<variant>")), lambda x, i: F.struct(
+            F.concat(here, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("node")))
+        return F.when(as_object(e["value"]).isNotNull() & names_container(e["key"]), F.array(F.struct(here.alias("path"), e["value"].alias("node")))).when(
+            F.array_contains(passed, here), F.array().cast(OPEN)).otherwise(
+            F.filter(items, lambda x: as_object(x["node"]).isNotNull()))
+
+    return F.flatten(F.transform(F.map_entries(members), below))
+
+
+def walk(opened: Column, levels: Column, passed: Column) -> Column:
+    """Scalars of the opened objects (path, node) and of the objects they hold, to any depth up to `levels`."""
+    def step(state: Column) -> Column:
+        seen = F.transform(state["open"], lambda n: F.struct(n["path"].alias("path"), as_object(n["node"]).alias("members")))
+        return bind(seen, lambda nodes: F.struct(
+            F.flatten(F.transform(nodes, lambda n: _objects(n["members"], n["path"], passed))).alias("open"),
+            F.concat(state["leaves"], F.flatten(F.transform(nodes, lambda n: _scalars(n["members"], n["path"])))).alias("leaves")))
+
+    start = F.struct(F.filter(opened, lambda n: as_object(n["node"]).isNotNull()).alias("open"), F.array().cast(LEAVES).alias("leaves"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start,
+                       lambda state, _: F.when(F.size(state["open"]) == 0, state).otherwise(step(state)), lambda state: state["leaves"])
+
+
+def _at(root: Column, *names: str) -> Column:
+    """Value at a path of plain names."""
+    return F.try_variant_get(root, "$." + ".".join(names), "variant")
+
+
+def _entry_figures(entry: Column, base: Column, levels: Column) -> Column:
+    """Figures of a component: those of its usage and metrics, or its own if these name no metric with a number."""
+    parts = F.array(*[F.struct(F.concat(base, F.lit(f".{p}")).alias("path"), _at(entry, p).alias("node")) for p in ("usage", "metrics")])
+    return bind(walk(parts, levels, F.array().cast("array<string>")), lambda found: F.when(
+        F.exists(found, lambda leaf: usage_metric(leaf["usage_key"]).isNotNull() & to_number(leaf["raw"]).isNotNull()), found
+    ).otherwise(F.coalesce(_scalars(as_object(entry), base), F.array().cast(LEAVES))))
+
+
+def usage_leaves(metadata: Column, levels: Column) -> Column:
+    """Array of (path, usage_key, raw) of every usage scalar of a variant, each place counted once."""
+    component_lists = [(), *[(h,) for h in USAGE_COMPONENT_HOLDERS], ("llm",), ("llm", "usage")]
+    containers = [*[(c,) for c in USAGE_CONTAINERS], ("llm", "usage")]
+
+    def path(names: Sequence[str]) -> str:
+        return ".".join(["$", *names])
 
+    def entries(names: tuple[str, ...]) -> Column:
+        base = f"{path(names)}.components"
+        listed = F.coalesce(as_list(_at(metadata, *names, "components")), F.array().cast("array<variant>"))
+        return F.flatten(F.transform(listed, lambda x, i: F.when(as_object(x).isNull(), F.array().cast(LEAVES)).otherwise(
+            _entry_figures(x, F.concat(F.lit(f"{base}["), i.cast("string"), F.lit("]")), levels))))
 
-def _leaves(node: dict, path: str, done: set):
-    """Scalars of an object, descending into lists and usage-named objects once."""
-    if path in done:
-        return
-    done.add(path)
-    for key, value in node.items():
-        here = f"{path}.{key}"
-        if isinstance(value, list):
-            for i, item in enumerate(value):
-                if isinstance(item, dict):
-                    yield from _leaves(item, f"{here}[{i}]", done)
-        elif isinstance(value, dict):
-            folded = "".join(c for c in key.lower() if c.isalnum())
-            if any(marker in folded for marker in USAGE_CONTAINER_MARKERS):
-                yield from _leaves(value, here, done)
-        elif not isinstance(value, bool) and value is not None:
-            yield here, key, str(value)
-
-
-def is_metric(key: str) -> bool:
-    """Whether usage_metric names a metric for the key."""
-    k = "".join(c for c in key.lower() if c.isalnum())
-    has = lambda *words: any(w in k for w in words)
-    return (has("token") and has("out", "completion", "response", "candidate", "in", "prompt")
-            or has("api") and has("call", "request") or k == "requests"
-            or has("cpu") and has("ms", "millisecond", "time", "duration")
-            or has("ram", "mem") and has("mb", "byte", "footprint") and has("sec", "time", "duration", "footprint"))
-
-
-def walk(metadata: dict):
-    """(path, key, value) of every usage scalar, each place counted once."""
-    done: set = set()
-    model = metadata.get("llm") if isinstance(metadata.get("llm"), dict) else {}
-    places = [("$", metadata.get("components"))]
-    places += [(f"$.{h}", (metadata.get(h) or {}).get("components")) for h in USAGE_COMPONENT_HOLDERS
-               if isinstance(metadata.get(h), dict)]
-    places += [("$.llm", model.get("components"))]
-    if isinstance(model.get("usage"), dict):
-        places.append(("$.llm.usage", model["usage"].get("components")))
-    for prefix, entries in places:
-        for i, entry in enumerate(entries if isinstance(entries, list) else []):
-            base = f"{prefix}.components[{i}]"
-            if not isinstance(entry, dict) or base in done:
-                continue
-            done.add(base)
-            found = [leaf for part in ("usage", "metrics") if isinstance(entry.get(part), dict)
-                     for leaf in _leaves(entry[part], f"{base}.{part}", done)]
-            # the entry's own figures count unless its usage names a metric already
-            yield from found if any(is_metric(k) for _, k, _v in found) else [(f"{base}.{k}", k, str(v)) for k, v in entry.items()
-                                 if not isinstance(v, (bool, list, dict)) and v is not None]
-    for name in USAGE_CONTAINERS:
-        if isinstance(metadata.get(name), dict):
-            yield from _leaves(metadata[name], f"$.{name}", done)
-    if isinstance(model.get("usage"), dict):
-        yield from _leaves(model["usage"], "$.llm.usage", done)
-    if not isinstance(metadata.get("usageMetadata"), dict) and isinstance(model.get("usageMetadata"), dict):
-        yield from _leaves(model["usageMetadata"], "$.llm.usageMetadata", done)
+    opened = [F.struct(F.lit(path(c)).alias("path"), _at(metadata, *c).alias("node")) for c in containers]
+    model = as_object(_at(metadata, "usageMetadata")).isNull()
+    opened.append(F.struct(F.lit("$.llm.usageMetadata").alias("path"), F.when(model, _at(metadata, "llm", "usageMetadata")).alias("node")))
+    counted = F.array(*[F.lit(f"{path(names)}.components") for names in component_lists])
+    return F.concat(*[entries(names) for names in component_lists], walk(F.array(*opened), levels, counted))
 
 
 def flatten_usage(df: DataFrame, key: str, metadata: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(key, kept columns, path, metric, value) rows from a JSON metadata column, Arrow-batched."""
-    import pandas as pd
+    """(key, kept columns, path, metric, value) rows from a JSON metadata column.
 
+    Text that is no JSON object has no rows. An object can't lie deeper than
+    the text has opening braces, which bounds the levels; levels without an
+    open object cost nothing.
+    """
     carried = [key, *[c for c in keep if c != key]]
-    rows = df.select(*carried, F.col(metadata).alias("_m")).where(F.col("_m").isNotNull())
-    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
-    schema = f"{types}, path string, usage_key string, raw string"
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for *owner, text in zip(*[batch[c] for c in carried], batch["_m"], strict=True):
-                try:
-                    parsed = json.loads(text)
-                except ValueError:
-                    continue
-                if isinstance(parsed, dict):
-                    found += [(*owner, *leaf) for leaf in walk(parsed)]
-            yield pd.DataFrame(found, columns=[*carried, "path", "usage_key", "raw"])
-
-    from ..functions.coercion import to_number
-
-    return rows.mapInPandas(run, schema).select(
+    braces = F.length(metadata) - F.length(F.replace(F.col(metadata), F.lit("{")))
+    rows = df.select(*carried, F.try_parse_json(metadata).alias("_m"), braces.alias("_levels")).where(as_object(F.col("_m")).isNotNull())
+    found = rows.select(*carried, usage_leaves(F.col("_m"), F.col("_levels")).alias("_leaves"))
+    return unnest(found, "_leaves", *carried).select(
         *carried, "path", usage_metric(F.col("usage_key")).alias("metric"), to_number(F.col("raw")).alias("value"))

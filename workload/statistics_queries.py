@@ -222,6 +222,27 @@ def _(t):
     return flat.where("metric is not null").select("op_id", "metric", r6("value").alias("value"))
 
 
+@query("u1_nested_usage", f"""WITH {SQL_OPS}, n AS (SELECT op_id, op_id % 4 AS s, k, total_ms FROM ops), u AS (
+ SELECT op_id, '$.usage.summary.total.aggregate[0].metricSet.resources.tokensIn' AS path, 'tokensIn' AS metric, CAST(k AS DOUBLE) AS value FROM n WHERE s IN (0, 1)
+ UNION ALL SELECT op_id, '$.usage.summary.total.aggregate[1].items[0].tokens_out', 'tokensOut', k FROM n WHERE s IN (0, 1)
+ UNION ALL SELECT op_id, '$.details.components[0].usage.summary.cpuTime', 'cpuMs', total_ms FROM n WHERE s = 1
+ UNION ALL SELECT op_id, '$.details.components[1].requests', 'apiCalls', 3 FROM n WHERE s = 1
+ UNION ALL SELECT op_id, '$.usageMetadata.components[0].usage.total.promptTokens', 'tokensIn', k FROM n WHERE s = 2)
+SELECT op_id, path, metric, round(value, 6) AS value FROM u""")
+def _(t):
+    k, v = F.col("k").cast("string"), F.col("total_ms").cast("string")
+    deep = F.concat(
+        F.lit('"usage":{"summary":{"total":{"aggregate":[{"metricSet":{"resources":{"tokensIn":"'), k, F.lit('","plain":{"tokensIn":5},"flag":true}}},'),
+        F.lit('{"items":[{"tokens_out":'), k, F.lit('},7,null]}]}}}'))
+    listed = F.concat(F.lit('"details":{"components":[{"usage":{"summary":{"cpuTime":'), v, F.lit('}},"requests":9},{"usage":{"tokensIn":"many"},"requests":3}]}'))
+    other = F.concat(F.lit('{"usageMetadata":{"components":[{"usage":{"total":{"promptTokens":'), k, F.lit('}}}]},"llm":{"usageMetadata":{"promptTokens":1}}}'))
+    shape = F.col("op_id") % 4
+    meta = F.when(shape == 0, F.concat(F.lit("{"), deep, F.lit("}"))).when(shape == 1, F.concat(F.lit("{"), deep, F.lit(","), listed, F.lit("}"))).when(
+        shape == 2, other).otherwise('[{"usage":{"tokensIn":1}}]')
+    flat = flatten_usage(operations(t).withColumn("meta", meta), "op_id", "meta")
+    return flat.where("metric is not null and value is not null").select("op_id", "path", "metric", r6("value").alias("value"))
+
+
 @query("a25_word_spans", """
 WITH w AS (SELECT user_id, value AS s, value + event_id % 5 AS e, event_id % 900000 AS m FROM events)
 SELECT user_id, round((max(e) - min(s)) * 1000, 4) AS span_ms, round(greatest((max(e) - min(s)) * 1000, max(m)), 4) AS duration_ms FROM w GROUP BY 1""")

@@ -192,12 +192,15 @@ def test_byte_bpe_equals_library(spark, docs, empty, pieces):
             (2000, "z" * 3000, "", 0, ""), (2001, "ab" * 150 + " " + "!" * 400, "", 0, "")]
     frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
     book = byte_bpe.dictionary(frame, pieces, shards=3)
-    got = byte_bpe.encode(frame, book).withColumn("back", byte_bpe.decode(F.col("ids"), pieces)).collect()
+    got = byte_bpe.decode(byte_bpe.encode(frame, book), pieces, name="back").collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
     assert byte_bpe.encode(empty, byte_bpe.dictionary(empty, pieces)).collect() == []
-    assert spark.range(1).select(byte_bpe.decode(F.lit(None).cast("array<int>"), pieces)).first()[0] == b""
+    few = spark.createDataFrame([(1, None, 2), (2, [], 3), (3, [5, 50_255, 5], 4), (4, None, 5)], "decoded long, ids array<int>, n int")
+    assert {r.n: bytes(r.decoded) for r in byte_bpe.decode(few, pieces).collect()} == {2: b"", 3: b"", 4: pieces[5] + pieces[50_255] + pieces[5], 5: b""}
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        byte_bpe.decode(spark.createDataFrame([([50_256],)], "ids array<int>"), pieces).collect()
 
 
 def test_fold_equals_heap(spark, pieces):

@@ -72,11 +72,11 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
     pieces = tokenizer()
     book = byte_bpe.dictionary(documents, pieces)
-    coded = byte_bpe.encode(documents, book, keep=["doc_id"])
+    coded = byte_bpe.decode(byte_bpe.encode(documents, book, keep=["doc_id"]), pieces, keep=["doc_id", "ids"])
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode(F.col("ids"), pieces), 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op7_byte_bpe")

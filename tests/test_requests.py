@@ -93,3 +93,70 @@ def test_no_bound_on_languages(spark):
     lookup = spark.createDataFrame([(n, f"place{n}", n, i) for i, n in enumerate(names)], "lang string, name string, id string, ord long")
     asked = spark.createDataFrame([(i, n, f"to place{n} please") for i, n in enumerate(names)], "request_id long, lang string, text string")
     assert ex.match_entities(asked, lookup).count() == 260
+
+
+def test_whole_words_equal_a_pattern(spark):
+    import re
+
+    rng = random.Random(5)
+    parts = ["spa", "new", "york", "st.", "o'hare", "(x", "é", "a1", "-", " ", " ", ",", "_"]
+    names = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))).strip() for _ in range(60)} - {""})
+    names = [n for n in names if re.match(r"\w", n)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    lookup = spark.createDataFrame([("en", n, f"i{i}", i) for i, n in enumerate(names)], "lang string, name string, id string, ord long")
+    asked = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "request_id long, lang string, text string")
+    got = {(r.request_id, r.id) for r in ex.match_entities(asked, lookup).collect()}
+    assert got == {(i, f"i{j}") for i, t in enumerate(texts) for j, n in enumerate(names) if re.search(rf"\b{re.escape(n)}\b", t)}
+
+
+PLACES = "array<struct<id:string,name:string,type:string,available:boolean>>"
+EXTRACTION = f"request_id long, airports {PLACES}, destinations {PLACES}, dates array<struct<phrase:string,at:timestamp>>, duration_id string, flex_id string"
+
+
+def found(i, *, port=True, open_port=True, place=True, date="2026-01-05", duration=None):
+    at = dt.datetime.fromisoformat(date) if date else None
+    return (i, [("AMS", "Amsterdam", "", open_port)] if port else [], [("R1", "Rome", "city", True)] if place else [], [(date, at)] if at else [], duration, "0")
+
+
+def test_staged_cascade(spark):
+    cal = days(spark, "2026-01-05", "2026-01-06")
+    rules = spark.createDataFrame([found(1), found(2, date=None), found(3, open_port=False), found(4, place=False), found(5, date=None, place=False), found(6, date="2026-01-09")], EXTRACTION)
+    model = spark.createDataFrame([(*found(1, date=None), None), (*found(2), None), (*found(3, date="2026-01-07"), None), (4, [], [], [], None, None, "Model response must be an object")],
+                                  EXTRACTION + ", response_error string")
+    prepared = {"rules": cs.prepare(rules, cal), "llm": cs.prepare(model, cal)}
+    attempts, outcome = cs.staged_cascade(rules, prepared, [cs.Stage("r", "rules"), cs.Stage("m", "llm")], cs.Stage("p", "rules", ["availability", "destination"]))
+    tried = {(r.request_id, r.position): (r.method, r.type, r.status, r.detail, r.fallback) for r in attempts.collect()}
+    date, place = nm.MSG["date_required"], nm.MSG["destination_required"]
+    assert tried == {
+        (1, 0): ("r", "rules", "success", None, False), (2, 0): ("r", "rules", "failed", date, False), (2, 1): ("m", "llm", "success", None, False),
+        (3, 0): ("r", "rules", "failed", "Departure airport 'Amsterdam' is unavailable", False), (3, 1): ("m", "llm", "failed", date, False),
+        (3, 2): ("p", "rules", "failed", "Departure airport 'Amsterdam' is unavailable", True), (4, 0): ("r", "rules", "failed", place, False),
+        (4, 1): ("m", "llm", "error", "Model response must be an object", False), (4, 2): ("p", "rules", "failed", place, True),
+        (5, 0): ("r", "rules", "failed", date, False), (5, 1): ("m", "llm", "error", "Nothing was extracted", False), (5, 2): ("p", "rules", "failed", place, True),
+        (6, 0): ("r", "rules", "failed", date, False), (6, 1): ("m", "llm", "error", "Nothing was extracted", False), (6, 2): ("p", "rules", "success", None, True)}
+    ended = {r.request_id: (r.status, r.selected_stage, r.fallback_triggered) for r in outcome.collect()}
+    assert ended == {1: ("success", "r", False), 2: ("success", "m", False), 3: ("failed", None, True), 4: ("failed", None, True), 5: ("failed", None, True), 6: ("success", "p", True)}
+    attempts, outcome = cs.staged_cascade(rules, prepared, [cs.Stage("r", "rules")], cs.Stage("r", "rules"))
+    assert attempts.count() == 6 and outcome.where("fallback_triggered").count() == 0
+
+
+def test_revalidation_fills_six_fields_and_asks_touched_rules(spark):
+    cal = days(spark, "2026-01-05", "2026-01-06")
+    rows = [(*found(1), None, None, None), (*found(2, port=False, place=False, date=None), None, None, None), (*found(3, date=None, open_port=False), 2, 0, 1),
+            (*found(4, date=None), 2, 0, 0), (*found(5, date=None, duration="2010"), None, 1, None), (*found(6, date=None), None, None, None)]
+    ext = spark.createDataFrame(rows, EXTRACTION + ", adults int, non_adults int, rooms int")
+    given = [(i, ["rome ", "ROME", "Elsewhere"], "popularity", ["amsterdam", "Own port"], "global", ["2026-01-06"] if i != 6 else ["soon"], "global",
+              "2003", "configuration", 3, 1, "destination:Rome", 2, "global") for i in range(1, 7)]
+    imputed = spark.createDataFrame(given, "request_id long, `to` array<string>, to_source string, `from` array<string>, from_source string, departure array<string>, departure_source string, "
+                                    "duration_id string, duration_source string, adults int, non_adults int, party_source string, rooms int, rooms_source string")
+    ports = spark.createDataFrame([("ams", "Amsterdam", "AIRPORT", True)], "id string, name string, type string, available boolean")
+    cities = spark.createDataFrame([("R1", "Rome", "city", None), ("R9", "Closed", "", False)], "id string, name string, type string, available boolean")
+    out = {r.request_id: r for r in cs.revalidate_imputed(cs.prepare(ext, cal), imputed, ports, cities, cal).collect()}
+    assert (out[1].status, out[1].origins) == ("success", {})  # a success is left alone
+    assert out[2].status == "success" and set(out[2].origins) == {"to", "from", "departure", "duration", "party", "rooms"}
+    assert (out[2].payload.to_ids, out[2].payload.from_codes, out[2].payload.departure_dates) == (["R1:CITY", "Elsewhere"], ["AMS", "OWN PORT"], ["2026-01-06"])
+    assert (out[2].payload.duration_id, out[2].payload.party.adults, out[2].payload.party.nonAdults, out[2].payload.rooms) == ("2003", 3, 1, 2)
+    assert out[3].origins == {"departure": "global", "duration": "configuration"} and out[3].detail == "Departure airport 'Amsterdam' is unavailable"
+    assert out[4].detail == nm.MSG["rooms_min"] and out[4].rule_errors.date is None  # the rooms rule was not asked again and still holds
+    assert "party" not in out[5].origins and out[5].payload.duration_id == "2010" and out[5].status == "success"
+    assert out[6].detail == nm.MSG["date_required"] and "departure" not in out[6].origins

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import lookup_join, settle
+from . import imputation as im
+from . import normalisation as nm
 
 ATTEMPT = "array<struct<method:string,type:string,status:string,detail:string>>"
 
@@ -57,6 +60,97 @@ def run_cascade(requests: DataFrame, stages: list[tuple[str, str, Callable[[Data
     return result
 
 
+class Stage(NamedTuple):
+    """A method of a staged cascade: the extraction it reads and the rules it asks (all by default)."""
+
+    id: str
+    kind: str
+    rules: list[str] | None = None
+
+
+def _judged(extracted: DataFrame, calendar: DataFrame, key: str) -> DataFrame:
+    """Extraction columns as they were, their payload and the message of every rule."""
+    raw = extracted.withColumn("_raw", F.struct(*[F.col(f"`{c}`") for c in extracted.columns]))
+    normal = nm.validate(nm.normalise(raw, calendar), calendar, key)
+    payload = F.struct("from_codes", "to_ids", "departure_dates", "duration_id", "party", "rooms")
+    return normal.select("_raw.*", payload.alias("payload"), F.col("rule_errors").alias("_errors"))
+
+
+def prepare(extracted: DataFrame, calendar: DataFrame, key: str = "request_id") -> DataFrame:
+    """An extraction normalised and judged by every rule, computed once for all stages that read it.
+
+    Adds payload, rule_errors, extraction_error (the `response_error` of a row
+    that could not be read), status and detail.
+    """
+    error = F.col("response_error") if "response_error" in extracted.columns else F.lit(None).cast("string")
+    judged = _judged(extracted.withColumn("extraction_error", error), calendar, key).withColumnRenamed("_errors", "rule_errors")
+    detail = F.coalesce("extraction_error", nm.first_error(F.col("rule_errors")))
+    return settle(judged.withColumn("detail", detail).withColumn("status", F.when(
+        F.col("extraction_error").isNotNull(), "error").when(F.col("detail").isNotNull(), "failed").otherwise("success")))
+
+
+def staged_cascade(requests: DataFrame, extractions: dict[str, DataFrame], stages: list[Stage],
+                   fallback: Stage | None = None, key: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """Extract, normalise and validate in stages; the first success of a request ends its cascade (H1).
+
+    `extractions` holds one prepared frame per kind, shared by the stages of
+    that kind. Returns the attempts, one row per (request, position) with
+    method, type, status, detail and whether it is the fallback, and the outcome of
+    every request: status, detail, selected_stage and fallback_triggered. A
+    stage meets only requests that no earlier stage has settled, by an anti
+    join with the successes so far. A request without a row in an extraction fails that stage.
+    """
+    steps = [(stage, False) for stage in stages]
+    if fallback is not None and fallback.id not in {s.id for s in stages}:
+        steps.append((fallback, True))
+    attempts, settled = None, None
+    for position, (stage, last_resort) in enumerate(steps):
+        pending = requests.select(key) if settled is None else requests.select(key).join(settled, key, "left_anti")
+        rows = extractions[stage.kind].select(key, "rule_errors", "extraction_error", F.lit(True).alias("_there"))
+        errors = F.col("rule_errors")
+        asked = [errors[rule] for rule in nm.RULE_FIELDS if stage.rules is None or rule in stage.rules]
+        detail = F.coalesce("extraction_error", F.when(F.col("_there").isNull(), F.lit("Nothing was extracted")), *asked)
+        status = (F.when(F.col("extraction_error").isNotNull(), "error").when(F.col("_there").isNull(), "error")
+                  .when(F.coalesce(*asked).isNotNull(), "failed").otherwise("success"))
+        tried = settle(pending.join(rows, key, "left").select(
+            key, F.lit(position).alias("position"), F.lit(stage.id).alias("method"), F.lit(stage.kind).alias("type"),
+            status.alias("status"), detail.alias("detail"), F.lit(last_resort).alias("fallback")))
+        attempts = tried if attempts is None else attempts.unionByName(tried)
+        won = tried.where("status = 'success'").select(key)
+        settled = won if settled is None else settled.union(won)
+    if attempts is None:
+        raise ValueError("a cascade needs a stage")
+    # a request has one attempt per stage at most
+    last = attempts.groupBy(key).agg(F.max_by(F.struct("method", "status", "detail", "fallback"), "position").alias("_l"))
+    outcome = last.select(key, "_l.status", "_l.detail", F.when(F.col("_l.status") == "success", F.col("_l.method")).alias("selected_stage"),
+                          F.col("_l.fallback").alias("fallback_triggered"))
+    return attempts, outcome
+
+
+def revalidate_imputed(prepared: DataFrame, imputed: DataFrame, airports: DataFrame, destinations: DataFrame,
+                       calendar: DataFrame, key: str = "request_id") -> DataFrame:
+    """Fill failed extractions from popularity and ask the rules again that read a filled field (H2).
+
+    prepared: from `prepare`; imputed: from the imputer. Adds `origins`, the
+    source of every field that was filled, and renews extraction, payload, rule_errors, status and
+    detail of rows with such a field. The messages of rules that read no filled field are taken over.
+    """
+    extraction = [c for c in prepared.columns if c not in ("payload", "rule_errors", "status", "detail")]
+    retry = F.col("status") == "failed"
+    filled = im.fill_extraction(prepared.where(retry).select(*extraction, F.col("rule_errors").alias("_before")), imputed, airports, destinations, key)
+    judged = _judged(filled, calendar, key)
+
+    def touched(rule):
+        return F.arrays_overlap(F.map_keys("origins"), F.array(*[F.lit(f) for f in nm.RULE_FIELDS[rule]]))
+
+    errors = F.struct(*[F.when(touched(rule), F.col("_errors")[rule]).otherwise(F.col("_before")[rule]).alias(rule) for rule in nm.RULE_FIELDS])
+    redone = judged.withColumn("rule_errors", errors).withColumn("detail", nm.first_error(F.col("rule_errors"))).withColumn(
+        "status", F.when(F.col("detail").isNull(), "success").otherwise("failed"))
+    columns = [*prepared.columns, "origins"]
+    kept = prepared.where(~retry).withColumn("origins", F.create_map().cast("map<string,string>"))
+    return redone.select(*columns).unionByName(kept.select(*columns), allowMissingColumns=False)
+
+
 def impute_and_revalidate(outcome: DataFrame, imputed: DataFrame, validate: Callable[[DataFrame], DataFrame],
                           key: str = "request_id") -> DataFrame:
     """Fill a model stage's failed rows from popularity and validate those again (H2).

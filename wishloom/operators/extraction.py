@@ -15,12 +15,25 @@ MONTH = ("(?:January|February|March|April|May|June|July|August|September|October
 DATE_PHRASE = (rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}-\d{{2}}-\d{{4}}"
                rf"|\d{{1,2}}\s+{MONTH}\s+\d{{4}}|{MONTH}\s+\d{{1,2}},?\s+\d{{4}})(?![\p{{L}}\p{{N}}_])")
 
+#: Stands for a word boundary in marked texts.
+EDGE = "\x01"
+
 
 def word_key(name: Column) -> Column:
     """Words of a name as indexed for candidate search."""
     return tx.normalize_label(name)
 
 
+def mark_words(text: Column) -> Column:
+    """Text with a mark at every word boundary."""
+    return F.regexp_replace(F.replace(text, F.lit(EDGE), F.lit(" ")), r"(?U)\b", EDGE)
+
+
+def edged(name: Column) -> Column:
+    """A name as it stands in a marked text where it begins and ends at word boundaries."""
+    return F.concat(F.lit(EDGE), F.trim(mark_words(name), F.lit(EDGE)), F.lit(EDGE))
+
+
 def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_id", text: str = "text",
                     lang: str = "lang", languages: list[str] | None = None) -> DataFrame:
     """Adds `found`: entities named in each request as whole words, in dictionary order.
@@ -28,9 +41,11 @@ def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_
     lookup: (lang, name, id, ord) plus any columns to carry, such as kind. A
     language without its own dictionary uses English. Candidates come from an
     equi-join of the opening word; the exact name is then looked for between
-    word boundaries, and the first alias of an entity decides its place. Only
-    (request, word) rows are exploded, so the text itself moves once, and the
-    candidates of a request are bounded by the gazetteer.
+    word boundaries, and the first alias of an entity decides its place. Names
+    and texts carry a mark at every word boundary, so that is a plain search
+    and no pattern is built per row. Only (request, word) rows are exploded, so
+    the text itself moves once, and the candidates of a request are bounded by
+    the gazetteer.
     """
     known = lookup.select(F.col("lang").alias("_lang")).distinct()
     if languages:
@@ -38,7 +53,7 @@ def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_
     asked = requests.withColumn("_lang", F.lower(F.coalesce(F.col(lang), F.lit("en"))))
     spoken = lookup_join(asked, known.withColumn("_known", F.lit(True)), "_lang", "left")
     carried = [c for c in lookup.columns if c not in ("lang", "ord", "id", "name")]
-    entry = F.struct("ord", "id", *carried, F.col("name").alias("_name"))
+    entry = F.struct("ord", "id", *carried, F.col("name").alias("_name"), edged(F.col("name")).alias("_edged"))
     names = lookup.select(
         F.col("lang").alias("_lang"), F.get(F.split(word_key(F.col("name")), " "), F.lit(0)).alias("_w"),
         entry.alias("_e")).where("_w <> ''")
@@ -46,11 +61,6 @@ def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_
                           F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("_w"))
     candidates = lookup_join(words, names, ["_lang", "_w"]).groupBy(key).agg(F.collect_set("_e").alias("_c"))
 
-    def whole_word(lowered, c):
-        escaped = F.regexp_replace(c["_name"], r"([^\p{L}\p{N}_\s])", r"\\$1")
-        return F.contains(lowered, c["_name"]) & F.regexp_like(
-            lowered, F.concat(F.lit(r"(?U)\b"), escaped, F.lit(r"\b")))
-
     def same(c):
         return F.struct("id", *carried) if c is None else F.struct(c["id"].alias("id"), *[c[x].alias(x) for x in carried])
 
@@ -59,8 +69,9 @@ def locate_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_
         return F.filter(sorted_entries, lambda c, i: F.array_position(owners, same(c)) == i + 1)
 
     joined = requests.join(candidates, key, "left")
-    hits = tx.bind(F.lower(F.col(text)), lambda low: F.filter("_c", lambda c: whole_word(low, c)))
-    return joined.withColumn("found", F.when(F.col("_c").isNotNull(), tx.bind(F.array_sort(hits), first_only))).drop("_c")
+    hits = tx.bind(mark_words(F.lower(F.col(text))), lambda low: F.filter("_c", lambda c: F.contains(low, c["_edged"])))
+    shown = lambda kept: F.transform(kept, lambda c: c.dropFields("_edged"))
+    return joined.withColumn("found", F.when(F.col("_c").isNotNull(), shown(tx.bind(F.array_sort(hits), first_only)))).drop("_c")
 
 
 def match_entities(requests: DataFrame, lookup: DataFrame, key: str = "request_id", **options) -> DataFrame:
@@ -206,6 +217,26 @@ def read_model_responses(df: DataFrame, body: str = "body", key: str = "request_
     return out.withColumn("response_error", error).drop("_inner", "_airports", "_destinations")
 
 
+def places_of(df: DataFrame, ids: str, entities: DataFrame, out: str, key: str = "request_id", upper: bool = False) -> DataFrame:
+    """Adds `out`: the entities that the ids name, in the order of the list; an unknown id stands for itself."""
+    listed = df.select(key, F.posexplode(ids).alias("pos", "raw")).withColumn("id", F.upper("raw") if upper else F.trim("raw"))
+    found = lookup_join(listed, entities.select("id", "name", "type", "available", F.lit(True).alias("_known")), "id", "left")
+    place = F.struct("id", F.coalesce("name", "raw").alias("name"), F.coalesce("type", F.lit("")).alias("type"),
+                     F.when(F.col("_known"), F.col("available")).otherwise(True).alias("available"))
+    grouped = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("p")))), lambda e: e["p"]).alias(out))
+    none = F.array().cast("array<struct<id:string,name:string,type:string,available:boolean>>")
+    return df.join(grouped, key, "left").withColumn(out, F.coalesce(out, none))
+
+
+def model_extraction(read: DataFrame, airports: DataFrame, destinations: DataFrame, key: str = "request_id") -> DataFrame:
+    """Stored model responses in the shape of a rule extraction, with `response_error` where one can't be used."""
+    checked = check_known_ids(read, "airport_listed", airports, "departure airport", key, upper=True)
+    checked = check_known_ids(checked, "destination_listed", destinations, "destination", key)
+    placed = places_of(places_of(checked, "airport_ids", airports, "airports", key, upper=True), "destination_ids", destinations, "destinations", key)
+    found = F.transform("iso_dates", lambda d: F.struct(d.alias("phrase"), d.try_cast("timestamp").alias("at")))
+    return placed.select(key, "airports", "destinations", found.alias("dates"), "duration_id", "flex_id", "response_error")
+
+
 def check_known_ids(df: DataFrame, ids: str, entities: DataFrame, label: str, key: str = "request_id",
                     upper: bool = False) -> DataFrame:
     """Adds an error for the first listed id that the gazetteer does not hold."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..plans.scale import lookup_join, settle
+from ..plans.scale import lookup_join, settle, unnest
 from .popularity import modes, most_popular_destination
 
 METRICS = ["duration", "party", "rooms", "departure_airport", "interval"]
@@ -205,3 +205,72 @@ def merge_imputed(extracted: DataFrame, imputed: DataFrame, airports: DataFrame,
         F.when(whole, F.col("_adults")).otherwise(F.col("adults")).alias("adults"),
         F.when(whole, F.col("_non_adults")).otherwise(F.col("non_adults")).alias("non_adults"),
         F.coalesce("rooms", "_rooms").alias("rooms"))
+
+
+SOURCES = ["to", "from", "departure", "duration", "party", "rooms"]
+PLACE = "struct<id:string,name:string,type:string,available:boolean>"
+
+
+def fill_extraction(extracted: DataFrame, imputed: DataFrame, airports: DataFrame, destinations: DataFrame,
+                    key: str = "request_id") -> DataFrame:
+    """Empty fields of an extraction from imputed ones; adds `origins`, field to source, of what was filled.
+
+    extracted: key, airports, destinations (arrays of places), dates
+    (array of phrase and time), duration_id and, where it has them, adults,
+    non_adults, rooms. imputed: from `impute`. Names become places of the gazetteers (id, name, type,
+    available), unknown names places of their own that count as available; a
+    code, or an id with its type, is taken once. A party is filled whole, a date
+    if it is an ISO date, a duration if it is configured.
+    """
+    absent = [c for c in ("adults", "non_adults", "rooms") if c not in extracted.columns]
+    asked = extracted.withColumns({c: F.lit(None).cast("int") for c in absent}) if absent else extracted
+    columns = asked.columns
+    given = imputed.select(key, *[F.col(c).alias(f"_{c}") for c in ("to", "from", "departure", "duration_id", "adults", "non_adults", "rooms")],
+                           *[F.col(f"{c}_source").alias(f"_{c}_source") for c in SOURCES])
+    joined = asked.join(given, key, "left")
+    none = F.coalesce(F.size("airports"), F.lit(0)) <= 0, F.coalesce(F.size("destinations"), F.lit(0)) <= 0
+
+    def labels(kind, empty, column):
+        listed = F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda v, i: F.struct(
+            F.lit(kind).alias("kind"), F.trim(v).alias("label"), i.alias("pos")))
+        return F.when(empty, listed).otherwise(F.array().cast("array<struct<kind:string,label:string,pos:int>>"))
+
+    # one pass names the places of both gazetteers
+    wanted = joined.select(key, F.concat(labels("airport", none[0], F.col("_from")), labels("destination", none[1], F.col("_to"))).alias("_l"))
+    named = unnest(wanted, "_l", key).where("label <> ''").withColumn("_k", F.lower("label"))
+    known = airports.withColumn("kind", F.lit("airport")).select("kind", "id", "name", "type", "available").unionByName(
+        destinations.withColumn("kind", F.lit("destination")).select("kind", "id", "name", "type", "available"))
+    table = known.groupBy("kind", F.lower(F.trim("name")).alias("_k")).agg(
+        F.min(F.struct("id", "name", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("available", F.lit(True)).alias("available"))).alias("_p"))
+    airport = F.col("kind") == "airport"
+    own = F.struct(F.when(airport, F.upper("label")).otherwise(F.col("label")).alias("id"), F.col("label").alias("name"),
+                   F.lit("").alias("type"), F.lit(True).alias("available"))
+    place = lookup_join(named, table, ["kind", "_k"], "left").withColumn("_p", F.coalesce("_p", own).cast(PLACE))
+    code = F.when(airport, F.upper(F.trim("_p.id"))).otherwise(F.concat_ws(":", F.trim("_p.id"), F.nullif(F.trim("_p.type"), F.lit(""))))
+    once = place.where(F.trim("_p.id") != "").groupBy(key, "kind", code.alias("_c")).agg(F.min(F.struct("pos", "_p")).alias("_e"))
+    # as many entries as a request has labels
+    in_order = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("_e")))), lambda e: e["_p"])
+    places = once.groupBy(key).agg(in_order("airport").alias("_airports"), in_order("destination").alias("_destinations"))
+    dates = F.filter(F.transform("_departure", lambda d: F.struct(F.trim(d).alias("phrase"), F.trim(d).try_cast("timestamp").alias("at"))),
+                     lambda d: d["at"].isNotNull())
+    fill = {
+        "from": none[0] & (F.size("_airports") > 0), "to": none[1] & (F.size("_destinations") > 0),
+        "departure": (F.coalesce(F.size("dates"), F.lit(0)) <= 0) & (F.size("_dates") > 0),
+        "duration": (F.coalesce(F.trim("duration_id"), F.lit("")) == "") & F.trim("_duration_id").isin([d for d, _n in fv.DURATIONS]),
+        "party": F.col("adults").isNull() & F.col("non_adults").isNull() & F.col("_adults").isNotNull() & F.col("_non_adults").isNotNull(),
+        "rooms": F.col("rooms").isNull() & F.col("_rooms").isNotNull()}
+    marked = joined.join(places, key, "left").withColumn("_dates", dates).withColumn("_fill", F.struct(*[
+        F.coalesce(c, F.lit(False)).alias(name) for name, c in fill.items()]))
+    f = F.col("_fill")
+    filled = {
+        "airports": F.when(f["from"], F.col("_airports")).otherwise(F.col("airports")),
+        "destinations": F.when(f["to"], F.col("_destinations")).otherwise(F.col("destinations")),
+        "dates": F.when(f["departure"], F.col("_dates")).otherwise(F.col("dates")),
+        "duration_id": F.when(f["duration"], F.trim("_duration_id")).otherwise(F.col("duration_id")),
+        "adults": F.when(f["party"], F.col("_adults")).otherwise(F.col("adults")),
+        "non_adults": F.when(f["party"], F.col("_non_adults")).otherwise(F.col("non_adults")),
+        "rooms": F.when(f["rooms"], F.col("_rooms")).otherwise(F.col("rooms"))}
+    origins = F.map_from_entries(F.filter(F.array(*[F.struct(
+        F.lit(c).alias("key"), F.when(f[c], F.coalesce(F.col(f"_{c}_source"), F.lit("given"))).alias("value")) for c in SOURCES]),
+        lambda e: e["value"].isNotNull()))
+    return marked.select(*[filled.get(c, F.col(f"`{c}`")).alias(c) for c in columns], origins.alias("origins"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..plans.scale import lookup_join, settle
+from ..plans.scale import lookup_join
 
 MSG = fv.VALIDATION_MESSAGES
 
@@ -18,7 +18,8 @@ def departure_window(df: DataFrame, calendar: DataFrame | None, base: str = "bas
     calendar: (d date), or None for no calendar. The first open day from
     base - n and the last one up to base + n are looked up in a table of
     days, so any reach works, nothing is joined by range, and the requests
-    are read once.
+    are read once. Nothing runs before the caller's action: the span of the
+    calendar is a scalar subquery.
     """
     days = F.coalesce(F.coalesce(F.col(flex), F.lit(fv.DEFAULT_FLEX_ID)).try_cast("int"), F.lit(0))
     reach = F.greatest(days, F.lit(0)) if flexible else F.lit(0)
@@ -28,11 +29,8 @@ def departure_window(df: DataFrame, calendar: DataFrame | None, base: str = "bas
         ends = F.array_distinct(F.array(first, last))
         shown = F.when(F.col(base).isNotNull(), F.transform(ends, lambda d: F.date_format(d, "yyyy-MM-dd")))
         return df.withColumn("departure_dates", F.coalesce(shown, none))
-    span = calendar.agg(F.min("d"), F.max("d")).first()
-    if span[0] is None:
-        return df.withColumn("departure_dates", none)
-    table = settle(open_days(calendar))
-    opens, closes = F.lit(span[0]), F.lit(span[1])
+    table = open_days(calendar)
+    opens, closes = calendar.agg(F.min("d")).scalar(), calendar.agg(F.max("d")).scalar()
     rows = df.withColumns({"_first": F.greatest(first, opens), "_last": F.least(last, closes)})
     joined = lookup_join(rows, table.select(F.col("day").alias("_first"), F.col("next_open").alias("_lo")), "_first", "left")
     joined = lookup_join(joined, table.select(F.col("day").alias("_last"), F.col("last_open").alias("_hi")), "_last", "left")
@@ -169,14 +167,34 @@ def combination_error(from_codes: Column, to_ids: Column, departure_dates: Colum
     return F.when(~present["departureDate"], MSG["date_required"]).when(~met, MSG["combination"])
 
 
-def validate(df: DataFrame, calendar: DataFrame, key: str = "request_id") -> DataFrame:
-    """Adds validation_error (the first rule that fails) and status."""
-    marked = first_off_calendar(df, calendar, key)
+#: Rules in the order in which they are asked, with the fields each one reads.
+RULE_FIELDS = {
+    "availability": ("from", "to"), "selection": ("from", "to"), "date": ("departure",), "destination": ("to",),
+    "duration": ("duration",), "party": ("party",), "rooms": ("rooms",), "combination": ("from", "to", "departure")}
+
+
+def rule_errors() -> dict[str, Column]:
+    """Message of every rule over payload columns and off_calendar, null where it passes."""
     c = F.col
-    error = F.coalesce(
-        availability_error(c("airports"), c("destinations")), multi_select_error(c("from_codes"), c("to_ids")),
-        date_error(c("departure_dates"), c("off_calendar")), destination_error(c("to_ids")),
-        duration_error(c("duration_id")), party_error(c("party.adults"), c("party.nonAdults")), rooms_error(c("rooms")),
-        combination_error(c("from_codes"), c("to_ids"), c("departure_dates")))
-    return marked.withColumn("validation_error", error).withColumn(
+    return {
+        "availability": availability_error(c("airports"), c("destinations")), "selection": multi_select_error(c("from_codes"), c("to_ids")),
+        "date": date_error(c("departure_dates"), c("off_calendar")), "destination": destination_error(c("to_ids")),
+        "duration": duration_error(c("duration_id")), "party": party_error(c("party.adults"), c("party.nonAdults")), "rooms": rooms_error(c("rooms")),
+        "combination": combination_error(c("from_codes"), c("to_ids"), c("departure_dates"))}
+
+
+def first_error(errors: Column) -> Column:
+    """The first message in the order of the rules."""
+    return F.coalesce(*[errors[rule] for rule in RULE_FIELDS])
+
+
+def validate(df: DataFrame, calendar: DataFrame, key: str = "request_id", rules: list[str] | None = None) -> DataFrame:
+    """Adds rule_errors (a struct, one field per rule), validation_error (the first that fails) and status.
+
+    `rules` names the rules that are asked; all of them by default.
+    """
+    asked = list(RULE_FIELDS) if rules is None else rules
+    marked = first_off_calendar(df, calendar, key)
+    errors = F.struct(*[(e if rule in asked else F.lit(None)).cast("string").alias(rule) for rule, e in rule_errors().items()])
+    return marked.withColumn("rule_errors", errors).withColumn("validation_error", first_error(F.col("rule_errors"))).withColumn(
         "status", F.when(F.col("validation_error").isNull(), "success").otherwise("failed")).drop("off_calendar")

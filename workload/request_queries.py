@@ -14,7 +14,7 @@ from wishloom.plans.scale import settle
 
 from .frames import (SQL_ALIAS, SQL_DURATIONS, SQL_FLEX, SQL_REQUESTS, airports, alias_entries, destinations, norm,
                      requests)
-from .popularity_queries import IMPUTE, bookings, im, pop, requests_frame
+from .popularity_queries import DUR, IMPUTE, bookings, im, pop, requests_frame
 from .registry import query
 
 LANGS = ["en", "nl", "fr"]
@@ -51,13 +51,13 @@ def lookups(t):
     clean = flat.join(conflicts, ["category", "lang", "alias"], "left_anti")
     ordered = clean.withColumn("ord", 100 + F.regexp_extract("target_id", r"(\d+)", 1).cast("long"))
     none = ordered.where(F.lit(False))
-    return (settle(ct.lookup_table(airports(t), none, LANGS)), settle(ct.lookup_table(destinations(t), ordered, LANGS)))
+    return ct.lookup_table(airports(t), none, LANGS), ct.lookup_table(destinations(t), ordered, LANGS)
 
 
 def extracted(t):
     a, d = lookups(t)
     both = ex.detailed_lookup(a, airports(t), "airport").unionByName(ex.detailed_lookup(d, destinations(t), "destination"))
-    return ex.extract(requests(t), settle(both), LANGS, DUTCH)
+    return ex.extract(requests(t), both, LANGS, DUTCH)
 
 
 def ids(c):
@@ -68,7 +68,7 @@ def ids(c):
 def _(t):
     a, d = lookups(t)
     both = a.withColumn("kind", F.lit("airport")).unionByName(d.withColumn("kind", F.lit("destination")))
-    return ex.match_entities(requests(t), settle(both), languages=LANGS).select("request_id", "kind", "id", "ord")
+    return ex.match_entities(requests(t), both, languages=LANGS).select("request_id", "kind", "id", "ord")
 
 
 @query("t10_locale_lookup", f"WITH {SQL_EXTRACT} SELECT lang, name, id, CAST(ord AS BIGINT) AS ord FROM dl")
@@ -393,6 +393,100 @@ def _(t):
     return out.select("request_id", "status", "selected_stage", "fallback_triggered", F.array_join(tries, ",").alias("attempts"), "detail")
 
 
+def stored_answers(t):
+    """A model response per request: unreadable, with a bad date, complete, without dates, with a flexibility."""
+    k, d = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    base = F.concat(F.lit('{"airports":["n'), (F.col("o_custkey") % 30).cast("string"), F.lit('"],"destinations":["R'), (F.col("o_custkey") % 7).cast("string"), F.lit('"]'))
+    inner = (F.when(k % 5 == 0, "not json").when(k % 5 == 1, F.concat(base, F.lit(',"dates":["soon"]}')))
+             .when(k % 5 == 2, F.concat(base, F.lit(',"dates":["'), d, F.lit('"]}'))).when(k % 5 == 3, F.concat(base, F.lit("}")))
+             .otherwise(F.concat(base, F.lit(',"dates":[{"iso":"'), d, F.lit('"}],"flexibility":"0","duration":{"id":"2010"}}'))))
+    quoted = F.regexp_extract(F.to_json(F.struct(inner.alias("c"))), r'^\{"c":(.*)\}$', 1)
+    return t.orders.select(k.alias("request_id"), F.concat(F.lit('{"choices":[{"message":{"content":'), quoted, F.lit("}}]}")).alias("body"))
+
+
+STAGES_SQL = f"""{SQL_NORMAL},
+ans AS (SELECT o_orderkey AS request_id, o_orderkey % 5 AS v, CAST(o_orderdate AS DATE) AS b, CASE WHEN o_orderkey % 5 = 4 THEN 0 ELSE 3 END AS n, o_custkey % 30 AS ap, o_custkey % 7 AS de FROM orders),
+anw AS (SELECT b, n, min(d) AS lo FROM (SELECT DISTINCT b, n FROM ans) JOIN cal ON d BETWEEN b - n AND b + n GROUP BY 1, 2),
+mo AS (SELECT request_id, CASE WHEN v < 2 OR ap >= 25 OR de >= 5 THEN 'error' END AS err,
+  CASE WHEN v = 0 THEN 'Model response must be an object' WHEN v = 1 THEN 'Model returned invalid ISO date ''soon'''
+   WHEN ap >= 25 THEN 'Unknown departure airport ''n' || ap || ''' returned by model' WHEN de >= 5 THEN 'Unknown destination ''R' || de || ''' returned by model'
+   WHEN ap % 9 = 8 THEN 'Departure airport ''' || n_name || ''' is unavailable' WHEN de = 3 THEN 'Destination ''' || r_name || ''' is unavailable'
+   WHEN v = 3 OR lo IS NULL THEN 'Departure date is required' END AS detail
+  FROM ans LEFT JOIN anw USING (b, n) LEFT JOIN nation ON n_nationkey = ap LEFT JOIN region ON r_regionkey = de),
+st AS (SELECT request_id, error AS d0, mo.detail AS d1, coalesce(mo.err, CASE WHEN mo.detail IS NULL THEN 'success' ELSE 'failed' END) AS s1,
+  CASE WHEN closed_airport IS NOT NULL OR closed_dest IS NOT NULL THEN error WHEN to_ids = '' THEN 'Destination is required' END AS d2 FROM va JOIN mo USING (request_id)),
+att AS (SELECT request_id, 0 AS position, 'rules-basic' AS method, 'rules' AS type, CASE WHEN d0 IS NULL THEN 'success' ELSE 'failed' END AS status, d0 AS detail, false AS fallback FROM st
+  UNION ALL SELECT request_id, 1, 'llm-basic', 'llm', s1, d1, false FROM st WHERE d0 IS NOT NULL
+  UNION ALL SELECT request_id, 2, 'rules-places', 'rules', CASE WHEN d2 IS NULL THEN 'success' ELSE 'failed' END, d2, true FROM st WHERE d0 IS NOT NULL AND d1 IS NOT NULL)"""
+
+
+def staged(t):
+    """Rules first, stored model answers next, places alone as the last resort."""
+    cal = settle(calendar(t))
+    extractions = {"rules": cs.prepare(extracted(t), cal),
+                   "llm": cs.prepare(ex.model_extraction(ex.read_model_responses(stored_answers(t)), airports(t), destinations(t)), cal)}
+    return cs.staged_cascade(requests(t).select("request_id"), extractions, [cs.Stage("rules-basic", "rules"), cs.Stage("llm-basic", "llm")],
+                             cs.Stage("rules-places", "rules", ["availability", "selection", "destination"]))
+
+
+@query("h1_stage_attempts", f"{STAGES_SQL} SELECT * FROM att")
+def _(t):
+    return staged(t)[0]
+
+
+@query("h1_staged_outcome", f"""{STAGES_SQL} SELECT request_id, CASE WHEN d0 IS NULL OR d1 IS NULL OR d2 IS NULL THEN 'success' ELSE 'failed' END AS status,
+ CASE WHEN d0 IS NOT NULL AND d1 IS NOT NULL THEN d2 END AS detail, CASE WHEN d0 IS NULL THEN 'rules-basic' WHEN d1 IS NULL THEN 'llm-basic' WHEN d2 IS NULL THEN 'rules-places' END AS selected_stage,
+ d0 IS NOT NULL AND d1 IS NOT NULL AS fallback_triggered FROM st""")
+def _(t):
+    return staged(t)[1]
+
+
+REVALIDATED = f"""{IMPUTE}, {SQL_CALENDAR},
+bg AS (SELECT DISTINCT lower(p_brand) AS key, p_brand AS name, 'B' || substr(p_brand, 7) AS id, CAST(substr(p_brand, 7) AS INT) % 2 = 0 AS country, CAST(substr(p_brand, 7) AS INT) % 10 <> 3 AS av FROM part),
+x AS (SELECT im.*, len("to") = 0 AS ft, len("from") = 0 AS ff, len(departure) = 0 AS fd0, trim(coalesce(duration_id, '')) = '' AS fu, a IS NULL AND na IS NULL AS fp0, rooms0 IS NULL AS fr0,
+  string_split(coalesce(fpm, party), '/') AS p, coalesce(fam, airport) AS fl,
+  CASE WHEN len(dests) = 1 AND fim IS NOT NULL THEN fim WHEN len(dests) >= 2 AND cim IS NOT NULL THEN cim ELSE iv END AS iv2,
+  CASE WHEN CAST(frm AS INT) > 0 THEN CAST(frm AS INT) WHEN CAST(rooms AS INT) > 0 THEN CAST(rooms AS INT) ELSE 1 END AS rm,
+  coalesce({DUR.format('fdm')}, {DUR.format('duration')}, '2007') AS dur FROM im),
+y AS (SELECT x.*, bg.id AS bid, bg.country, bg.name AS bname, bg.av, CAST(CASE WHEN fd0 THEN split_part(iv2, '..', 1) ELSE departure[1] END AS DATE) AS b FROM x LEFT JOIN bg ON ft AND bg.key = lower(dests[1])),
+win AS (SELECT b, min(d) AS lo, max(d) AS hi FROM (SELECT DISTINCT b FROM y) JOIN cal ON d BETWEEN b - 3 AND b + 3 GROUP BY 1),
+z AS (SELECT *, CASE WHEN fp0 THEN CAST(p[1] AS INT) ELSE a END AS ad, CASE WHEN fp0 THEN CAST(p[2] AS INT) + CAST(p[3] AS INT) ELSE na END AS no, CASE WHEN fr0 THEN rm ELSE rooms0 END AS rms,
+  CASE WHEN ff AND left(fl, 1) = '5' THEN 'Departure airport ''' || fl || ''' is unavailable' WHEN ft AND NOT av THEN 'Destination ''' || bname || ''' is unavailable' END AS closed FROM y LEFT JOIN win USING (b))"""
+
+
+@query("h2_revalidated_fields", f"""{REVALIDATED}
+SELECT request_id, CASE WHEN ft THEN coalesce(bid, dests[1]) || CASE WHEN country THEN ':COUNTRY' ELSE '' END ELSE array_to_string(list_sort(list_distinct(list_transform("to", lambda v: trim(v)))), ',') END AS to_ids,
+ CASE WHEN ff THEN 'P' || left(fl, 1) ELSE 'AMS' END AS from_codes, CASE WHEN lo IS NULL THEN '' WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || ',' || hi END AS departure_dates,
+ CASE WHEN fu THEN dur ELSE trim(duration_id) END AS duration_id, ad AS adults, no AS non_adults, rms AS rooms,
+ array_to_string(list_filter([CASE WHEN ft THEN 'to=popularity' END, CASE WHEN ff THEN 'from=' || CASE WHEN fam IS NOT NULL THEN 'destination:' || fad ELSE 'global' END END,
+  CASE WHEN fd0 THEN 'departure=' || CASE WHEN len(dests) = 1 AND fim IS NOT NULL THEN 'destination:' || dests[1] WHEN len(dests) >= 2 AND cim IS NOT NULL THEN 'intersection:' || cl ELSE 'global' END END,
+  CASE WHEN fu THEN 'duration=' || CASE WHEN {DUR.format('fdm')} IS NOT NULL THEN 'destination:' || fdd WHEN {DUR.format('duration')} IS NOT NULL THEN 'global' ELSE 'configuration' END END,
+  CASE WHEN fp0 THEN 'party=' || CASE WHEN fpm IS NOT NULL THEN 'destination:' || fpd ELSE 'global' END END,
+  CASE WHEN fr0 THEN 'rooms=' || CASE WHEN CAST(frm AS INT) > 0 THEN 'destination:' || frd WHEN CAST(rooms AS INT) > 0 THEN 'global' ELSE 'configuration' END END], lambda v: v IS NOT NULL), ';') AS origins,
+ coalesce(closed, CASE WHEN lo IS NULL THEN 'Departure date is required' WHEN ad < 1 THEN 'At least one adult is required' WHEN rms < 1 THEN 'At least one room must be requested' END) AS detail,
+ CASE WHEN closed IS NULL AND lo IS NOT NULL AND ad >= 1 AND rms >= 1 THEN 'success' ELSE 'failed' END AS status FROM z""")
+def _(t):
+    books = settle(bookings(t))
+    req = requests_frame(t, books)
+    filled = im.impute(req, pop.statistics_table(books), auto_rooms=False)
+    cal = settle(calendar(t))
+    place = lambda c: F.transform(c, lambda v: F.struct(v.alias("id"), v.alias("name"), F.lit("").alias("type"), F.lit(True).alias("available")))
+    dates = F.transform("departure", lambda d: F.struct(d.alias("phrase"), d.try_cast("timestamp").alias("at")))
+    extraction = req.select("request_id", place("from").alias("airports"), place("to").alias("destinations"), dates.alias("dates"), "duration_id",
+                            F.lit(None).cast("string").alias("flex_id"), "adults", "non_adults", "rooms")
+    number, first = F.substring("p_brand", 7, 9).cast("int"), F.substring("o_orderpriority", 1, 1)
+    brands = t.part.select("p_brand").distinct().select(
+        F.concat(F.lit("B"), number.cast("string")).alias("id"), F.col("p_brand").alias("name"), F.when(number % 2 == 0, "country").otherwise("").alias("type"), (number % 10 != 3).alias("available"))
+    ports = t.orders.select("o_orderpriority").distinct().select(
+        F.concat(F.lit("p"), first).alias("id"), F.col("o_orderpriority").alias("name"), F.lit("AIRPORT").alias("type"), (first != "5").alias("available"))
+    out = cs.revalidate_imputed(cs.prepare(extraction, cal), filled, ports, brands, cal)
+    pl = F.col("payload")
+    shown = F.transform(F.map_entries("origins"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("request_id", F.array_join(F.array_sort(pl["to_ids"]), ",").alias("to_ids"), F.array_join(pl["from_codes"], ",").alias("from_codes"),
+                      F.array_join(pl["departure_dates"], ",").alias("departure_dates"), pl["duration_id"].alias("duration_id"), pl["party"]["adults"].alias("adults"),
+                      pl["party"]["nonAdults"].alias("non_adults"), pl["rooms"].alias("rooms"), F.array_join(shown, ";").alias("origins"), "detail", "status")
+
+
 @query("h2_impute_revalidate", f"""{IMPUTE}, {SQL_CALENDAR},
 f AS (SELECT request_id, CASE WHEN filled THEN dests ELSE "to" END AS t2, CASE WHEN len(departure) > 0 THEN departure[1] ELSE split_part(CASE WHEN len(dests) = 1 AND fim IS NOT NULL THEN fim WHEN len(dests) >= 2 AND cim IS NOT NULL THEN cim ELSE iv END, '..', 1) END AS dep,
   filled OR len("from") = 0 OR len(departure) = 0 AS touched FROM im)

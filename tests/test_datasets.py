@@ -83,6 +83,6 @@ def test_samples(spark):
 
 def test_batch_numbers(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
-    got = ds.batches(df, "id", 4, ["k"], block_rows=9)
+    got = ds.batches(df, "id", 4, ["k"])
     for k in range(3):
         assert [r["batch"] for r in got.where(F.col("k") == k).orderBy("id").collect()] == [i // 4 for i in range(got.where(F.col("k") == k).count())]

@@ -43,7 +43,7 @@ def test_stream_equals_batch_and_rejects_gaps(spark, turns):
 
 def test_turn_metadata_any_block(turns):
     wide = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns).collect()}
-    narrow = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns, 1).collect()}
+    narrow = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns).collect()}
     assert wide == narrow and wide["s", 2] == (3, 3, []) and wide["s", 0][2] == ["departureDate", "to"]
 
 

@@ -15,11 +15,11 @@ def test_lookup_join_keeps_the_big_side(spark):
         scale.lookup_join(big, small, "k", "full")
 
 
-@pytest.mark.parametrize("block", [1, 7, 10_000])
-def test_running_equals_plain_window(spark, block):
-    rows = [(k, i, (i * 37) % 11 if i % 3 else None) for k in "ab" for i in range(60)]
-    df = spark.createDataFrame(rows, "k string, i long, v long")
-    got = scale.running(df, ["k"], ["i"], F.floor(F.col("i") / block), {"s": F.col("v")}, {"l": F.col("v")})
+def test_running_equals_plain_window(spark):
+    rows = [(k, i, (i * 37) % 11 - 4 if i % 3 else None) for k, n in (("a", 600), ("b", 60), (None, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    got = scale.running(df, ["k"], ["i"], {"s": F.col("v")}, {"l": F.col("v")})
+    assert got.columns == ["k", "i", "v", "s", "l"]
     state = {}
     want = {}
     for k, i, v in rows:
@@ -29,6 +29,33 @@ def test_running_equals_plain_window(spark, block):
     assert {(r["k"], r["i"]): (r["s"], r["l"]) for r in got.collect()} == want
 
 
+def test_running_sums_with_equal_order(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("at"), F.when(F.col("id") % 2 == 0, 5).otherwise(-3).alias("v"))
+    got = scale.running(df, [], ["at"], {"n": F.lit(1), "s": F.col("v")}).collect()
+    assert sorted(r.n for r in got) == list(range(1, 3001)) and {r.s for r in got if r.n == 3000} == {3000}
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_global_position(spark, groups):
+    rows = [((i * 7919) % 5003, f"g{i % groups}" if i % 11 else None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "v long, g string").repartition(6)
+    want = {}
+    for v, g in sorted(rows, key=lambda r: (str(r[1]), r[0])):
+        want[g, v] = sum(1 for k in want if k[0] == g)
+    assert {(r.g, r.v): r.position for r in scale.global_position(df, ["v"], ["g"]).collect()} == want
+    everywhere = scale.global_position(df.drop("g"), ["v"], name="at")
+    assert [r["at"] for r in everywhere.orderBy("v").collect()] == list(range(5000))
+    plan = everywhere._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert scale.global_position(df.limit(0), ["v"], ["g"]).collect() == []
+
+
+def test_equal_rows_get_places_of_their_own(spark):
+    df = spark.createDataFrame([(1,)] * 2000 + [(0,)] * 5, "v int").repartition(4)
+    got = scale.global_position(df, ["v"]).collect()
+    assert sorted(r.position for r in got) == list(range(2005)) and {r.position for r in got if r.v == 0} == set(range(5))
+
+
 def test_percentiles_of_values_within_a_percent(spark):
     values = 1000 + np.arange(40_000) / 5000.0
     df = spark.range(40_000).select((1000 + F.col("id") / 5000.0).alias("v"))

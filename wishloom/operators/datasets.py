@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..plans.scale import lookup_join, running, settle
+from ..plans.scale import global_position, lookup_join, settle
 from .catalogue import clean_list
 
 
@@ -114,11 +114,9 @@ def option_combinations(options: DataFrame, total: int, seed: int = 13, weights:
 
 
 def slot_table(options: DataFrame, seed: int) -> DataFrame:
-    """Distinct options with a dense slot number in hash order, ranked in 256 blocks."""
+    """Distinct options with a dense slot number in hash order."""
     keyed = options.select("option_id", "filter_id").dropDuplicates(["option_id"]).withColumn("_h", hash_order(seed, F.col("option_id")))
-    block = F.conv(F.substring("_h", 1, 2), 16, 10)
-    ranked = running(keyed, [], ["_h", "option_id"], block, sums={"_r": F.lit(1)})
-    return ranked.select((F.col("_r") - 1).cast("long").alias("slot"), "option_id", "filter_id")
+    return global_position(keyed, ["_h", "option_id"], name="slot").select("slot", "option_id", "filter_id")
 
 
 def sample_options(df: DataFrame, key: str, order: str, n: int | None, seed: int = 13) -> DataFrame:
@@ -150,10 +148,9 @@ def multi_rows(combos: DataFrame) -> DataFrame:
         "utterance", *[F.trim(f"m.{c}").alias(c) for c in ("filter_id", "filter_name", "option_id", "option_name")])
 
 
-def batches(df: DataFrame, order: str, size: int, by: Sequence[str] = (), block_rows: int = 65536) -> DataFrame:
-    """Fixed-size batch numbers in input order, without one global window."""
-    numbered = running(df, by, [order], F.floor(F.col(order) / block_rows), sums={"_rn": F.lit(1)})
-    return numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
+def batches(df: DataFrame, order: str, size: int, by: Sequence[str] = ()) -> DataFrame:
+    """Fixed-size batch numbers in input order, without a window."""
+    return global_position(df, [order], by, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def batches_by_distinct_options(df: DataFrame, order: str, option_ids: str, cap: int, by: Sequence[str]) -> DataFrame:

@@ -87,18 +87,18 @@ def outcome(folded: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
         F.col("prompt").isNotNull(), "clarification").otherwise("failed")).drop("off_calendar")
 
 
-def turn_metadata(turns: DataFrame, block_turns: int = 1024) -> DataFrame:
+def turn_metadata(turns: DataFrame) -> DataFrame:
     """Per turn: user turn number, transcript length, last system prompt, language, missing fields.
 
     turns also carries role and text. The transcript up to a turn is the rows
-    up to it, so no list is built; running values use blocked windows.
+    up to it, so no list is built; running values are windowed by ranges.
     """
     firsts = first_mentions(turns).groupBy("session", "turn").agg(*[
         F.count_if(F.col("field") == c).alias(f"_new_{c}") for c in LISTS])
     rows = turns.join(firsts, ["session", "turn"], "left")
     user = (F.col("role") == "user").cast("int")
     walked = running(
-        rows, ["session"], ["turn"], F.floor(F.col("turn") / block_turns),
+        rows, ["session"], ["turn"],
         sums={"user_turn": user, "transcript_length": F.lit(1), "_dates": (F.size("departure_dates") > 0).cast("int"),
               **{f"_n_{c}": F.coalesce(F.col(f"_new_{c}"), F.lit(0)) for c in LISTS}},
         lasts={"last_prompt": F.when(F.col("role") == "system", F.col("text")), "session_language": F.col("language")})

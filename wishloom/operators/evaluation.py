@@ -97,16 +97,15 @@ def retry_accounting(attempts: DataFrame, key: str, attempt: str, status: str, m
 def peak_concurrency(spans: DataFrame, start: str, end: str, by: Sequence[str] = ()) -> DataFrame:
     """Most spans open at once; a span is open on [start, end).
 
-    Changes are summed per instant before anything is ordered, then a blocked
-    running sum walks the instants hour by hour.
+    Changes are summed per instant before anything is ordered, then a running
+    sum walks ranges of instants.
     """
     by = list(by)
     change = F.explode(F.array(
         F.struct(F.col(start).cast("timestamp").alias("at"), F.lit(1).alias("d")),
         F.struct(F.col(end).cast("timestamp").alias("at"), F.lit(-1).alias("d"))))
     steps = spans.select(*by, change.alias("e")).groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    hour = F.floor(F.unix_seconds("at") / 3600)
-    walked = running(steps, by, ["at"], hour, sums={"open": F.col("d")})
+    walked = running(steps, by, ["at"], sums={"open": F.col("d")})
     return walked.groupBy(*by).agg(F.max("open").alias("peak_concurrency"))
 
 
@@ -232,13 +231,12 @@ def word_span(words: DataFrame, key: str, start="start", end="end", measured: Co
     return words.groupBy(key).agg(span.alias("span_ms"), longest.alias("duration_ms"))
 
 
-def progress(df: DataFrame, order: str, status: str = "status", by: Sequence[str] = (), block_rows: int = 65536
-             ) -> DataFrame:
+def progress(df: DataFrame, order: str, status: str = "status", by: Sequence[str] = ()) -> DataFrame:
     """Running counts after each finished request, in `order`."""
     one = {"processed": F.lit(1)} | {
         f"{s}_so_far": (F.col(status) == s).cast("int") for s in ("success", "failed")} | {
         "error_so_far": (~F.col(status).isin("success", "failed")).cast("int")}
-    return running(df, by, [order], F.floor(F.col(order) / block_rows), sums=one)
+    return running(df, by, [order], sums=one)
 
 
 def replay_report(ops: DataFrame, by: Sequence[str] = (), failed: Column | None = None, ms: str = "total_ms",

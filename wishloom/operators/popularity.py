@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scale import settle
+from ..plans.scale import global_position, settle
 
 TOP_N = 5
 
@@ -121,6 +121,13 @@ def ordered_keys(statistics: DataFrame) -> DataFrame:
     return statistics.select("scope", "scope_key").distinct().orderBy("scope", F.size(parts), parts)
 
 
+def key_positions(statistics: DataFrame) -> DataFrame:
+    """Distinct scope keys with their position, from 0, in the document order of their scope."""
+    parts = F.split("scope_key", r"\|\|")
+    keys = statistics.select("scope", "scope_key").distinct().withColumns({"_parts": parts, "_size": F.size(parts)})
+    return global_position(keys, ["_size", "_parts"], ["scope"]).drop("_parts", "_size")
+
+
 def statistics_document(statistics: DataFrame) -> DataFrame:
     """One JSON summary per (scope, key, metric); at most top_n entries are collected per row."""
     entries = F.array_sort(F.collect_list(F.struct("rank", "value", "count")))

@@ -62,46 +62,79 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     return big.join(small, [on] if isinstance(on, str) else list(on), how)
 
 
+def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in ranges of `order`, sorted inside, read and written once; `_id` holds the range and the place in it.
+
+    Spark samples the bounds of the ranges, so a value that owns most rows of
+    the first columns is cut by the later ones.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(ranged.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _carried(placed: DataFrame, spark: SparkSession) -> DataFrame:
+    """Rows before each range: one row per range, a prefix sum over their counts."""
+    part = F.shiftright("_id", 33).alias("_range")
+    before, total = [], 0
+    for number, count in sorted((r["_range"], r["n"]) for r in placed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()):
+        before.append((number, total))
+        total += count
+    return spark.createDataFrame(before, "_range bigint, _before bigint")
+
+
+def global_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """Adds the place of every row in `order`, from 0, within the group that `by` names.
+
+    Without a window: the place is that in the row's range plus the rows of
+    earlier ranges, less the place of the group's first row. One range holds a
+    share of the rows whatever the groups are, so a group of all rows is as
+    good as many, and the input is read once. Equal rows get places in any order.
+    """
+    by, spark = list(by), df.sparkSession
+    placed = _placed(df, [*by, *order])
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = lookup_join(placed.withColumn("_range", F.shiftright("_id", 33)), _carried(placed, spark), "_range").withColumn(
+        name, F.col("_before") + inside)
+    if by:
+        first = numbered.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(name).alias("_first"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        numbered = numbered.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
+    return numbered.select(*df.columns, name)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Running sums and last-non-null values without one task per key.
 
-    `block` must be monotone in `order`. Rows are windowed inside (keys,
-    block); only one total per block reaches the per-key window, and the carry
-    joins back on the partitioning the first window already has.
+    Rows are windowed inside (keys, range of the order), ranges being
+    sampled as in `global_position`. The windowed rows are settled, and the
+    last of each range gives the totals that later ranges of a key carry, so the
+    input is read once and only one row per key and range reaches the second window.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     keys = list(keys)
-    blocked = df.withColumn("_block", block.cast("long"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    local = blocked.withColumns(
-        {f"_s_{n}": F.sum(c).over(inside) for n, c in sums.items()}
-        | {f"_l_{n}": F.last(c, ignorenulls=True).over(inside) for n, c in lasts.items()}
-    )
-    position = F.struct(*order)
-    totals = blocked.groupBy(*keys, "_block").agg(
-        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
-        *[F.max_by(c, F.when(c.isNotNull(), position)).alias(f"_t_{n}") for n, c in lasts.items()],
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.withColumns({f"_v_{n}": c for n, c in (sums | lasts).items()}).repartitionByRange(*keys, *order).withColumn(
+        "_range", F.spark_partition_id()).withColumn("_tie", F.monotonically_increasing_id())
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    local = settle(ranged.withColumns(
+        {f"_s_{n}": F.sum(f"_v_{n}").over(inside) for n in sums} | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in lasts}))
+    names = [*[f"_s_{n}" for n in sums], *[f"_l_{n}" for n in lasts]]
+    totals = local.groupBy(*keys, "_range").agg(F.max_by(F.struct(*names), F.struct(*order, "_tie")).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "_block",
-        *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
-        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
-    )
-    out = local.join(carry, keys + ["_block"]).withColumns(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_k_range"),
+        *[F.sum(f"_t._s_{n}").over(before).alias(f"_c_{n}") for n in sums],
+        *[F.last(f"_t._l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_range") == F.col("_k_range")]
+    out = local.join(carry, same).withColumns(
         {n: F.coalesce(F.col(f"_s_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
-        | {n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in lasts}
-    )
-    return out.drop("_block", *[f"_s_{n}" for n in sums], *[f"_l_{n}" for n in lasts],
-                    *[f"_c_{n}" for n in [*sums, *lasts]])
+        | {n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in lasts})
+    return out.select(*[c for c in df.columns if c not in sums and c not in lasts], *sums, *lasts)
 
 
 def value_bucket(value: Column) -> Column:

@@ -169,7 +169,7 @@ def _(t):
 
 @query("w6_batches", "SELECT p_partkey, p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 7 AS BIGINT) AS batch FROM part")
 def _(t):
-    return ds.batches(t.part, "p_partkey", 7, ["p_brand"], block_rows=512).select("p_partkey", "p_brand", "batch")
+    return ds.batches(t.part, "p_partkey", 7, ["p_brand"]).select("p_partkey", "p_brand", "batch")
 
 
 @query("a27_distinct_labels", "SELECT p_partkey, p_name || CASE WHEN lower(p_type) <> p_name THEN ',' || p_type ELSE '' END || CASE WHEN lower(p_brand) NOT IN (p_name, lower(p_type)) THEN ',' || p_brand ELSE '' END AS labels FROM part")

@@ -66,7 +66,7 @@ def _(t):
   last_value(lang IGNORE NULLS) OVER x AS session_language, sum(len(dep)) OVER x AS d, sum(len(frm)) OVER x AS f, sum(len(dst)) OVER x AS s FROM turns WINDOW x AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
 SELECT CAST(conv_id AS VARCHAR) AS session, turn, user_turn, transcript_length, last_prompt, session_language, array_to_string(list_filter([CASE WHEN d = 0 THEN 'departureDate' END, CASE WHEN f = 0 THEN 'from' END, CASE WHEN s = 0 THEN 'to' END], lambda x: x IS NOT NULL), ',') AS missing FROM w""")
 def _(t):
-    m = dg.turn_metadata(turns(t), block_turns=4)
+    m = dg.turn_metadata(turns(t))
     return m.select("session", "turn", F.col("user_turn").cast("long").alias("user_turn"), F.col("transcript_length").cast("long").alias("transcript_length"),
                     F.md5("last_prompt").alias("last_prompt"), "session_language", F.array_join("missing_parameters", ",").alias("missing"))
 
@@ -75,7 +75,7 @@ def _(t):
 def _(t):
     from wishloom.plans.scale import running
 
-    r = running(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], F.floor(F.col("turn") / 4),
+    r = running(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"],
                 sums={"user_turn": (F.col("role") == "user").cast("int")})
     return r.select("conv_id", "turn", F.col("user_turn").cast("long").alias("user_turn"))
 

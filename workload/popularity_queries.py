@@ -80,12 +80,8 @@ def _(t):
 @query("w8_document_order", f"""{LONG}, k AS (SELECT DISTINCT scope, scope_key FROM st)
 SELECT scope, scope_key, row_number() OVER (PARTITION BY scope ORDER BY len(string_split(scope_key, '||')), string_split(scope_key, '||')) AS position FROM k""")
 def _(t):
-    from pyspark.sql import Window
-
-    keys = pop.ordered_keys(settle(pop.statistics_table(bookings(t))))
-    parts = F.split("scope_key", r"\|\|")
-    return keys.withColumn("position", F.row_number().over(
-        Window.partitionBy("scope").orderBy(F.size(parts), parts)).cast("long"))
+    keys = pop.key_positions(pop.statistics_table(bookings(t)))
+    return keys.select("scope", "scope_key", (F.col("position") + 1).alias("position"))
 
 
 @query("s16_statistics_document", f"""{LONG}

@@ -256,7 +256,7 @@ def _(t):
 @query("a26_progress", f"""WITH {SQL_OPS} SELECT op_id, count(*) OVER w AS processed, count(*) FILTER (status = 'success') OVER w AS success_so_far,
  count(*) FILTER (status = 'failed') OVER w AS failed_so_far, count(*) FILTER (status = 'error') OVER w AS error_so_far FROM ops WINDOW w AS (ORDER BY op_id ROWS UNBOUNDED PRECEDING)""")
 def _(t):
-    p = ev.progress(operations(t), "op_id", block_rows=1024)
+    p = ev.progress(operations(t), "op_id")
     return p.select("op_id", *[F.col(c).cast("long").alias(c) for c in
                                ("processed", "success_so_far", "failed_so_far", "error_so_far")])
 

@@ -41,10 +41,56 @@ def test_stream_equals_batch_and_rejects_gaps(spark, turns):
     assert rows["u", 2]["accepted"] is False and "expected turn 1" in rows["u", 2]["reason"]
 
 
-def test_turn_metadata_any_block(turns):
-    wide = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns).collect()}
-    narrow = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns).collect()}
-    assert wide == narrow and wide["s", 2] == (3, 3, []) and wide["s", 0][2] == ["departureDate", "to"]
+def test_turn_metadata(turns):
+    got = {(r["session"], r["turn"]): (r["user_turn"], r["transcript_length"], list(r["missing_parameters"])) for r in dg.turn_metadata(turns).collect()}
+    assert got["s", 2] == (3, 3, []) and got["s", 0][2] == ["departureDate", "to"]
+
+
+@pytest.mark.parametrize("chunk_turns", [1, 7, 1000])
+def test_transcript_of_any_turn(spark, chunk_turns):
+    rows = [(s, n * 2, "user" if n % 3 else "system", f"{s} says {n}") for s, size in (("long", 300), ("one", 1), ("few", 8)) for n in range(size)]
+    df = spark.createDataFrame(rows, "session string, turn long, role string, text string").repartition(5)
+    chunks, pointers = dg.transcripts(df, chunk_turns)
+    assert chunks.selectExpr("sum(size(entries))").first()[0] == len(rows) == pointers.count()  # linear: every turn is kept once
+    assert chunks.selectExpr("max(size(entries))").first()[0] <= chunk_turns
+    asked = pointers.where("turn in (0, 6, 14, 298, 598)")
+    got = {}
+    for r in dg.transcript_entries(chunks, asked).collect():
+        got.setdefault((r.session, r.turn), []).append((r.said, r.role, r.text))
+    assert len(got) == 9
+    for (session, turn), said in got.items():
+        assert sorted(said) == [(n, role, text) for s, n, role, text in rows if s == session and n <= turn]
+
+
+def _until(ready, seconds=60):
+    import time
+
+    for _ in range(seconds * 4):
+        if ready():
+            return True
+        time.sleep(0.25)
+    return False
+
+
+def test_early_turns_wait_across_batches_and_end_with_the_session(spark, turns):
+    def turn(session, n):
+        return (session, n, "user", "t", "en", [f"A{n}"], [], [], None, None, None, None)
+    folder, out, state = (scratch_folder(spark, n) for n in ("early", "early-out", "early-state"))
+    for batch in ([turn("z", 2), turn("z", 3), turn("lost", 5)], [turn("z", 1), turn("z", 3)], [turn("z", 0)]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    feed = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    running = sessions.fold_stream(feed, ttl="4 seconds").writeStream.option("checkpointLocation", state).format("parquet").option("path", out).start()
+
+    def rows():
+        return [(r.session, r.turn, r.accepted, r.from_codes, r.reason) for r in spark.read.schema(sessions.OUTPUT).parquet(out).collect()]
+
+    try:
+        assert _until(lambda: any(r[0] == "lost" for r in rows()) and sum(r[0] == "z" for r in rows()) >= 5)
+    finally:
+        running.stop()
+    got = rows()
+    assert sorted(r[:4] for r in got if r[0] == "z" and r[2]) == [("z", n, True, ",".join(f"A{i}" for i in range(n + 1))) for n in range(4)]
+    assert [r[4] for r in got if r[0] == "lost"] == ["expected turn 0"] and ("z", 3, False, None, "expected turn 0") in got
 
 
 @pytest.mark.parametrize("chunk", ["2", "10000"])

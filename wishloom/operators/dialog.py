@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.messages import choose_prompt
-from ..plans.scale import running
+from ..plans.scale import global_position, running, unnest
 from . import normalisation as nm
 
 LISTS = ["from_codes", "to_ids"]
@@ -87,11 +87,37 @@ def outcome(folded: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
         F.col("prompt").isNotNull(), "clarification").otherwise("failed")).drop("off_calendar")
 
 
+def transcripts(turns: DataFrame, chunk_turns: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Transcripts of every turn of every session, in space linear in the turns.
+
+    Returns chunks (session, chunk, entries): consecutive turns of a session as
+    (turn, role, text), at most `chunk_turns` of them, each turn in one chunk; and pointers
+    (session, turn, chunk, length): the transcript up to a turn is that of all
+    earlier chunks and the first `length` entries of its own. A chunk is the
+    only thing that is collected, so a session of any length spreads over tasks.
+    """
+    placed = global_position(turns.select("session", "turn", "role", "text"), ["turn"], ["session"], "_at")
+    chunk = F.floor(F.col("_at") / chunk_turns).cast("long")
+    pointers = placed.select("session", "turn", chunk.alias("chunk"), (F.col("_at") % chunk_turns + 1).cast("int").alias("length"))
+    entries = F.array_sort(F.collect_list(F.struct("_at", "turn", "role", "text")))
+    chunks = placed.groupBy("session", chunk.alias("chunk")).agg(F.transform(entries, lambda e: F.struct(
+        e["turn"].alias("turn"), e["role"].alias("role"), e["text"].alias("text"))).alias("entries"))
+    return chunks, pointers
+
+
+def transcript_entries(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(session, turn, said, role, text): the transcript up to each asked pointer, one row per entry."""
+    up_to = asked.select("session", "turn", F.col("chunk").alias("_last"), "length")
+    met = chunks.join(up_to, "session").where("chunk <= _last")
+    shown = F.when(F.col("chunk") == F.col("_last"), F.slice("entries", F.lit(1), F.col("length"))).otherwise(F.col("entries"))
+    listed = F.transform(shown, lambda e: F.struct(e["turn"].alias("said"), e["role"].alias("role"), e["text"].alias("text")))
+    return unnest(met.select("session", "turn", listed.alias("_e")), "_e", "session", "turn")
+
+
 def turn_metadata(turns: DataFrame) -> DataFrame:
     """Per turn: user turn number, transcript length, last system prompt, language, missing fields.
 
-    turns also carries role and text. The transcript up to a turn is the rows
-    up to it, so no list is built; running values are windowed by ranges.
+    turns also carries role and text; `transcripts` has what was said up to a turn.
     """
     firsts = first_mentions(turns).groupBy("session", "turn").agg(*[
         F.count_if(F.col("field") == c).alias(f"_new_{c}") for c in LISTS])

@@ -71,6 +71,22 @@ def _(t):
                     F.md5("last_prompt").alias("last_prompt"), "session_language", F.array_join("missing_parameters", ",").alias("missing"))
 
 
+TRANSCRIPT_SQL = "tr AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)"
+
+
+@query("d2_transcript_chunks", f"""WITH {TRANSCRIPT_SQL} SELECT session, pos // 3 AS chunk, count(*) AS entries, md5(string_agg(turn || ' ' || role || ' ' || text, chr(10) ORDER BY pos)) AS said FROM tr GROUP BY 1, 2""")
+def _(t):
+    chunks, _pointers = dg.transcripts(turns(t), chunk_turns=3)
+    lines = F.transform("entries", lambda e: F.concat_ws(" ", e["turn"], e["role"], e["text"]))
+    return chunks.select("session", "chunk", F.size("entries").cast("long").alias("entries"), F.md5(F.array_join(lines, "\n")).alias("said"))
+
+
+@query("d2_turn_transcripts", f"""WITH {TRANSCRIPT_SQL} SELECT a.session, a.turn, b.turn AS said, b.role, md5(b.text) AS text FROM tr a JOIN tr b ON a.session = b.session AND b.pos <= a.pos""")
+def _(t):
+    chunks, pointers = dg.transcripts(turns(t), chunk_turns=3)
+    return dg.transcript_entries(chunks, pointers).select("session", "turn", "said", "role", F.md5("text").alias("text"))
+
+
 @query("w7_turn_counter", """SELECT conv_id, turn, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS user_turn FROM conversations""")
 def _(t):
     from wishloom.plans.scale import running
@@ -81,13 +97,20 @@ def _(t):
 
 
 @query("d1_session_stream", f"""WITH {SQL_TURNS}, g AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) = 0 AS s, turn = row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ok FROM turns)
-SELECT CAST(conv_id AS VARCHAR) AS session, turn, ok AS accepted, CASE WHEN ok THEN coalesce(last_value(CASE WHEN len(dep) > 0 THEN array_to_string(dep, ',') END IGNORE NULLS) OVER w, '') END AS departure_dates,
- CASE WHEN ok THEN last_value(nullif(dur, '') IGNORE NULLS) OVER w END AS duration_id FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
+, fr AS (SELECT conv_id, v, min(turn * 1000 + p) AS f FROM (SELECT conv_id, turn, unnest(frm) AS v, unnest(range(len(frm))) AS p FROM g WHERE ok) GROUP BY 1, 2),
+de AS (SELECT conv_id, v, min(turn * 1000 + p) AS f FROM (SELECT conv_id, turn, unnest(dst) AS v, unnest(range(len(dst))) AS p FROM g WHERE ok) GROUP BY 1, 2),
+fl AS (SELECT g.conv_id, g.turn, string_agg(v, ',' ORDER BY f) AS l FROM g JOIN fr ON fr.conv_id = g.conv_id AND f < (g.turn + 1) * 1000 GROUP BY 1, 2),
+dl AS (SELECT g.conv_id, g.turn, string_agg(v, ',' ORDER BY f) AS l FROM g JOIN de ON de.conv_id = g.conv_id AND f < (g.turn + 1) * 1000 GROUP BY 1, 2)
+SELECT CAST(g.conv_id AS VARCHAR) AS session, g.turn, ok AS accepted, CASE WHEN ok THEN coalesce(fl.l, '') END AS from_codes, CASE WHEN ok THEN coalesce(dl.l, '') END AS to_ids,
+ CASE WHEN ok THEN coalesce(last_value(CASE WHEN len(dep) > 0 THEN array_to_string(dep, ',') END IGNORE NULLS) OVER w, '') END AS departure_dates,
+ CASE WHEN ok THEN last_value(nullif(dur, '') IGNORE NULLS) OVER w END AS duration_id, CASE WHEN ok THEN last_value(rm IGNORE NULLS) OVER w END AS rooms,
+ CASE WHEN NOT ok THEN 'expected turn ' || count(*) FILTER (ok) OVER (PARTITION BY g.conv_id) END AS reason
+FROM g LEFT JOIN fl ON fl.conv_id = g.conv_id AND fl.turn = g.turn LEFT JOIN dl ON dl.conv_id = g.conv_id AND dl.turn = g.turn WINDOW w AS (PARTITION BY g.conv_id ORDER BY g.turn ROWS UNBOUNDED PRECEDING)""")
 def _(t: Tables):
     feed = feeds.request_feed(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
     out, state = scratch_folder(t.spark, "sessions"), scratch_folder(t.spark, "sessions-state")
     feeds.append_log(sessions.fold_stream(turns(t, feed), ttl=None), out, state).awaitTermination()
-    return t.spark.read.parquet(out).select("session", "turn", "accepted", "departure_dates", "duration_id")
+    return t.spark.read.parquet(out)
 
 
 def op_stream(t: Tables):

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from wishloom.functions import fixed_values as fv
+from wishloom.sources import logs
 from wishloom.sources import readers as rd
 from wishloom.sources import sinks as sk
 
@@ -66,7 +67,7 @@ def test_audit_log_header(spark, tmp_path):
                    "map('languageMs', 1.5D, 'total', 20D) timings, 'en' language, 0.93D confidence, named_struct('a', 1) output")
     out = str(tmp_path / "log")
     sk.write_audit_log(sk.audit_rows(df), out)
-    lines = "".join(p.read_text() for p in (tmp_path / "log").glob("*.csv")).splitlines()
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "log").glob("*.csv"))).splitlines()
     assert lines[0].split(",") == fv.AUDIT_LOG_HEADER
     assert "en (0.93)" in lines[1] and ",20.00," in lines[1] and "Success" in lines[1]
 
@@ -75,4 +76,52 @@ def test_file_digest(spark, tmp_path):
     import hashlib
 
     path = put(tmp_path, "x.txt", "abc")
-    assert sk.file_digest(spark, path).first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    assert tuple(logs.file_digest(spark, path).first()) == (path, hashlib.sha256(b"abc").hexdigest(), 3)
+    folder = tmp_path / "many"
+    (folder / "k=a").mkdir(parents=True)
+    big = bytes(range(256)) * 40_000  # more than one chunk
+    for name, content in (("k=a/x", big), ("y", b""), ("_hidden", b"h"), ("k=a/.x.crc", b"c")):
+        (folder / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.length) for r in logs.file_digest(spark, str(folder)).collect()}
+    assert got == {"x": (hashlib.sha256(big).hexdigest(), len(big)), "y": (hashlib.sha256(b"").hexdigest(), 0)}
+
+
+def test_log_appends_whole_files_under_one_header(spark, tmp_path):
+    out, header = str(tmp_path / "log"), ["a", "b", "a"]
+    rows = [(f"x{i}", 'say "hi",\nthen' if i % 3 else None, str(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "p string, q string, r string").repartition(3)
+    for _ in range(2):
+        logs.append_log(df, out, header)
+    assert logs.log_header(out) == header
+    back = logs.read_log(spark, out, ["p", "q", "r"]).collect()
+    assert sorted(map(tuple, back)) == sorted([(p, q or "", r) for p, q, r in rows] * 2)
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "log").glob("*.csv")))
+    assert whole.count("a,b,a\n") == 1 and whole.startswith("a,b,a\n")
+    assert not list((tmp_path / "log").glob("_staged*"))
+    logs.append_log(df.limit(0), out, header)
+    assert logs.read_log(spark, out, ["p", "q", "r"]).count() == 100
+    with pytest.raises(Exception, match="header has 2 names"):
+        logs.append_log(df, out, ["a", "b"])
+
+
+def test_log_of_a_failed_job_shows_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    out = str(tmp_path / "log")
+    logs.append_log(spark.createDataFrame([("kept",)], "p string"), out, ["p"])
+    bad = spark.range(40, numPartitions=4).select(F.when(F.col("id") == 39, F.raise_error(F.lit("lost"))).otherwise(F.col("id").cast("string")).alias("p"))
+    with pytest.raises(Exception, match="lost"):
+        logs.append_log(bad, out, ["p"])
+    assert [r.p for r in logs.read_log(spark, out, ["p"]).collect()] == ["kept"]
+
+
+def test_streamed_log_takes_a_batch_once(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    df = spark.createDataFrame([(str(i),) for i in range(20)], "p string")
+    df.repartition(2).write.parquet(source)
+    for _ in range(2):  # the second run finds nothing new
+        logs.stream_log(spark.readStream.schema("p string").parquet(source), out, ["p"], state).awaitTermination()
+    assert sorted(int(r.p) for r in logs.read_log(spark, out, ["p"]).collect()) == list(range(20))
+    df.limit(1).write.mode("append").parquet(source)
+    logs.stream_log(spark.readStream.schema("p string").parquet(source), out, ["p"], state).awaitTermination()
+    assert logs.read_log(spark, out, ["p"]).count() == 21 and logs.log_header(out) == ["p"]

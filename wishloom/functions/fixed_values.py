@@ -153,3 +153,11 @@ AUDIT_TIMINGS = {
 }
 USAGE_CONTAINERS = ["usage", "usageMetadata", "usageFootprint", "metrics", "resources"]
 USAGE_COMPONENT_HOLDERS = ["usage", "usageFootprint", "metrics", "pipeline", "resources", "details"]
+
+# --- fixed values: headers of the files that are read -----------------------
+CATALOGUE_COLUMNS = ["filterId", "filterLabel", "optionId", "optionLabel"]
+CATALOGUE_ALIASES = {"filterName": "filterLabel", "optionName": "optionLabel"}
+LEXICON_COLUMNS = ["filterId", "filterName", "optionId", "optionName", "synonyms"]
+UTTERANCE_COLUMNS = ["Utterance", "filterId", "filterName", "optionId", "optionName"]
+SYNONYM_INPUT_COLUMNS = ["ID", "filterName", "filterId", "optionId", "optionName"]
+REPLAY_COLUMNS = ["User input", "Expected values"]

@@ -73,7 +73,7 @@ def job_totals(df: DataFrame, by: Sequence[str] = (), status="status", ms="total
 
 
 def retry_accounting(attempts: DataFrame, key: str, attempt: str, status: str, max_attempts: int,
-                     tie: str | None = None) -> DataFrame:
+                     tie: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Final status, retries and permanent failure per request.
 
     An attempt after the first non-error one never ran; neither did one past
@@ -81,14 +81,14 @@ def retry_accounting(attempts: DataFrame, key: str, attempt: str, status: str, m
     """
     at = F.struct(attempt, tie) if tie else F.col(attempt)
     error = F.col(status) == "error"
-    settled = attempts.where(F.col(attempt) <= max_attempts).groupBy(key).agg(
+    settled = attempts.where(F.col(attempt) <= max_attempts).groupBy(*by, key).agg(
         F.min(F.when(~error, at)).alias("_ok_at"), F.max(at).alias("_last_at"),
         F.min_by(status, F.when(~error, at)).alias("_ok_status"),
         F.max(attempt).alias("_n"),
     )
     ok_attempt = F.col("_ok_at")[attempt] if tie else F.col("_ok_at")
     return settled.select(
-        key, F.coalesce("_ok_status", F.lit("error")).alias("final_status"),
+        *by, key, F.coalesce("_ok_status", F.lit("error")).alias("final_status"),
         F.when(F.col("_ok_at").isNotNull(), ok_attempt - 1)
         .otherwise(F.least(F.col("_n"), F.lit(max_attempts)) - 1).cast("long").alias("retries"),
         F.col("_ok_at").isNull().alias("permanent_failure"))
@@ -119,6 +119,25 @@ def resource_rollup(samples: DataFrame, cpu_limit: float, memory_limit: float, b
         F.count_if(hot_m).alias("memory_breaches"), F.count_if(hot_c | hot_m).alias("throttle_count"))
 
 
+def job_summary(ops: DataFrame, attempts: DataFrame, samples: DataFrame, by: Sequence[str], max_attempts: int,
+                cpu_limit: float, memory_limit: float) -> DataFrame:
+    """Everything a job reports (X3): outcomes, durations, percentiles, retries, concurrency and resources.
+
+    ops: by, status, total_ms, ts (start) and ended (end); attempts: by,
+    request, attempt, status; samples: by, cpu, memory_mb. One row per job; a
+    job without attempts or samples has zero retries and no peaks.
+    """
+    by = list(by)
+    retries = retry_accounting(attempts, "request", "attempt", "status", max_attempts, by=by).groupBy(*by).agg(
+        F.sum("retries").alias("retry_count"), F.count_if("permanent_failure").alias("permanent_failures"))
+    peaks = resource_rollup(samples, cpu_limit, memory_limit, by).select(*by, "peak_cpu", "peak_memory_mb", "throttle_count")
+    slow = ops.groupBy(*by).agg(*[F.count_if(bucket_label(F.col("total_ms")) == label).alias(f"latency_{i}") for i, (label, _) in enumerate(zip(bucket_labels(), fv.LATENCY_BUCKETS))])
+    summary = job_totals(ops, by)
+    for part in (latency_percentiles(ops, by=by).drop("n"), slow, peak_concurrency(ops, "ts", "ended", by)):
+        summary = summary.join(part, by, "left")
+    return summary.join(retries, by, "left").join(peaks, by, "left").na.fill(0, ["retry_count", "permanent_failures", "throttle_count"])
+
+
 def mismatch(mismatches: Column, status: Column) -> Column:
     """A stored expected-value mismatch decides; else the status does."""
     return (F.coalesce(F.size(mismatches), F.lit(0)) > 0) | ~is_success(status)

@@ -96,6 +96,21 @@ def map_by_rules(
         "selected", (F.col("confidence") >= limit) & ~F.col("blocked"))
 
 
+def map_every_text(
+    texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text", vector: str = "embedding", **options,
+) -> DataFrame:
+    """map_by_meaning with a row for every text: those that cannot be mapped say why.
+
+    Adds status: mapped, no-words (nothing to map) or no-vector (the text has
+    no embedding); rows of the last two hold the key and the status alone. A catalogue without options maps nothing.
+    """
+    wordless = ~F.coalesce(tx.has_words(tx.rewrite_negations(F.col(text))), F.lit(False))
+    state = F.when(wordless, "no-words").when(F.coalesce(F.size(vector), F.lit(0)) <= 0, "no-vector").otherwise("mapped")
+    judged = texts.withColumn("status", state)
+    mapped = map_by_meaning(judged.where("status = 'mapped'").drop("status"), catalogue, key, text, vector, **options).withColumn("status", F.lit("mapped"))
+    return mapped.unionByName(judged.where("status <> 'mapped'").select(key, "status"), allowMissingColumns=True)
+
+
 def map_by_meaning(
     texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text", vector: str = "embedding",
     threshold: float = SEMANTIC_THRESHOLD, top_k: int = SEMANTIC_TOP_K, penalty: float = NEGATION_PENALTY,

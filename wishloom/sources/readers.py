@@ -7,16 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..functions.text import normalize_label, strip
 from ..operators.catalogue import clean_list, duplicate_entities, duplicate_options, missing_required
 
-CATALOGUE_COLUMNS = ["filterId", "filterLabel", "optionId", "optionLabel"]
-CATALOGUE_ALIASES = {"filterName": "filterLabel", "optionName": "optionLabel"}
-LEXICON_COLUMNS = ["filterId", "filterName", "optionId", "optionName", "synonyms"]
-UTTERANCE_COLUMNS = ["Utterance", "filterId", "filterName", "optionId", "optionName"]
-SYNONYM_INPUT_COLUMNS = ["ID", "filterName", "filterId", "optionId", "optionName"]
-REPLAY_COLUMNS = ["User input", "Expected values"]
-
 
 def csv_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True, order: str | None = None) -> DataFrame:
     """Header CSV with quoted newlines; a byte-order mark is dropped by the reader.
@@ -59,17 +53,17 @@ def read_catalogue(spark: SparkSession, path: str, delimiter: str = ",") -> Data
     and duplicate options in a filter are rejected.
     """
     raw = csv_table(spark, path, delimiter, order="_ord")
-    for alias, name in CATALOGUE_ALIASES.items():
+    for alias, name in fv.CATALOGUE_ALIASES.items():
         if name not in raw.columns and alias in raw.columns:
             raw = raw.withColumnRenamed(alias, name)
-    require_columns(raw, CATALOGUE_COLUMNS, "Filters catalogue")
+    require_columns(raw, fv.CATALOGUE_COLUMNS, "Filters catalogue")
     if raw.isEmpty():
         raise ValueError("Filters catalogue is empty")
     synonyms = F.col("synonyms") if "synonyms" in raw.columns else F.lit("")
     # ordinals are places in the files, so they do not change with the packing of files
     rows = raw.select(
         *[must_hold(c, "filters catalogue").alias(n) for c, n in zip(
-            CATALOGUE_COLUMNS, ("filter_id", "filter_label", "option_id", "option_label"))],
+            fv.CATALOGUE_COLUMNS, ("filter_id", "filter_label", "option_id", "option_label"))],
         clean_list(F.split(F.coalesce(synonyms, F.lit("")), r"\|")).alias("synonyms"),
         F.col("_ord").alias("option_ord"))
     repeated = duplicate_options(rows).limit(1).collect()
@@ -90,7 +84,7 @@ def lexicon_records(df: DataFrame, lower_id: str = "id") -> DataFrame:
     listed = F.split("synonyms", r"\|") if dict(df.dtypes)["synonyms"] == "string" else F.col("synonyms")
     return df.select(
         F.coalesce(given("ID"), given(lower_id), given("optionId")).alias("record_id"),
-        *[text_or_empty(c).alias(c) for c in LEXICON_COLUMNS[:-1]], clean_list(listed).alias("synonyms"))
+        *[text_or_empty(c).alias(c) for c in fv.LEXICON_COLUMNS[:-1]], clean_list(listed).alias("synonyms"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +98,8 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     with_case = [c for c in raw.columns if c == "id"]
     if with_case and "ID" in raw.columns:
         raw = raw.toDF(*["id_" if c == "id" else c for c in raw.columns])
-        return lexicon_records(require_columns(raw, LEXICON_COLUMNS, "Lexicon"), "id_")
-    return lexicon_records(require_columns(raw, LEXICON_COLUMNS, "Lexicon"))
+        return lexicon_records(require_columns(raw, fv.LEXICON_COLUMNS, "Lexicon"), "id_")
+    return lexicon_records(require_columns(raw, fv.LEXICON_COLUMNS, "Lexicon"))
 
 
 def read_trimmed(spark: SparkSession, path: str, columns: list[str], what: str) -> DataFrame:
@@ -114,11 +108,18 @@ def read_trimmed(spark: SparkSession, path: str, columns: list[str], what: str)
 
 
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
-    return read_trimmed(spark, path, UTTERANCE_COLUMNS, "CSV utterance file")
+    return read_trimmed(spark, path, fv.UTTERANCE_COLUMNS, "CSV utterance file")
+
+
+def read_scored(spark: SparkSession, path: str) -> DataFrame:
+    """A scored dataset with its 13 columns; scores are doubles, the rank a number, the match a boolean."""
+    kinds = dict.fromkeys([c for c in fv.SCORED_COLUMNS if "similarity" in c], "double") | {"target_rank": "bigint", "is_target_top_match": "boolean"}
+    df = require_columns(csv_table(spark, path), fv.SCORED_COLUMNS, "Scored dataset")
+    return df.select(*[F.trim(F.col(c)).try_cast(kinds[c]).alias(c) if c in kinds else text_or_empty(c).alias(c) for c in fv.SCORED_COLUMNS])
 
 
 def read_synonym_input(spark: SparkSession, path: str) -> DataFrame:
-    return read_trimmed(spark, path, SYNONYM_INPUT_COLUMNS, "Synonym input")
+    return read_trimmed(spark, path, fv.SYNONYM_INPUT_COLUMNS, "Synonym input")
 
 
 def parse_booking_date(raw: Column) -> Column:
@@ -233,6 +234,6 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def read_replay(spark: SparkSession, path: str) -> DataFrame:
     """Replay rows with a user input; column headers are trimmed."""
-    raw = require_columns(csv_table(spark, path), REPLAY_COLUMNS, "Replay file")
+    raw = require_columns(csv_table(spark, path), fv.REPLAY_COLUMNS, "Replay file")
     return raw.where(text_or_empty("User input") != "").select(
         text_or_empty("User input").alias("user_input"), text_or_empty("Expected values").alias("expected_values"))

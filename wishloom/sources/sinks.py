@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.coercion import two_decimals
 from ..functions.expected import extracted_text
 from ..functions.language import language_summary
+from .logs import append_log
 
 
 def audit_rows(df: DataFrame) -> DataFrame:
@@ -37,9 +38,13 @@ def audit_rows(df: DataFrame) -> DataFrame:
 
 
 def write_audit_log(rows: DataFrame, path: str) -> None:
-    """Append as CSV under the stable header, whose language name occurs twice."""
-    rows.toDF(*fv.AUDIT_LOG_HEADER).write.mode("append").option("header", True).option("quoteAll", False).option(
-        "escape", '"').csv(path)
+    """Append to the log under its header, whose language name occurs twice."""
+    append_log(rows, path, fv.AUDIT_LOG_HEADER)
+
+
+def write_summary_log(rows: DataFrame, path: str) -> None:
+    """Append summary rows to the log under its header."""
+    append_log(rows, path, fv.SUMMARY_LOG_HEADER)
 
 
 def summary_rows(jobs: DataFrame) -> DataFrame:
@@ -70,19 +75,14 @@ def write_statistics(statistics: DataFrame, path: str) -> None:
     statistics.write.mode("overwrite").partitionBy("scope").parquet(path)
 
 
-def file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, length) per source file, hashed where it is read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
-
+def statistics_metadata(bookings: DataFrame, digests: DataFrame, schema_version: int = 1) -> DataFrame:
+    """Header of a statistics document, one row per `source`: version, moment, digest, bytes and rows of what it was built from.
 
-def statistics_metadata(bookings: DataFrame, source: str, digest: Column, schema_version: int = 1) -> DataFrame:
-    return bookings.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(schema_version).alias("schema_version"), F.current_timestamp().alias("generated_at"),
-        F.lit(source).alias("source"), digest.alias("source_sha256"), "row_count")
-
-
-SCORED_COLUMNS, SAMPLED_COLUMNS = fv.SCORED_COLUMNS, fv.SAMPLED_COLUMNS
+    bookings carry their source; digests: source, sha256, length (from `file_digest`).
+    """
+    counted = bookings.groupBy("source").agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.join(digests.select("source", F.col("sha256").alias("source_sha256"), "length"), "source", "left").select(
+        F.lit(schema_version).alias("schema_version"), F.current_timestamp().alias("generated_at"), "source", "source_sha256", "length", "row_count")
 
 
 def write_dataset(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -90,5 +90,5 @@ def write_dataset(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def persist_operations(ops: DataFrame, path: str, run: str = "run_id") -> None:
-    """Raw operations appended per run."""
-    ops.write.mode("append").partitionBy(run).parquet(path)
+    """Raw operations appended per run; rows of a run meet first, and a run of any size splits by bytes."""
+    ops.hint("rebalance", F.col(run)).write.mode("append").partitionBy(run).parquet(path)

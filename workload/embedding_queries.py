@@ -172,7 +172,9 @@ neg1 AS (SELECT id, lower(phrase) AS phrase FROM neg),
 x AS (SELECT vec_id, opt, s, rn, max(s) OVER (PARTITION BY vec_id) AS best FROM rk JOIN documents ON doc_id = vec_id WHERE regexp_matches(text, '[\p{{L}}\p{{N}}_]')),
 y AS (SELECT x.*, o.filter_id, o.option_id, EXISTS (SELECT 1 FROM neg1 WHERE id = vec_id AND list_contains(o.syn, phrase)) AS b FROM x JOIN opt o ON o.label = x.opt
   WHERE CASE WHEN best >= 0.35 THEN s >= 0.35 ELSE rn <= 5 END)
-SELECT vec_id AS doc_id, filter_id, option_id, round(s, 6) AS similarity, round(greatest(0.0, s - 0.25 * CAST(b AS INT)), 6) AS confidence, b AS blocked, s >= 0.35 AND NOT b AS selected FROM y""")
+SELECT vec_id AS doc_id, filter_id, option_id, round(s, 6) AS similarity, round(greatest(0.0, s - 0.25 * CAST(b AS INT)), 6) AS confidence, b AS blocked, s >= 0.35 AND NOT b AS selected, 'mapped' AS status FROM y
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN regexp_matches(text, '[\p{{L}}\p{{N}}_]') THEN 'no-vector' ELSE 'no-words' END FROM documents
+ WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) OR NOT coalesce(regexp_matches(text, '[\p{{L}}\p{{N}}_]'), false)""")
 def _(t):
     opts = options(t)
     k = F.col("option_ord")
@@ -180,10 +182,10 @@ def _(t):
     cat = settle(opts.select(
         F.concat(F.lit("f"), k % 3).alias("filter_id"), "option_id", F.col("option_id").alias("option_label"), "option_ord",
         F.concat(letters, F.array(F.when(k % 2 == 0, "la").otherwise("the"))).alias("synonyms"), "centroid"))
-    texts = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "embedding")
-    m = pf.map_by_meaning(texts, cat, "doc_id")
+    texts = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "text", "embedding")
+    m = pf.map_every_text(texts, cat, "doc_id")
     return m.select("doc_id", "filter_id", "option_id", r6("similarity").alias("similarity"),
-                    r6("confidence").alias("confidence"), "blocked", "selected")
+                    r6("confidence").alias("confidence"), "blocked", "selected", "status")
 
 
 @query("s11_embedding_records", "SELECT label, count(*) AS records, CAST(sum(len(embedding)) AS BIGINT) AS numbers FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY 1")

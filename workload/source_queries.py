@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wishloom.functions import fixed_values as fv
 from wishloom.operators import evaluation as ev
+from wishloom.sources import logs
 from wishloom.sources import readers as rd
 from wishloom.sources import sinks as sk
 
+from .embedding_queries import CENTROIDS
 from .frames import SQL_OPS, operations
 from .registry import query
 
@@ -43,34 +46,79 @@ def _(t):
 DEC = "CAST(CAST(round(CAST({0} AS DECIMAL(28, 9)), 2) AS DECIMAL(28, 2)) AS VARCHAR)"
 
 
-@query("s14_audit_log", f"""WITH {SQL_OPS} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp, 'op ' || op_id AS user_input, method, upper(left(status, 1)) || substr(status, 2) AS status, {DEC.format('k')} AS language_ms,
- 'en (' || {DEC.format('k / 100')} || ')' AS language, {DEC.format('total_ms')} AS total, '' AS extraction, '{{"k":' || k || '}}' AS output FROM ops""")
+AUDIT_NAMES = ["stamp", "user_input", "request_type", "method", "mode", "status", "language_ms", "total", "language", "extraction", "mapping", "validation",
+               "transcription", "network", "output"]
+AUDIT_SQL = f"""WITH {SQL_OPS} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp, 'op ' || op_id || ', "quoted"' || chr(10) || 'line' AS user_input, 'Text' AS request_type, method, 'holiday' AS mode,
+ upper(left(status, 1)) || substr(status, 2) AS status, {DEC.format('k')} AS language_ms, {DEC.format('total_ms')} AS total, 'en (' || {DEC.format('k / 100')} || ')' AS language, '' AS extraction,
+ '' AS mapping, '' AS validation, '' AS transcription, CASE WHEN op_id % 2 = 0 THEN {DEC.format('k * 2')} ELSE '' END AS network, '{{"k":' || k || '}}' AS output FROM ops"""
+
+
+def audit_frame(ops):
+    network = F.when(F.col("op_id") % 2 == 0, F.create_map(F.lit(fv.AUDIT_TIMINGS["network"][0]), F.col("k").cast("double") * 2)).otherwise(F.create_map().cast("map<string,double>"))
+    return sk.audit_rows(ops.select(
+        "ts", F.concat(F.lit("op "), "op_id", F.lit(', "quoted"\nline')).alias("text"), F.lit("Text").alias("request_type"), "method", F.lit("holiday").alias("mode"), "status",
+        F.map_concat(F.create_map(F.lit("languageMs"), F.col("k").cast("double"), F.lit("total"), F.col("total_ms")), network).alias("timings"),
+        F.lit("en").alias("language"), (F.col("k") / 100).alias("confidence"), F.struct("k").alias("output")))
+
+
+@query("s14_audit_log", AUDIT_SQL)
 def _(t):
-    o = operations(t).select(
-        "ts", F.concat(F.lit("op "), "op_id").alias("text"), F.lit("Text").alias("request_type"), "method", F.lit("holiday").alias("mode"), "status",
-        F.create_map(F.lit("languageMs"), F.col("k").cast("double"), F.lit("total"), F.col("total_ms")).alias("timings"),
-        F.lit("en").alias("language"), (F.col("k") / 100).alias("confidence"), F.struct("k").alias("output"))
-    a = sk.audit_rows(o)
-    return a.select(F.col("`Timestamp (UTC)`").alias("stamp"), F.col("User input").alias("user_input"), F.col("Method").alias("method"), F.col("Pipeline Status").alias("status"),
-                    F.col("`Language Detection (ms)`").alias("language_ms"), F.col("`Language Detection (summary)`").alias("language"),
-                    F.col("Processing Time").alias("total"), F.col("Extraction").alias("extraction"), F.col("Output").alias("output"))
-
-
-@query("s15_summary_log", f"""WITH {SQL_OPS}, g AS (SELECT run_id, count(*) AS n, count(*) FILTER (status = 'success') AS s, count(*) FILTER (status = 'error') AS e, count(*) FILTER (status = 'failed') AS f, max(total_ms) AS pk, quantile_cont(total_ms, 0.5) AS p50, count(*) FILTER (total_ms >= 9000) AS b FROM ops GROUP BY 1)
-SELECT 'run ' || run_id AS mode, CASE WHEN e > 0 THEN 'error' WHEN f > 0 THEN 'partial' ELSE 'success' END AS status, CAST(n AS VARCHAR) AS requests, CAST(s AS VARCHAR) AS succeeded, {DEC.format('p50')} AS p50, {DEC.format('pk')} AS peak,
- CASE WHEN b > 0 THEN '["cpu"]' ELSE '' END AS breaches FROM g""")
+    from wishloom.plans.scale import scratch_folder
+
+    path, ops = scratch_folder(t.spark, "audit"), operations(t)
+    for part in (ops.where("op_id % 2 = 0"), ops.where("op_id % 2 <> 0")):  # a log grows by appends
+        sk.write_audit_log(audit_frame(part), path)
+    return logs.read_log(t.spark, path, AUDIT_NAMES)
+
+
+@query("d3_streamed_audit_log", AUDIT_SQL)
 def _(t):
+    from wishloom.plans.scale import scratch_folder
+    from wishloom.streaming import feeds
+
+    class Live:
+        events = feeds.request_feed(t.spark, t.folder, t.events.schema, "events.parquet")
+
+    path = scratch_folder(t.spark, "audit-stream")
+    logs.stream_log(audit_frame(operations(Live)), path, fv.AUDIT_LOG_HEADER, scratch_folder(t.spark, "audit-stream-state")).awaitTermination()
+    return logs.read_log(t.spark, path, AUDIT_NAMES)
+
+
+SUMMARY_NAMES = ["stamp", "mode", "status", "requests", "succeeded", "failed", "errored", "duration", "processing", "p50", "p95", "peak_cpu", "peak_memory", "throttled", "breaches", "started", "finished"]
+
+
+@query("s15_summary_log", f"""WITH {SQL_OPS}, g AS (SELECT run_id, count(*) AS n, count(*) FILTER (status = 'success') AS s, count(*) FILTER (status = 'error') AS e, count(*) FILTER (status = 'failed') AS f, max(total_ms) AS pk,
+ sum(CAST(total_ms AS DECIMAL(28, 9))) AS pr, quantile_cont(total_ms, 0.5) AS p50, quantile_cont(total_ms, 0.95) AS p95, max(k) AS mem, count(*) FILTER (total_ms >= 9000) AS b, min(ts) AS a, max(ts) AS z FROM ops GROUP BY 1)
+SELECT strftime(z, '%Y-%m-%dT%H:%M:%S.%g') AS stamp, 'run ' || run_id AS mode, CASE WHEN e > 0 THEN 'error' WHEN f > 0 THEN 'partial' ELSE 'success' END AS status, CAST(n AS VARCHAR) AS requests, CAST(s AS VARCHAR) AS succeeded,
+ CAST(f AS VARCHAR) AS failed, CAST(e AS VARCHAR) AS errored, ((epoch_us(z) - epoch_us(a) + 5) // 1000) || '.' || lpad(CAST((epoch_us(z) - epoch_us(a) + 5) // 10 % 100 AS VARCHAR), 2, '0') AS duration, CAST(CAST(round(pr, 2) AS DECIMAL(28, 2)) AS VARCHAR) AS processing,
+ {DEC.format('p50')} AS p50, {DEC.format('p95')} AS p95, {DEC.format('pk')} AS peak_cpu, {DEC.format('mem')} AS peak_memory, CAST(b AS VARCHAR) AS throttled, CASE WHEN b > 0 THEN '["cpu"]' ELSE '' END AS breaches,
+ strftime(a, '%Y-%m-%dT%H:%M:%S.%g') AS started, strftime(z, '%Y-%m-%dT%H:%M:%S.%g') AS finished FROM g""")
+def _(t):
+    from wishloom.plans.scale import scratch_folder
+
     ops = operations(t)
-    jobs = ev.job_totals(ops, ["run_id"]).join(ev.latency_percentiles(ops, by=["run_id"]), "run_id").join(
+    exact = ops.groupBy("run_id").agg(F.sum(F.col("total_ms").cast("decimal(28,9)")).alias("processing_ms"))
+    jobs = ev.job_totals(ops, ["run_id"]).drop("processing_ms").join(exact, "run_id").join(ev.latency_percentiles(ops, by=["run_id"]).drop("n"), "run_id").join(
         ev.resource_rollup(ops, 9000, 1e12, ["run_id"], "total_ms", "k"), "run_id")
     rows = jobs.withColumns({"mode": F.concat(F.lit("run "), "run_id"),
                              "breaches": F.array_compact(F.array(F.when(F.col("cpu_breaches") > 0, "cpu")))})
-    s = sk.summary_rows(rows)
-    names = dict(zip(["mode", "status", "requests", "succeeded", "p50", "peak", "breaches"],
-                     ["Mode", "Status", "Requests", "Succeeded", "Latency p50 (ms)", "Peak CPU (%)", "Guardrail Breaches"]))
-    return s.select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])
+    path = scratch_folder(t.spark, "summary")
+    sk.write_summary_log(sk.summary_rows(rows), path)
+    return logs.read_log(t.spark, path, SUMMARY_NAMES)
+
 
+@query("s16_source_digest", """SELECT o_orderpriority AS source, sha256(string_agg(o_orderkey || ',' || o_custkey || chr(10), '' ORDER BY o_orderkey)) AS source_sha256,
+ CAST(sum(length(o_orderkey || ',' || o_custkey) + 1) AS BIGINT) AS length, count(*) AS row_count, 1 AS schema_version FROM orders GROUP BY 1""")
+def _(t):
+    from wishloom.plans.scale import scratch_folder
 
+    # one booking file per priority, as an export would leave them
+    path = scratch_folder(t.spark, "bookings")
+    lines = t.orders.select("o_orderpriority", "o_orderkey", F.concat_ws(",", "o_orderkey", "o_custkey").alias("value"))
+    lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey").drop("o_orderkey").write.partitionBy("o_orderpriority").text(path)
+    digests = logs.file_digest(t.spark, path).withColumn("source", F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]*)/", 1)))
+    meta = sk.statistics_metadata(t.orders.withColumn("source", F.col("o_orderpriority")), digests)
+    return meta.select("source", "source_sha256", "length", "row_count", "schema_version")
 
 
 # -- sources and sinks as round trips: written from a table, read back ---------
@@ -118,22 +166,27 @@ def _(t):
     return rd.read_replay(t.spark, _written(t, "replay", raw))
 
 
-@query("s17_scored_dataset", "SELECT CAST(vec_id AS VARCHAR) AS utterance, 'o' || label AS option_id FROM embeddings")
+@query("s17_scored_dataset", f"""WITH {CENTROIDS} SELECT CAST(vec_id AS VARCHAR) AS "Utterance", 'f' || target % 3 AS "filterId", 'Filter, ' || target % 3 AS "filterName", 'o' || target AS "optionId", 'Option "' || target || '"' AS "optionName",
+ round(target_score, 6) AS target_similarity, 'o' || top_opt AS top_option_id, 'Option "' || top_opt || '"' AS top_option_name, round(top_score, 6) AS top_similarity, round(best_non_target, 6) AS best_non_target_similarity,
+ round(target_score - best_non_target, 6) AS similarity_gap, target_rank, top_opt = target AS is_target_top_match FROM best""")
 def _(t):
-    from .embedding_queries import scored
-
-    s = scored(t)
-    rows = s.select(F.col("vec_id").alias("Utterance"), F.lit("f").alias("filterId"), F.lit("F").alias("filterName"), F.col("target").alias("optionId"),
-                    F.col("target").alias("optionName"), F.col("target_score").alias("target_similarity"), F.col("top_option").alias("top_option_id"),
-                    F.col("top_option").alias("top_option_name"), F.col("top_score").alias("top_similarity"),
-                    F.col("best_non_target").alias("best_non_target_similarity"), (F.col("target_score") - F.col("best_non_target")).alias("similarity_gap"),
-                    "target_rank", (F.col("top_option") == F.col("target")).alias("is_target_top_match"))
     from wishloom.plans.scale import scratch_folder
 
+    from .embedding_queries import scored
+
+    number = lambda c: F.substring(c, 2, 9).cast("int")
+    named = lambda c: F.concat(F.lit('Option "'), number(c).cast("string"), F.lit('"'))
+    third = (number(F.col("target")) % 3).cast("string")
+    rows = scored(t).select(
+        F.col("vec_id").alias("Utterance"), F.concat(F.lit("f"), third).alias("filterId"), F.concat(F.lit("Filter, "), third).alias("filterName"),
+        F.col("target").alias("optionId"), named(F.col("target")).alias("optionName"), F.col("target_score").alias("target_similarity"),
+        F.col("top_option").alias("top_option_id"), named(F.col("top_option")).alias("top_option_name"), F.col("top_score").alias("top_similarity"),
+        F.col("best_non_target").alias("best_non_target_similarity"), (F.col("target_score") - F.col("best_non_target")).alias("similarity_gap"),
+        "target_rank", (F.col("top_option") == F.col("target")).alias("is_target_top_match"))
     path = scratch_folder(t.spark, "scored")
-    sk.write_dataset(rows, path, sk.SCORED_COLUMNS)
-    u = rd.read_utterances(t.spark, path)
-    return u.select(F.col("Utterance").alias("utterance"), F.col("optionId").alias("option_id"))
+    sk.write_dataset(rows, path, fv.SCORED_COLUMNS)
+    back = rd.read_scored(t.spark, path)
+    return back.withColumns({c: F.round(c, 6) for c in ("target_similarity", "top_similarity", "best_non_target_similarity", "similarity_gap")})
 
 
 @query("s19_raw_operations", f"WITH {SQL_OPS} SELECT op_id, run_id, status FROM ops")

@@ -300,6 +300,25 @@ def _(t):
     return r.select("grp", *REPORT, *[r6(c).alias(c) for c in REPORT_FLOATS])
 
 
+@query("x3_full_job_summary", f"""WITH {SQL_OPS}, o AS (SELECT *, run_id % 10 AS job, op_id % 4 + 1 AS tries FROM ops),
+g AS (SELECT job, {COUNTS}, round(sum(total_ms), 4) AS processing_ms, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000 AS duration_ms, {PCT.format('total_ms')}, count(*) FILTER (total_ms >= 5000) AS slow,
+  CAST(sum(CASE WHEN tries <= 3 THEN tries - 1 ELSE 2 END) AS BIGINT) AS retry_count, count(*) FILTER (tries > 3 OR status = 'error') AS permanent_failures,
+  max(CASE WHEN op_id % 13 <> 0 THEN total_ms / 100 END) AS peak_cpu, max(k * 50.0) AS peak_memory_mb, count(*) FILTER ((op_id % 13 <> 0 AND total_ms / 100 >= 70) OR k * 50.0 >= 4096) AS throttle_count FROM o GROUP BY 1),
+ch AS (SELECT job, moment, sum(d) AS d FROM (SELECT job, epoch_us(ts) AS moment, 1 AS d FROM o UNION ALL SELECT job, epoch_us(ts) + CAST(floor(total_ms) AS BIGINT) * 1000000, -1 FROM o) GROUP BY 1, 2),
+pk AS (SELECT job, CAST(max(n) AS BIGINT) AS peak_concurrency FROM (SELECT job, sum(d) OVER (PARTITION BY job ORDER BY moment ROWS UNBOUNDED PRECEDING) AS n FROM ch) GROUP BY 1)
+SELECT g.*, peak_concurrency, CASE WHEN error_count > 0 THEN 'error' WHEN failed_count > 0 THEN 'partial' ELSE 'success' END AS status FROM g JOIN pk USING (job)""")
+def _(t):
+    # spans in seconds, so that the requests of a job overlap
+    ops = operations(t).withColumns({"job": F.col("run_id") % 10, "ended": F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor("total_ms") * 1000000)})
+    tries = F.col("op_id") % 4 + 1
+    attempts = ops.select("job", F.col("op_id").alias("request"), "status", tries.alias("_n"), F.explode(F.sequence(F.lit(1), tries.cast("int"))).alias("attempt")).withColumn(
+        "status", F.when(F.col("attempt") < F.col("_n"), "error").otherwise(F.col("status")))
+    samples = ops.select("job", F.when(F.col("op_id") % 13 != 0, F.col("total_ms") / 100).alias("cpu"), (F.col("k") * 50.0).alias("memory_mb"))
+    s = ev.job_summary(ops, attempts, samples, ["job"], 3, 70, 4096)
+    counts = ["job", "total_requests", "success_count", "failed_count", "error_count", "duration_ms", "retry_count", "permanent_failures", "peak_cpu", "peak_memory_mb", "throttle_count", "peak_concurrency", "status"]
+    return s.select(*counts, F.round("processing_ms", 4).alias("processing_ms"), F.col("latency_6").alias("slow"), *[r6(n).alias(n) for n, _q in fv.PERCENTILES])
+
+
 @query("x3_job_summary", f"""WITH {SQL_OPS}, g AS (SELECT run_id % 10 AS job, {COUNTS}, round(sum(total_ms), 4) AS processing_ms, {PCT.format('total_ms')},
   count(*) FILTER (total_ms >= 5000) AS slow, max(total_ms) AS peak_cpu FROM ops GROUP BY 1)
 SELECT *, CASE WHEN error_count > 0 THEN 'error' WHEN failed_count > 0 THEN 'partial' ELSE 'success' END AS status FROM g""")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from wishloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, lin
 from wishloom.llm.components import components
 from wishloom.plans.scale import settle
 
+FOLDER = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, row string, n_words int, doc string"
 
@@ -351,3 +353,82 @@ def test_parity_bounds_the_difference_and_folds():
             y = y[:len(y) // 2] ^ y[len(y) // 2:]
         apart = int(np.bitwise_count(x ^ y).sum())
         assert apart <= len(np.setxor1d(a, b)) and len(jaccard_join.parity(a)) * 64 >= 4 * n
+
+
+def parsed_by_hand(text, sample):
+    """Phrases of a greedy parse: the longest stretches of the sample, an unknown symbol alone."""
+    count = at = 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in sample:
+            end += 1
+        at, count = max(at + 1, end - 1), count + 1
+    return count
+
+
+@pytest.mark.parametrize("symbols", [2, 8, 700])
+def test_cross_parse_equals_greedy_parse(symbols):
+    rng = random.Random(symbols)
+    for _ in range(12):
+        sample = [rng.randrange(1, symbols + 1) for _ in range(rng.choice([0, 1, 30, 400, 3000]))] * rng.choice([1, 2])
+        table = language_id.states(sample)
+        table[0][0] = len(table)
+        table.append({})
+        known, texts = set(sample), []
+        for size in (0, 1, 127, 128, 129, 1500):
+            text = []
+            while len(text) < size:
+                at = rng.randrange(max(1, len(sample)))
+                text += sample[at:at + rng.randrange(1, 400)] + [rng.randrange(symbols + 1) for _ in range(rng.randrange(1, 6))]
+            texts.append([c if c in known else 0 for c in text])
+        spelled = ["".join(chr(1000 + c) for c in t) for t in texts]
+        want = [parsed_by_hand(t, "".join(chr(1000 + c) for c in sample)) for t in spelled]
+        off = np.cumsum([0, *map(len, texts)])
+        code = np.array([c for t in texts for c in t], np.int64)
+        for flat in (language_id._dense(table, symbols + 1), language_id._sparse(table, symbols + 1)):
+            assert language_id.cross_parse(code, off, flat).tolist() == want
+
+
+def test_language_of_many_symbols_and_ties(spark):
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    words = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(500)]
+    latin = "some words in plain letters that come again and again in every text of this language".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(150)), "zh") for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(latin) for _ in range(150)), "en") for i in range(200)]
+    rows += [(2000, rows[0][1], "zh"), (2000, rows[0][1], "zh"), (2001, "", None), (None, rows[1][1], "zh")]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, score int, lang_pred string").repartition(4)
+    models = language_id.train(frame.where("doc_id % 5 <> 0"), sample_documents=400)
+    assert [m["size"] > 256 for m in models] == [False, True]
+    got = language_id.predict(frame, models).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == (r.lang or "und") for r in got)
+    assert language_id.accepted(language_id.predict(frame, models)).count() == len(rows) - 1
+    twice = language_id.train(frame.where("lang = 'en'").withColumn("lang", F.explode(F.array(F.lit("b"), F.lit("a")))), sample_documents=400)
+    tied = language_id.predict(frame.where("lang = 'en'"), twice).collect()
+    assert {r.lang_pred for r in tied} == {"a"} and all(abs(r.score - 0.5) < 1e-9 for r in tied)
+
+
+STAGED = "doc_id long, text string, lang string, n_lines int, n_dropped int, _gone int, _again string, n_chars int"
+
+
+def test_stages_keep_clashing_columns_and_shared_ids(spark):
+    from wishloom.llm import stages
+
+    rng = random.Random(9)
+    prose = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    one, two, three = prose(), prose(), prose()
+    rows = [(1, one), (2, one), (2, one), (5, two), (5, three), (5, three), (7, three), (8, None), (9, ""), (None, two), (None, two)]
+    docs = spark.createDataFrame([(i, t, "en", 77, 88, n % 2, "mine", 0) for n, (i, t) in enumerate(rows)], STAGED).repartition(3)
+    lines = stages.drop_lines(spark, docs, FOLDER)
+    assert lines.columns == docs.columns and lines.count() == len(rows)
+    assert {(r.n_lines, r.n_dropped, r._again) for r in lines.collect()} == {(77, 88, "mine")}
+    kept = stages.one_per_group(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r._gone) for r in kept.collect()), key=str)
+    texts = [(i, t) for i, t, _ in got]
+    assert sorted(texts, key=str) == sorted([(1, one), (5, two), (5, three), (8, None), (9, ""), (None, two), (None, two)], key=str)
+    assert (5, three, 0) in got  # of the equal rows, the one that comes first
+    assert stages.identify_language(spark, docs.limit(0), FOLDER).collect() == []
+    for stage in (stages.drop_lines, stages.one_per_group, stages.drop_benchmark):
+        empty_out = stage(spark, docs.limit(0), FOLDER)
+        assert empty_out.columns == docs.columns and empty_out.collect() == []

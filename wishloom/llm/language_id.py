@@ -4,16 +4,23 @@ One Spark task per language builds the suffix automaton of a bounded sample of
 its labelled text and writes the transition table to the shared folder. A
 text is parsed against every automaton into the longest phrases that occur in
 the sample; the language that needs the fewest phrases, normalised by the
-number of characters, wins (ties: the first name). The whole text is parsed: it
-is cut into stretches of `LANE` characters, and all stretches of a block walk
-the table in step, so the work is a few array operations per character
-position and nothing is shuffled.
+number of characters, wins (ties: the first name). The whole text is parsed
+from its start, though not one character after the other: stretches of `LANE`
+characters walk the table in step, then every stretch goes on into the next
+one until it starts a phrase where that one did; from there on both parses are
+the same. So the count is that of one parse, the work is a few array
+operations per character position, and nothing is shuffled.
+
+An automaton may know any number of symbols: up to 255 its table has a column
+for each, beyond that transitions are sorted by state and symbol and found by
+binary search. A symbol that the sample lacks is a phrase of its own.
 
 Characters: lower-cased letters; each run of anything else is one space.
 
 Sample: about `sample_documents` labelled documents per language, chosen by a
-hash of their id, and of them `train_chars` characters in equal shares. Both
-bounds are parameters; predictions read whole texts.
+hash of their id, and of them `train_chars` characters in equal shares, each
+taken in PARTS stretches spread over the text. Both bounds are parameters;
+predictions read whole texts.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so
 is everything if there is no labelled text at all; rows with a null label or
@@ -23,6 +30,8 @@ stay, and columns named like the result are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,20 +45,22 @@ from wishloom.plans.scale import scratch_folder, settle
 
 LANE = 128
 CODES = 0x110000
+PARTS = 4
+DENSE = 256
 FIELDS = "lang_pred string, score double, phrase_rate double"
 
 
-def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Suffix automaton of a sequence as a flat table: row offset of the next state or -1."""
-    table, link, length = [[-1] * size], [-1], [0]
+def states(symbols: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton of a sequence: the transitions of every state, the first being the root."""
+    table, link, length = [{}], [-1], [0]
     last = 0
     for c in symbols:
         new = len(table)
-        table.append([-1] * size)
+        table.append({})
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and table[p][c] < 0:
+        while p >= 0 and c not in table[p]:
             table[p][c] = new
             p = link[p]
         if p >= 0:
@@ -58,16 +69,47 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                 link[new] = q
             else:
                 copy = len(table)
-                table.append(table[q].copy())
+                table.append(dict(table[q]))
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p >= 0 and table[p][c] == q:
+                while p >= 0 and table[p].get(c) == q:
                     table[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    flat = np.array(table, dtype=np.int32)
-    return np.where(flat >= 0, flat * size, -1).ravel().astype(np.int32)
+    return table
+
+
+def automaton(symbols: list[int], size: int) -> np.ndarray:
+    """Suffix automaton as a flat table: row offset of the next state or -1."""
+    return _dense(states(symbols), size)
+
+
+def _dense(table: list[dict[int, int]], size: int) -> np.ndarray:
+    flat = np.full((len(table), size), -1, np.int32)
+    for row, following in enumerate(table):
+        for c, to in following.items():
+            flat[row, c] = to * size
+    return flat.ravel()
+
+
+def _sparse(table: list[dict[int, int]], size: int) -> np.ndarray:
+    """Sorted keys state * size + symbol, then the next states times size."""
+    pairs = sorted((row * size + c, to * size) for row, following in enumerate(table) for c, to in following.items())
+    return np.array(pairs, np.int64).T.ravel()
+
+
+def follow(table: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Next state of states and symbols, -1 where there is none; states are row offsets."""
+    if table.dtype == np.int32:
+        return lambda state, c: table[state + c]
+    keys, to = table.reshape(2, -1)
+
+    def search(state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, state + c), len(keys) - 1)
+        return np.where(keys[at] == state + c, to[at], -1)
+
+    return search
 
 
 _LETTER: list[np.ndarray] = []
@@ -108,33 +150,80 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
         texts = [t for _, t in sorted(zip(group["key"], group["text"], strict=True), key=lambda x: (str(x[0]), x[1] or "")) if t]
         seq, off, has = characters(texts)
         each = max(200, train_chars // max(1, int(has.sum())))
-        seq = np.concatenate([seq[off[i]:min(off[i + 1], off[i] + each)] for i in np.flatnonzero(has)] or [seq[:0]])[:train_chars]
-        used, counts = np.unique(seq, return_counts=True)
-        used = used[np.argsort(-counts, kind="stable")][:254]
-        look = np.zeros(CODES, np.uint8)
-        look[used] = np.arange(1, len(used) + 1)
+        taken = []
+        for i in np.flatnonzero(has):
+            part = seq[off[i]:off[i + 1]]
+            width = each // PARTS
+            begins = [0] if len(part) <= each else np.linspace(0, len(part) - width, PARTS).astype(int)
+            taken += [part[at:at + (each if len(begins) == 1 else width)] for at in begins]
+        seq = np.concatenate(taken or [seq[:0]])[:train_chars]
+        used = np.unique(seq)
         size = len(used) + 1
-        table = automaton(look[seq].tolist(), size)
-        table = table.reshape(-1, size)
-        table[:, 0] = -1
-        return pd.DataFrame({"lang": [name], "size": [size], "n": [len(seq)], "table": [put(folder, "automaton", table.ravel())],
+        look = np.zeros(CODES, np.uint8 if size <= DENSE else np.uint32)
+        look[used] = np.arange(1, size)
+        table = states(look[seq].tolist())
+        # symbol 0 is any that the sample lacks; from the root it leads to a state that ends the phrase
+        table[0][0] = len(table)
+        table.append({})
+        flat = _dense(table, size) if size <= DENSE else _sparse(table, size)
+        return pd.DataFrame({"lang": [name], "size": [size], "n": [len(seq)], "table": [put(folder, "automaton", flat)],
                              "look": [put(folder, "symbols", look)]})
 
     made = sample.groupBy("lang").applyInPandas(build, "lang string, size int, n bigint, table string, look string")
     return sorted((r.asDict() for r in made.where("n > 0").collect()), key=lambda m: m["lang"])
 
 
-def _phrases(symbols: np.ndarray, start: np.ndarray, active: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of every stretch; stretches are in descending order of length."""
-    count = np.ones(len(start), np.int32)
-    state = np.zeros(len(start), np.int32)
-    for step, k in enumerate(active.tolist()):
-        c = symbols[start[:k] + step]
-        following = table[state[:k] + c]
-        miss = following < 0
-        count[:k] += miss
-        state[:k] = np.where(miss, np.maximum(table[c], 0), following)
-    return count
+def cross_parse(symbols: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Phrases of every text: each the longest that the automaton knows from where the last one ended."""
+    step = follow(table)
+    size = np.diff(off)
+    lanes = -(-size // LANE)
+    owner = np.repeat(np.arange(len(size)), lanes)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    start = off[owner] + inside * LANE
+    end = np.minimum(start + LANE, off[owner + 1])
+    root = np.zeros(1, np.int64)
+    first = np.zeros(len(symbols), bool)  # where a stretch, parsed on its own, starts a phrase
+    state = np.zeros(len(start), np.int64)
+    order = np.argsort(start - end, kind="stable")
+    active = np.searchsorted((start - end)[order], -np.arange(LANE), side="left")
+    for place, k in enumerate(active.tolist()):
+        lane = order[:k]
+        c = symbols[start[lane] + place]
+        following = step(state[lane], c)
+        miss = following < 0 if place else np.ones(k, bool)
+        first[start[lane] + place] = miss
+        state[lane] = np.where(miss, step(root, c), following)
+    met, extra = start.copy(), np.zeros(len(start), np.int64)
+    todo = np.flatnonzero(inside > 0)
+    own, after = state[todo - 1], state  # the state in which the stretch before ends
+    while len(todo):
+        going, at, here = np.arange(len(todo)), start[todo].copy(), own.copy()
+        extra[todo] = 0
+        open_ended = []
+        while len(going):
+            c = symbols[at[going]]
+            following = step(here[going], c)
+            miss = following < 0
+            meets = miss & first[at[going]]
+            met[todo[going[meets]]] = at[going[meets]]
+            extra[todo[going]] += miss & ~meets
+            here[going] = np.where(miss, step(root, c), following)
+            going = going[~meets]
+            at[going] += 1
+            through = at[going] >= end[todo[going]]
+            met[todo[going[through]]] = end[todo[going[through]]]
+            open_ended.append(going[through])
+            going = going[~through]
+        # a stretch crossed without a meeting ends in another state: the next one is entered anew
+        crossed = np.sort(np.concatenate(open_ended)) if open_ended else going
+        changed = crossed[here[crossed] != after[todo[crossed]]]
+        after[todo[crossed]] = here[crossed]
+        changed = changed[(todo[changed] + 1 < len(owner))]
+        changed = changed[owner[todo[changed] + 1] == owner[todo[changed]]] if len(changed) else changed
+        todo, own = todo[changed] + 1, here[changed]
+    firsts = np.concatenate(([0], np.cumsum(first)))
+    return np.bincount(owner, weights=extra + firsts[end] - firsts[met], minlength=len(size))
 
 
 def predict(documents: DataFrame, models: list[dict], text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -145,19 +234,10 @@ def predict(documents: DataFrame, models: list[dict], text: str = "text", keep:
         texts = column.to_pylist()
         seq, off, has = characters(texts)
         size = np.diff(off)
-        lanes = -(-size // LANE)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = off[owner] + inside * LANE
-        length = np.minimum(LANE, off[owner + 1] - start)
-        order = np.argsort(-length, kind="stable")
-        start, owner, length = start[order], owner[order], length[order]
-        active = np.searchsorted(-length, -np.arange(LANE), side="left")
         need = np.zeros((len(models), len(texts)))
         for i, model in enumerate(models):
-            symbols = np.asarray(mapped(model["look"]))[seq].astype(np.int32)
-            made = _phrases(symbols, start, active, np.asarray(mapped(model["table"])))
-            need[i] = np.bincount(owner, weights=made, minlength=len(texts))
+            symbols = np.asarray(mapped(model["look"]))[seq].astype(np.int64)
+            need[i] = cross_parse(symbols, off, np.asarray(mapped(model["table"])))
         if not models:
             return [["und"] * len(texts), np.zeros(len(texts)).tolist(), np.zeros(len(texts)).tolist()]
         best = need.argmin(axis=0)

@@ -58,3 +58,31 @@ def test_purity_and_centroid_literals(spark):
     assert vx.centroids(v, "k").first()["centroid"] == [0.5, 0.5]
     ragged = spark.createDataFrame([("k", [1.0]), ("k", [0.0, 1.0])], "k string, embedding array<double>")
     assert vx.centroids(ragged, "k").first()["consistent"] is False
+
+
+def test_bounds_skip_tiles_and_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    groups = rng.normal(size=(20, 16))
+    vectors = np.repeat(groups, 50, axis=0) + 0.05 * rng.normal(size=(1000, 16))
+    vectors[700] = vectors[20]  # equal options far apart in order
+    options = spark.createDataFrame([(f"o{i}", i, v.tolist()) for i, v in enumerate(vectors)], "option_id string, option_ord long, centroid array<double>")
+    unit = sm._unit_rows(vectors)
+    asked = sm._unit_rows(groups[:3] + 0.05 * rng.normal(size=(3, 16)))
+    asked[2] = unit[20]
+    wanted = [{"o3", "missing"}, {"o60", "o70"}, {"o700"}]
+    small, whole = sm.write_tiles(options, "option_id", "centroid", "option_ord", 50 * 16 * 8), sm.write_tiles(options, "option_id", "centroid", "option_ord")
+    assert len(small.files) >= 20 and len(whole.files) == 1 and small.sizes.sum() == 1000
+    a, b = sm.target_answers(asked, wanted, small), sm.target_answers(asked, wanted, whole)
+    for name in a.columns:
+        assert all(x == pytest.approx(y, abs=1e-9) if isinstance(x, float) else x == y for x, y in zip(a[name], b[name], strict=True)), name
+    assert small.reads < len(small.files) / 2
+    scores = asked @ unit.T
+    assert a["top_option"].tolist()[2] == "o20" and a["target_rank"].tolist()[2] == 2
+    assert a["target_rank"].tolist()[0] == 1 + (scores[0] > scores[0][3]).sum()
+    before = small.reads
+    for threshold in (0.95, 0.9999999, 2.0):
+        one, other = sm.kept_options(asked, threshold, 5, small), sm.kept_options(asked, threshold, 5, whole)
+        assert [[x[2] for x in p] for p in one] == [[x[2] for x in p] for p in other]
+    assert small.reads - before < 3 * len(small.files) / 2
+    empty = sm.write_tiles(options.limit(0), "option_id", "centroid", "option_ord")
+    assert empty.files == [] and sm.score_targets(spark.createDataFrame([(1, [1.0] * 16)], "vec_id long, embedding array<double>"), options.limit(0), "vec_id", F.array(F.lit("a"))).collect() == []

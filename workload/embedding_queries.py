@@ -34,9 +34,8 @@ def options(t):
 
 def scored(t, opts=None):
     target = F.concat(F.lit("o"), "label")
-    u = t.embeddings
-    s = sm.score_targets(u, opts if opts is not None else options(t), "vec_id", F.array(target))
-    return s.join(u.select("vec_id", target.alias("target")), "vec_id")
+    u = t.embeddings.withColumn("target", target)
+    return sm.score_targets(u, opts if opts is not None else options(t), "vec_id", F.array("target"), keep=["target"])
 
 
 @query("e1_cosine", f"""
@@ -146,8 +145,7 @@ SELECT CASE WHEN len(targets) = 1 THEN 'purity' ELSE 'multi' END AS route, count
 FROM cs JOIN (SELECT vec_id, target_rank AS rn FROM best) USING (vec_id) GROUP BY 1""")
 def _(t):
     u = multi(t)
-    s = sm.coverage_separation(sm.score_targets(u, options(t), "vec_id", F.col("targets")), 0.5, 0.1).join(
-        u.select("vec_id", "targets"), "vec_id")
+    s = sm.coverage_separation(sm.score_targets(u, options(t), "vec_id", F.col("targets"), keep=["targets"]), 0.5, 0.1)
     single = F.size("targets") == 1
     return s.groupBy(F.when(single, "purity").otherwise("multi").alias("route")).agg(
         F.count("*").alias("records"),

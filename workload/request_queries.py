@@ -336,10 +336,33 @@ def _(t):
     return ct.resolve_ids(q, airports(t), "asked", "airport").select("c_custkey", "resolved_id", "lookup_error")
 
 
-@query("s6_entity_duplicates", """SELECT 'identifier' AS kind, CAST(n_regionkey AS VARCHAR) AS value, count(*) AS copies FROM nation GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'name', lower(left(n_name, 8)), count(*) FROM nation GROUP BY 2 HAVING count(*) > 1""")
+@query("s6_entity_duplicates", """SELECT 'identifier' AS kind, p_brand AS value, count(*) AS copies FROM part GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'name', lower(p_name), count(*) FROM part GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'name', lower(p_type), count(*) FROM part GROUP BY 2 HAVING count(*) > 1""")
 def _(t):
-    return ct.duplicate_entities(t.nation.select(F.col("n_regionkey").cast("string").alias("id"), F.substring("n_name", 1, 8).alias("name")))
+    # names of one and many owners, in other case and with blanks around
+    named = t.part.select("p_brand", F.concat(F.lit(" "), F.upper("p_name")).alias("name"))
+    typed = t.part.select(F.concat(F.lit("t"), "p_partkey").alias("id"), F.col("p_type").alias("name"))
+    return ct.duplicate_entities(named.withColumnRenamed("p_brand", "id").unionByName(typed))
+
+
+@query("s6_missing_required", """SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 4 = 0 THEN 'id' END, CASE WHEN c_custkey % 6 < 2 THEN 'name' END, CASE WHEN c_custkey % 5 = 0 THEN 'available' END], lambda x: x IS NOT NULL), ',') AS missing FROM customer""")
+def _(t):
+    k = F.col("c_custkey")
+    rows = t.customer.select(k, F.when(k % 4 != 0, k).alias("id"), F.when(k % 6 == 0, "  ").when(k % 6 != 1, "some").alias("name"), F.when(k % 5 != 0, k % 2 == 0).alias("available"))
+    return ct.missing_required(rows, ["id", "name", "available"]).select("c_custkey", F.array_join("missing_fields", ",").alias("missing"))
+
+
+@query("s6_entity_source", "SELECT 'N' || n_nationkey AS id, n_name AS name, n_nationkey % 9 <> 8 AS available FROM nation")
+def _(t):
+    from wishloom.plans.scale import scratch_folder
+    from wishloom.sources.readers import read_entities
+
+    # a gazetteer is one JSON document
+    entity = F.struct(F.concat(F.lit(" N"), "n_nationkey").alias("id"), F.concat("n_name", F.lit(" ")).alias("name"), (F.col("n_nationkey") % 9 != 8).alias("available"))
+    path = scratch_folder(t.spark, "gazetteer")
+    t.nation.agg(F.collect_list(entity).alias("airports")).select(F.to_json(F.struct(F.struct("airports").alias("data"))).alias("value")).write.text(path)
+    return read_entities(t.spark, path, "airports").select("id", "name", "available")
 
 
 @query("s7_calendar", "SELECT DISTINCT strftime(o_orderdate, '%d-%m-%Y') AS shown, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")

@@ -15,18 +15,18 @@ from .frames import SQL_OPS, operations
 from .registry import query
 
 
-@query("s5_booking_types", """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 13 ELSE -1 END AS duration, CAST(NULL AS INT) AS rooms, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 4 END AS adults, 1 AS children, 0 AS infants, CAST(NULL AS VARCHAR) AS end_date,
- CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_date, trim(o_orderpriority) AS airport, 'A,B c,' || o_custkey % 5 AS destinations FROM orders""")
+@query("s5_booking_types", """SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 13 ELSE -1 END AS duration, CAST(NULL AS INT) AS rooms, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 4 END AS adults, 1 AS children, 0 AS infants, CAST(NULL AS VARCHAR) AS end_date,
+ CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_date, o_orderpriority || ' #' || o_orderkey AS airport, 'A,B c,' || o_custkey % 5 AS destinations FROM orders""")
 def _(t):
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     date = (F.when(k % 4 == 0, F.date_format(d, " M/d/yyyy ")).when(k % 4 == 1, F.date_format(d, "yyyy-M-d"))
             .when(k % 4 == 2, F.date_format(d, "MM/dd/yyyy")).otherwise("soon"))
     raw = t.orders.select(
-        k.alias("ord"), F.when(k % 5 == 0, "many").otherwise(F.concat(F.lit(" "), F.col("o_custkey") % 13)).alias("duration"), F.lit("").alias("rooms"),
+        F.when(k % 5 == 0, "many").otherwise(F.concat(F.lit(" "), F.col("o_custkey") % 13)).alias("duration"), F.lit("").alias("rooms"),
         F.when(k % 3 == 0, "x").otherwise((F.col("o_custkey") % 4).cast("string")).alias("adults"), F.lit("1").alias("children"), F.lit("").alias("infants"),
-        date.alias("startDepartureDate"), F.lit("").alias("endDepartureDate"), F.concat("o_orderpriority", F.lit(" ")).alias("from"),
+        date.alias("startDepartureDate"), F.lit("").alias("endDepartureDate"), F.concat("o_orderpriority", F.lit(" #"), k, F.lit(" ")).alias("from"),
         F.concat(F.lit("A, B\nc,, "), F.col("o_custkey") % 5).alias("to"))
-    return rd.type_bookings(raw).select("ord", F.coalesce("duration", F.lit(-1)).alias("duration"), "rooms", "adults", "children", "infants", "start_date", "end_date", "airport", F.array_join("destinations", ",").alias("destinations"))
+    return rd.read_bookings(t.spark, _written(t, "booking-export", raw)).select(F.coalesce("duration", F.lit(-1)).alias("duration"), "rooms", "adults", "children", "infants", "start_date", "end_date", "airport", F.array_join("destinations", ",").alias("destinations"))
 
 
 @query("s9_request_batch", """SELECT conv_id, turn, 0 AS pos, md5(trim(text)) AS text, 'holiday' AS mode, CASE WHEN trim(text) = '' THEN 'Batch entries provided as strings must be non-empty' END AS request_error FROM conversations

@@ -84,10 +84,14 @@ def impute(requests: DataFrame, statistics: DataFrame, auto_rooms: bool = fv.ROO
            allow_intersection: bool = True) -> DataFrame:
     """Adds every parameter with its value and source; given values are kept."""
     statistics = settle(statistics)
-    usable = settle(modes(statistics))
-    constants = {r["metric"]: r["mode"] for r in usable.where("scope = 'global'").collect()}
+    usable = modes(statistics)
     popular = most_popular_destination(statistics).first()["destination"]
-    per_destination = settle(destination_modes(statistics))
+    # one value per metric, for everybody and for the most popular destination
+    everywhere_or_popular = (F.col("scope") == "global") | ((F.col("scope") == "destination") & (F.lower("scope_key") == F.lower(F.lit(popular))))
+    known = usable.where(everywhere_or_popular).orderBy(F.desc("scope_key")).collect()
+    constants = {r["metric"]: r["mode"] for r in known if r["scope"] == "global"}
+    own = {r["metric"]: r["mode"] for r in known if r["scope"] == "destination"}
+    per_destination = destination_modes(statistics)
     combos = usable.where("scope = 'intersection'").select(
         F.lower("scope_key").alias("combination"), F.col("scope_key").alias("combination_label"),
         F.col("mode").alias("combination_interval"))
@@ -101,8 +105,7 @@ def impute(requests: DataFrame, statistics: DataFrame, auto_rooms: bool = fv.ROO
         "unpopulated": is_unpopulated(), "to_source": F.lit(None).cast("string")})
     if popular is not None:
         fill = F.col("unpopulated") | (F.size("destinations") == 0)
-        own = per_destination.where(F.lower("destination") == popular.lower()).first()
-        constant = {m: F.lit(own[m] if own else None).cast("string") for m in METRICS}
+        constant = {m: F.lit(own.get(m)).cast("string") for m in METRICS}
         full = full.withColumn("_fill", fill).withColumns({
             **{f"d_{m}": F.when(F.col("_fill"), F.when(constant[m].isNotNull(), F.struct(
                 constant[m].alias("value"), F.lit(popular).alias("at")))).otherwise(F.col(f"d_{m}")) for m in METRICS},

@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scale import global_position, settle
+from ..plans.scale import global_position, settle, unnest
 
 TOP_N = 5
+STATED = "array<struct<scope:string,scope_key:string,metric:string,value:string>>"
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, order: Column) -> DataFrame:
@@ -44,20 +45,22 @@ def destination_set(destinations: Column) -> Column:
     return F.array_sort(F.array_distinct(destinations))
 
 
-def _metrics(df: DataFrame, *keep: Column) -> DataFrame:
-    """One row per (booking, metric); null is kept as a value for rooms only."""
+def _metric_values() -> Column:
+    """Array of (metric, value) of a booking; null is kept as a value for rooms only."""
     text = lambda c: F.col(c).cast("string")
-    interval = F.concat_ws("..", F.when(F.col("start_date").isNotNull() & F.col("end_date").isNotNull(), F.col("start_date")),
-                           F.when(F.col("start_date").isNotNull(), F.col("end_date")))
-    whole = F.when(F.col("start_date").isNotNull() & F.col("end_date").isNotNull(), interval)
+    dated = F.col("start_date").isNotNull() & F.col("end_date").isNotNull()
     pairs = {
         "duration": text("duration"), "rooms": text("rooms"),
         "party": F.concat_ws("/", text("adults"), text("children"), text("infants")),
-        "interval": whole, "departure_airport": F.nullif(F.trim(F.col("airport")), F.lit("")),
+        "interval": F.when(dated, F.concat_ws("..", "start_date", "end_date")), "departure_airport": F.nullif(F.trim(F.col("airport")), F.lit("")),
     }
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in pairs.items()]))
-    out = df.select(*keep, "ord", rows.alias("_m")).select("*", "_m.*").drop("_m")
-    return out.where(F.col("value").isNotNull() | (F.col("metric") == "rooms"))
+    every = F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in pairs.items()])
+    return F.filter(every, lambda m: m["value"].isNotNull() | (m["metric"] == "rooms"))
+
+
+def _metrics(df: DataFrame, *keep: Column) -> DataFrame:
+    """One row per (booking, metric)."""
+    return unnest(df.select(*keep, "ord", _metric_values().alias("_m")), "_m", *[c for c in df.select(*keep).columns], "ord")
 
 
 def global_statistics(bookings: DataFrame, top_n: int = TOP_N) -> DataFrame:
@@ -87,15 +90,27 @@ def totals(bookings: DataFrame) -> DataFrame:
 
 
 def statistics_table(bookings: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """All three scopes in one long table."""
-    def scoped(df, scope, key):
-        return df.select(F.lit(scope).alias("scope"), key.alias("scope_key"),
-                         (F.col("metric") if "metric" in df.columns else F.lit("interval")).alias("metric"),
-                         "rank", "value", "count", "mode_count", "unique_values", "total")
-
-    return scoped(global_statistics(bookings, top_n), "global", F.lit("")).unionByName(
-        scoped(destination_statistics(bookings, top_n), "destination", F.col("destination"))).unionByName(
-        scoped(intersection_statistics(bookings, top_n), "intersection", F.col("combination")))
+    """All three scopes in one long table, from one reading of the bookings.
+
+    A booking counts for everybody, for each of its destinations, and, if it is dated, for the
+    set of them; all of that is one exploded array, counted and ranked once.
+    """
+    def entry(scope: str, key: Column, metric: Column, value: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), key.alias("scope_key"), metric.alias("metric"), value.alias("value"))
+
+    named = F.coalesce(F.array_distinct("destinations"), F.array().cast("array<string>"))
+    several, dated = destination_set(named), F.col("start_date").isNotNull() & F.col("end_date").isNotNull()
+    together = entry("intersection", F.array_join(several, "||"), F.lit("interval"), F.concat_ws("..", "start_date", "end_date"))
+    listed = bookings.select("ord", named.alias("_named"), _metric_values().alias("_own"), F.when(
+        dated & (F.size(several) >= 2), F.array(together)).otherwise(F.array().cast(STATED)).alias("_together"))
+    every = F.concat(
+        F.transform("_own", lambda m: entry("global", F.lit(""), m["metric"], m["value"])),
+        F.transform("_named", lambda d: entry("global", F.lit(""), F.lit("destination"), d)),
+        F.flatten(F.transform("_named", lambda d: F.transform("_own", lambda m: entry("destination", d, m["metric"], m["value"])))),
+        F.col("_together"))
+    keys = ["scope", "scope_key", "metric"]
+    counts = value_counts(unnest(listed.select("ord", every.alias("_s")), "_s", "ord"), keys, "value", F.col("ord"))
+    return summarize(counts, keys, top_n).select(*keys, "rank", "value", "count", "mode_count", "unique_values", "total")
 
 
 def modes(statistics: DataFrame) -> DataFrame:

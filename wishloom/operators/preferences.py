@@ -11,10 +11,13 @@ from ..functions import text as tx
 from ..functions.fixed_values import (NEGATION_PENALTY, RULES_THRESHOLD, SEMANTIC_THRESHOLD,
                                       SEMANTIC_TOP_K)
 from ..functions.language import detect_language
-from ..plans.scale import lookup_join
+from ..plans.scale import lookup_join, unnest
 from .catalogue import synonym_index
 from .similarity import keep_or_top_k
 
+#: Synonyms of more words never match.
+MAX_NGRAM = 3
+
 
 def synonym_matches(
     texts: DataFrame, synonyms: DataFrame, key: str, text: str = "text", max_ngram: int = 3
@@ -25,20 +28,48 @@ def synonym_matches(
     remaining words are compared in the join. Synonyms longer than max_ngram
     can never match and are left out.
     """
+    positions = texts.select(
+        key, F.inline(tx.token_windows(tx.tokens(F.col(text)), max_ngram))
+    ).toDF(key, *[f"w{i}" for i in range(max_ngram)])
+    return lookup_join(positions, _openings(synonyms, max_ngram), "w0").where(_goes_on(max_ngram)).select(key, "synonym")
+
+
+def _openings(synonyms: DataFrame, max_ngram: int) -> DataFrame:
+    """Synonyms by the word that opens them, with the words that follow."""
     words = F.split("synonym", " ")
-    opening = (
+    return (
         synonyms.select("synonym").distinct().where(F.size(words) <= max_ngram)
         .select("synonym", *[F.get(words, F.lit(i)).alias(f"s{i}") for i in range(max_ngram)])
         .withColumnRenamed("s0", "w0")
     )
-    positions = texts.select(
-        key, F.inline(tx.token_windows(tx.tokens(F.col(text)), max_ngram))
-    ).toDF(key, *[f"w{i}" for i in range(max_ngram)])
-    candidates = lookup_join(positions, opening, "w0")
+
+
+def _goes_on(max_ngram: int) -> Column:
+    """Whether the words after an opening one are those of the synonym."""
     rest = F.lit(True)
     for i in range(1, max_ngram):
         rest = rest & (F.col(f"s{i}").isNull() | F.coalesce(F.col(f"s{i}") == F.col(f"w{i}"), F.lit(False)))
-    return candidates.where(rest).select(key, "synonym")
+    return rest
+
+
+def _spoken(texts: DataFrame, key: str, text: str, max_ngram: int) -> DataFrame:
+    """One row per token of the rewritten text, with its followers, and one per negated phrase, from one reading of the texts."""
+    none = F.lit(None).cast("string")
+
+    def row(words: list[Column], phrase: Column, blocked: Column, negated: Column) -> Column:
+        return F.struct(*[w.alias(f"w{i}") for i, w in enumerate(words)], phrase.alias("phrase"), blocked.cast("int").alias("blocked"),
+                        negated.cast("int").alias("negated"))
+
+    def mark(phrase: Column) -> Column:
+        swap = tx.negation_replacement(phrase)
+        return tx.bind(tx.normalize_label(F.coalesce(swap, phrase)), lambda label: row(
+            [F.get(F.split(label, " "), F.lit(0)), *[none] * (max_ngram - 1)], label, swap.isNull(), swap.isNotNull()))
+
+    windows = tx.token_windows(tx.tokens(tx.rewrite_negations(F.col(text))), max_ngram)
+    said = F.transform(windows, lambda w: row([w[f"w{i}"] for i in range(max_ngram)], none, F.lit(0), F.lit(0)))
+    marks = F.transform(tx.negation_phrases(F.col(text)), mark)
+    rows = texts.select(key, F.when(F.col(text).rlike(tx.HAS_CUE), F.concat(said, marks)).otherwise(said).alias("_rows"))
+    return unnest(rows, "_rows", key)
 
 
 def synonym_hits(texts: DataFrame, synonyms: DataFrame, key: str, text: str = "text", max_ngram: int = 3) -> DataFrame:
@@ -74,13 +105,11 @@ def map_by_rules(
 ) -> DataFrame:
     """One row per (text, option) with hits, confidence, blocked and selected."""
     index = synonym_index(catalogue)
-    rewritten = texts.select(key, tx.rewrite_negations(F.col(text)).alias("_text"))
-    hits = synonym_matches(rewritten, index, key, "_text").withColumns(
-        {"hits": F.lit(1).cast("long"), "blocked": F.lit(0), "negated": F.lit(0)})
-    marks = negation_marks(texts, index, key, text).withColumn("hits", F.lit(0).cast("long"))
+    met = lookup_join(_spoken(texts, key, text, MAX_NGRAM), _openings(index, MAX_NGRAM), "w0").where(
+        F.when(F.col("phrase").isNull(), _goes_on(MAX_NGRAM)).otherwise(F.col("phrase") == F.col("synonym")))
     per_synonym = (
-        hits.unionByName(marks).groupBy(key, "synonym")
-        .agg(F.sum("hits").alias("hits"), F.max("blocked").alias("blocked"), F.max("negated").alias("negated"))
+        met.groupBy(key, "synonym")
+        .agg(F.count_if(F.col("phrase").isNull()).alias("hits"), F.max("blocked").alias("blocked"), F.max("negated").alias("negated"))
         .where("hits > 0")
     )
     per_option = lookup_join(per_synonym, index, "synonym").groupBy(key, "filter_id", "option_id").agg(

@@ -94,7 +94,15 @@ def test_kd_shards(spark):
     rest = sorted(bytes_of.values())[:-1]
     assert max(rest) < 1.35 * min(rest)
     assert sum(len(s) > 1 for s in texts.values()) <= 3
+    total = sum(x.size for x in got)
+    for target in (total // 7, total + 1, total // 3 + 1):
+        parts = {}
+        for r in kd_shards.assign(frame, kd_shards.metadata(F.col("text")), target_bytes=target).collect():
+            parts[r.shard] = parts.get(r.shard, 0) + r.size
+        assert len(parts) == -(-total // target) and sum(parts.values()) == total
+        assert max(parts.values()) < 1.2 * target + max(x.size for x in got)
     assert kd_shards.assign(frame.limit(0), kd_shards.metadata(F.col("text"))).collect() == []
+    assert kd_shards.assign(frame.limit(0), kd_shards.metadata(F.col("text")), target_bytes=100).collect() == []
     assert kd_shards.assign(frame.limit(3), kd_shards.metadata(F.col("text"))).count() == 3
 
 

@@ -1,6 +1,7 @@
 """Sharding by a k-d tree over document metadata.
 
-The table is cut into `shards` parts of nearly equal bytes. A node with m
+The table is cut into parts of nearly equal bytes: `shards` of them, or as many
+as it takes for leaves to hold `target_bytes` at most on average. A node with m
 leaves takes the dimension in which its documents spread widest and cuts it at
 the weighted median (for uneven m at the matching quantile), until a node is one
 shard. All nodes of a level are cut together.
@@ -138,8 +139,11 @@ def _grow(compact: DataFrame, dims: int, shards: int, tolerance: float) -> tuple
 
 
 def assign(documents: DataFrame, dims: dict[str, Column], shards: int = 24, key: str = "doc_id", text: str = "text",
-           keep: list[str] | None = None, tolerance: float = 0.005) -> DataFrame:
-    """Kept columns with size, text_crc32, shard and slot. dims: name -> numeric column."""
+           keep: list[str] | None = None, tolerance: float = 0.005, target_bytes: int | None = None) -> DataFrame:
+    """Kept columns with size, text_crc32, shard and slot. dims: name -> numeric column.
+
+    With target_bytes, nodes are split until leaves reach it, and `shards` is not read.
+    """
     spark = documents.sparkSession
     new = ("size", "text_crc32", "shard", "slot")
     kept = [c for c in (documents.columns if keep is None else keep) if c not in new]
@@ -152,8 +156,10 @@ def assign(documents: DataFrame, dims: dict[str, Column], shards: int = 24, key:
         F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`"), F.monotonically_increasing_id()), 2).alias("tie"),
         *[v.cast("double").alias(f"d{i}") for i, v in enumerate(dims.values())]).write.parquet(folder)
     table = spark.read.parquet(folder)
-    bounds = table.agg(F.count(F.lit(1)).alias("n"), *[F.min(f"d{i}").alias(f"a{i}") for i in range(len(dims))],
+    bounds = table.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[F.min(f"d{i}").alias(f"a{i}") for i in range(len(dims))],
                        *[F.max(f"d{i}").alias(f"b{i}") for i in range(len(dims))]).first()
+    if target_bytes is not None:
+        shards = max(1, -(-(bounds["bytes"] or 0) // target_bytes))
     keys = []
     for i in range(len(dims)):
         a, b = bounds[f"a{i}"] or 0.0, bounds[f"b{i}"] or 0.0

@@ -175,53 +175,58 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
 
 def cross_parse(symbols: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Phrases of every text: each the longest that the automaton knows from where the last one ended."""
-    step = follow(table)
+    step, kind = follow(table), table.dtype
     size = np.diff(off)
     lanes = -(-size // LANE)
     owner = np.repeat(np.arange(len(size)), lanes)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     start = off[owner] + inside * LANE
     end = np.minimum(start + LANE, off[owner + 1])
-    root = np.zeros(1, np.int64)
+    root = np.zeros(1, kind)
     first = np.zeros(len(symbols), bool)  # where a stretch, parsed on its own, starts a phrase
-    state = np.zeros(len(start), np.int64)
     order = np.argsort(start - end, kind="stable")
     active = np.searchsorted((start - end)[order], -np.arange(LANE), side="left")
+    at, state = start[order], np.zeros(len(start), kind)  # longest first, so that those still going are the front
     for place, k in enumerate(active.tolist()):
-        lane = order[:k]
-        c = symbols[start[lane] + place]
-        following = step(state[lane], c)
-        miss = following < 0 if place else np.ones(k, bool)
-        first[start[lane] + place] = miss
-        state[lane] = np.where(miss, step(root, c), following)
+        c = symbols[at[:k] + place]
+        following = step(state[:k], c)
+        miss = np.flatnonzero(following < 0) if place else np.arange(k)
+        first[at[miss] + place] = True
+        following[miss] = step(root, c[miss])
+        state[:k] = following
+    after = np.zeros(len(start), kind)  # the state in which a stretch ends
+    after[order] = state
     met, extra = start.copy(), np.zeros(len(start), np.int64)
     todo = np.flatnonzero(inside > 0)
-    own, after = state[todo - 1], state  # the state in which the stretch before ends
+    state = after[todo - 1]
     while len(todo):
-        going, at, here = np.arange(len(todo)), start[todo].copy(), own.copy()
+        going, at = todo, start[todo]
         extra[todo] = 0
-        open_ended = []
+        crossed, final = [], []
         while len(going):
-            c = symbols[at[going]]
-            following = step(here[going], c)
-            miss = following < 0
-            meets = miss & first[at[going]]
-            met[todo[going[meets]]] = at[going[meets]]
-            extra[todo[going]] += miss & ~meets
-            here[going] = np.where(miss, step(root, c), following)
-            going = going[~meets]
-            at[going] += 1
-            through = at[going] >= end[todo[going]]
-            met[todo[going[through]]] = end[todo[going[through]]]
-            open_ended.append(going[through])
-            going = going[~through]
-        # a stretch crossed without a meeting ends in another state: the next one is entered anew
-        crossed = np.sort(np.concatenate(open_ended)) if open_ended else going
-        changed = crossed[here[crossed] != after[todo[crossed]]]
-        after[todo[crossed]] = here[crossed]
-        changed = changed[(todo[changed] + 1 < len(owner))]
-        changed = changed[owner[todo[changed] + 1] == owner[todo[changed]]] if len(changed) else changed
-        todo, own = todo[changed] + 1, here[changed]
+            c = symbols[at]
+            following = step(state, c)
+            miss = np.flatnonzero(following < 0)
+            here = first[at[miss]]
+            meets = np.zeros(len(going), bool)
+            meets[miss[here]] = True
+            met[going[miss[here]]] = at[miss[here]]
+            extra[going[miss[~here]]] += 1
+            following[miss] = step(root, c[miss])
+            state = following
+            through = ~meets & (at + 1 >= end[going])
+            if through.any():
+                met[going[through]] = end[going[through]]
+                crossed.append(going[through])
+                final.append(state[through])
+            left = ~meets & ~through
+            going, at, state = going[left], at[left] + 1, state[left]
+        # a stretch crossed without a meeting may end in another state: the next one is entered anew
+        todo, state = (np.concatenate(crossed), np.concatenate(final)) if crossed else (going, state)
+        changed = after[todo] != state
+        after[todo] = state
+        changed &= np.append(owner, -1)[todo + 1] == owner[todo]
+        todo, state = todo[changed] + 1, state[changed]
     firsts = np.concatenate(([0], np.cumsum(first)))
     return np.bincount(owner, weights=extra + firsts[end] - firsts[met], minlength=len(size))
 
@@ -236,8 +241,8 @@ def predict(documents: DataFrame, models: list[dict], text: str = "text", keep:
         size = np.diff(off)
         need = np.zeros((len(models), len(texts)))
         for i, model in enumerate(models):
-            symbols = np.asarray(mapped(model["look"]))[seq].astype(np.int64)
-            need[i] = cross_parse(symbols, off, np.asarray(mapped(model["table"])))
+            table = np.asarray(mapped(model["table"]))
+            need[i] = cross_parse(np.asarray(mapped(model["look"]))[seq].astype(table.dtype), off, table)
         if not models:
             return [["und"] * len(texts), np.zeros(len(texts)).tolist(), np.zeros(len(texts)).tolist()]
         best = need.argmin(axis=0)

@@ -199,10 +199,17 @@ def _send(width: int, bands: Bands, common: np.ndarray, parts: int):
     return run
 
 
+SLICES = 16
+MET_NAMES = ["kind", "a", "b", "n", "members"]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of a part: stars (kind 2, b met a n times), groups of three and more (kind 3); sizes and equal sets pass."""
-    names = ["kind", "a", "b", "n", "members"]
-    long_list = pa.list_(pa.int64())
+    """Signatures of a part: stars (kind 2, b met a n times), groups of three and more (kind 3); sizes and equal sets pass.
+
+    Signatures meet in SLICES of their keys, one after the other, so that
+    sorting needs room for a slice and not for the part.
+    """
+    names, long_list = MET_NAMES, pa.list_(pa.int64())
     keys, docs, asks = [], [], []
     for batch in batches:
         kind = batch.column(0).to_numpy()
@@ -219,8 +226,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asks.append((entries["doc"] & 1).astype(bool))
     if not keys:
         return
-    key, doc, ask = np.concatenate(keys), np.concatenate(docs), np.concatenate(asks)
-    del keys, docs, asks
+    key = np.concatenate(keys)
+    del keys
+    doc = np.concatenate(docs)
+    del docs
+    ask = np.concatenate(asks)
+    del asks
+    of = (key % np.uint64(SLICES)).astype(np.uint8)
+    for number in range(SLICES):
+        some = of == number
+        yield from _meet_slice(key[some], doc[some], ask[some])
+
+
+def _meet_slice(key: np.ndarray, doc: np.ndarray, ask: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names, long_list = MET_NAMES, pa.list_(pa.int64())
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     edge = np.concatenate(([True], key[order][1:] != key[order][:-1], [True]))
     single = edge[:-1] & edge[1:]

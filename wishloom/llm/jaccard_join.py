@@ -233,22 +233,51 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ask = np.concatenate(asks)
     del asks
     of = (key % np.uint64(SLICES)).astype(np.uint8)
+    stars, seen = [], np.zeros(0, np.uint64)
     for number in range(SLICES):
         some = of == number
-        yield from _meet_slice(key[some], doc[some], ask[some])
+        found, groups = _meet_slice(key[some], doc[some], ask[some])
+        stars.append(found)
+        if groups is None:
+            continue
+        group, number_of, begin, code = groups
+        fresh = ~np.isin(group, seen)
+        seen = np.concatenate((seen, group[fresh]))
+        pick = np.flatnonzero(fresh)
+        for lo in range(0, len(pick), 1000):
+            these = pick[lo:lo + 1000]
+            lists = [code[begin[g]:begin[g] + number_of[g]].view(np.int64) for g in these.tolist()]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+            k = len(these)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, 3), pa.int32()), pa.array(group[these].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(number_of[these]),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))], names=names)
+    a, b, n = (np.concatenate(c) for c in zip(*stars, strict=True))
+    if len(a):
+        a, b, n = _added(a, b, n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), 2), pa.int32()), pa.array(a), pa.array(b), pa.array(n), pa.nulls(len(a), long_list)], names=names)
 
 
-def _meet_slice(key: np.ndarray, doc: np.ndarray, ask: np.ndarray) -> Iterator[pa.RecordBatch]:
-    names, long_list = MET_NAMES, pa.list_(pa.int64())
+def _added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair (a, b) once, with the sum of its n."""
+    by = np.lexsort((b, a))
+    a, b, n = a[by], b[by], n[by]
+    cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return a[cut], b[cut], np.add.reduceat(n, cut) if len(cut) else n
+
+
+def _meet_slice(key: np.ndarray, doc: np.ndarray, ask: np.ndarray) -> tuple[tuple, tuple | None]:
+    """Stars (a, b, n) of some signatures, and their groups of three and more (name, size, begin, members of all)."""
+    none = np.zeros(0, np.int64)
     if not len(key):
-        return
+        return (none, none, none), None
     order = np.argsort(key, kind="stable")
     edge = np.concatenate(([True], key[order][1:] != key[order][:-1], [True]))
     single = edge[:-1] & edge[1:]
     order = order[~single]
     key, doc, ask = key[order], doc[order], ask[order]
     if not len(key):
-        return
+        return (none, none, none), None
     order = np.lexsort((~ask, doc, key))
     key, doc, ask = key[order], doc[order], ask[order]
     new = np.ones(len(key), bool)
@@ -261,27 +290,13 @@ def _meet_slice(key: np.ndarray, doc: np.ndarray, ask: np.ndarray) -> Iterator[p
     top = np.iinfo(np.int64).max
     pivot = np.minimum.reduceat(np.where(ask, doc, top), begin)[of]
     star = (some_ask & (number > 1))[of] & (doc != pivot)
-    if star.any():
-        a, b = np.minimum(pivot[star], doc[star]), np.maximum(pivot[star], doc[star])
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        k = len(cut)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(k, 2), pa.int32()), pa.array(a[cut]), pa.array(b[cut]), pa.array(np.diff(np.append(cut, len(a)))), pa.nulls(k, long_list)],
-            names=names)
+    stars = _added(np.minimum(pivot[star], doc[star]), np.maximum(pivot[star], doc[star]), np.ones(int(star.sum()), np.int64))
     code = (doc.astype(np.uint64) << np.uint64(1)) | ask
     group = np.add.reduceat(mix(code), begin)
     large = np.flatnonzero(some_ask & (number > 2))
     _, pick = np.unique(group[large], return_index=True)
-    for lo in range(0, len(pick), 1000):
-        these = large[np.sort(pick)[lo:lo + 1000]]
-        lists = [code[begin[g]:begin[g] + number[g]].view(np.int64) for g in these.tolist()]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-        k = len(these)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(k, 3), pa.int32()), pa.array(group[these].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(number[these]),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))], names=names)
+    these = large[np.sort(pick)]
+    return stars, (group[these], number[these], begin[these], code)
 
 
 def common_elements(documents: DataFrame, key: str, text: str, width: int) -> np.ndarray:

@@ -109,3 +109,48 @@ def test_stream_does_not_depend_on_arrival(spark, turns, chunk):
     got = sorted((r.turn, r.accepted, r.from_codes) for r in spark.read.parquet(out).collect() if r.accepted)
     assert got == [(n, True, ",".join(f"A{i}" for i in range(n + 1))) for n in range(6)]
     assert spark.read.parquet(out).where("not accepted").count() == 1
+
+
+@pytest.fixture(scope="module")
+def many_files(spark):
+    """A conversations table of 130 files, later turns in earlier files, more files than one trigger takes."""
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = Path(scratch_folder(spark, "tables").removeprefix("file:"))
+    rows = [(c, n) for n in reversed(range(13)) for c in range(10) if (c, n) != (4, 5)]
+    (folder / "conversations.parquet").mkdir(parents=True)
+    for i, (c, n) in enumerate(rows):
+        pq.write_table(pa.table({"conv_id": pa.array([c], "int64"), "turn": pa.array([n], "int64"), "role": ["user" if n % 2 else "system"],
+                                 "text": [f" says {n} "]}), folder / "conversations.parquet" / f"part-{i:04d}.parquet")
+    return str(folder), rows
+
+
+def test_session_stream_of_a_folder(spark, many_files):
+    from workload.registry import QUERIES
+
+    folder, rows = many_files
+    got = {(r["session"], r["turn"]): r for r in QUERIES["d1_session_stream"](spark, folder).collect()}
+    assert sorted(got) == sorted((str(c), n) for c, n in rows)
+    for c, n in rows:
+        r = got[str(c), n]
+        assert r["accepted"] == (c != 4 or n < 5)
+        assert r["reason"] == (None if r["accepted"] else "expected turn 5")
+    assert got["1", 12]["from_codes"] == "A1" and got["1", 12]["duration_id"] == "20" + str(10 + 10)
+
+
+def test_feeds_of_folders_and_files(spark, many_files, tmp_path):
+    from workload.registry import QUERIES
+
+    folder, rows = many_files
+    (tmp_path / "conversations.parquet").write_bytes(open(f"{folder}/conversations.parquet/part-0003.parquet", "rb").read())
+    for at, wanted in ((folder, rows), (str(tmp_path), rows[3:4])):
+        got = [(r["conv_id"], r["turn"], r["letters"]) for r in QUERIES["d5_request_feed"](spark, at).collect()]
+        assert sorted(got) == sorted((c, n, len(f"says {n}")) for c, n in wanted)
+    spark.createDataFrame(
+        [(1, 2, "2026-01-01 00:00:00", "view", 1.5, '{"k": 3}'), (3, 2, "2026-01-01 00:00:01", "error", 2.5, "{}")],
+        "event_id long, user_id long, ts string, event_type string, value double, props string").repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(map(tuple, QUERIES["d3_request_log"](spark, str(tmp_path)).collect())) == [(1, "view", "success", 30.0), (3, "error", "error", 50.0)]
+    assert sum(r["n"] for r in QUERIES["d4_live_counters"](spark, str(tmp_path)).collect()) == 2

@@ -13,10 +13,13 @@ from ..operators import evaluation as ev
 
 
 def request_feed(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.parquet",
-                 fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
-    """New files of a folder as a stream; files_per_trigger bounds a micro-batch."""
-    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern).option(
-        "maxFilesPerTrigger", files_per_trigger).load(folder)
+                 fmt: str = "parquet", files_per_trigger: int | None = 100) -> DataFrame:
+    """New files of a folder, or of all that a path pattern fits, as a stream.
+
+    `files_per_trigger` bounds a micro-batch; None takes all that is there into one.
+    """
+    reader = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).load(folder)
 
 
 def append_log(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -116,7 +116,7 @@ def _(t: Tables):
 
 def op_stream(t: Tables):
     class Live:
-        events = feeds.request_feed(t.spark, t.folder, t.events.schema, "events.parquet")
+        events = t.feed("events")
     return operations(Live)
 
 
@@ -137,7 +137,7 @@ def _(t):
 
 @query("d5_request_feed", """SELECT conv_id, turn, length(trim(text)) AS letters, role = 'user' AS from_user FROM conversations""")
 def _(t):
-    feed = feeds.request_feed(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
+    feed = t.feed("conversations")
     shaped = feeds.process_feed(feed, lambda df: df.select(
         "conv_id", "turn", F.length(F.trim("text")).cast("long").alias("letters"), (F.col("role") == "user").alias("from_user")))
     out, state = scratch_folder(t.spark, "feed"), scratch_folder(t.spark, "feed-state")

@@ -74,10 +74,9 @@ def _(t):
 @query("d3_streamed_audit_log", AUDIT_SQL)
 def _(t):
     from wishloom.plans.scale import scratch_folder
-    from wishloom.streaming import feeds
 
     class Live:
-        events = feeds.request_feed(t.spark, t.folder, t.events.schema, "events.parquet")
+        events = t.feed("events")
 
     path = scratch_folder(t.spark, "audit-stream")
     logs.stream_log(audit_frame(operations(Live)), path, fv.AUDIT_LOG_HEADER, scratch_folder(t.spark, "audit-stream-state")).awaitTermination()

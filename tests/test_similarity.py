@@ -86,3 +86,30 @@ def test_bounds_skip_tiles_and_change_nothing(spark):
     assert small.reads - before < 3 * len(small.files) / 2
     empty = sm.write_tiles(options.limit(0), "option_id", "centroid", "option_ord")
     assert empty.files == [] and sm.score_targets(spark.createDataFrame([(1, [1.0] * 16)], "vec_id long, embedding array<double>"), options.limit(0), "vec_id", F.array(F.lit("a"))).collect() == []
+
+
+def test_hashed_words_are_hashed_once(spark):
+    import hashlib
+    import time
+
+    texts = [None, "", "One two, two", " ".join(f"w{i % 977}" for i in range(20000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+
+    def counted(text, dimension):
+        found = [0.0] * dimension
+        for word in text.replace(",", " ").lower().split():
+            found[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension] += 1
+        return found
+
+    for dimension in (1, 16, 64):
+        got = {r["i"]: r["v"] for r in df.select("i", vx.hashed_bag_of_words(F.col("text"), dimension).alias("v")).collect()}
+        assert got[0] == [None] * dimension
+        assert all(got[i] == counted(texts[i], dimension) for i in (1, 2, 3))
+
+    def seconds(dimension):
+        at = time.time()
+        df.where("i = 3").select(F.explode(F.array_repeat("text", 5)).alias("text")).select(
+            F.max(vx.hashed_bag_of_words(F.col("text"), dimension))).collect()
+        return time.time() - at
+
+    assert seconds(4) and seconds(200) < 15 * seconds(4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import bind, tokens
 
 
 def as_double(v: Column) -> Column:
@@ -55,9 +55,9 @@ def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
 
 
 def hashed_bag_of_words(text: Column, dimension: int = 64) -> Column:
-    """Deterministic stand-in for an embedding provider, natively computed."""
+    """Deterministic stand-in for an embedding provider, natively computed; every word is hashed once."""
     slots = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimension)
-    return F.transform(
+    return bind(slots, lambda s: F.transform(
         F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"),
-    )
+        lambda i: (F.array_size(s) - F.array_size(F.array_remove(s, i.cast("long")))).cast("double"),
+    ))

@@ -160,3 +160,37 @@ def test_revalidation_fills_six_fields_and_asks_touched_rules(spark):
     assert out[4].detail == nm.MSG["rooms_min"] and out[4].rule_errors.date is None  # the rooms rule was not asked again and still holds
     assert "party" not in out[5].origins and out[5].payload.duration_id == "2010" and out[5].status == "success"
     assert out[6].detail == nm.MSG["date_required"] and "departure" not in out[6].origins
+
+
+def test_model_responses_are_read_once(spark):
+    from wishloom.operators import cascade as cs
+    from wishloom.operators import extraction as ex
+
+    def body(content):
+        return '{"choices":[{"message":{"content":%s}}]}' % content
+
+    rows = [(1, body('{"airports":["a","zz"],"destinations":["d"],"dates":["2026-01-02"]}')), (2, body('{"airports":["a"],"destinations":["d","e"],"dates":["2026-01-03"]}')),
+            (3, "not json"), (2, body('{"airports":["a"],"destinations":["d","e"],"dates":["2026-01-03"]}')), (4, body('{"airports":["a"],"destinations":["e"]}'))]
+    df = spark.createDataFrame(rows, "request_id int, body string")
+    places = spark.createDataFrame([("A", "a", "AIRPORT", True)], "id string, name string, type string, available boolean")
+    goals = spark.createDataFrame([("d", "d", "", True), ("e", "e", "", False)], "id string, name string, type string, available boolean")
+    model = ex.model_extraction(ex.read_model_responses(df), places, goals)
+    assert "body" not in model._jdf.queryExecution().optimizedPlan().toString()  # no join goes back to the responses
+    got = {r["request_id"]: r for r in model.collect()}
+    assert got[1]["response_error"] == "Unknown departure airport 'zz' returned by model" and [p["id"] for p in got[4]["destinations"]] == ["e"]
+    assert [p["id"] for p in got[2]["destinations"]] == ["d", "d", "e", "e"] and got[3]["response_error"] == "Model response must be an object"
+    days = spark.sql("select date'2026-01-02' as d")
+    ready = cs.prepare(model, days)
+    assert ready.columns == [*model.columns, "extraction_error", "payload", "rule_errors", "detail", "status"] and ready.count() == 5
+    done = {r["request_id"]: r for r in ready.collect()}
+    assert done[4]["status"] == "failed" and done[4]["duration_id"] is None and done[4]["payload"]["duration_id"] is not None
+
+
+def test_date_shapes(spark):
+    from pyspark.sql import functions as F
+
+    from wishloom.operators import extraction as ex
+
+    said = ["2026-01-05", "05-01-2026", "5 January 2026", "5 jan 2026", "january 5, 2026", "Jan 5 2026", "5 Janvier 2026", "2026-13-01", "", None]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    assert [r[0] and str(r[0])[:10] for r in df.select(ex.parse_date(F.col("s"))).collect()] == ["2026-01-05"] * 6 + [None] * 4

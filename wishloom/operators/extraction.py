@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
-from ..plans.scale import lookup_join, unnest
+from ..plans.scale import lookup_join, settle, unnest
 
 MONTH = ("(?:January|February|March|April|May|June|July|August|September|October|November|December"
          "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)")
@@ -118,9 +118,15 @@ def flexibility_id(text: Column, lang: Column | None = None, aliases=None) -> Co
 
 def parse_date(phrase: Column) -> Column:
     plain = F.regexp_replace(F.replace(phrase, F.lit(","), F.lit(" ")), r"\s+", " ")
-    formats = ["yyyy-MM-dd", "dd-MM-yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy"]
     titled = F.initcap(plain)
-    return F.coalesce(*[F.try_to_timestamp(titled, F.lit(f)) for f in formats])
+
+    def first_of(*formats):
+        return F.coalesce(*[F.try_to_timestamp(titled, F.lit(f)) for f in formats])
+
+    # a format that does not fit costs an exception, so only those of the phrase's shape are tried
+    return (F.when(F.contains(plain, F.lit("-")), first_of("yyyy-MM-dd", "dd-MM-yyyy"))
+            .when(F.substring(plain, 1, 1).between("0", "9"), first_of("d MMMM yyyy", "d MMM yyyy"))
+            .otherwise(first_of("MMMM d yyyy", "MMM d yyyy")))
 
 
 def dates(text: Column) -> Column:
@@ -217,9 +223,13 @@ def read_model_responses(df: DataFrame, body: str = "body", key: str = "request_
     return out.withColumn("response_error", error).drop("_inner", "_airports", "_destinations")
 
 
-def places_of(df: DataFrame, ids: str, entities: DataFrame, out: str, key: str = "request_id", upper: bool = False) -> DataFrame:
-    """Adds `out`: the entities that the ids name, in the order of the list; an unknown id stands for itself."""
-    listed = df.select(key, F.posexplode(ids).alias("pos", "raw")).withColumn("id", F.upper("raw") if upper else F.trim("raw"))
+def places_of(df: DataFrame, ids: str, entities: DataFrame, out: str, key: str = "request_id", upper: bool = False,
+              lists: DataFrame | None = None) -> DataFrame:
+    """Adds `out`: the entities that the ids name, in the order of the list; an unknown id stands for itself.
+
+    `lists` is a settled frame with the same lists; without it `df` is computed twice.
+    """
+    listed = (df if lists is None else lists).select(key, F.posexplode(ids).alias("pos", "raw")).withColumn("id", F.upper("raw") if upper else F.trim("raw"))
     found = lookup_join(listed, entities.select("id", "name", "type", "available", F.lit(True).alias("_known")), "id", "left")
     place = F.struct("id", F.coalesce("name", "raw").alias("name"), F.coalesce("type", F.lit("")).alias("type"),
                      F.when(F.col("_known"), F.col("available")).otherwise(True).alias("available"))
@@ -229,18 +239,24 @@ def places_of(df: DataFrame, ids: str, entities: DataFrame, out: str, key: str =
 
 
 def model_extraction(read: DataFrame, airports: DataFrame, destinations: DataFrame, key: str = "request_id") -> DataFrame:
-    """Stored model responses in the shape of a rule extraction, with `response_error` where one can't be used."""
-    checked = check_known_ids(read, "airport_listed", airports, "departure airport", key, upper=True)
-    checked = check_known_ids(checked, "destination_listed", destinations, "destination", key)
-    placed = places_of(places_of(checked, "airport_ids", airports, "airports", key, upper=True), "destination_ids", destinations, "destinations", key)
+    """Stored model responses in the shape of a rule extraction, with `response_error` where one can't be used.
+
+    The responses are read once; every list of ids is taken from what was read.
+    """
+    read = settle(read.select(key, "airport_ids", "destination_ids", "airport_listed", "destination_listed", "iso_dates", "duration_id",
+                              "flex_id", "response_error"))
+    checked = check_known_ids(read, "airport_listed", airports, "departure airport", key, upper=True, lists=read)
+    checked = check_known_ids(checked, "destination_listed", destinations, "destination", key, lists=read)
+    placed = places_of(checked, "airport_ids", airports, "airports", key, upper=True, lists=read)
+    placed = places_of(placed, "destination_ids", destinations, "destinations", key, lists=read)
     found = F.transform("iso_dates", lambda d: F.struct(d.alias("phrase"), d.try_cast("timestamp").alias("at")))
     return placed.select(key, "airports", "destinations", found.alias("dates"), "duration_id", "flex_id", "response_error")
 
 
 def check_known_ids(df: DataFrame, ids: str, entities: DataFrame, label: str, key: str = "request_id",
-                    upper: bool = False) -> DataFrame:
-    """Adds an error for the first listed id that the gazetteer does not hold."""
-    listed = df.select(key, F.posexplode(ids).alias("pos", "raw")).withColumn(
+                    upper: bool = False, lists: DataFrame | None = None) -> DataFrame:
+    """Adds an error for the first listed id that the gazetteer does not hold; `lists` as in `places_of`."""
+    listed = (df if lists is None else lists).select(key, F.posexplode(ids).alias("pos", "raw")).withColumn(
         "id", F.upper("raw") if upper else F.trim("raw"))
     unknown = lookup_join(listed, entities.select("id"), "id", "left_anti").groupBy(key).agg(
         F.min_by("raw", "pos").alias("_bad"))

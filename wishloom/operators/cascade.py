@@ -68,12 +68,18 @@ class Stage(NamedTuple):
     rules: list[str] | None = None
 
 
+PAYLOAD = ["from_codes", "to_ids", "departure_dates", "duration_id", "party", "rooms"]
+JUDGEMENT = ["base_date", "off_calendar", "rule_errors", "validation_error", "status"]
+
+
 def _judged(extracted: DataFrame, calendar: DataFrame, key: str) -> DataFrame:
     """Extraction columns as they were, their payload and the message of every rule."""
-    raw = extracted.withColumn("_raw", F.struct(*[F.col(f"`{c}`") for c in extracted.columns]))
-    normal = nm.validate(nm.normalise(raw, calendar), calendar, key)
-    payload = F.struct("from_codes", "to_ids", "departure_dates", "duration_id", "party", "rooms")
-    return normal.select("_raw.*", payload.alias("payload"), F.col("rule_errors").alias("_errors"))
+    replaced = [c for c in extracted.columns if c in PAYLOAD or c in JUDGEMENT]
+    raw = extracted.withColumn("_raw", F.struct(F.lit(True).alias("_row"), *replaced))
+    # settled, because the days of the payload meet the calendar on a branch of their own
+    normal = nm.validate(settle(nm.normalise(raw, calendar)), calendar, key)
+    own = [F.col(f"_raw.{c}" if c in replaced else f"`{c}`").alias(c) for c in extracted.columns]
+    return normal.select(*own, F.struct(*PAYLOAD).alias("payload"), F.col("rule_errors").alias("_errors"))
 
 
 def prepare(extracted: DataFrame, calendar: DataFrame, key: str = "request_id") -> DataFrame:
@@ -104,8 +110,9 @@ def staged_cascade(requests: DataFrame, extractions: dict[str, DataFrame], stage
     if fallback is not None and fallback.id not in {s.id for s in stages}:
         steps.append((fallback, True))
     attempts, settled = None, None
+    requests = settle(requests.select(key))
     for position, (stage, last_resort) in enumerate(steps):
-        pending = requests.select(key) if settled is None else requests.select(key).join(settled, key, "left_anti")
+        pending = requests if settled is None else requests.join(settled, key, "left_anti")
         rows = extractions[stage.kind].select(key, "rule_errors", "extraction_error", F.lit(True).alias("_there"))
         errors = F.col("rule_errors")
         asked = [errors[rule] for rule in nm.RULE_FIELDS if stage.rules is None or rule in stage.rules]

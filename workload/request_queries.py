@@ -446,7 +446,7 @@ att AS (SELECT request_id, 0 AS position, 'rules-basic' AS method, 'rules' AS ty
 def staged(t):
     """Rules first, stored model answers next, places alone as the last resort."""
     cal = settle(calendar(t))
-    extractions = {"rules": cs.prepare(extracted(t), cal),
+    extractions = {"rules": cs.prepare(extracted(t).drop("text", "lang", "o_custkey", "o_orderpriority"), cal),
                    "llm": cs.prepare(ex.model_extraction(ex.read_model_responses(stored_answers(t)), airports(t), destinations(t)), cal)}
     return cs.staged_cascade(requests(t).select("request_id"), extractions, [cs.Stage("rules-basic", "rules"), cs.Stage("llm-basic", "llm")],
                              cs.Stage("rules-places", "rules", ["availability", "selection", "destination"]))

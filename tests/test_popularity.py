@@ -50,3 +50,26 @@ def test_intersections_and_imputation(spark):
 def test_most_popular_without_global_mode(spark):
     stats = pop.statistics_table(spark.createDataFrame(ROWS, SCHEMA)).where("metric <> 'destination'")
     assert pop.most_popular_destination(stats).first()["destination"] == "Spain"
+
+
+def test_merged_names_take_one_pass(spark):
+    from wishloom.operators import imputation as im
+
+    places = "id string, name string, type string, available boolean"
+    airports = spark.createDataFrame([("nl", "Holland", "AIRPORT", True)], places)
+    goals = spark.createDataFrame([("R1", "Asia", "country", True), ("R1", "East", "", True), ("R2", "asia ", "", True)], places)
+    none = "array()"
+    filled = spark.createDataFrame(
+        [(1, [" asia", "Mars", "ASIA", ""], ["holland", "x", "X"], "2003"), (2, None, [], None), (2, ["East"], None, None), (None, ["Asia"], ["y"], None)],
+        "request_id int, to array<string>, from array<string>, duration_id string").selectExpr(
+        "*", "array('2026-01-02', 'soon') departure", "2 adults", "1 non_adults", "'1' rooms")
+    own = spark.createDataFrame([(1,), (2,), (3,), (None,)], "request_id int").selectExpr(
+        "request_id", f"cast({none} as array<string>) to_ids", f"cast({none} as array<string>) from_codes", f"cast({none} as array<string>) departure_dates",
+        "'' duration_id", "cast(null as int) adults", "cast(null as int) non_adults", "cast(null as int) rooms")
+    merged = im.merge_imputed(own, filled, airports, goals)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    got = [(r["request_id"], r["to_ids"], r["from_codes"], r["departure_dates"], r["duration_id"], r["rooms"]) for r in merged.collect()]
+    day = ["2026-01-02"]
+    assert sorted(got, key=str) == sorted([
+        (1, ["R1", "R2", "Mars"], ["NL", "X"], day, "2003", 1), (2, ["R1"], None, day, None, 1), (2, ["R1"], None, day, None, 1),
+        (3, None, None, None, None, None), (None, None, None, None, None, None)], key=str)

@@ -178,20 +178,30 @@ def merge_imputed(extracted: DataFrame, imputed: DataFrame, airports: DataFrame,
     id and type, airports by code. A party is taken whole or not at all, a
     date only if it is an ISO date, a duration only if it is configured.
     """
-    def ids(column, gazetteer, upper):
-        listed = imputed.select("request_id", F.posexplode(column).alias("pos", "label")).withColumn("_label", F.trim("label")).where("_label <> ''")
-        table = gazetteer.select(F.lower(F.trim("name")).alias("_k"), F.col("id").alias("_id"), F.coalesce(F.trim("type"), F.lit("")).alias("_type"))
-        each = lookup_join(listed.withColumn("_k", F.lower("_label")), table, "_k", "left")
-        code = F.upper(F.coalesce("_id", "_label")) if upper else F.trim(F.coalesce("_id", "_label"))
-        kind = F.lit("") if upper else F.coalesce("_type", F.lit(""))
-        first = each.groupBy("request_id", code.alias("code"), kind.alias("kind")).agg(F.min("pos").alias("pos")).where("code <> ''")
-        return first.groupBy("request_id").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda s: s["code"]).alias(f"_{column}"))
+    # one pass names the labels of both lists; a label meets the gazetteer of its kind
+    none = F.array().cast("array<string>")
+
+    def labels(kind, column):
+        return F.transform(F.coalesce(column, none), lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), F.trim(v).alias("label")))
+
+    listed = unnest(imputed.select("request_id", F.concat(labels("to", F.col("to")), labels("from", F.col("from"))).alias("_l")), "_l", "request_id").where(
+        "label <> ''").withColumn("_k", F.lower("label"))
+    table = destinations.withColumn("kind", F.lit("to")).select("kind", "name", "id", "type").unionByName(
+        airports.withColumn("kind", F.lit("from")).select("kind", "name", "id", "type")).select(
+        "kind", F.lower(F.trim("name")).alias("_k"), F.col("id").alias("_id"), F.coalesce(F.trim("type"), F.lit("")).alias("_type"))
+    each = lookup_join(listed, table, ["kind", "_k"], "left")
+    airport = F.col("kind") == "from"
+    code = F.when(airport, F.upper(F.coalesce("_id", "label"))).otherwise(F.trim(F.coalesce("_id", "label")))
+    kind = F.when(airport, F.lit("")).otherwise(F.coalesce("_type", F.lit("")))
+    first = each.groupBy("request_id", "kind", code.alias("code"), kind.alias("type")).agg(F.min("pos").alias("pos")).where("code <> ''")
+    in_order = lambda kind: F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("kind") == kind, F.struct("pos", "code")))), lambda s: s["code"])
+    some = lambda codes: F.when(F.size(codes) > 0, codes)
+    named = first.groupBy("request_id").agg(some(in_order("to")).alias("_to"), some(in_order("from")).alias("_from"))
 
     given = imputed.select("request_id", F.col("duration_id").alias("_duration"), F.col("departure").alias("_departure"),
                            F.col("adults").alias("_adults"), F.col("non_adults").alias("_non_adults"), F.col("rooms").cast("int").alias("_rooms"))
-    joined = extracted.join(ids("to", destinations, False), "request_id", "left").join(
-        ids("from", airports, True), "request_id", "left").join(given, "request_id", "left")
+    joined = extracted.join(named, "request_id", "left").join(given, "request_id", "left")
 
     def kept(own, new):
         return F.when(F.coalesce(F.size(own), F.lit(0)) > 0, F.col(own)).otherwise(new)

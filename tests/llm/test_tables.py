@@ -148,4 +148,4 @@ def test_pipeline_equals_brute_force(spark):
 
 def test_names():
     found = sorted(n for n in queries.QUERIES if n.startswith("op"))
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))

@@ -339,6 +339,23 @@ def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
+def test_word_groups_and_held_powers():
+    import numpy as np
+
+    from wishloom.llm import bytetext
+
+    rng = np.random.default_rng(4)
+    few = rng.integers(-2**63, 2**63, 300, dtype=np.int64)
+    few[:100] = few[100:200] ^ 1  # agree in all upper bits
+    key = few[rng.integers(0, 300, 5000)]
+    at, group = byte_bpe._groups(key)
+    assert (key[at][group] == key).all() and set(key[at].tolist()) == set(key.tolist())
+    base = bytetext.BASE
+    held = bytetext.powers(1000, base)
+    assert np.shares_memory(held, bytetext.powers(10, base))
+    assert bytetext.powers(50, base).tolist() == [pow(int(base), i, 1 << 64) for i in range(51)]
+
+
 def test_parity_bounds_the_difference_and_folds():
     import numpy as np
 

@@ -372,6 +372,25 @@ def test_parity_bounds_the_difference_and_folds():
         assert apart <= len(np.setxor1d(a, b)) and len(jaccard_join.parity(a)) * 64 >= 4 * n
 
 
+def test_pairs_ruled_out_hold_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (3, 40, 255, 1020, 1030, 1100):
+        first = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets += [np.unique(np.concatenate((first[n // part:], rng.integers(0, 2**63, n // part).astype(np.uint64)))) for part in (4, 8, 12, 40, n + 1)]
+    bits = [jaccard_join.parity(x) for x in sets]
+    length = np.array([len(b) for b in bits])
+    size = np.array([len(x) for x in sets])
+    size[2] = -1  # several texts under one id
+    a, b = np.triu_indices(len(sets), 1)
+    possible = jaccard_join._possible((size, np.concatenate(bits), np.cumsum(length) - length, length), a, b, 3, 4)
+    linked = np.array([jaccard_join._linked(sets[i], sets[j], 3, 4) for i, j in zip(a, b, strict=True)])
+    assert linked.any() and not (linked & ~possible).any()
+    assert possible[(a == 2) | (b == 2)].all() and possible.sum() < len(a) // 2
+
+
 def parsed_by_hand(text, sample):
     """Phrases of a greedy parse: the longest stretches of the sample, an unknown symbol alone."""
     count = at = 0

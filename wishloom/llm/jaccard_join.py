@@ -21,8 +21,8 @@ are compared with one member that asked (a star, not all pairs), and each
 document first only with the partner it meets most often. Links found that way
 give components. What is left are signatures whose members lie in different
 components: there all pairs across components with an asker are tried in blocks
-of bounded size by a parity bitmap, a lower bound of the difference, and what
-passes is compared exactly. So no link between documents of different components
+of bounded size. Before two sets travel to be compared exactly, a parity bitmap,
+a lower bound of their difference, must let the pair pass. So no link between documents of different components
 is lost, and pairs inside a group of near copies are never listed.
 
 All comparisons are exact on the sets of hashes (64 bits): the whole set of a
@@ -58,6 +58,7 @@ SAMPLE, COMMON = 4000, 200_000  # documents sampled and common elements kept for
 CELL = 4096
 PARITY = 16  # least 64-bit words of a parity bitmap; larger sets have more
 GROUP = 500  # comparisons with one partner per salt
+PAIRS = 500_000  # pairs of cells tried at once
 
 
 def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -403,7 +404,7 @@ def _parities(documents: DataFrame, ids: DataFrame, key: str, text: str, width:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32())} | {n: [put(folder, f"{n}{s}", x)] for n, x in arrays.items()})
 
     rows = texts.select("doc", "text").mapInArrow(tidy(run), "shard int, doc bigint, size bigint, bits binary")
-    made = rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc").mapInArrow(tidy(write), "shard int, doc string, size string, bits string, cuts string").collect()
+    made = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc").mapInArrow(tidy(write), "shard int, doc string, size string, bits string, cuts string").collect()
     return {"shards": shards, "parts": {r["shard"]: r.asDict() for r in made}}
 
 
@@ -418,48 +419,88 @@ def parity(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
-def _described(book: dict, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Size and bitmap of every document asked for."""
-    size, bits = np.zeros(len(doc), np.int64), [np.zeros(0, np.uint64)] * len(doc)
+def _described(book: dict, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Size of every document asked for; all their bitmaps in a row, and where each begins and how long it is."""
+    size, begin, length, bits, total = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), [], 0
     shard = np.mod(doc, book["shards"])
     for s in np.unique(shard).tolist():
         part, mine = book["parts"][s], np.flatnonzero(shard == s)
         at = np.searchsorted(mapped(part["doc"]), doc[mine])
         size[mine] = mapped(part["size"])[at]
-        every, cuts = mapped(part["bits"]), mapped(part["cuts"])
-        for i, p in zip(mine.tolist(), at.tolist(), strict=True):
-            bits[i] = every[cuts[p]:cuts[p + 1]]
-    return size, bits
+        cuts = np.asarray(mapped(part["cuts"]))
+        length[mine] = cuts[at + 1] - cuts[at]
+        ends = np.cumsum(length[mine])
+        begin[mine] = total + ends - length[mine]
+        bits.append(np.asarray(mapped(part["bits"]))[np.arange(ends[-1]) + np.repeat(cuts[at] - (ends - length[mine]), length[mine])])
+        total += int(ends[-1])
+    return size, np.concatenate(bits) if bits else np.zeros(0, np.uint64), begin, length
+
+
+def _possible(described: tuple, a: np.ndarray, b: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Which pairs of described documents (by place) the sizes and bitmaps cannot rule out."""
+    size, bits, begin, length = described
+    less, more = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    possible = less < 0  # texts that share an id: nothing is ruled out
+    # sets that may link differ by less than a factor of two, so only neighbouring lengths meet
+    width = np.minimum(length[a], length[b])
+    left = np.flatnonzero(~possible & (less * down >= more * up) & (np.maximum(length[a], length[b]) <= 2 * width))
+
+    def folded(doc: np.ndarray, words_: int) -> np.ndarray:
+        out = bits[begin[doc][:, None] + np.arange(words_)]
+        wide = np.flatnonzero(length[doc] > words_)
+        if len(wide):
+            out[wide] ^= bits[(begin[doc[wide]] + words_)[:, None] + np.arange(words_)]
+        return out
+
+    for words_ in np.unique(width[left]).tolist():
+        here = left[width[left] == words_]
+        step = max(1, 1_000_000 // words_)
+        for some in (here[lo:lo + step] for lo in range(0, len(here), step)):
+            apart = np.bitwise_count(folded(a[some], words_) ^ folded(b[some], words_)).sum(axis=1, dtype=np.int64)
+            possible[some] = apart <= (size[a[some]] + size[b[some]]) * (down - up) // (down + up)
+    return possible
+
+
+def _sieve(book: dict, up: int, down: int):
+    """The pairs (a, b) that the bitmaps cannot rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, place = np.unique(np.concatenate([batch.column(i).to_numpy() for i in range(2)]), return_inverse=True)
+            n = batch.num_rows
+            if n:
+                yield batch.filter(pa.array(_possible(_described(book, ids), place[:n], place[n:], up, down)))
+    return run
 
 
 def _across(book: dict, up: int, down: int):
     """Pairs of one cell in different components that the bitmaps cannot rule out."""
-    def tried(doc: np.ndarray, component: np.ndarray, ask: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if (component == component[0]).all():
+    def tried(cell: np.ndarray, doc: np.ndarray, component: np.ndarray, ask: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of whole cells, in order of cell and doc; later members of a cell are paired with earlier ones."""
+        begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        number = np.diff(np.append(begin, len(cell)))
+        mixed = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)
+        keep, number = np.repeat(mixed, number), number[mixed]
+        doc, component, ask = doc[keep], component[keep], ask[keep]
+        if not len(doc):
             return
-        size, bits = _described(book, doc)
-        length = np.array([len(b) for b in bits])
-        for width in np.unique(length).tolist():
-            # sets that may link differ by less than a factor of two, so only neighbouring lengths meet
-            here = np.flatnonzero((length == width) | (length == 2 * width))
-            folded = np.stack([bits[i] if length[i] == width else bits[i][:width] ^ bits[i][width:] for i in here.tolist()])
-            n, of, asks, ids, wide = size[here], component[here], ask[here], doc[here], length[here] > width
-            step = max(1, 4_000_000 // (len(here) * width))
-            for lo in range(0, len(here), step):
-                part = slice(lo, lo + step)
-                apart = np.bitwise_count(folded[part][:, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
-                near = np.minimum(n[part][:, None], n[None, :]) * down >= np.maximum(n[part][:, None], n[None, :]) * up
-                near &= apart <= (n[part][:, None] + n[None, :]) * (down - up) // (down + up)
-                near &= ~(wide[part][:, None] & wide[None, :])
-                near &= (of[part][:, None] != of[None, :]) & (asks[part][:, None] | asks[None, :]) & (ids[part][:, None] < ids[None, :])
-                i, j = np.nonzero(near)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[part][i]), pa.array(ids[j])], names=["a", "b"])
-        several = np.flatnonzero(size < 0)  # texts that share an id: nothing is ruled out
-        for i in several.tolist():
-            j = np.flatnonzero((component != component[i]) & (ask | ask[i]))
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], names=["a", "b"])
+        ids, of = np.unique(doc, return_inverse=True)
+        described = _described(book, ids)
+        later = np.repeat(np.cumsum(number), number) - np.arange(len(doc)) - 1
+        ends = np.cumsum(later)
+        lo = 0
+        while lo < len(doc):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - later[lo] + PAIRS, side="right")))
+            count = later[lo:hi]
+            i = np.repeat(np.arange(lo, hi), count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
+            apart = (component[i] != component[j]) & (ask[i] | ask[j])
+            pair = np.sort(of[i[apart]] * len(ids) + of[j[apart]])
+            # a pair that meets in several cells is tried once
+            a, b = np.divmod(pair[np.flatnonzero(np.diff(pair, prepend=-1))], len(ids))
+            found = np.flatnonzero(_possible(described, a, b, up, down))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[found]]), pa.array(ids[b[found]])], names=["a", "b"])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -468,11 +509,11 @@ def _across(book: dict, up: int, down: int):
                    batch.column(3).to_numpy(zero_copy_only=False)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             cuts = np.flatnonzero(np.diff(held[0])) + 1
-            for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if len(cuts) else ():
-                yield from tried(*[x[lo:hi] for x in held[1:]])
-            held = [x[cuts[-1]:] for x in held] if len(cuts) else held
+            if len(cuts):
+                yield from tried(*[x[:cuts[-1]] for x in held])
+                held = [x[cuts[-1]:] for x in held]
         if held is not None and len(held[0]):
-            yield from tried(*held[1:])
+            yield from tried(*held)
     return run
 
 
@@ -484,13 +525,20 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, common = Bands(up, down), common_elements(documents, key, text, width)
     keyed = documents.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    keyed.mapInArrow(tidy(_send(width, bands, common, parts)), SENT).repartition(parts, "part").mapInArrow(tidy(_meet), "kind int, a bigint, b bigint, n bigint, members array<bigint>").write.parquet(f"{folder}/met")
+    keyed.mapInArrow(tidy(_send(width, bands, common, parts)), SENT).repartitionById(parts, F.col("part")).mapInArrow(tidy(_meet), "kind int, a bigint, b bigint, n bigint, members array<bigint>").write.parquet(f"{folder}/met")
     met = spark.read.parquet(f"{folder}/met")
     equal = met.where("kind = 1").select("a", "b")
     met.where("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/stars")
     stars = spark.read.parquet(f"{folder}/stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    first = settle(verify(documents, settle(best), key, text, width, up, down))
+    # whoever meets another is in a star, so these bitmaps serve all trials
+    ids = settle(stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    book = _parities(documents, ids, key, text, width, parts)
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        return pairs.mapInArrow(tidy(_sieve(book, up, down)), "a bigint, b bigint")
+
+    first = settle(verify(documents, settle(sifted(best)), key, text, width, up, down))
     settled = settle(components(equal.union(first)))
 
     def placed(rows: DataFrame, name: str) -> DataFrame:
@@ -503,15 +551,13 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", width: i
     mixed = members.groupBy("g").agg(F.min("doc_in").alias("lo"), F.max("doc_in").alias("hi")).where("lo <> hi").select("g")
     members.join(mixed, "g").write.parquet(f"{folder}/open")
     opened = spark.read.parquet(f"{folder}/open")
-    ids = settle(opened.select("doc").distinct())
-    book = _parities(documents, ids, key, text, width, parts)
     cells = F.ceil(F.col("n") / CELL).cast("int")
     block = F.pmod(F.xxhash64("doc"), cells).cast("int")
     other = opened.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), cells - 1)))
     across = other.select(
         F.xxhash64("g", F.least("block", "k"), F.greatest("block", "k")).alias("cell"), "doc", "doc_in", "ask"
     ).repartition(parts, "cell").sortWithinPartitions("cell", "doc").mapInArrow(tidy(_across(book, up, down)), "a bigint, b bigint")
-    rest = settle(open_stars.union(across).distinct())
+    rest = settle(sifted(open_stars).union(across).distinct())
     second = settle(verify(documents, rest, key, text, width, up, down))
     final = components(settled.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second))
     sizes = met.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))

@@ -205,6 +205,67 @@ def test_byte_bpe_equals_library(spark, docs, empty, pieces):
         byte_bpe.decode(spark.createDataFrame([([50_256],)], "ids array<int>"), pieces).collect()
 
 
+def test_bpe_segments_are_bounded_and_one_file_each(spark, pieces, tmp_path):
+    import glob
+
+    import numpy as np
+
+    from wishloom.llm import blobs
+
+    pieces, _ = pieces
+    texts = ["the cat sat on the mat", "ünïcödé 中文 \U0001F600 x" * 3, "z" * 700 + " " + "ab" * 200, "", None, " ".join(f"w{i}" for i in range(200))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    book = byte_bpe.dictionary(frame, pieces, shards=2, segment_words=20)
+    assert list(book["first"]) == sorted(book["first"]) and len(book["at"]) == len(set(book["at"])) > 2
+    sizes = [len(byte_bpe._segment(at)[0]) for at in book["at"]]
+    assert sum(sizes) > 200 and all((np.diff(byte_bpe._segment(at)[0]) >= 0).all() for at in book["at"])
+    folder = book["at"][0].removeprefix("file:").rsplit("/", 1)[0]
+    assert len(glob.glob(f"{folder}/*.npy")) == len(book["at"])
+    whole = byte_bpe.dictionary(frame, pieces, shards=1)
+    ids = [{r.doc_id: r.ids for r in byte_bpe.encode(frame, b).collect()} for b in (book, whole)]
+    assert ids[0] == ids[1] and ids[0][3] == [] == ids[0][4]
+    assert b"".join(pieces[i] for i in ids[0][2]).decode() == texts[2]
+    # two words of one key: the characters decide, wherever the segment has them
+    key, words, code = np.array([-5, 7, 7, 9]), ["aa", "bcd", "中", "e"], [[1], [2, 3], [4], [5, 6, 7]]
+    raw = lambda ws: np.frombuffer("".join(ws).encode("utf-32-le"), np.uint32)
+    held = byte_bpe._packed(key, raw(words), np.array([2, 3, 1, 1]), np.array([i for c in code for i in c]), np.array([1, 2, 1, 3]))
+    own = {"first": key[:1], "at": [blobs.put(str(tmp_path), "words", held)]}
+    out, number = byte_bpe._ids_of(own, np.array([9, 7, -5]), raw(["e", "中", "aa"]), np.array([0, 1, 2]), np.array([1, 1, 2]))
+    assert out.tolist() == [5, 6, 7, 4, 1] and number.tolist() == [3, 1, 1]
+    for k, w in ((7, "bce"), (8, "e"), (-6, "a"), (10, "e")):
+        with pytest.raises(KeyError):
+            byte_bpe._ids_of(own, np.array([k]), raw([w]), np.array([0]), np.array([len(w)]))
+
+
+def test_mapped_arrays_keep_no_file_open(tmp_path):
+    import os
+
+    import numpy as np
+
+    from wishloom.llm import blobs
+
+    arrays = [np.arange(i, dtype=np.int32).reshape(1, -1) for i in range(60)] + [np.array(["a", "bcd"])]
+    addresses = [blobs.put(str(tmp_path), "a", a) for a in arrays]
+    before = len(os.listdir("/proc/self/fd"))
+    held = [blobs.mapped(a) for a in addresses]
+    assert len(os.listdir("/proc/self/fd")) - before < 5
+    for have, want in zip(held, arrays, strict=True):
+        assert have.shape == want.shape and have.dtype == want.dtype and (have == want).all() and not have.flags.writeable
+
+
+def test_append_sends_a_column_once(spark):
+    from wishloom.llm import arrowmap
+
+    frame = spark.createDataFrame([(1, "a", 2), (2, None, 3)], "n long, text string, m int")
+    both = lambda m, t: [[f"{x}{y}" for x, y in zip(m.to_pylist(), t.to_pylist(), strict=True)]]
+    kept = arrowmap.append(frame, ["m", "text"], None, "s string", both)
+    assert sorted(map(tuple, kept.collect())) == [(1, "a", 2, "2a"), (2, None, 3, "3None")]
+    replaced = arrowmap.append(frame, ["m", "text"], ["m"], "text string", both)
+    assert sorted(map(tuple, replaced.collect())) == [(2, "2a"), (3, "3None")]
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    assert plan.children().apply(0).output().size() == 3
+
+
 def test_fold_equals_heap(spark, pieces):
     pieces, _ = pieces
     ranks = {p: r for r, p in enumerate(pieces)}

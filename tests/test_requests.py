@@ -162,6 +162,21 @@ def test_revalidation_fills_six_fields_and_asks_touched_rules(spark):
     assert out[6].detail == nm.MSG["date_required"] and "departure" not in out[6].origins
 
 
+def test_revalidation_shuffles_requests_once(spark):
+    cal = days(spark, "2026-01-05", "2026-01-06")
+    ext = spark.createDataFrame([found(i, date=None if i % 2 else "2026-01-06") for i in range(1, 40)], EXTRACTION)
+    ready = cs.prepare(ext, cal)
+    plan = ready._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LogicalRDD" not in plan  # stored by column and compressed, not as a checkpoint
+    columns = "request_id long, `to` array<string>, to_source string, `from` array<string>, from_source string, departure array<string>, departure_source string, duration_id string, duration_source string, adults int, non_adults int, party_source string, rooms int, rooms_source string"
+    given = spark.createDataFrame([(i, ["Rome"], "popularity", ["Ams"], "global", ["2026-01-05"], "global", "2003", "global", 2, 0, "global", 1, "global") for i in range(1, 40)], columns)
+    place = "id string, name string, type string, available boolean"
+    ports, cities = spark.createDataFrame([("ams", "Ams", "AIRPORT", True)], place), spark.createDataFrame([("R1", "Rome", "city", True)], place)
+    out = cs.revalidate_imputed(ready, given, ports, cities, cal)
+    assert "Exchange hashpartitioning(request_id" not in out._jdf.queryExecution().executedPlan().toString()  # what is off the calendar is few and comes by broadcast
+    assert {r.request_id: r.status for r in out.collect()} == {i: "success" for i in range(1, 40)}
+
+
 def test_model_responses_are_read_once(spark):
     from wishloom.operators import cascade as cs
     from wishloom.operators import extraction as ex

@@ -73,3 +73,20 @@ def test_exact_percentiles_equal_numpy(spark):
         assert r["n"] == len(groups[r["g"]])
         for name, q in qs.items():
             assert r[name] == pytest.approx(np.quantile(groups[r["g"]], q), abs=1e-9)
+
+
+def test_stored_keeps_rows_and_leaves_nothing_wide(spark):
+    import datetime as dt
+
+    schema = "k long, `a b` array<struct<id:string,at:timestamp>>, m map<string,string>, s struct<x:int,y:array<string>>, d date, t string"
+    old = dt.datetime(200, 3, 1, 12)
+    rows = [(1, [("x", old), (None, None)], {"a": None}, (1, ["é", None]), dt.date(1200, 2, 28), ""), (None, None, None, None, None, None), (1, [], {}, (None, []), dt.date(9999, 12, 31), "z"),
+            (1, [], {}, (None, []), dt.date(9999, 12, 31), "z")]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    kept = scale.stored(df)
+    assert kept.schema == df.schema and sorted(map(repr, kept.collect())) == sorted(map(repr, df.collect()))
+    assert scale.stored(df.where("false")).schema == df.schema and scale.stored(df.where("false")).count() == 0
+    # the optimizer knows how small it is, so the other side is not shuffled
+    big = spark.range(1000).selectExpr("id", "id % 3 as k")
+    plan = big.join(scale.stored(spark.range(3).toDF("k").groupBy("k").count()), "k", "left")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ExistingRDD" not in plan

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import lookup_join, settle
+from ..plans.scale import lookup_join, settle, stored
 from . import imputation as im
 from . import normalisation as nm
 
@@ -76,8 +76,10 @@ def _judged(extracted: DataFrame, calendar: DataFrame, key: str) -> DataFrame:
     """Extraction columns as they were, their payload and the message of every rule."""
     replaced = [c for c in extracted.columns if c in PAYLOAD or c in JUDGEMENT]
     raw = extracted.withColumn("_raw", F.struct(F.lit(True).alias("_row"), *replaced))
-    # settled, because the days of the payload meet the calendar on a branch of their own
-    normal = nm.validate(settle(nm.normalise(raw, calendar)), calendar, key)
+    # stored, because the days of the payload meet the calendar on a branch of their own; as Parquet, like the
+    # days and what is missing from them, so small tables are broadcast and no wide row is shuffled to meet them
+    days = stored(nm.open_days(calendar), "days")
+    normal = nm.validate(stored(nm.normalise(raw, calendar, days), "normal"), calendar, key, hold=lambda unknown: stored(unknown, "unknown"))
     own = [F.col(f"_raw.{c}" if c in replaced else f"`{c}`").alias(c) for c in extracted.columns]
     return normal.select(*own, F.struct(*PAYLOAD).alias("payload"), F.col("rule_errors").alias("_errors"))
 
@@ -91,8 +93,8 @@ def prepare(extracted: DataFrame, calendar: DataFrame, key: str = "request_id")
     error = F.col("response_error") if "response_error" in extracted.columns else F.lit(None).cast("string")
     judged = _judged(extracted.withColumn("extraction_error", error), calendar, key).withColumnRenamed("_errors", "rule_errors")
     detail = F.coalesce("extraction_error", nm.first_error(F.col("rule_errors")))
-    return settle(judged.withColumn("detail", detail).withColumn("status", F.when(
-        F.col("extraction_error").isNotNull(), "error").when(F.col("detail").isNotNull(), "failed").otherwise("success")))
+    return stored(judged.withColumn("detail", detail).withColumn("status", F.when(
+        F.col("extraction_error").isNotNull(), "error").when(F.col("detail").isNotNull(), "failed").otherwise("success")), "prepared")
 
 
 def staged_cascade(requests: DataFrame, extractions: dict[str, DataFrame], stages: list[Stage],
@@ -144,6 +146,8 @@ def revalidate_imputed(prepared: DataFrame, imputed: DataFrame, airports: DataFr
     """
     extraction = [c for c in prepared.columns if c not in ("payload", "rule_errors", "status", "detail")]
     retry = F.col("status") == "failed"
+    # imputed rows are asked for twice, for their places and for the rest
+    imputed = stored(imputed.select(key, *im.GIVEN, *[f"{c}_source" for c in im.SOURCES]), "imputed")
     filled = im.fill_extraction(prepared.where(retry).select(*extraction, F.col("rule_errors").alias("_before")), imputed, airports, destinations, key)
     judged = _judged(filled, calendar, key)
 

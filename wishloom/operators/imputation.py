@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..plans.scale import lookup_join, settle, unnest
+from ..plans.scale import lookup_join, settle, stored, unnest
 from .popularity import modes, most_popular_destination
 
 METRICS = ["duration", "party", "rooms", "departure_airport", "interval"]
@@ -55,7 +55,8 @@ def requested_destinations(requests: DataFrame, per_destination: DataFrame) -> D
     d_<metric>(value, at) from the first destination that has a mode, and
     known_keys, the sorted folded names that have statistics.
     """
-    listed = requests.select("request_id", F.posexplode("to").alias("pos", "raw"))
+    # dealt by request once, short as they are; both groupings and the join of the requests keep that
+    listed = requests.select("request_id", "to").repartition("request_id").select("request_id", F.posexplode("to").alias("pos", "raw"))
     base = F.trim(F.split_part(F.trim("raw"), F.lit(":"), F.lit(1)))
     named = listed.select("request_id", "pos", base.alias("name"), F.lower(base).alias("key")).where("name <> ''")
     table = per_destination.select(F.lower("destination").alias("key"), F.col("destination").alias("label"), *METRICS)
@@ -91,7 +92,8 @@ def impute(requests: DataFrame, statistics: DataFrame, auto_rooms: bool = fv.ROO
     known = usable.where(everywhere_or_popular).orderBy(F.desc("scope_key")).collect()
     constants = {r["metric"]: r["mode"] for r in known if r["scope"] == "global"}
     own = {r["metric"]: r["mode"] for r in known if r["scope"] == "destination"}
-    per_destination = destination_modes(statistics)
+    # a row per destination, stored so that names meet it without a shuffle where it is small
+    per_destination = stored(destination_modes(statistics), "modes")
     combos = usable.where("scope = 'intersection'").select(
         F.lower("scope_key").alias("combination"), F.col("scope_key").alias("combination_label"),
         F.col("mode").alias("combination_interval"))
@@ -220,6 +222,7 @@ def merge_imputed(extracted: DataFrame, imputed: DataFrame, airports: DataFrame,
         F.coalesce("rooms", "_rooms").alias("rooms"))
 
 
+GIVEN = ["to", "from", "departure", "duration_id", "adults", "non_adults", "rooms"]
 SOURCES = ["to", "from", "departure", "duration", "party", "rooms"]
 PLACE = "struct<id:string,name:string,type:string,available:boolean>"
 
@@ -238,7 +241,7 @@ def fill_extraction(extracted: DataFrame, imputed: DataFrame, airports: DataFram
     absent = [c for c in ("adults", "non_adults", "rooms") if c not in extracted.columns]
     asked = extracted.withColumns({c: F.lit(None).cast("int") for c in absent}) if absent else extracted
     columns = asked.columns
-    given = imputed.select(key, *[F.col(c).alias(f"_{c}") for c in ("to", "from", "departure", "duration_id", "adults", "non_adults", "rooms")],
+    given = imputed.select(key, *[F.col(c).alias(f"_{c}") for c in GIVEN],
                            *[F.col(f"{c}_source").alias(f"_{c}_source") for c in SOURCES])
     joined = asked.join(given, key, "left")
     none = F.coalesce(F.size("airports"), F.lit(0)) <= 0, F.coalesce(F.size("destinations"), F.lit(0)) <= 0

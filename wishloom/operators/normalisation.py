@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +14,14 @@ MSG = fv.VALIDATION_MESSAGES
 
 
 def departure_window(df: DataFrame, calendar: DataFrame | None, base: str = "base_date", flex: str = "flex_id",
-                     key: str = "request_id", flexible: bool = fv.FLEXIBILITY_ALLOWED) -> DataFrame:
+                     key: str = "request_id", flexible: bool = fv.FLEXIBILITY_ALLOWED, table: DataFrame | None = None) -> DataFrame:
     """Adds departure_dates: 0-2 ISO dates around the base date.
 
     calendar: (d date), or None for no calendar. The first open day from
     base - n and the last one up to base + n are looked up in a table of
     days, so any reach works, nothing is joined by range, and the requests
     are read once. Nothing runs before the caller's action: the span of the
-    calendar is a scalar subquery.
+    calendar is a scalar subquery. `table`: `open_days` of the calendar, if the caller has it ready.
     """
     days = F.coalesce(F.coalesce(F.col(flex), F.lit(fv.DEFAULT_FLEX_ID)).try_cast("int"), F.lit(0))
     reach = F.greatest(days, F.lit(0)) if flexible else F.lit(0)
@@ -29,7 +31,7 @@ def departure_window(df: DataFrame, calendar: DataFrame | None, base: str = "bas
         ends = F.array_distinct(F.array(first, last))
         shown = F.when(F.col(base).isNotNull(), F.transform(ends, lambda d: F.date_format(d, "yyyy-MM-dd")))
         return df.withColumn("departure_dates", F.coalesce(shown, none))
-    table = open_days(calendar)
+    table = open_days(calendar) if table is None else table
     opens, closes = calendar.agg(F.min("d")).scalar(), calendar.agg(F.max("d")).scalar()
     rows = df.withColumns({"_first": F.greatest(first, opens), "_last": F.least(last, closes)})
     joined = lookup_join(rows, table.select(F.col("day").alias("_first"), F.col("next_open").alias("_lo")), "_first", "left")
@@ -81,10 +83,10 @@ def default_rooms(rooms: Column) -> Column:
     return F.coalesce(rooms, F.lit(fv.ROOMS["default"])).cast("int")
 
 
-def normalise(extracted: DataFrame, calendar: DataFrame | None) -> DataFrame:
+def normalise(extracted: DataFrame, calendar: DataFrame | None, table: DataFrame | None = None) -> DataFrame:
     """Extraction columns to payload columns; lists of entities stay for validation."""
     based = extracted.withColumn("base_date", F.to_date(F.get("dates", F.lit(0))["at"]))
-    dated = departure_window(based, calendar)
+    dated = departure_window(based, calendar, table=table)
     adults = F.col("adults") if "adults" in extracted.columns else F.lit(None).cast("int")
     non_adults = F.col("non_adults") if "non_adults" in extracted.columns else F.lit(None).cast("int")
     rooms = F.col("rooms") if "rooms" in extracted.columns else F.lit(None).cast("int")
@@ -125,15 +127,17 @@ def date_error(departure_dates: Column, off_calendar: Column) -> Column:
         off_calendar.isNotNull(), F.concat(F.lit("Departure date '"), off_calendar, F.lit("' is not available")))
 
 
-def first_off_calendar(df: DataFrame, calendar: DataFrame, key: str = "request_id") -> DataFrame:
+def first_off_calendar(df: DataFrame, calendar: DataFrame, key: str = "request_id",
+                       hold: Callable[[DataFrame], DataFrame] = lambda unknown: unknown) -> DataFrame:
     """Adds off_calendar: the first departure date missing from the calendar.
 
     One row per requested day meets the day table; requests stay where they are.
+    `hold` may store the days that are missing, mostly few, before requests meet them.
     """
     allowed = calendar.select(F.date_format("d", "yyyy-MM-dd").alias("iso")).distinct()
     each = df.select(key, F.posexplode("departure_dates").alias("pos", "iso"))
     unknown = lookup_join(each, allowed, "iso", "left_anti").groupBy(key).agg(F.min_by("iso", "pos").alias("off_calendar"))
-    return df.join(unknown, key, "left")
+    return df.join(hold(unknown), key, "left")
 
 
 def destination_error(to_ids: Column) -> Column:
@@ -188,13 +192,14 @@ def first_error(errors: Column) -> Column:
     return F.coalesce(*[errors[rule] for rule in RULE_FIELDS])
 
 
-def validate(df: DataFrame, calendar: DataFrame, key: str = "request_id", rules: list[str] | None = None) -> DataFrame:
+def validate(df: DataFrame, calendar: DataFrame, key: str = "request_id", rules: list[str] | None = None,
+             hold: Callable[[DataFrame], DataFrame] = lambda unknown: unknown) -> DataFrame:
     """Adds rule_errors (a struct, one field per rule), validation_error (the first that fails) and status.
 
-    `rules` names the rules that are asked; all of them by default.
+    `rules` names the rules that are asked; all of them by default. `hold`: as for `first_off_calendar`.
     """
     asked = list(RULE_FIELDS) if rules is None else rules
-    marked = first_off_calendar(df, calendar, key)
+    marked = first_off_calendar(df, calendar, key, hold)
     errors = F.struct(*[(e if rule in asked else F.lit(None)).cast("string").alias(rule) for rule, e in rule_errors().items()])
     return marked.withColumn("rule_errors", errors).withColumn("validation_error", first_error(F.col("rule_errors"))).withColumn(
         "status", F.when(F.col("validation_error").isNull(), "success").otherwise("failed")).drop("off_calendar")

@@ -10,7 +10,7 @@ from wishloom.operators import cascade as cs
 from wishloom.operators import catalogue as ct
 from wishloom.operators import extraction as ex
 from wishloom.operators import normalisation as nm
-from wishloom.plans.scale import settle
+from wishloom.plans.scale import settle, stored
 
 from .frames import (SQL_ALIAS, SQL_DURATIONS, SQL_FLEX, SQL_REQUESTS, airports, alias_entries, destinations, norm,
                      requests)
@@ -489,8 +489,8 @@ SELECT request_id, CASE WHEN ft THEN coalesce(bid, dests[1]) || CASE WHEN countr
  coalesce(closed, CASE WHEN lo IS NULL THEN 'Departure date is required' WHEN ad < 1 THEN 'At least one adult is required' WHEN rms < 1 THEN 'At least one room must be requested' END) AS detail,
  CASE WHEN closed IS NULL AND lo IS NOT NULL AND ad >= 1 AND rms >= 1 THEN 'success' ELSE 'failed' END AS status FROM z""")
 def _(t):
-    books = settle(bookings(t))
-    req = requests_frame(t, books)
+    books = stored(bookings(t), "bookings")
+    req = stored(requests_frame(t, books), "requests")
     filled = im.impute(req, pop.statistics_table(books), auto_rooms=False)
     cal = settle(calendar(t))
     place = lambda c: F.transform(c, lambda v: F.struct(v.alias("id"), v.alias("name"), F.lit("").alias("type"), F.lit(True).alias("available")))

@@ -125,3 +125,26 @@ def test_streamed_log_takes_a_batch_once(spark, tmp_path):
     df.limit(1).write.mode("append").parquet(source)
     logs.stream_log(spark.readStream.schema("p string").parquet(source), out, ["p"], state).awaitTermination()
     assert logs.read_log(spark, out, ["p"]).count() == 21 and logs.log_header(out) == ["p"]
+
+
+def test_operations_of_many_runs_take_few_folders(spark, tmp_path):
+    out = str(tmp_path / "operations")
+    rows = [(i, f"{i % 300:04d}" if i % 301 else None, "success") for i in range(1500)] + [(9000 + i, "0007", "failed") for i in range(50)] + [(9999, "", "error")] * 2
+    df = spark.createDataFrame(rows, "op_id long, run_id string, status string").repartition(5)
+    sk.persist_operations(df, out)
+    folders = [p for p in (tmp_path / "operations").iterdir() if p.is_dir()]
+    assert len(folders) <= sk.OPERATION_BUCKETS < 300  # not one for every run
+    assert len(list((tmp_path / "operations").rglob("*.parquet"))) <= 2 * sk.OPERATION_BUCKETS
+    back = rd.read_operations(spark, out)
+    assert back.schema["run_id"].dataType == df.schema["run_id"].dataType  # a run named 0007 stays text, an empty one stays empty
+    order = lambda r: tuple(map(str, r))
+    assert sorted(((r.op_id, r.run_id, r.status) for r in back.collect()), key=order) == sorted(rows, key=order)
+    one = rd.read_operations(spark, out, "0007")
+    assert sorted(r.op_id for r in one.collect()) == sorted(r[0] for r in rows if r[1] == "0007")
+    assert len({r[0].rsplit("/", 2)[1] for r in one.selectExpr("_metadata.file_path").collect()}) == 1
+    # a second submission is appended
+    sk.persist_operations(df.where("run_id = '0007'"), out)
+    assert rd.read_operations(spark, out).count() == len(rows) + 55
+    numbers = str(tmp_path / "numbers")
+    sk.persist_operations(spark.range(500).selectExpr("id as op_id", "id % 100 as run_id", "'success' as status"), numbers)
+    assert rd.read_operations(spark, numbers, 7).count() == 5 and spark.read.parquet(numbers).schema["run_id"].dataType.typeName() == "long"

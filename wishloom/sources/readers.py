@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.text import normalize_label, strip
 from ..operators.catalogue import clean_list, duplicate_entities, duplicate_options, missing_required
+from .sinks import OPERATION_BUCKETS, operation_bucket
 
 
 def csv_table(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True, order: str | None = None) -> DataFrame:
@@ -237,3 +238,13 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     raw = require_columns(csv_table(spark, path), fv.REPLAY_COLUMNS, "Replay file")
     return raw.where(text_or_empty("User input") != "").select(
         text_or_empty("User input").alias("user_input"), text_or_empty("Expected values").alias("expected_values"))
+
+
+def read_operations(spark: SparkSession, path: str, run: object = None, name: str = "run_id", buckets: int = OPERATION_BUCKETS) -> DataFrame:
+    """Raw operations of `persist_operations`: all of them, or those of one run, from its folder alone."""
+    every = spark.read.parquet(path)
+    if run is not None:
+        # the run as it would be stored, since the folder follows from its text
+        asked = F.lit(run).cast(every.schema[name].dataType)
+        every = every.where((F.col("run_bucket") == operation_bucket(asked, buckets)) & (F.col(f"`{name}`") == asked))
+    return every.drop("run_bucket")

@@ -89,6 +89,23 @@ def write_dataset(df: DataFrame, path: str, columns: list[str]) -> None:
     write_csv(df.select(*columns), path, "overwrite")
 
 
-def persist_operations(ops: DataFrame, path: str, run: str = "run_id") -> None:
-    """Raw operations appended per run; rows of a run meet first, and a run of any size splits by bytes."""
-    ops.hint("rebalance", F.col(run)).write.mode("append").partitionBy(run).parquet(path)
+OPERATION_BUCKETS = 64
+
+
+def operation_bucket(run: Column, buckets: int = OPERATION_BUCKETS) -> Column:
+    """Folder of a run: by its text, so a run has one folder whatever number type it is asked with."""
+    return F.pmod(F.xxhash64(run.cast("string")), F.lit(buckets)).cast("int")
+
+
+def persist_operations(ops: DataFrame, path: str, run: str = "run_id", buckets: int = OPERATION_BUCKETS) -> None:
+    """Raw operations appended per run; rows of a run lie together, and a run of any size splits by bytes.
+
+    A run has one of `buckets` folders, and files are in the order of runs, so one
+    run is read from a part of one folder (`read_operations`). A folder for
+    every run would cost files and listings with the number of runs. The run stays a column of
+    its own type; `run_bucket` is that of the folders.
+    """
+    rest = [F.col(f"`{c}`") for c in ops.columns if c != run]
+    placed = ops.select(*rest, F.col(f"`{run}`"), operation_bucket(F.col(f"`{run}`"), buckets).alias("run_bucket"))
+    placed.hint("rebalance", F.col("run_bucket")).sortWithinPartitions("run_bucket", f"`{run}`").write.mode("append").partitionBy(
+        "run_bucket").parquet(path)

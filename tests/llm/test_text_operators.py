@@ -266,6 +266,21 @@ def test_append_sends_a_column_once(spark):
     assert plan.children().apply(0).output().size() == 3
 
 
+def test_stages_send_a_text_once_and_keep_named_columns(spark):
+    frame = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran", "en", 0.5, "x"), (2, "der Hund und die Katze sind im Haus", "de", 0.1, "y"), (3, None, "en", 0.2, "z")],
+                                  "doc_id long, text string, lang string, score double, n_hit string")
+    models = language_id.train(frame.where("text is not null"))
+    from wishloom.llm.arrowmap import neutral
+
+    plain, text = neutral(frame, "Text")
+    assert (plain.columns[1], text) == ("_c1", "_c1")
+    found = language_id.predict(plain, models, text)
+    assert found._jdf.queryExecution().optimizedPlan().children().apply(0).output().size() == 5  # not the text twice
+    bench = decontaminate.index(spark.createDataFrame([(1, "der Hund und die Katze sind im Haus")], "item_id long, text string"))
+    left = decontaminate.remove(frame, bench)
+    assert left.schema == frame.schema and sorted(map(tuple, left.collect())) == [tuple(r) for r in frame.collect() if r.doc_id != 2]
+
+
 def test_fold_equals_heap(spark, pieces):
     pieces, _ = pieces
     ranks = {p: r for r, p in enumerate(pieces)}

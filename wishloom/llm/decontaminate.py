@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wishloom.llm.arrowmap import append, tidy
+from wishloom.llm.arrowmap import append, neutral, tidy
 from wishloom.llm.blobs import mapped, put
 from wishloom.llm.bytetext import ALNUM, blocks, word_hashes, words
 from wishloom.plans.scale import scratch_folder
@@ -190,5 +190,5 @@ def find(documents: DataFrame, bench: dict, text: str = "text", keep: list[str]
 
 def remove(documents: DataFrame, bench: dict, text: str = "text") -> DataFrame:
     """The documents without any hit, with their own columns."""
-    packed = documents.select(F.struct(*[f"`{c}`" for c in documents.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
-    return find(packed, bench, "text", ["_row"]).where("n_hit = 0").select("_row.*")
+    plain, text = neutral(documents, text)
+    return find(plain, bench, text).where("n_hit = 0").select(*plain.columns).toDF(*documents.columns)
